@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 # Byte-order marks and the encodings they stand for.
 MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
 _DECLARED = re.compile(rb"<\?xml[^>]*encoding\s*=\s*[\"']([A-Za-z0-9._-]+)[\"']")
+_UPPER = re.compile(rb"[\x80-\xff]+")
 _CYRILLIC = re.compile("[А-яЁё]")
 
 
 def detect(content: bytes) -> str:
-    """Encoding of a byte string: its mark, its XML declaration, UTF-8 if it is valid, cp1251 if most upper bytes are then Cyrillic letters, else latin-1."""
+    """Encoding of a byte string: its mark, its XML declaration, UTF-8 if it is valid, cp1251 if most upper bytes stand side by side and are Cyrillic letters there, else latin-1."""
     for mark, name in MARKS:
         if content.startswith(mark):
             return name
@@ -31,8 +32,9 @@ def detect(content: bytes) -> str:
         return "utf-8"
     except UnicodeDecodeError:
         pass
-    upper = bytes(b for b in content if b > 127)
-    return "cp1251" if len(_CYRILLIC.findall(upper.decode("cp1251", "replace"))) > 0.7 * len(upper) else "latin-1"
+    runs = _UPPER.findall(content)
+    total, together = sum(map(len, runs)), b"".join(x for x in runs if len(x) > 1)
+    return "cp1251" if len(_CYRILLIC.findall(together.decode("cp1251", "replace"))) > 0.7 * total else "latin-1"
 
 
 def decode(content: bytes, encoding: str | None = None) -> str:
