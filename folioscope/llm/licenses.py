@@ -143,7 +143,7 @@ def sql(table: str = "documents", sentences: dict[str, str] = SENTENCES, rules:
     for name, _, ids in rules:
         longer = [more for _, _, more in rules if len(more) > len(ids) and f",{','.join(ids)}," in f",{','.join(more)},"]
         test[name] = " AND ".join([f"contains(s, {quoted(',' + ','.join(ids) + ',')})"] + [f"NOT contains(s, {quoted(',' + ','.join(m) + ',')})" for m in longer])
-    pick = lambda of: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {test[n]} THEN {quoted(of[n])} END" for n, *_ in rules) + "], x -> x IS NOT NULL))), ',')"
+    pick = lambda of: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {test[n]} THEN {quoted(of[n])} END" for n, *_ in rules) + "], lambda x: x IS NOT NULL))), ',')"
     clean = f"trim(regexp_replace(regexp_replace(lower(t), {quoted(OTHERS)}, ' ', 'g'), {quoted(LOOSE_DOTS)}, '\\1', 'g'))"
     return f"""
 WITH known AS (SELECT unnest({array(known)}) AS sentence, unnest({array(known.values())}) AS id),
