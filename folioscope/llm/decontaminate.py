@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,19 +239,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     return out
 
 
+def _holds(block, q: int, rate: float):
+    """A column function: whether a text holds one of a block's texts. The index is built once a task."""
+    built: list[Index] = []
+
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        if not built:
+            built.append(Index.of(block.value, q, rate))
+        return pd.Series([bool(matches(built[0], normalised(x), q)) for x in texts], dtype="bool")
+
+    return leaks
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark text, all columns kept. Rows are judged one by one, so nothing is shuffled. Null texts stay."""
-    import pandas as pd
-
     spark, mark = docs.sparkSession, "__folioscope_leak"
     out = docs
     for block in _blocks(benchmark, q, block_chars):
-        held = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, held=held) -> pd.Series:
-            index = Index.of(held.value, q, rate)
-            return pd.Series([bool(matches(index, normalised(x), q)) for x in texts], dtype="bool")
-
+        leaks = _holds(spark.sparkContext.broadcast(block), q, rate)
         out = out.withColumn(mark, leaks(F.col("text").cast("string"))).where(~F.col(mark)).drop(mark)
     return out

@@ -100,7 +100,8 @@ def deletions(texts: DataFrame, rare: int = RARE) -> DataFrame:
     holders = posted.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
     shared = posted.join(holders, "line")
     frequent = shared.where(F.col("n") > rare).where("doc_id > first").select("first", "doc_id")
-    few = shared.where(F.col("n") <= rare).groupBy("line").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    # Dealt anew, so that the join itself is free to split the rows of a very frequent line over tasks.
+    few = shared.where(F.col("n") <= rare).repartition("line").groupBy("line").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     few = few.select(F.explode(F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a as first, b as doc_id))))")).alias("p")).select("p.first", "p.doc_id")
     pairs = frequent.union(few).groupBy("first", "doc_id").agg(F.count("*").alias("shared_lines"))
     early = texts.select(F.col("doc_id").alias("first"), F.col("lines").alias("early"))

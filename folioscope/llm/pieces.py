@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import re
@@ -19,6 +20,9 @@ SPACE = "▁"
 # Fixed values of the public model format: kinds of piece, kind of model.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
+#: Name of the error handler that gives a replacement character for every byte that is no part of a character, as the library does.
+EACH_BYTE = "folioscope-each-byte"
+codecs.register_error(EACH_BYTE, lambda e: ("\ufffd", e.start + 1))
 CACHE_CHUNKS = 150_000
 #: Chunks up to this many characters share one agenda, a row each; a longer one has a heap of its own.
 ROW_CHARS = 24
@@ -232,7 +236,7 @@ class Model:
         lead = 0
         while lead < len(ids) and self.pieces[ids[lead]][2] == CONTROL:
             lead += 1
-        return self.surface(ids[lead:], first=True).decode("utf-8", "replace")
+        return self.surface(ids[lead:], first=True).decode("utf-8", EACH_BYTE)
 
 
 @lru_cache(maxsize=2)
@@ -314,7 +318,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True,
             if own.prefix and surface[:1] == b" " and chunks[0][0] == SPACE:
                 surface = surface[1:]
             ok = (not differ or differ.isdisjoint(chunks)) if check else None
-            yield ids, sum([x[1] for x in found]), surface.decode("utf-8", "replace"), ok
+            yield ids, sum([x[1] for x in found]), surface.decode("utf-8", EACH_BYTE), ok
 
     def over(batches):
         cache = Cache(path, check)
