@@ -43,3 +43,9 @@ def books(spark: SparkSession, root: str) -> DataFrame:
 
         return inpx.load(spark, info[0]["inpx_path"], files_of(crawl(spark, info[0]["books_dir"]), hashes=False), info[0]["books_dir"])
     return load(spark, root, "books")
+
+
+def create_views(spark: SparkSession, root: str, prefix: str = "") -> None:
+    """Names a collection's tables for SQL: ``books``, ``files``, ``bookmarks``, ``notes``, ``info``, with a prefix if there is one."""
+    for name in TABLES:
+        (books(spark, root) if name == "books" else load(spark, root, name)).createOrReplaceTempView(f"{prefix}{name}")

@@ -220,3 +220,36 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_bytes(b"later")
     follow(*args).awaitTermination()
     assert sorted(r["titles"][0] for r in spark.read.parquet(str(tmp_path / "table")).where(F.col("file_path").isNotNull()).collect()) == ["A Tale", "b"]
+
+
+def test_archive_helpers(spark, tmp_path):
+    from folioscope.sources.archive_write import listing, pack, without
+
+    inner = pack(".tar.gz", {"d.txt": b"1", "e.txt": b"2"})
+    outer = pack(".zip", {"a.fb2": fb2(), "a.fbd": b"x", "in.tar.gz": inner})
+    assert pack(".zip", {"a": b"1"}) == pack(".zip", {"a": b"1"})
+    assert [x.path for x in archives.entries(".zip", without(".zip", outer, ["a.fb2"]))] == ["in.tar.gz"]
+    less = without(".zip", outer, ["in.tar.gz", "d.txt"])
+    assert ingest.book_bytes(less, "x.zip", ["in.tar.gz", "e.txt"]) == b"2"
+    assert without(".tar.gz", pack(".tar.gz", {"d": b"1"}), ["d"]) is None
+    with pytest.raises(FileNotFoundError):
+        without(".zip", outer, ["none"])
+    (tmp_path / "x.zip").write_bytes(outer)
+    assert sorted(r["entry"] for r in listing(ingest.crawl(spark, str(tmp_path))).collect()) == ["a.fb2", "a.fbd", "in.tar.gz"]
+
+
+def test_control(spark, tmp_path):
+    from folioscope.operators import control
+    from folioscope.sources import store
+
+    assert control.run_stoppable(spark, "t", lambda: spark.range(3).collect()) != []
+
+    @control.plugin("evens")
+    def evens(df):
+        return control.matching(df, F.col("id") % 2 == 0)
+
+    assert control.apply("evens", spark.range(5)).count() == 3 and control.without(spark.range(5), F.col("id") > 2).count() == 3
+    with pytest.raises(ValueError, match="already"):
+        control.plugin("evens")(evens)
+    store.create_views(spark, str(tmp_path / "none"), "v_")
+    assert spark.sql("SELECT count(*) AS n FROM v_books").first()["n"] == 0
