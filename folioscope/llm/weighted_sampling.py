@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import parallelism
@@ -190,6 +191,17 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over, "doc_id long, fingerprint string")
 
 
+def _place(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below a value: first among every k-th, then among the k from there, with k the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    k = math.isqrt(len(bounds) - 1) + 1
+    below = lambda some: F.size(F.filter(some, lambda b: b < value))
+    every, coarse = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[::k]))
+    block = F.greatest(below(coarse) - 1, F.lit(0)) * k
+    return block + below(F.slice(every, block + 1, F.lit(k)))
+
+
 def _dealt(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) in ranges of ids, a task each, in descending order, with the first row of the next range at the end (``extra``).
 
@@ -198,9 +210,8 @@ def _dealt(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = parallelism(spark)
     ids = docs.select("doc_id").where("doc_id is not null")
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)))
-    spot = F.size(F.filter(F.array(*map(F.lit, map(int, bounds))), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    spot = F.coalesce(spot.cast("int"), F.lit(0))  # null ids come last, so in the lowest range
+    bounds = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], max(1e-5, 0.1 / n))))
+    spot = F.coalesce(_place(F.col("doc_id"), list(map(int, bounds))).cast("int"), F.lit(0))  # null ids come last, so in the lowest range
     tops = sorted((r["spot"], r["top"]) for r in docs.groupBy(spot.alias("spot")).agg(F.max("doc_id").alias("top")).collect())
     if not tops:
         return docs.select("doc_id", "text", F.lit(0).alias("spot"), F.lit(False).alias("extra"))
@@ -230,18 +241,21 @@ def with_edits(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield [batch.column(i)[k].as_py() for i in range(4)]
 
     def over(batches):
-        held, out = None, []
+        held, first, out = None, None, []
         # Rows of a range, then its extra row, of which there is one (or, for repeated ids, the first counts).
         for doc_id, text, spot, extra in rows(batches):
             own = Drawn(text, width)
-            if held is not None and held[2] == spot:
-                out.append(result(held, own))
+            if held is not None:
+                # Only a table of nothing but null ids has a range without a row after its last: its first row is that.
+                out.append(result(held, own if held[2] == spot else first))
+            if first is None or held is None or held[2] != spot:
+                first = own
             held = None if extra else (doc_id, own, spot)
             if len(out) >= 2000:
                 yield packed(out)
                 out = []
         if held is not None:
-            raise ValueError("a range of documents has no row after its last")
+            out.append(result(held, first))
         yield packed(out)
 
     def result(held, other):

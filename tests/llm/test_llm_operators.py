@@ -289,6 +289,15 @@ def test_weighted_sampling_of_few_rows(spark):
     assert one[0]["near_next"] == 1.0
     same = weighted_sampling.with_edits(docs_of(spark, ["a", "b", None, ""]).withColumn("doc_id", F.lit(3).cast("long"))).collect()
     assert len(same) == 4
+    nulls = weighted_sampling.with_edits(docs_of(spark, ["b", "a", "a"]).withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert sorted(r["near_next"] for r in nulls) == [0.0, 0.0, 1.0]
+
+
+def test_places_among_bounds(spark):
+    bounds = sorted(random.Random(1).sample(range(1000), 37))
+    for some in (bounds, bounds[:1], bounds[:2], []):
+        got = spark.range(-3, 1003).select("id", weighted_sampling._place(F.col("id"), some).alias("p")).collect()
+        assert all(r["p"] == sum(b < r["id"] for b in some) for r in got)
 
 
 # 7, 9 ------------------------------------------------------------------------------------------------------------------
