@@ -103,7 +103,7 @@ def deletions(texts: DataFrame, rare: int = RARE) -> DataFrame:
     # Dealt anew, so that the join itself is free to split the rows of a very frequent line over tasks.
     few = shared.where(F.col("n") <= rare).repartition("line").groupBy("line").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     few = few.select(F.explode(F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a as first, b as doc_id))))")).alias("p")).select("p.first", "p.doc_id")
-    pairs = frequent.union(few).groupBy("first", "doc_id").agg(F.count("*").alias("shared_lines"))
+    pairs = frequent.union(few).where("first < doc_id").groupBy("first", "doc_id").agg(F.count("*").alias("shared_lines"))
     early = texts.select(F.col("doc_id").alias("first"), F.col("lines").alias("early"))
     late = texts.select("doc_id", "h", F.col("lines").alias("late"))
     both = pairs.join(early, "first").select("doc_id", "early").join(late, "doc_id").select("h", "early", "late")
@@ -129,7 +129,7 @@ def deduplicated(docs: DataFrame, rare: int = RARE) -> DataFrame:
     A line goes if it is in an aligned common block with an earlier document and that block holds a line of LINE_WORDS words.
     Of exact copies all but the first lose every line; a copy of a text whose lines partly go anyway too. Null texts stay null
     and take no part; empty texts stay. A repeated row (same id and text) is a copy of the first of them only if ids differ;
-    with the same id it is treated as the first is. Rows of a null id keep their text. No other column takes part; ``n_lines``
+    with the same id it is treated as the first is. Different texts of one id don't meet. Rows of a null id keep their text. No other column takes part; ``n_lines``
     and ``n_removed`` replace columns of those names. An empty table gives an empty result.
     """
     texts = texts_of(docs)

@@ -425,6 +425,11 @@ def test_line_dedup_against_all_pairs(spark, rare):
     assert all(x["n_lines"] == len(docs[i].split("\n")) for i, x in got.items())
 
 
+def test_line_dedup_of_one_id(spark):
+    df = docs_of(spark, ["a b c d e\nx", "a b c d e\ny"]).withColumn("doc_id", F.lit(1).cast("long"))
+    assert sorted(r["text"] for r in line_dedup.deduplicated(df).collect()) == ["a b c d e\nx", "a b c d e\ny"]
+
+
 def test_patience_blocks():
     assert line_dedup.patience_blocks([1, 2, 3, 4], [1, 2, 9, 4]) == [(0, 0, 2), (3, 3, 1)]
     assert line_dedup.patience_blocks([5, 1, 1, 2], [7, 1, 1, 3]) == []
