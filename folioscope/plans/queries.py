@@ -506,8 +506,11 @@ def activity_windows(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from folioscope.plans import ingest_queries  # noqa: F401  its queries register themselves
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
