@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 RECORD = "record_id string, type string, target_uri string, date string, refers_to string, content_type string, headers map<string,string>, block_digest string, payload_digest string, content_length long, block string"
 FIELDS = [x.split()[0] for x in RECORD.split(", ")]
 VERSION = "WARC/1.1"
+CHUNK = 500
 DATE = "1970-01-01T00:00:00Z"
 
 # Elements whose content is no text, elements that end a line, and where links are.
@@ -143,14 +144,15 @@ def derivatives(responses: DataFrame, key: str | None = None) -> DataFrame:
 
     def over(batches):
         for batch in batches:
-            rows = []
-            for k in range(batch.num_rows):
-                row = {name: batch.column(i)[k].as_py() for i, name in enumerate([*keep, *FIELDS])}
-                row["headers"] = dict(row["headers"] or [])
-                rows += [r | {x: row[x] for x in keep} for r in derive(row)]
             kinds = [*(batch.schema.field(x).type for x in keep), *[pa.map_(pa.string(), pa.string()) if x == "headers" else pa.int64() if x == "content_length" else pa.string() for x in FIELDS], pa.int64()]
-            columns = [pa.array([list(r[n].items()) if n == "headers" else r[n] for r in rows], kind) for n, kind in zip(names, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for a in range(0, max(1, batch.num_rows), CHUNK):  # few pages at a time are Python objects
+                rows = []
+                for k in range(a, min(a + CHUNK, batch.num_rows)):
+                    row = {name: batch.column(i)[k].as_py() for i, name in enumerate([*keep, *FIELDS])}
+                    row["headers"] = dict(row["headers"] or [])
+                    rows += [r | {x: row[x] for x in keep} for r in derive(row)]
+                columns = [pa.array([list(r[n].items()) if n == "headers" else r[n] for r in rows], kind) for n, kind in zip(names, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return chosen.mapInArrow(over, schema)
 
