@@ -90,7 +90,8 @@ def translate_genres(books: DataFrame, genres: DataFrame, lang: str) -> DataFram
     own = genres.where(F.col("lang") == lang).where("translation is not null and translation <> ''").groupBy("code").agg(F.min("translation").alias("translation"))
     if own.limit(DICTIONARY_ROWS + 1).count() <= DICTIONARY_ROWS:
         names = own.agg(F.map_from_entries(F.collect_list(F.struct("code", "translation"))).alias("names"))
-        return books.crossJoin(F.broadcast(names)).withColumn("genre_names", F.transform("genres", lambda g: F.coalesce(F.element_at("names", g), g))).drop("names")
+        own_names = books.withColumn("__names", names.scalar())  # a subquery that runs once
+        return own_names.withColumn("genre_names", F.transform("genres", lambda g: F.coalesce(F.element_at("__names", g), g))).drop("__names")
     row = F.monotonically_increasing_id()
     each = books.withColumn("__row", row).select("*", F.posexplode_outer("genres").alias("__at", "__code"))
     joined = each.join(own, each["__code"] == own["code"], "left")
