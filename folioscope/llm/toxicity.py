@@ -73,13 +73,17 @@ def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, lift:
     n_pos, n_unl = len(pos), len(unl)
     if not n_pos or not n_unl or prior <= 0:
         return Classifier(np.empty(0, np.int64), np.empty(0), -5.0)
-    cp = np.bincount(np.concatenate(pos), minlength=HASHES)
-    cu = np.bincount(np.concatenate(unl), minlength=HASHES) if any(map(len, unl)) else np.zeros(HASHES, np.int64)
+    cp, cu = np.zeros(HASHES, np.int64), np.zeros(HASHES, np.int64)
+    for rows, into in ((pos, cp), (unl, cu)):
+        for r in rows:  # each feature once a document
+            into[r] += 1
     ids = np.flatnonzero((cp >= least) & (cp / n_pos >= lift * (cu + 0.5) / n_unl))
 
     def table(rows):
-        at = [np.searchsorted(ids, r[np.isin(r, ids)]) for r in rows]
-        return np.concatenate(at).astype(np.int64) if at else np.empty(0, np.int64), np.repeat(np.arange(len(rows)), list(map(len, at)))
+        kept = np.full(HASHES, -1, np.int64)
+        kept[ids] = np.arange(len(ids))
+        at = [x[x >= 0] for x in (kept[r] for r in rows)]
+        return np.concatenate(at) if at else np.empty(0, np.int64), np.repeat(np.arange(len(rows)), list(map(len, at)))
 
     (fp, rp), (fu, ru) = table(pos), table(unl)
     w, b = np.zeros(len(ids)), -1.0
@@ -104,20 +108,22 @@ def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, lift:
 
 
 def _gathered(rows: DataFrame) -> list[np.ndarray]:
-    """Feature ids of a bounded sample's texts, in order of doc_id."""
+    """Feature ids of a bounded sample's texts, in order of doc_id; four bytes each on their way and on the driver."""
 
     def over(batches):
         features = Features()
         for batch in batches:
-            found = [sorted(features.of(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "f"])
+            found = [np.array(sorted(features.of(x.as_py())), np.int32).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "f"])
 
-    frame = rows.select("doc_id", "text").mapInArrow(over, "doc_id long, f array<int>").toPandas()
-    frame["k"] = [(i, tuple(f)) for i, f in zip(frame["doc_id"], frame["f"], strict=True)]
-    return [np.array(f, np.int64) for f in frame.sort_values("k")["f"]]
+    table = rows.select("doc_id", "text").mapInArrow(over, "doc_id long, f binary").toArrow().combine_chunks()
+    ids, held = table.column("doc_id"), table.column("f")
+    octets = [memoryview(x.as_buffer()) for x in held]
+    order = sorted(range(len(octets)), key=lambda k: (ids[k].as_py(), bytes(octets[k][:64])))
+    return [np.frombuffer(octets[k], np.int32) for k in order]
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 9000) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 7000) -> Classifier:
     """A classifier from ``labels`` (doc_id, toxic) with toxic = 1 as confirmed examples and texts of ``docs`` as unlabelled ones.
 
     Both samples are bounded by the parameters (about; they are chosen by a hash of doc_id), as the driver holds their
