@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import tidied
+
 Q = 8
 #: Edits a match may have, as a share of the benchmark text's characters.
 EDIT_RATE = 0.1
@@ -235,19 +237,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), *map(pa.array, rest, kinds)], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        out = out.unionByName(texts.mapInArrow(over, HITS))
+        out = out.unionByName(texts.mapInArrow(tidied(over), HITS))
     return out
 
 
 def _holds(block, q: int, rate: float):
     """A column function: whether a text holds one of a block's texts. The index is built once a task."""
-    built: list[Index] = []
-
-    @F.pandas_udf("boolean")
-    def leaks(texts: pd.Series) -> pd.Series:
-        if not built:
-            built.append(Index.of(block.value, q, rate))
-        return pd.Series([bool(matches(built[0], normalised(x), q)) for x in texts], dtype="bool")
+    @F.arrow_udf("boolean")
+    def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def over(every):
+            index = Index.of(block.value, q, rate)
+            for texts in every:
+                yield pa.array((bool(matches(index, normalised(x.as_py()), q)) for x in texts), pa.bool_())
+
+        yield from tidied(over)(batches)
 
     return leaks
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import hash_below
+from folioscope.llm.common import hash_below, tidied
 
 GRAM = 3
 DIMENSIONS = 512
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, max_per_language: int = 1500, dimensions: int = DIMEN
         rows = sorted(frame["v"].tolist(), key=lambda v: tuple(v))
         return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "v": [np.sum(rows, axis=0).round(6)]})
 
-    sums = known.where(rate).select("lang", part.alias("part"), "text").mapInArrow(over, "lang string, part int, v array<double>")
+    sums = known.where(rate).select("lang", part.alias("part"), "text").mapInArrow(tidied(over), "lang string, part int, v array<double>")
     sums = sums.groupBy("lang", "part").applyInPandas(added, "lang string, v array<double>")
     total: dict[str, np.ndarray] = {}
     for r in sorted(sums.collect(), key=lambda r: (r["lang"], tuple(r["v"]))):
@@ -161,4 +161,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
             found = [one(space, x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(over), "doc_id long, lang_pred string, score double")

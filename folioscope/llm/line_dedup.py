@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, tidied
 
 #: Words a line must have to bring documents together, and a block must hold such a line to go.
 LINE_WORDS = 5
@@ -119,7 +119,7 @@ def deletions(texts: DataFrame, rare: int = RARE) -> DataFrame:
                     gone.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(gone, pa.list_(pa.int32()))], names=["h", "gone"])
 
-    found = both.mapInArrow(over, "h string, gone array<int>")
+    found = both.mapInArrow(tidied(over), "h string, gone array<int>")
     return found.groupBy("h").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import tokenizer_path
+from folioscope.llm.common import tidied, tokenizer_path
 
 SPACE = "▁"
 # Fixed values of the public model format: kinds of piece, kind of model.
@@ -341,4 +341,4 @@ def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True,
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "matches_library", *["ids", "decoded"] * keep_text]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, matches_library boolean" + ", ids array<int>, decoded string" * keep_text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(over), schema)

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import cut, tidied
 from folioscope.llm.graph import components
 
 SEED = 42
@@ -48,7 +49,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(x.as_py(), width) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(over), "doc_id long, fp long")
 
 
 def ring_budgets(segments: int, most: int) -> list[int]:
@@ -108,8 +109,6 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     one). Null, empty and wordless texts have fingerprint zero and link like any other. Repeated rows stay, with one result
     each; a null doc_id is kept but names no component. Other columns are ignored. An empty table gives an empty result.
     """
-    from folioscope.llm.common import cut
-
     fps = cut(fingerprints(docs, width))
     values = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = cut(links(values.select("fp")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import tokenizer_path
+from folioscope.llm.common import tidied, tokenizer_path
 
 #: White space that every stage of the supported vocabularies drops, and so a boundary that no token crosses.
 CUTS = re.compile(r"[ \t\r\n]+")
@@ -129,4 +129,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, wi
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(over), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import hash_below
+from folioscope.llm.common import hash_below, tidied
 
 WORD = re.compile(r"\w+")
 HASHES = 1 << 18
 PREFIXES = (3, 4, 5, 6)
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 
 
 def word_features(word: str) -> list[int]:
@@ -116,10 +116,10 @@ def _gathered(rows: DataFrame) -> list[np.ndarray]:
             found = [np.array(sorted(features.of(x.as_py())), np.int32).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "f"])
 
-    table = rows.select("doc_id", "text").mapInArrow(over, "doc_id long, f binary").toArrow().combine_chunks()
+    table = rows.select("doc_id", "text").mapInArrow(tidied(over), "doc_id long, f binary").toArrow().combine_chunks()
     ids, held = table.column("doc_id"), table.column("f")
     octets = [memoryview(x.as_buffer()) for x in held]
-    order = sorted(range(len(octets)), key=lambda k: (ids[k].as_py(), bytes(octets[k][:64])))
+    order = sorted(range(len(octets)), key=lambda k: (ids[k].as_py() is None, ids[k].as_py() or 0, bytes(octets[k][:64])))
     return [np.frombuffer(octets[k], np.int32) for k in order]
 
 
@@ -144,10 +144,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
 def scorer(model: Classifier):
     """A column function from texts to scores."""
 
-    @F.pandas_udf("double")
-    def score(batches: pd.Series) -> pd.Series:
-        features = Features(model.ids)
-        return pd.Series([model.score(features, x) for x in batches], dtype="float64")
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def over(every):
+            features = Features(model.ids)
+            for texts in every:
+                yield pa.array((model.score(features, x.as_py()) for x in texts), pa.float64())
+
+        yield from tidied(over)(batches)
 
     return score
 
@@ -165,4 +169,4 @@ def predict(docs: DataFrame, model: Classifier) -> DataFrame:
             scores = [model.score(features, x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(over), "doc_id long, score double, predicted int")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import tidied
+
 RECORD = "record_id string, type string, target_uri string, date string, refers_to string, content_type string, headers map<string,string>, block_digest string, payload_digest string, content_length long, block string"
 FIELDS = [x.split()[0] for x in RECORD.split(", ")]
 VERSION = "WARC/1.1"
@@ -154,7 +156,7 @@ def derivatives(responses: DataFrame, key: str | None = None) -> DataFrame:
                 columns = [pa.array([list(r[n].items()) if n == "headers" else r[n] for r in rows], kind) for n, kind in zip(names, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return chosen.mapInArrow(over, schema)
+    return chosen.mapInArrow(tidied(over), schema)
 
 
 def responses_of(pages: DataFrame) -> DataFrame:
@@ -230,4 +232,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.map_(pa.string(), pa.string()) if n == "headers" else pa.int64() if n == "content_length" else pa.string() for n in FIELDS]
                 yield pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "headers" else r[n] for r in rows], k) for n, k in zip(FIELDS, kinds, strict=True)], names=FIELDS)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(over, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(tidied(over), RECORD)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import parallelism
+from folioscope.llm.common import parallelism, tidied
 
 SAMPLES = 64
 #: Words in a term. Terms are weighted by how often they occur.
@@ -188,7 +188,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hexed(fingerprint(x.as_py(), width)) for x in batch.column(1)], pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(over), "doc_id long, fingerprint string")
 
 
 def _place(value: Column, bounds: list[int]) -> Column:
@@ -273,4 +273,4 @@ def with_edits(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return dealt.mapInArrow(over, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidied(over), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
