@@ -233,7 +233,7 @@ def with_edits(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = parallelism(docs.sparkSession)
     order = ["spot", F.col("extra"), F.col("doc_id").desc_nulls_last(), "text"]
-    dealt = _dealt(texts).repartition(n, "spot").sortWithinPartitions(*order)
+    dealt = _dealt(texts).repartitionById(n, "spot").sortWithinPartitions(*order)
 
     def rows(batches):
         for batch in batches:
