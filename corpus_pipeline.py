@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, line_dedup, pieces, simhash, toxicity
+from folioscope.llm import decontaminate, line_dedup, near_text, pieces, toxicity
 from folioscope.llm.common import crc_mod, ensure_checkpoint_dir, read
 
 
@@ -28,8 +28,8 @@ def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates; rows of a null id stay."""
-    found = simhash.near_duplicates(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    """The document of the smallest id of each group that pairs of Jaccard similarity 0.8 or more (five-word shingles) join; rows of a null id stay."""
+    found = near_text.near_copies(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -38,3 +38,29 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 50 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_of_similarity(spark):
+    import random
+
+    from test_llm_operators import docs_of, slow_components
+
+    from folioscope.llm.simhash import shingles
+
+    r, word = random.Random(12), lambda: f"w{r.randrange(900)}"
+    base = [[word() for _ in range(r.randrange(5, 400))] for _ in range(20)]
+    texts = [None, "", " ", "a b", "a  b"]
+    for b in base:
+        for _ in range(8):
+            x = list(b)
+            for _ in range(r.randrange(5)):
+                x[r.randrange(len(x))] = word()
+            texts.append(" ".join(x + [word() for _ in range(r.randrange(12))]))
+    texts += [" ".join([*base[0], *x]) for x in base[1:4]]
+    sets = [set(shingles(x, 5)) for x in texts]
+    ids = list(range(len(texts)))
+    alike = [(a, b) for b in ids for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    far = [(a, b) for a, b in alike if (fingerprint(texts[a]) ^ fingerprint(texts[b])).bit_count() > 3]
+    group = slow_components(ids, alike)
+    kept = {x["doc_id"] for x in corpus_pipeline.one_of_each(spark, docs_of(spark, texts), DATA).collect()}
+    assert len(far) > 20 and kept == {i for i in ids if group[i] == i}
