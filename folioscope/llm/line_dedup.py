@@ -7,6 +7,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscope.llm.common import cut, tidied
 
@@ -104,6 +105,11 @@ def deletions(texts: DataFrame, rare: int = RARE) -> DataFrame:
     few = shared.where(F.col("n") <= rare).repartition("line").groupBy("line").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     few = few.select(F.explode(F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a as first, b as doc_id))))")).alias("p")).select("p.first", "p.doc_id")
     pairs = frequent.union(few).where("first < doc_id").groupBy("first", "doc_id").agg(F.count("*").alias("shared_lines"))
+    return _aligned(texts, pairs)
+
+
+def _aligned(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h, gone): what alignment with ``first`` deletes from ``doc_id``, over all of a text's ``pairs``."""
     early = texts.select(F.col("doc_id").alias("first"), F.col("lines").alias("early"))
     late = texts.select("doc_id", "h", F.col("lines").alias("late"))
     both = pairs.join(early, "first").select("doc_id", "early").join(late, "doc_id").select("h", "early", "late")
@@ -123,9 +129,62 @@ def deletions(texts: DataFrame, rare: int = RARE) -> DataFrame:
     return found.groupBy("h").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def deduplicated(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def _holders(texts: DataFrame) -> DataFrame:
+    """(key, doc_id, place): keys of two or more texts (lines of LINE_WORDS words, pairs of adjacent lines), with the texts that hold them in order of doc_id.
+
+    Of texts that are equal but for runs of lines no other text has, only the first is listed: alignment with any of them
+    deletes the same lines.
+    """
+    at = texts.select("doc_id", F.size("lines").alias("size"), F.posexplode("lines").alias("pos", "line"))
+    known = at.groupBy("line").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("line")
+    form = at.join(known, "line").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("p"), F.first("size").alias("size"))
+    form = form.select("doc_id", F.expr("xxhash64(transform(p, (x, i) -> struct(x.line, x.pos - if(i = 0, -1, p[i - 1].pos) > 1)), p[size(p) - 1].pos < size - 1)").alias("form"))
+    reps = form.groupBy("form").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    runs = F.expr("concat(filter(lines, x -> x & 1 = 1), transform(slice(lines, 2, size(lines)), (x, i) -> xxhash64(lines[i], x)))")
+    keys = texts.join(reps, "doc_id").select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+    return keys.select("key", "doc_id", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")).alias("place"))
+
+
+def _open(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, key): lines of LINE_WORDS words that are left, and pairs of adjacent lines of which one is deleted, by text."""
+    left = F.expr("transform(lines, (x, i) -> struct(x as line, not array_contains(gone, i) as stays))")
+    marked = texts.join(found, "h", "left").select("doc_id", "lines", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")).select("doc_id", left.alias("l"))
+    whole = "transform(filter(l, x -> x.stays and x.line & 1 = 1), x -> x.line)"
+    edges = "filter(transform(slice(l, 2, size(l)), (x, i) -> if(x.stays <> l[i].stays, xxhash64(l[i].line, x.line), null)), x -> x is not null)"
+    return marked.select("doc_id", F.explode(F.expr(f"array_distinct(concat({whole}, {edges}))")).alias("key"))
+
+
+def all_deletions(texts: DataFrame) -> DataFrame:
+    """(h, gone) as ``deletions`` gives it if every pair of texts with a shared line of LINE_WORDS words were aligned.
+
+    Lines that ``deletions`` leaves are followed up. A block that would still delete something holds either such a line that is
+    left, or a deleted line beside one that is left; earlier texts that hold these are aligned in turn, the nearest 1, 3, 7,
+    ... of them, until the line is deleted or its holders are used up.
+    """
+    found, holders = cut(deletions(texts)), cut(_holders(texts))
+    done = None
+    reach = 1
+    while True:
+        # Places below the text's own: those of holders with a smaller doc_id.
+        live = _open(texts, found).alias("o").join(holders.alias("k"), "key").where("k.doc_id < o.doc_id")
+        below = cut(live.groupBy("key", F.col("o.doc_id").alias("doc_id")).agg(F.max("place").alias("top")))
+        asked = below.select("key", "doc_id", F.explode(F.expr(f"sequence(greatest(1, top - {reach - 1}), top)")).alias("place"))
+        pairs = asked.join(holders.withColumnRenamed("doc_id", "first"), ["key", "place"]).select("first", "doc_id").distinct()
+        pairs = cut(pairs if done is None else pairs.join(done, ["first", "doc_id"], "left_anti"))
+        most = below.agg(F.max("top")).first()[0] or 0
+        if not pairs.isEmpty():
+            both = found.union(_aligned(texts, pairs))
+            found = cut(both.groupBy("h").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
+            done = pairs if done is None else done.union(pairs)
+        elif reach >= most:
+            return found
+        reach = 2 * reach + 1
+
+
+def deduplicated(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...), all columns kept, with the duplicate lines gone from later documents' texts, and ``n_removed`` (int) and ``n_lines`` (int) added.
 
+    With ``rare`` given, lines of more texts meet their first text only (see ``deletions``); without, no earlier text is left out.
     A line goes if it is in an aligned common block with an earlier document and that block holds a line of LINE_WORDS words.
     Of exact copies all but the first lose every line; a copy of a text whose lines partly go anyway too. Null texts stay null
     and take no part; empty texts stay. A repeated row (same id and text) is a copy of the first of them only if ids differ;
@@ -133,7 +192,7 @@ def deduplicated(docs: DataFrame, rare: int = RARE) -> DataFrame:
     and ``n_removed`` replace columns of those names. An empty table gives an empty result.
     """
     texts = texts_of(docs)
-    found = deletions(texts, rare).select(F.col("h").alias("__fs_h"), F.col("gone").alias("__fs_gone"))
+    found = (all_deletions(texts) if rare is None else deletions(texts, rare)).select(F.col("h").alias("__fs_h"), F.col("gone").alias("__fs_gone"))
     firsts = texts.where("copies > 1").select(F.col("h").alias("__fs_h"), F.col("doc_id").alias("__fs_first"))
     fate = found.join(firsts, "__fs_h", "full")
     joined = docs.withColumn("__fs_h", text_hash()).join(fate, "__fs_h", "left")

@@ -440,3 +440,12 @@ def test_patience_blocks():
 def test_no_driver_memory_of_rows(spark):
     names = set(queries.queries())
     assert len(names) == 10 and {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_line_dedup_leaves_no_earlier_text_out(spark):
+    r = random.Random(8)
+    pool = [" ".join(r.choice("abcde") for _ in range(r.randrange(3, 9))) for _ in range(25)] + ["", "short"]
+    docs = ["\n".join(r.choice([*pool, f"own {k} {r.random()}"]) for _ in range(r.randrange(1, 9))) for k in range(80)]
+    docs += ["p a s s e\nx\np a s s e", *(f"{k} y\np a s s e\n{k} z" for k in range(6))]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.deduplicated(docs_of(spark, docs)).collect()}
+    assert got == slow_line_dedup(dict(enumerate(docs)), len(docs)) != slow_line_dedup(dict(enumerate(docs)), line_dedup.RARE)
