@@ -16,7 +16,7 @@ from folioscope.functions.text import ddmmyyyy
 from folioscope.schema import BOOKS, DETAILS
 from folioscope.sources import archives, formats
 
-#: Bytes of a file up to which it is read whole; larger ones make no record, but their size is listed.
+#: Bytes of a file up to which it is read whole; a larger one is an error, never left out in silence.
 MAX_FILE_BYTES = 1 << 30
 
 
@@ -90,8 +90,9 @@ def parse(crawled: DataFrame, details: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    small = crawled.where(F.col("file_size") <= MAX_FILE_BYTES)
-    return small.select("file_path", extension(F.col("file_path")).alias("ext"), ddmmyyyy(F.col("modified")).alias("date"), "content").mapInArrow(over, ddl)
+    too_large = F.raise_error(F.concat(F.lit(f"over {MAX_FILE_BYTES} bytes, can't be parsed: "), F.col("file_path"))).cast("binary")
+    content = F.when(F.col("file_size") <= MAX_FILE_BYTES, F.col("content")).otherwise(too_large).alias("content")
+    return crawled.select("file_path", extension(F.col("file_path")).alias("ext"), ddmmyyyy(F.col("modified")).alias("date"), content).mapInArrow(over, ddl)
 
 
 def create(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:

@@ -253,3 +253,13 @@ def test_control(spark, tmp_path):
         control.plugin("evens")(evens)
     store.create_views(spark, str(tmp_path / "none"), "v_")
     assert spark.sql("SELECT count(*) AS n FROM v_books").first()["n"] == 0
+
+
+def test_a_file_over_the_limit_is_an_error(spark, tmp_path, monkeypatch):
+    from folioscope.sources import ingest
+
+    (tmp_path / "a.txt").write_text("some words of a book")
+    assert ingest.create(spark, str(tmp_path))[1].count() == 1
+    monkeypatch.setattr(ingest, "MAX_FILE_BYTES", 10)
+    with pytest.raises(Exception, match="a.txt"):
+        ingest.create(spark, str(tmp_path))[1].collect()
