@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from folioscope.llm.common import tidied, tokenizer_path
 CUTS = re.compile(r"[ \t\r\n]+")
 #: Signs that end a piece after a letter: no token holds both, so the piece's word and its signs count apart.
 SIGNS = ".,;:!?*&%$#|"
+#: Letters past this are not told apart from marks alike by every version of Unicode.
+PLAIN_LETTERS = 0x530
 PLAIN = {r"[\p{L}]+", r"[\p{N}]", r"[\p{N}]+", r"[^\s\p{L}\p{N}]+"}
 BATCH_BYTES = 1 << 18
 CACHE_PIECES = 200_000
@@ -44,18 +45,17 @@ def _library(path: str):
         drops = all(re.fullmatch("'[a-z]+", x) or x in PLAIN for x in kinds)
         marked = any(re.search(r"\s", t["content"]) or t["content"][-1:] in SIGNS or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
         drops &= not marked
-        return (lambda texts: _joined(own, texts) if drops else [len(e) for e in own.encode_batch_fast(texts, add_special_tokens=False)]), drops
+        return (lambda texts: [len(e) for e in own.encode_batch_fast(texts, add_special_tokens=False)]), drops
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=path)
     return (lambda texts: [len(ids) for ids in own.encode(texts, add_bos=False, add_eos=False, num_threads=1)]), False
 
 
-def _joined(own, pieces: list[str]) -> list[int]:
-    """Counts of pieces without plain white space, encoded as one text: each token belongs to the piece in which it starts."""
-    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
-    starts = np.array([a for a, _ in own.encode(" ".join(pieces), add_special_tokens=False).offsets], np.int64)
-    return np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(pieces)).tolist()
+def _ends_in_letter(stem: str) -> bool:
+    """Whether a stem's last code point is a letter, to any library, and stays one letter in lower case (unlike U+0130, which ends in a mark then)."""
+    last = stem[-1:].lower()
+    return len(last) == 1 and last.isalpha() and ord(last) < PLAIN_LETTERS and ord(stem[-1]) < PLAIN_LETTERS
 
 
 def balanced(texts: list[str], most: int = BATCH_BYTES):
@@ -94,7 +94,7 @@ class Counts:
         fresh = [x for x in (set().union(*cut) if cut else ()) if x not in known]
         old = [x for x in fresh if x in older]
         known.update(zip(old, map(older.__getitem__, old), strict=True))
-        stems = [(x, y) for x in fresh if x not in known and (y := x.rstrip(SIGNS)) != x and y[-1:].isalpha()]
+        stems = [(x, y) for x in fresh if x not in known and (y := x.rstrip(SIGNS)) != x and _ends_in_letter(y)]
         new = {p for x, y in stems for p in (y, x[len(y) :])} | set(fresh).difference(old, [x for x, _ in stems])
         self._learn([x for x in new if x not in known])
         known.update([(x, known[y] + known[x[len(y) :]]) for x, y in stems])
