@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.sql()}
+    return {"op2_license_scan": licenses.sql(), "op10_line_dedup": line_dedup.sql()}

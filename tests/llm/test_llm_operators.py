@@ -82,7 +82,7 @@ def test_decontamination_against_all_alignments(spark):
     r = random.Random(3)
     items = [(x["item_id"], decontaminate.normalised(x["text"])) for x in read(spark, DATA, "benchmark").orderBy("item_id").limit(12).collect()]
     fill = [plain(decontaminate.normalised(x))[:150] for x in list(texts(spark).values())[:40]]
-    index = decontaminate.Index.of(items, decontaminate.Q, decontaminate.EDIT_RATE)
+    index = decontaminate.Index(items, decontaminate.Q, decontaminate.EDIT_RATE)
     hits = 0
     for _ in range(60):
         own = list(plain(items[r.randrange(12)][1]))
@@ -95,7 +95,7 @@ def test_decontamination_against_all_alignments(spark):
             else:
                 own.insert(p, r.choice("abc"))
         text = decontaminate.normalised(f"{r.choice(fill)} {''.join(own)} {r.choice(fill)}")
-        got = {m[0]: m for m in decontaminate.matches(index, text, decontaminate.Q)}
+        got = {m[0]: m for m in decontaminate.matches(index, text)}
         for k, (_, pattern) in enumerate(items):
             best = semi_global(plain(pattern), plain(text))
             if best <= int(len(pattern) * decontaminate.EDIT_RATE):
@@ -107,6 +107,57 @@ def test_decontamination_against_all_alignments(spark):
     assert hits > 20
 
 
+def test_decontamination_of_every_length():
+    """Items of 1 to 120 characters with every allowed number of edits, spread evenly, at random or as insertions and deletions: all are found, as brute force finds them."""
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrst"
+    items = [(m, np.array([ord(r.choice(letters)) for _ in range(m)], np.uint32)) for m in range(1, 121)]
+    index = decontaminate.Index(items, decontaminate.Q, decontaminate.EDIT_RATE)
+    for m, item in items:
+        most = int(m * decontaminate.EDIT_RATE)
+        for e in range(most + 1):
+            for how in range(3):
+                own = [chr(c) for c in item]
+                spots = [(k + 1) * m // (e + 1) - (k + 1 == e + 1) for k in range(e)] if how == 0 else sorted(r.sample(range(m), e))
+                for p in reversed(spots):
+                    if how < 2:
+                        own[min(p, m - 1)] = "z"
+                    elif r.random() < 0.5:
+                        del own[p]
+                    else:
+                        own.insert(p, "z")
+                text = "".join(r.choice(letters.upper().lower()[::-1]) for _ in range(30)) + "".join(own) + "".join(r.choice(letters) for _ in range(30))
+                got = {index.ids[k]: (edits, a, b) for k, edits, a, b in decontaminate.matches(index, np.array(list(map(ord, text)), np.uint32))}
+                best = semi_global(plain(item), text)
+                assert best <= e and got[m][0] == best, (m, e, how)
+                assert semi_global(plain(item), text[got[m][1] : got[m][2]]) == best
+
+
+def test_decontamination_of_repeated_letters():
+    """Items of one letter or few, in long texts of the same: found, in bounded memory and time."""
+    import time
+    import tracemalloc
+
+    one, two = np.full(2000, 97, np.uint32), np.array([97, 98] * 300, np.uint32)
+    mixed = np.array(list(map(ord, "the quick brown fox jumps over it " + "a" * 60)), np.uint32)
+    index = decontaminate.Index([(1, one), (2, two), (3, mixed)], 8, 0.1)
+    text = np.full(300_000, 97, np.uint32)
+    began = time.time()
+    tracemalloc.start()
+    assert [m[:2] for m in decontaminate.matches(index, text)] == [(0, 0)]
+    text[::15] = 99
+    got = decontaminate.matches(index, text[:8400])
+    assert [(m[0], m[1]) for m in got] == [(0, 133)]
+    broken = two.copy()
+    broken[::20] = 120
+    assert [(m[0], m[1]) for m in decontaminate.matches(index, np.concatenate([text[:500], broken, text[:500]]))] == [(1, 30)]
+    near = mixed.copy()
+    near[[5, 20, 50, 70]] = 122
+    assert [(m[0], m[1]) for m in decontaminate.matches(index, np.concatenate([text[:500], near, text[:500]]))] == [(2, 4)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20 and time.time() - began < 60
+    tracemalloc.stop()
+
+
 def test_decontamination_finds_all_passages(spark):
     docs, bench = read(spark, DATA, "documents"), read(spark, DATA, "benchmark")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()}
@@ -117,14 +168,17 @@ def test_decontamination_finds_all_passages(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == got
     left = {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()}
     assert left == set(texts(spark)) - {i for i, _ in got}
+    nameless = bench.withColumn("item_id", F.lit(None).cast("long"))
+    assert {r["doc_id"] for r in decontaminate.clean(docs, nameless, block_chars=1000).collect()} == left
+    assert decontaminate.clean(docs, bench.where("false")).count() == docs.count()
 
 
 def test_decontamination_over_windows(spark, monkeypatch):
     item = decontaminate.normalised("the quick brown fox jumps over the lazy dog and runs away into the dark wood")
     text = decontaminate.normalised("filler words here " * 60 + plain(item) + " more filler" * 60)
-    index = decontaminate.Index.of([(1, item)], 8, 0.1)
+    index = decontaminate.Index([(1, item)], 8, 0.1)
     monkeypatch.setattr(decontaminate, "WINDOW", 100)
-    assert [m[1] for m in decontaminate.matches(index, text, 8)] == [0]
+    assert [m[1] for m in decontaminate.matches(index, text)] == [0]
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------------
@@ -355,6 +409,18 @@ def test_token_counts_against_the_library(spark, samples, name, monkeypatch):
     assert [n for k in range(0, len(samples), 50) for n in counts.of(samples[k : k + 50])] == want
 
 
+@pytest.mark.parametrize("sign", ["", *token_counts.SIGNS, ".,", "'s."])
+def test_token_counts_of_every_code_point(sign):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    made = [f"{a}{chr(c)}{sign}" for c in range(0x20000) if not 0xD800 <= c < 0xE000 for a in ("", "a")]
+    made += [x + sign for x in "BELEDİYESİ MİLLİ, BİRLİK DENİZLİ İSTANBUL'A é̈ ΣΑΣ ŉ ẖ ß ﬁn x² a\u0301 Ⅷ <|endoftext|> <|endoftext|".split()]
+    want = [len(e) for e in Tokenizer.from_file(path).encode_batch(made, add_special_tokens=False)]
+    counts = token_counts.Counts(path)
+    assert [n for k in range(0, len(made), 20000) for n in counts.of(made[k : k + 20000])] == want
+
+
 def test_balanced_batches():
     runs = list(token_counts.balanced(["a" * 5, "é" * 4, "b", "c" * 50, "d"], 12))
     assert runs == [["aaaaa"], ["éééé", "b"], ["c" * 50], ["d"]]
@@ -383,46 +449,94 @@ def test_nnpu_without_negatives():
 # 10 --------------------------------------------------------------------------------------------------------------------
 
 
-def slow_line_dedup(docs, rare):
-    """Documents by id to what is left: first texts in order of id, every pair tested for shared lines."""
+def weight(line):
     import re
 
+    return len(line.split()) + len(re.findall("[\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0e7f]", line)) // 2
+
+
+def slow_line_dedup(docs):
+    """Documents by id to what is left: every pair of distinct texts, every maximal common run of lines of at least BLOCK_WORDS words."""
     first = {}
     for i in sorted(docs):
         first.setdefault(docs[i], i)
-    long = lambda x: len(re.findall(r"\S+", x)) >= line_dedup.LINE_WORDS
-    lines = {i: [x.rstrip(" ") for x in t.split("\n")] for t, i in first.items()}
-    held = {}
-    for i in sorted(lines):
-        for x in {x for x in lines[i] if long(x)}:
-            held.setdefault(x, []).append(i)
-    pairs = {(a, b) for ids in held.values() for k, b in enumerate(ids) for a in (ids[:k] if len(ids) <= rare else ids[: min(1, k)])}
-    gone = {}
-    for a, b in pairs:
-        code = {x: k for k, x in enumerate(dict.fromkeys(lines[a] + lines[b]))}
-        for i, j, n in line_dedup.patience_blocks([code[x] for x in lines[a]], [code[x] for x in lines[b]]):
-            assert lines[a][i : i + n] == lines[b][j : j + n]
-            if any(map(long, lines[b][j : j + n])):
-                gone.setdefault(b, set()).update(range(j, j + n))
+    lines = {i: [x.rstrip(" \t\r") for x in t.split("\n")] for t, i in first.items()}
+    gone = {i: set() for i in lines}
+    for b, late in lines.items():
+        for a, early in lines.items():
+            for j in range(len(late)) if a < b else ():
+                for i in range(len(early)):
+                    if late[j] == early[i] and not (i and j and late[j - 1] == early[i - 1]):
+                        n = 0
+                        while i + n < len(early) and j + n < len(late) and early[i + n] == late[j + n]:
+                            n += 1
+                        if sum(map(weight, late[j : j + n])) >= line_dedup.BLOCK_WORDS:
+                            gone[b].update(range(j, j + n))
     out = {}
     for i, t in docs.items():
-        if t and first[t] != i:
-            out[i] = ""
-        else:
-            out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))
+        out[i] = "" if t and first[t] != i else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[first[t]])
     return out
 
 
-@pytest.mark.parametrize("rare", [0, 4, 100])
-def test_line_dedup_against_all_pairs(spark, rare):
-    r = random.Random(rare)
-    pool = [" ".join(r.choice("abcde") for _ in range(r.randrange(3, 9))) for _ in range(60)] + ["", "short", "x y "]
-    docs = ["\n".join(r.choice(pool) for _ in range(r.randrange(1, 9))) for _ in range(60)]
-    docs += [docs[3], docs[3], docs[10] + "\n" + docs[11], "", ""]
-    got = {x["doc_id"]: x for x in line_dedup.deduplicated(docs_of(spark, docs), rare).collect()}
-    want = slow_line_dedup(dict(enumerate(docs)), rare)
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_line_dedup_against_all_pairs(spark, duck, seed):
+    r = random.Random(seed)
+    pool = [" ".join(r.choice("abcde") for _ in range(r.randrange(1, 9))) for _ in range(40)] + ["", "", "short", "x y ", "本日は晴天なり本日も", "本日", "a b c d e\r", "a b c d e"]
+    docs = ["\n".join(r.choice([*pool, f"own {r.random()}"]) for _ in range(r.randrange(1, 12))) for _ in range(90)]
+    docs += [docs[3], docs[3], docs[10] + "\n" + docs[11], "", "", "\n" * 40, "p a s s e\nx\np a s s e", *(f"{k} y\np a s s e\n{k} z" for k in range(6))]
+    docs += ["\n".join(f"{k} v" for k in range(30)), "\n".join(f"{k} v" for k in [*range(20, 30), *range(10)]), "\n".join(f"{k} v" for k in (3, 4, 9, 10, 11, 2))]
+    table = docs_of(spark, docs)
+    got = {x["doc_id"]: x for x in line_dedup.deduplicated(table).collect()}
+    want = slow_line_dedup(dict(enumerate(docs)))
     assert {i: x["text"] for i, x in got.items()} == want
     assert all(x["n_lines"] == len(docs[i].split("\n")) for i, x in got.items())
+    import pandas as pd
+
+    duck.register("some_docs", pd.DataFrame({"doc_id": range(len(docs)), "text": docs}))
+    said = {x[0]: x[1:] for x in duck.execute(line_dedup.sql("some_docs")).fetchall()}
+    assert said == {i: (x["n_lines"], x["n_removed"], hashlib.sha256(x["text"].encode()).hexdigest()) for i, x in got.items()}
+
+
+def test_line_dedup_query(spark, duck):
+    said = duck.execute(queries.oracle_sql()["op10_line_dedup"])
+    names = [x[0] for x in said.description]
+    assert sorted(tuple(r[n] for n in names) for r in queries.op10_line_dedup(spark, DATA).collect()) == sorted(said.fetchall())
+
+
+def test_line_dedup_blocks(spark):
+    docs = ["a b c d e\nf g\nh i j k l\n1 2 3 4 5", "0\n1 2 3 4 5\na b c d e\nf g\nz", "f g\nh i j k l"]
+    blocks = sorted(tuple(b) for r in line_dedup.aligned(line_dedup.texts_of(docs_of(spark, docs))).collect() for b in r["blocks"])
+    assert blocks == [(0, 2, 0, 1, False), (1, 1, 0, 3, True), (2, 2, 0, 0, False)]
+
+
+def test_runs_cover_common_blocks():
+    r = random.Random(5)
+    names = [r.getrandbits(63) for _ in range(4)]
+    for _ in range(300):
+        lines = np.array([r.choice(names) for _ in range(r.randrange(12))], np.int64)
+        words = np.array([r.choice([0, 1, 2, 5]) for _ in lines], np.int32)
+        key, start, n = line_dedup.runs(lines, words)
+        want = set()
+        for a in range(len(lines)):
+            ends = [b for b in range(a, len(lines)) if words[a : b + 1].sum() >= 5]
+            want |= {(a, ends[0] - a + 1)} if ends else set()
+            begins = [b for b in range(a + 1) if words[b : a + 1].sum() >= 5]
+            want |= {(begins[-1], a - begins[-1] + 1)} if begins else set()
+        assert sorted(zip(start.tolist(), n.tolist(), strict=True)) == sorted(want)
+        by = {}
+        for k, a, m in zip(key.tolist(), start, n, strict=True):
+            by.setdefault(k, set()).add(tuple(lines[a : a + m]))
+        assert all(len(x) == 1 for x in by.values()) and len(by) == len({tuple(lines[a : a + m]) for a, m in zip(start, n, strict=True)})
+
+
+def test_line_dedup_of_many_short_lines():
+    import time
+
+    began = time.time()
+    key, start, n = line_dedup.runs(np.zeros(1_000_000, np.int64), np.append(np.zeros(999_999, np.int32), np.int32(9)))
+    assert len(key) == 1_000_000 and time.time() - began < 5
+    found = line_dedup.patience([(j, 0, 5) for j in range(100_000)])
+    assert len(found) == 100_000 and time.time() - began < 10
 
 
 def test_line_dedup_of_one_id(spark):
@@ -430,22 +544,13 @@ def test_line_dedup_of_one_id(spark):
     assert sorted(r["text"] for r in line_dedup.deduplicated(df).collect()) == ["a b c d e\nx", "a b c d e\ny"]
 
 
-def test_patience_blocks():
-    assert line_dedup.patience_blocks([1, 2, 3, 4], [1, 2, 9, 4]) == [(0, 0, 2), (3, 3, 1)]
-    assert line_dedup.patience_blocks([5, 1, 1, 2], [7, 1, 1, 3]) == []
-    assert line_dedup.patience_blocks([1, 5, 1, 2, 6], [7, 5, 1, 8, 2]) == [(1, 1, 2), (3, 4, 1)]
-    assert line_dedup.patience_blocks([], [1]) == []
+def test_patience():
+    assert line_dedup.patience([(0, 0, 2), (1, 1, 2), (3, 5, 1)]) == [(0, 0, 3, False), (3, 5, 1, False)]
+    assert line_dedup.patience([(0, 4, 1), (1, 0, 1), (2, 1, 1)]) == [(0, 4, 1, True), (1, 0, 2, False)]
+    assert line_dedup.patience([(0, 0, 1), (2, 0, 1)]) == [(0, 0, 1, True), (2, 0, 1, False)]
+    assert line_dedup.patience([]) == []
 
 
-def test_no_driver_memory_of_rows(spark):
+def test_names_of_queries():
     names = set(queries.queries())
     assert len(names) == 10 and {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
-
-
-def test_line_dedup_leaves_no_earlier_text_out(spark):
-    r = random.Random(8)
-    pool = [" ".join(r.choice("abcde") for _ in range(r.randrange(3, 9))) for _ in range(25)] + ["", "short"]
-    docs = ["\n".join(r.choice([*pool, f"own {k} {r.random()}"]) for _ in range(r.randrange(1, 9))) for k in range(80)]
-    docs += ["p a s s e\nx\np a s s e", *(f"{k} y\np a s s e\n{k} z" for k in range(6))]
-    got = {x["doc_id"]: x["text"] for x in line_dedup.deduplicated(docs_of(spark, docs)).collect()}
-    assert got == slow_line_dedup(dict(enumerate(docs)), len(docs)) != slow_line_dedup(dict(enumerate(docs)), line_dedup.RARE)
