@@ -17,39 +17,47 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences, rules and licences of every document."""
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by prototypes learned from the documents of the training folds."""
     docs = read(spark, sf_dir, "documents")
     prototypes = language.learn(docs.where(crc_mod("doc_id", 3) != 1))
     return language.predict(docs, prototypes).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived records of every page: two rows a page, the block with its digests."""
-    return warc.derivatives(warc.responses_of(read(spark, sf_dir, "pages")), key="page_id").drop("headers")
+    """The derived records of every page: two rows a page, the block with its digests; headers as JSON, sorted by name."""
+    records = warc.derivatives(warc.responses_of(read(spark, sf_dir, "pages")), key="page_id")
+    return records.withColumn("headers", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers")))))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, at 3 or fewer differing bits."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3)
 
 
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
     return weighted_sampling.with_edits(read(spark, sf_dir, "documents"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
     return pieces.encode_decode(read(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a classifier learned outside the held-out fold."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.learn(docs.where(crc_mod("doc_id", 5) != 0), labels.where(crc_mod("doc_id", 5) != 0))
     return toxicity.predict(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
-import io
 import json
 import re
 import uuid
-import zlib
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,9 @@ SILENT = ("script", "style", "noscript", "template", "svg", "iframe")
 LINES = "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul body head html".split()
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action", "source": "src", "video": "src", "audio": "src"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+_STOP = re.compile("[>\"']")
+_NUMBER = re.compile(r"&#([0-9]{8,});?")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in (*SILENT, "title", "textarea")}
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
@@ -45,31 +46,76 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
+def _plain(text: str) -> str:
+    """Entities decoded; a number of more digits than any code point has is none."""
+    if "&#" in text:
+        text = _NUMBER.sub(lambda m: f"&#{n};" if len(n := m[1].lstrip("0")) < 8 else "\ufffd", text)
+    return html.unescape(text)
+
+
+def tags(text: str):
+    """(start, end, name, closing, attributes) of the tags of a page, comments and declarations with an empty name, in one pass.
+
+    A quoted ``>`` ends no tag; where that leaves a tag without an end, quotes count no more from there on. A ``<`` without
+    any ``>`` after it is text. The caller may send the place from which to go on.
+    """
+    at, quoted, last = 0, True, text.rfind(">")
+    held = {q: text.rfind(q) for q in "\"'"}
+    while (a := text.find("<", at)) >= 0:
+        if text.startswith("<!--", a):
+            end = text.find("-->", a + 4)
+            end = end + 3 if end >= 0 else len(text)
+            at = (yield a, end, "", False, "") or end
+            continue
+        if a > last:
+            return
+        if text.startswith(("<!", "<?"), a):
+            end = text.find(">", a) + 1
+            at = (yield a, end, "", False, "") or end
+            continue
+        m = _NAME.match(text, a)
+        if not m:
+            at = a + 1
+            continue
+        end = m.end()
+        while quoted:
+            stop = _STOP.search(text, end)
+            if not stop:
+                quoted = False
+                break
+            end = stop.end()
+            if stop[0] == ">":
+                break
+            if held[stop[0]] >= end:
+                end = text.find(stop[0], end) + 1
+        if not quoted:
+            end = text.find(">", m.end()) + 1
+        at = (yield a, end, m[1].lower(), text[a + 1] == "/", text[m.end() : end - 1]) or end
+
+
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(text):
         value = value[1:-1] if value[:1] in ('"', "'") else value
-        out.setdefault(name.lower(), html.unescape(value))
+        out.setdefault(name.lower(), _plain(value))
     return out
 
 
 def parse_html(text: str) -> dict:
     """title, language, links [(element, attribute, value)], metas [(name, content)] and plain text of a page, in one pass, however badly formed."""
     out, links, metas, title, language, at = [], [], [], None, None, 0
+    found, go_on = tags(text), None
     while True:
-        m = _TOKEN.search(text, at)
-        out.append(html.unescape(text[at : m.start() if m else len(text)]).replace("\n", " "))
-        if not m:
+        try:
+            start, end, name, closing, rest = found.send(go_on)
+        except StopIteration:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
+        out.append(_plain(text[at:start]).replace("\n", " "))
+        at, go_on = end, None
         if name in LINES:
             out.append("\n")
-        if m[1]:
+        if closing or not name:
             continue
-        rest = m[3]
         if name in LINKS and (value := _attributes(rest).get(LINKS[name])) is not None:
             links.append((name, LINKS[name], value.strip()))
         elif name == "meta" and (own := _attributes(rest)) and "content" in own and ("name" in own or "property" in own):
@@ -77,20 +123,26 @@ def parse_html(text: str) -> dict:
         elif name == "html" and language is None:
             language = _attributes(rest).get("lang")
         if name in _ENDS and not rest.endswith("/"):
-            end = _ENDS[name].search(text, at)
-            stop = end.start() if end else len(text)
+            over = _ENDS[name].search(text, at)
+            stop = over.start() if over else len(text)
             if name == "title":
-                title = title if title is not None else _BLANKS.sub(" ", html.unescape(text[at:stop]).replace("\n", " ")).strip()
-                out += [html.unescape(text[at:stop]).replace("\n", " "), "\n"]
+                title = title if title is not None else _BLANKS.sub(" ", _plain(text[at:stop]).replace("\n", " ")).strip()
+                out += [_plain(text[at:stop]).replace("\n", " "), "\n"]
             elif name == "textarea":
-                out.append(html.unescape(text[at:stop]))
-            at = end.end() if end else len(text)
+                out.append(_plain(text[at:stop]))
+            at = go_on = over.end() if over else len(text)
+    out.append(_plain(text[at:]).replace("\n", " "))
     plain = _LINE_ENDS.sub("\n", _BLANKS.sub(" ", "".join(out))).strip()
     return {"title": title, "language": language, "links": links, "metas": metas, "text": plain}
 
 
+def _count(digits: str) -> int | None:
+    """A number written in ASCII digits, up to 18 of them; None for anything else."""
+    return int(digits) if re.fullmatch("[0-9]{1,18}", digits) else None
+
+
 def split_http(block: str) -> tuple[int | None, dict[str, str], str]:
-    """Status, headers (names lower-case; repeated ones joined) and body of an HTTP response; a block without a status line is all body."""
+    """Status (None unless in ASCII digits), headers (names lower-case; repeated ones joined) and body of an HTTP response; a block without a status line is all body."""
     if not block.startswith("HTTP/"):
         return None, {}, block
     head, _, body = block.partition("\r\n\r\n")
@@ -102,7 +154,7 @@ def split_http(block: str) -> tuple[int | None, dict[str, str], str]:
         if colon:
             name = name.strip().lower()
             headers[name] = f"{headers[name]}, {value.strip()}" if name in headers else value.strip()
-    return int(status) if status.isdigit() else None, headers, body
+    return _count(status), headers, body
 
 
 def derive(response: dict) -> list[dict]:
@@ -160,7 +212,10 @@ def derivatives(responses: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def responses_of(pages: DataFrame) -> DataFrame:
-    """Response records (page_id and RECORD) for rows of ``pages`` (page_id, url, html): an HTTP head with the body's type and length, digests by Spark."""
+    """Response records (page_id and RECORD) for rows of ``pages`` (page_id, url, html): an HTTP head with the body's type and length, a header with the page's id, SHA-256 digests by Spark.
+
+    Null markup is an empty body, a null address or id stays null (the header is empty then). Repeated rows give equal records.
+    """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     octets = F.octet_length(body).cast("string")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), octets, F.lit("\r\n\r\n"))
@@ -168,10 +223,11 @@ def responses_of(pages: DataFrame) -> DataFrame:
     name = F.md5(F.concat_ws("\0", page, F.coalesce("url", F.lit(""))))
     urn = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(name, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
     block = F.concat(head, body)
+    sha256 = lambda x: F.concat(F.lit("sha256:"), F.sha2(x, 256))
     return pages.select(
         "page_id", urn.alias("record_id"), F.lit("response").alias("type"), F.col("url").cast("string").alias("target_uri"), F.lit(DATE).alias("date"),
-        F.lit(None).cast("string").alias("refers_to"), F.lit("application/http; msgtype=response").alias("content_type"), F.create_map().cast("map<string,string>").alias("headers"),
-        F.lit(None).cast("string").alias("block_digest"), F.lit(None).cast("string").alias("payload_digest"), F.octet_length(block).cast("long").alias("content_length"), block.alias("block"),
+        F.lit(None).cast("string").alias("refers_to"), F.lit("application/http; msgtype=response").alias("content_type"), F.create_map(F.lit("WARC-X-Page-ID"), page).alias("headers"),
+        sha256(block).alias("block_digest"), sha256(body).alias("payload_digest"), F.octet_length(block).cast("long").alias("content_length"), block.alias("block"),
     )
 
 
@@ -190,46 +246,61 @@ def write(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     serialised(records).write.mode(mode).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def parse_file(content: bytes):
-    """Records of a WARC file's bytes, gzipped (whole or by record) or plain; a broken end gives what is whole before it."""
-    if content[:2] == b"\x1f\x8b":
-        plain, left = io.BytesIO(), content
-        while left[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            plain.write(d.decompress(left))
-            left = d.unused_data
-        content = plain.getvalue()
-    at = 0
-    while (at := content.find(b"WARC/", at)) >= 0:
-        head_end = content.find(b"\r\n\r\n", at)
-        if head_end < 0:
-            return
-        head: dict[str, str] = {}
-        for x in content[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = x.partition(":")
-            head[name.strip().lower()] = value.strip()
-        size = head.get("content-length", "")
-        start = head_end + 4
-        if not size.isdigit() or start + int(size) > len(content):
-            return
-        block = content[start : start + int(size)]
-        at = start + int(size)
-        known = {"warc-record-id", "warc-type", "warc-target-uri", "warc-date", "warc-refers-to", "content-type", "warc-block-digest", "warc-payload-digest", "content-length"}
+KNOWN = {"warc-record-id", "warc-type", "warc-target-uri", "warc-date", "warc-refers-to", "content-type", "warc-block-digest", "warc-payload-digest", "content-length"}
+SEPARATOR = "\r\n\r\nWARC/"
+
+
+def parse_head(head: bytes) -> dict[str, str]:
+    """The header lines of a record, names lower-case; the first line is the version."""
+    out: dict[str, str] = {}
+    for x in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = x.partition(":")
+        out[name.strip().lower()] = value.strip()
+    return out
+
+
+def parse(pieces):
+    """Records of (file, piece) rows: what lies between separators, in order.
+
+    A piece that is shorter than its record's Content-Length goes on with the next one of its file, as the separator was
+    part of the block. What a file's broken end leaves, and pieces without a length, give nothing.
+    """
+    name, held, size, start, got, head = None, [], None, 0, 0, {}
+    for file, piece in pieces:
+        if size is not None and file == name:
+            held += [SEPARATOR.encode(), piece]
+            got += len(SEPARATOR) + len(piece)
+        else:
+            name, held, got = file, [piece], len(piece)
+            end = piece.find(b"\r\n\r\n")
+            end = end if end >= 0 else len(piece)  # the block itself begins like a record: the separator ended the head
+            start, head = end + 4, parse_head(piece[:end])
+            size = _count(head.get("content-length", ""))
+        if size is None or got - start < size:
+            continue
+        block = b"".join(held)[start : start + size]
+        size = None
         yield {
             "record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "refers_to": head.get("warc-refers-to"),
-            "content_type": head.get("content-type"), "headers": {k: v for k, v in head.items() if k not in known}, "block_digest": head.get("warc-block-digest"),
+            "content_type": head.get("content-type"), "headers": {k: v for k, v in head.items() if k not in KNOWN}, "block_digest": head.get("warc-block-digest"),
             "payload_digest": head.get("warc-payload-digest"), "content_length": len(block), "block": block.decode("utf-8", "replace"),
         }
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records (RECORD) of the WARC files under ``path``, a task reading whole files through Spark's own file access."""
+    """Records (RECORD) of the WARC files under ``path``, gzipped (whole or by record; names end in .gz) or plain.
 
-    def over(batches):
-        for batch in batches:
-            for x in batch.column(0):
-                rows = list(parse_file(x.as_py() or b""))
-                kinds = [pa.map_(pa.string(), pa.string()) if n == "headers" else pa.int64() if n == "content_length" else pa.string() for n in FIELDS]
-                yield pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "headers" else r[n] for r in rows], k) for n, k in zip(FIELDS, kinds, strict=True)], names=FIELDS)
+    Spark's own text reader streams and inflates each file and cuts it at record separators, so a task holds a batch of
+    records, never a file. A broken end gives what is whole before it; an empty folder an empty result. Not read: a record
+    of a plain file whose block holds the separator itself just where Spark splits the file between two tasks.
+    """
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(tidied(over), RECORD)
+    def over(batches):
+        kinds = [pa.map_(pa.string(), pa.string()) if n == "headers" else pa.int64() if n == "content_length" else pa.string() for n in FIELDS]
+        records = parse((batch.column(1)[k].as_py(), batch.column(0)[k].as_py()) for batch in batches for k in range(batch.num_rows))
+        while rows := list(islice(records, CHUNK)):
+            yield pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "headers" else r[n] for r in rows], k) for n, k in zip(FIELDS, kinds, strict=True)], names=FIELDS)
+
+    lines = spark.read.option("lineSep", SEPARATOR).option("recursiveFileLookup", "true").text(path)
+    whole = lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
+    return whole.mapInArrow(tidied(over), RECORD)

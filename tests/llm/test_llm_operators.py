@@ -237,14 +237,106 @@ def test_warc_derivatives_and_files(spark, tmp_path):
     assert '["a","href","/x?a=1&b=2"]' in rows[1]["block"] and '"Title":"T & x"' in rows[1]["block"]
     assert rows[0]["headers"]["WARC-Concurrent-To"] == rows[1]["record_id"] and rows[0]["headers"]["WARC-Identified-Content-Language"] == "en"
     assert all(r["block_digest"] == warc.digest(r["block"].encode()) and r["content_length"] == len(r["block"].encode()) for r in rows)
-    assert rows[0]["payload_digest"] == warc.digest(html.encode())
+    assert rows[0]["payload_digest"] == "sha256:" + hashlib.sha256(html.encode()).hexdigest() and '"WARC-X-Page-ID":"1"' in rows[1]["block"]
+    undigested = warc.derivatives(responses.withColumn("payload_digest", F.lit(None).cast("string")), key="page_id").orderBy("page_id", "type").collect()
+    assert undigested[0]["payload_digest"] == warc.digest(html.encode())
     warc.write(responses.drop("page_id"), str(tmp_path / "w"))
     back = warc.read(spark, str(tmp_path / "w"))
-    key = lambda df: sorted((r["record_id"], r["type"], r["target_uri"] or "", r["block"], r["content_length"]) for r in df.collect())
+    key = lambda df: sorted((r["record_id"], r["type"], r["target_uri"] or "", r["block"], r["content_length"], r["payload_digest"]) for r in df.collect())
     assert key(back) == key(responses)
     again = warc.derivatives(back)
     assert sorted(r["record_id"] for r in again.collect()) == sorted(r["record_id"] for r in rows)
-    assert list(warc.parse_file(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")) == []
+
+
+def record_of(block: bytes, **head):
+    lines = [f"{k.replace('_', '-')}: {v}" for k, v in {"WARC_Type": "response", "Content_Length": len(block), **head}.items()]
+    return "\r\n".join(["WARC/1.0", *lines, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    inner = record_of(b"HTTP/1.1 200 OK\r\n\r\n<p>inner</p>") * 2
+    blocks = [b"", b"", "é <b>x</b>".encode(), b"\xff\xfe raw", inner, b"\r\n\r\n", b"last"]
+    records = [record_of(x, WARC_Record_ID=f"<urn:x:{k}>") for k, x in enumerate(blocks)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "a" / "by_record.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "a" / "whole.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "a" / "broken.warc").write_bytes(b"".join(records[:3]) + records[3][:-9])
+    (tmp_path / "a" / "noise.warc").write_bytes(b"no record\r\n\r\nWARC/1.0\r\nContent-Length: \xc2\xb2\r\n\r\nx\r\n\r\n" + records[6])
+    (tmp_path / "a" / "empty.warc").write_bytes(b"")
+    got = sorted((r["record_id"], r["block"]) for r in warc.read(spark, str(tmp_path / "a")).collect())
+    whole = [(f"<urn:x:{k}>", x.decode("utf-8", "replace")) for k, x in enumerate(blocks)]
+    assert got == sorted(whole * 3 + whole[:3] + whole[6:])
+
+
+def test_warc_odd_rows(spark):
+    rows = [(1, "u", "<p>a", "x"), (None, None, None, None), (1, "u", "<p>a", "x"), (2, "", "", "x"), (3, "v", "\x00<" * 50, None), (4, "w", "&#" + "9" * 5000 + ";&#65;&#x110000;", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, block string")
+    for c in ("record_id", "type", "headers", "n_links", "key", "date"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    got = warc.derivatives(warc.responses_of(pages), key="page_id").collect()
+    assert len(got) == 12 and {r["block"] for r in got if r["page_id"] == 4 and r["type"] == "conversion"} == {"\ufffdA\ufffd"}
+    assert len({r["record_id"] for r in got}) == 10
+    assert warc.derivatives(warc.responses_of(pages.where("false")), key="page_id").count() == 0
+    odd = [("HTTP/1.1 \u00b2 OK\r\n\r\nbody", None), ("HTTP/1.1 200", None), (None, None), ("HTTP/", {"a": "b"}), ("HTTP/1.1 404 no\r\nA: 1\r\na: 2\r\nnocolon\r\n\r\n", None)]
+    assert [warc.split_http(x or "") for x, _ in odd] == [(None, {}, "body"), (200, {}, ""), (None, {}, ""), (None, {}, ""), (404, {"a": "1, 2"}, "")]
+    source = spark.createDataFrame([(None, t, None, None, b, h) for (b, h), t in zip(odd, ["response", None, "response", "request", "response"], strict=True)], "record_id string, type string, target_uri string, date string, block string, headers map<string,string>")
+    for c, kind in (("refers_to", "string"), ("content_type", "string"), ("block_digest", "string"), ("payload_digest", "string"), ("content_length", "long")):
+        source = source.withColumn(c, F.lit(None).cast(kind))
+    assert warc.derivatives(source).count() == 6
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a "', "<a '\">", "<!", "<!--", "<?", "<", "</script", "<script>", "<a b=", "&", "<p \n", "<title>", "<a x='>' \"", "</"])
+def test_warc_parser_takes_time_in_proportion(piece):
+    import time
+
+    text = piece * (1_000_000 // len(piece))
+    began = time.time()
+    warc.parse_html(text)
+    assert time.time() - began < 6
+
+
+def test_warc_parser_against_another(spark):
+    from html.parser import HTMLParser
+
+    class Other(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.links, self.hidden, self.metas, self.title, self.own = [], [], [], [], None, False
+
+        def handle_starttag(self, tag, attrs):
+            attrs = dict(reversed(attrs))
+            if tag in warc.LINES or tag == "title":
+                self.out.append("\n")
+            if self.hidden:
+                return
+            if tag in warc.LINKS and attrs.get(warc.LINKS[tag]) is not None:
+                self.links.append((tag, warc.LINKS[tag], attrs[warc.LINKS[tag]].strip()))
+            if tag == "meta" and "content" in attrs and ("name" in attrs or "property" in attrs):
+                self.metas.append((attrs.get("name", attrs.get("property")), attrs["content"]))
+            if tag in warc.SILENT:
+                self.hidden.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in warc.LINES or tag == "title":
+                self.out.append("\n")
+            if self.hidden and tag == self.hidden[-1]:
+                self.hidden.pop()
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data.replace("\n", " "))
+
+    pages = [r["html"] for r in read(spark, DATA, "pages").collect()]
+    assert len(pages) > 20
+    for x in pages:
+        other, own = Other(), warc.parse_html(x)
+        other.feed(x)
+        other.close()
+        assert own["links"] == other.links and own["metas"] == other.metas
+        assert own["text"].split() == "".join(other.out).replace("\xa0", " ").split()
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------------
