@@ -2,154 +2,249 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence texts and notices, normalised (lower case, runs of other characters than letters,
-# digits and dots between digits as one blank), by identifier.
-SENTENCES = {
-    "a20-grant": "licensed under the apache license version 2.0 the license",
-    "a20-short": "licensed under the apache license version 2.0",
-    "a20-may": "you may not use this file except in compliance with the license",
-    "a20-copy": "you may obtain a copy of the license at",
-    "a20-unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "a20-see": "see the license for the specific language governing permissions and limitations under the license",
-    "mit-short": "released under the mit license",
-    "mit-short2": "licensed under the mit license",
-    "mit-title": "the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit-asis": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl-see": "see the gnu general public license for more details",
-    "gpl3-short": "this work is licensed under the gnu general public license version 3",
-    "gpl3-short2": "licensed under the gnu general public license version 3",
-    "gpl2-short": "this work is licensed under the gnu general public license version 2",
-    "lgpl3-short": "this work is licensed under the gnu lesser general public license version 3",
-    "agpl3-short": "this work is licensed under the gnu affero general public license version 3",
-    "mpl-subject": "this source code form is subject to the terms of the mozilla public license v. 2.0",
-    "mpl-obtain": "if a copy of the mpl was not distributed with this file you can obtain one at",
-    "ccby-short": "licensed under cc by 4.0",
-    "ccbysa-short": "licensed under cc by sa 4.0",
-    "ccbync-short": "licensed under cc by nc 4.0",
-    "ccbynd-short": "licensed under cc by nd 4.0",
-    "ccbyncsa-short": "licensed under cc by nc sa 4.0",
-    "ccby-long": "this work is licensed under a creative commons attribution 4.0 international license",
-    "ccbysa-long": "this work is licensed under a creative commons attribution sharealike 4.0 international license",
-    "ccbync-long": "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
-    "cc0-short": "released under cc0 1.0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "un-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
-}
-# Licence rules, (rule, licence, sentence identifiers in order).
-RULES = [
-    ("apache-2.0-notice", "Apache-2.0", ["a20-short", "a20-may", "a20-copy", "a20-unless", "a20-see"]),
-    ("apache-2.0-notice-full", "Apache-2.0", ["a20-grant", "a20-may", "a20-copy", "a20-unless", "a20-see"]),
-    ("apache-2.0-line", "Apache-2.0", ["a20-short"]),
-    ("mit-text", "MIT", ["mit-grant", "mit-notice", "mit-asis"]),
-    ("mit-titled", "MIT", ["mit-title", "mit-grant", "mit-notice", "mit-asis"]),
-    ("mit-line", "MIT", ["mit-short"]),
-    ("mit-line-2", "MIT", ["mit-short2"]),
-    ("isc-text", "ISC", ["isc-grant"]),
-    ("bsd-2-clause", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("bsd-3-clause", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("gpl-3.0-notice", "GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-see"]),
-    ("gpl-2.0-notice", "GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-see"]),
-    ("lgpl-3.0-grant", "LGPL-3.0-or-later", ["lgpl3-free"]),
-    ("gpl-3.0-line", "GPL-3.0-only", ["gpl3-short"]),
-    ("gpl-3.0-line-2", "GPL-3.0-only", ["gpl3-short2"]),
-    ("gpl-2.0-line", "GPL-2.0-only", ["gpl2-short"]),
-    ("lgpl-3.0-line", "LGPL-3.0-only", ["lgpl3-short"]),
-    ("agpl-3.0-line", "AGPL-3.0-only", ["agpl3-short"]),
-    ("mpl-2.0-notice", "MPL-2.0", ["mpl-subject", "mpl-obtain"]),
-    ("cc-by-4.0-line", "CC-BY-4.0", ["ccby-short"]),
-    ("cc-by-sa-4.0-line", "CC-BY-SA-4.0", ["ccbysa-short"]),
-    ("cc-by-nc-4.0-line", "CC-BY-NC-4.0", ["ccbync-short"]),
-    ("cc-by-nd-4.0-line", "CC-BY-ND-4.0", ["ccbynd-short"]),
-    ("cc-by-nc-sa-4.0-line", "CC-BY-NC-SA-4.0", ["ccbyncsa-short"]),
-    ("cc-by-4.0-sentence", "CC-BY-4.0", ["ccby-long"]),
-    ("cc-by-sa-4.0-sentence", "CC-BY-SA-4.0", ["ccbysa-long"]),
-    ("cc-by-nc-4.0-sentence", "CC-BY-NC-4.0", ["ccbync-long"]),
-    ("cc0-1.0-line", "CC0-1.0", ["cc0-short"]),
-    ("unlicense-text", "Unlicense", ["unlicense", "un-anyone"]),
+# Standard texts and notices of public licences, by rule: (rule, licence, text). Sentences come from them by the
+# same cuts that documents get; a rule is the sequence of its text's sentences.
+NOTICES = [
+    ("mit-text", "MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("mit-0-text", "MIT-0", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc-text", "ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("isc-text-and", "ISC", """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("0bsd-text", "0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."""),
+    ("bsd-2-clause", "BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("bsd-3-clause", "BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""),
+    ("bsd-3-clause-university", "BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""),
+    ("bsd-disclaimer", "BSD", """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("apache-2.0-notice", "Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("apache-2.0-asf", "Apache-2.0", """Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("gpl-3.0-notice", "GPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("gpl-3.0-only-notice", "GPL-3.0-only", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."""),
+    ("gpl-2.0-notice", "GPL-2.0-or-later", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("gpl-2.0-notice-comma", "GPL-2.0-or-later", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."""),
+    ("gpl-2.0-only-notice", "GPL-2.0-only", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."""),
+    ("lgpl-2.1-notice", "LGPL-2.1-or-later", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("lgpl-2.0-notice", "LGPL-2.0-or-later", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""),
+    ("lgpl-3.0-notice", "LGPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("lgpl-3.0-library", "LGPL-3.0-or-later", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("lgpl-3.0-library-2", "LGPL-3.0-or-later", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."""),
+    ("agpl-3.0-notice", "AGPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
+    ("mpl-2.0-notice", "MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("mpl-2.0-notice-http", "MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("mpl-2.0-subject", "MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."""),
+    ("epl-2.0-notice", "EPL-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""),
+    ("unlicense-text", "Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""),
+    ("unlicense-line", "Unlicense", """This is free and unencumbered software released into the public domain."""),
+    ("zlib-text", "Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("bsl-1.0-notice", "BSL-1.0", """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"""),
+    ("wtfpl-text", "WTFPL", """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."""),
+    ("cc0-1.0-notice", "CC0-1.0", """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."""),
+    ("postgresql-text", "PostgreSQL", """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."""),
+    ("ofl-1.1-notice", "OFL-1.1", """This Font Software is licensed under the SIL Open Font License, Version 1.1."""),
+    ("mit-title", "MIT", "The MIT License (MIT)"),
+]
+# SPDX identifiers with the names that one-sentence statements use.
+NAMES = [
+    ("Apache-2.0", ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache License v2.0"]),
+    ("MIT", ["MIT License", "MIT license terms", "MIT"]),
+    ("ISC", ["ISC License", "ISC"]),
+    ("BSD-2-Clause", ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"]),
+    ("BSD-3-Clause", ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"]),
+    ("GPL-2.0-only", ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU General Public License v2", "GPLv2", "GNU GPLv2", "GPL-2.0"]),
+    ("GPL-3.0-only", ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU General Public License v3", "GPLv3", "GNU GPLv3", "GPL-3.0"]),
+    ("LGPL-2.1-only", ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL-2.1"]),
+    ("LGPL-3.0-only", ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3", "LGPL-3.0"]),
+    ("AGPL-3.0-only", ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3", "AGPL-3.0"]),
+    ("MPL-2.0", ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"]),
+    ("EPL-2.0", ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0", "EPL 2.0"]),
+    ("EUPL-1.2", ["European Union Public Licence, version 1.2", "EUPL v1.2"]),
+    ("BSL-1.0", ["Boost Software License, Version 1.0", "Boost Software License 1.0"]),
+    ("Artistic-2.0", ["Artistic License 2.0", "Artistic License, version 2.0"]),
+    ("OFL-1.1", ["SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"]),
+    ("Unlicense", ["Unlicense"]),
+    ("Zlib", ["zlib License", "zlib/libpng License"]),
+    ("WTFPL", ["WTFPL", "Do What The F*ck You Want To Public License"]),
+    ("PostgreSQL", ["PostgreSQL License"]),
+    ("CC0-1.0", ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"]),
 ]
+# Terms of the Creative Commons licences, short and in words; versions.
+TERMS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
-# Where sentences end, what is left of them. Patterns mean the same to Java, RE2 and Python.
-ENDS = r"[.!?;:]+[ \t\r\n]+|[\r\n]+"
+# Marks of comments at the start of a line, shortened words whose dot ends nothing, a tag whose colon ends nothing, where
+# sentences end, what is left of them, how statements begin, and what every text with a known sentence holds. Patterns mean the same to Java, RE2 and Python.
+COMMENT = r"(^|\n)[ \t]*(?:/\*+!?|\*+/?|//+!?|#+!?|--+|;+|%+|>+|<!--+|\"\"\"|dnl )"
+SHORTENED = r"([ (,])(v|ver|vers|inc|ltd|co|corp|e\.g|i\.e|etc|vs|no|dr|st)\.([ \t\r\n])"
+ENDS = r"[.!?;:]+[\"')\]]*[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*|\n[ \t]*(?:\(?[0-9a-z]{1,2}\)|[*+-])[ \t]+"
 OTHERS = r"[^a-z0-9.]+"
 LOOSE_DOTS = r"\.+( |$)"
+STATEMENT = r"^(?:(?:this|the|all) [a-z]+ (?:is|are) )?(?:dual |also |hereby )?(?:licensed|released|distributed|available|made available|provided|published) under (?:the )?(?:terms of )?(?:the )?"
+TAG = r"(spdx-license-identifier):[ \t]*"
+HINT = r"licen[cs]|permi[st]|redistribut|warrant|unencumbered|misrepresented|software|endorse|copyright|liab|dedicat|procurement|profits|this notice|of the mpl|(?:licensed|released|distributed|available|provided|published)[^a-z0-9.]+under|spdx"
+
+
+def _sentences(text: str) -> list[str]:
+    """Normalised sentences of a text, in order: what ``scan`` does with its columns."""
+    text = re.sub(TAG, r"\1 ", re.sub(SHORTENED, r"\1\2\3", re.sub(COMMENT, r"\1", text.lower())))
+    return [x for s in re.split(ENDS, text) if (x := _normal(s))]
+
+
+def _normal(sentence: str) -> str:
+    return re.sub(STATEMENT, "under ", re.sub(LOOSE_DOTS, r"\1", re.sub(OTHERS, " ", sentence)).strip(" "))
 
 
 def normalise(sentence: Column) -> Column:
-    """Lower case; runs of anything but ASCII letters, digits and dots become one blank; dots at a word's end go."""
-    x = F.regexp_replace(F.lower(sentence), OTHERS, " ")
-    return F.trim(F.regexp_replace(x, LOOSE_DOTS, "$1"))
+    """Of a lower-case sentence: runs of anything but ASCII letters, digits and dots become one blank; dots at a word's end go; statements begin with "under"."""
+    x = F.trim(F.regexp_replace(F.regexp_replace(sentence, OTHERS, " "), LOOSE_DOTS, "$1"))
+    return F.regexp_replace(x, STATEMENT, "under ")
+
 
+@lru_cache(maxsize=1)
+def standard() -> tuple[dict[str, str], list[tuple[str, str, tuple[str, ...]]]]:
+    """Known sentences (normalised, to identifier) and rules (name, licence, identifiers in order), made from the fixed texts and names."""
+    known: dict[str, str] = {}
+    rules: dict[tuple[str, ...], tuple[str, str]] = {}
 
-def _known(sentences: dict[str, str]) -> dict[str, str]:
-    """Normalised sentence to identifier, both normalised again by the operator's rules, so that one sentence has one name."""
-    import re
+    def add(name: str, licence: str | None, text: str) -> None:
+        ids = tuple(known.setdefault(s, f"{name}.{k + 1}") for k, s in enumerate(x for x in _sentences(text) if len(x) > 2))
+        if licence:
+            rules.setdefault(ids, (name, licence))
 
-    return {re.sub(LOOSE_DOTS, r"\1", re.sub(OTHERS, " ", s.lower())).strip(" "): k for k, s in sentences.items()}
+    for name, licence, text in NOTICES:
+        add(name, None if name == "bsd-disclaimer" else licence, text)
+    for licence, text in (("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'), *((lic, t) for _, lic, t in NOTICES if lic in ("MIT", "ISC", "0BSD"))):
+        # The first sentence alone still names the licence.
+        first = re.split(ENDS, text)[0]
+        add(f"{licence.lower()}-first", licence, first)
+    spdx = [x for x, _ in NAMES] + [f"{x.removesuffix('only')}or-later" for x, _ in NAMES if x.endswith("-only")] + ["0BSD", "MIT-0", "GPL-2.0", "GPL-2.0+", "GPL-3.0", "GPL-3.0+", "LGPL-2.1", "LGPL-2.1+", "LGPL-3.0", "LGPL-3.0+", "AGPL-3.0", "AGPL-3.0+"]
+    cc = [(f"CC-{short}-{v}", [f"CC {short} {v}", f"CC {short}", f"Creative Commons {words} {v} International License", f"Creative Commons {words} {v} International", f"Creative Commons {words} {v} License", f"Creative Commons {words} {v}", f"a Creative Commons {words} {v} International License"]) for short, words in TERMS.items() for v in VERSIONS[::-1]]
+    for licence, names in [*NAMES, *cc]:
+        for k, x in enumerate(names):
+            add(f"{licence.lower()}-line" + (f"-{k + 1}" if k else ""), licence, f"Licensed under the {x}")
+            if x.endswith("License"):
+                add(f"{licence.lower()}-title-{k + 1}", licence, x)
+                add(f"{licence.lower()}-the-title-{k + 1}", licence, f"The {x}")
+            if licence[-4:] == "only":
+                add(f"{licence.lower()[:-4]}or-later-line-{k + 1}", f"{licence[:-4]}or-later", f"Licensed under the {x} or later")
+    for x in [*spdx, *(lic for lic, _ in cc)]:
+        full = f"{x[:-1]}-or-later" if x.endswith("+") else f"{x}-only" if x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") else x
+        add(f"spdx-{x.lower()}", full, f"SPDX-License-Identifier: {x}")
+    return known, [(name, licence, ids) for ids, (name, licence) in rules.items()]
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
+def _tables(sentences, rules):
+    """Sentences with codes of equal width, rules as runs of codes (longer ones first), their names and licences, and the codes' identifiers."""
+    if sentences is None:
+        sentences, rules = standard()
+    ids = list(dict.fromkeys(sentences.values()))
+    code = {x: f"#{k:05d}" for k, x in enumerate(ids)}
+    ordered = sorted(rules, key=lambda r: -len(r[2]))  # of equal length, as given
+    chosen = {"".join(code[x] for x in own): (name, licence) for name, licence, own in reversed(ordered) if own}
+    chosen = dict(reversed(chosen.items()))
+    return list(sentences), [code[x] for x in sentences.values()], chosen, code
+
+
+def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """(doc_id, n_sentences, sequence, rules, licenses) for every row of ``docs`` (doc_id, text).
 
-    A text is cut into sentences; each is normalised and looked up among the known ones. ``n_sentences`` counts the known
-    ones, ``sequence`` holds their identifiers in order, joined by commas. A rule matches where its identifiers follow one
-    another in that sequence (unknown sentences between them don't matter); one that lies inside a longer rule that matches is
-    left out. ``rules`` and ``licenses`` are the distinct names, sorted, joined by commas. Everything happens within a row, so
-    nothing is shuffled. Null and empty texts: 0 and empty strings. Repeated rows and null ids stay; other columns are ignored.
+    Marks of comments are left out, a text is cut at ends of sentences, blank lines and list marks (a wrapped line goes on),
+    and each sentence is normalised and looked up among the known ones; where it isn't known, each of its lines is.
+    ``n_sentences`` counts known ones, ``sequence`` holds their identifiers in order, joined by commas. Rules match from left to
+    right where their identifiers follow one another in that sequence (unknown sentences between them don't matter), the
+    longest rule first; what one has matched is not matched again. ``rules`` and ``licenses`` are the distinct names, sorted,
+    joined by commas. Everything happens within a row, so nothing is shuffled. Null and empty texts: 0 and empty strings.
+    Repeated rows and null ids stay; other columns are ignored.
     """
-    known = _known(sentences)
-    keys, names = list(known), list(known.values())
-    at = lambda s: F.array_position(F.array(*map(F.lit, keys)), s)
-    found = F.filter(F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), ENDS), lambda s: at(normalise(s)).cast("int")), lambda k: k > 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(found, lambda k: F.element_at(F.array(*map(F.lit, names)), k)).alias("ids"))
-    rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sequence"))
-    has = {name: F.concat(F.lit(","), F.col("sequence"), F.lit(",")).contains("," + ",".join(ids) + ",") for name, _, ids in rules}
-    chosen = []
-    for name, _, ids in rules:
-        test = has[name]
-        for other, _, more in rules:
-            if len(more) > len(ids) and f",{','.join(ids)}," in f",{','.join(more)},":
-                test = test & ~has[other]
-        chosen.append((test, name))
-    license_of = {name: lic for name, lic, _ in rules}
-    pick = lambda of: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(t, F.lit(of(n))) for t, n in chosen]), lambda x: x.isNotNull()))), ",")
-    none = F.col("n_sentences") == 0
-    return rows.select(
-        "doc_id", "n_sentences", "sequence",
-        F.when(none, F.lit("")).otherwise(pick(lambda n: n)).alias("rules"),
-        F.when(none, F.lit("")).otherwise(pick(license_of.get)).alias("licenses"),
-    )
-
-
-def sql(table: str = "documents", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> str:
+    known, codes, chosen, code = _tables(sentences, rules)
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    number = lambda s: F.array_position(listed(known), normalise(s)).cast("int")
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    cut = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, COMMENT, "$1"), SHORTENED, "$1$2$3"), TAG, "$1 "), ENDS)
+    of = lambda s: F.when(number(s) > 0, F.array(number(s))).when(s.contains("\n"), F.filter(F.transform(F.split(s, "\n"), number), lambda k: k > 0)).otherwise(F.array().cast("array<int>"))
+    hinted = text.rlike(HINT) if sentences is None else F.lit(True)
+    found = F.when(hinted, F.flatten(F.transform(cut, of))).otherwise(F.array().cast("array<int>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(found, lambda k: F.element_at(listed(codes), k)).alias("codes"))
+    names = listed(list(code))
+    rows = rows.select("doc_id", F.size("codes").cast("long").alias("n_sentences"), F.array_join(F.transform("codes", lambda c: F.element_at(names, F.substring(c, 2, 5).cast("int") + 1)), ",").alias("sequence"), F.array_join("codes", "").alias("codes"))
+    matched = F.regexp_extract_all("codes", F.lit("(" + "|".join(chosen) + ")"), F.lit(1))
+    rows = rows.withColumn("at", F.when(F.col("n_sentences") > 0, F.transform(matched, lambda m: F.array_position(listed(list(chosen)), m).cast("int"))).otherwise(F.array().cast("array<int>")))
+    pick = lambda k: F.array_join(F.array_sort(F.array_distinct(F.transform("at", lambda i: F.element_at(listed([x[k] for x in chosen.values()]), i)))), ",")
+    return rows.select("doc_id", "n_sentences", "sequence", pick(0).alias("rules"), pick(1).alias("licenses"))
+
+
+def sql(table: str = "documents", sentences: dict[str, str] | None = None, rules: list | None = None) -> str:
     """The same in DuckDB's SQL."""
-    known = _known(sentences)
+    known, codes, chosen, code = _tables(sentences, rules)
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     array = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]"
-    test = {}
-    for name, _, ids in rules:
-        longer = [more for _, _, more in rules if len(more) > len(ids) and f",{','.join(ids)}," in f",{','.join(more)},"]
-        test[name] = " AND ".join([f"contains(s, {quoted(',' + ','.join(ids) + ',')})"] + [f"NOT contains(s, {quoted(',' + ','.join(m) + ',')})" for m in longer])
-    pick = lambda of: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {test[n]} THEN {quoted(of[n])} END" for n, *_ in rules) + "], lambda x: x IS NOT NULL))), ',')"
-    clean = f"trim(regexp_replace(regexp_replace(lower(t), {quoted(OTHERS)}, ' ', 'g'), {quoted(LOOSE_DOTS)}, '\\1', 'g'))"
+    clean = lambda t: f"regexp_replace(trim(regexp_replace(regexp_replace({t}, {quoted(OTHERS)}, ' ', 'g'), {quoted(LOOSE_DOTS)}, '\\1', 'g')), {quoted(STATEMENT)}, 'under ')"
     return f"""
-WITH known AS (SELECT unnest({array(known)}) AS sentence, unnest({array(known.values())}) AS id),
-cut AS (SELECT doc_id, row_number() OVER () AS r, string_split_regex(coalesce(text, ''), {quoted(ENDS)}) AS ts FROM {table}),
-each AS (SELECT doc_id, r, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM cut),
-named AS (SELECT r, string_agg(id, ',' ORDER BY p) AS seq, count(*) AS n FROM each JOIN known ON sentence = {clean} GROUP BY r),
-rows AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(seq, '') AS sequence, ',' || coalesce(seq, '') || ',' AS s FROM cut LEFT JOIN named USING (r))
-SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, sequence, {pick({n: n for n, *_ in rules})} AS rules, {pick({n: lic for n, lic, _ in rules})} AS licenses FROM rows
+WITH known AS (SELECT unnest({array(known)}) AS sentence, unnest({array(codes)}) AS code),
+ids AS (SELECT unnest({array(code.values())}) AS code, unnest({array(code)}) AS id),
+rules AS (SELECT unnest({array(chosen)}) AS run, unnest({array([x[0] for x in chosen.values()])}) AS rule, unnest({array([x[1] for x in chosen.values()])}) AS license),
+cut AS (SELECT doc_id, row_number() OVER () AS r, string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), {quoted(COMMENT)}, '\\1', 'g'), {quoted(SHORTENED)}, '\\1\\2\\3', 'g'), {quoted(TAG)}, '\\1 ', 'g'), {quoted(ENDS)}) AS ts FROM {table}),
+each AS (SELECT r, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM cut),
+whole AS (SELECT r, p, t, code FROM each LEFT JOIN known ON sentence = {clean("t")}),
+lines AS (SELECT r, p, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS q FROM whole WHERE code IS NULL AND contains(t, chr(10))),
+found AS (SELECT r, p, 0 AS q, code FROM whole WHERE code IS NOT NULL UNION ALL SELECT r, p, q, known.code FROM lines JOIN known ON sentence = {clean("x")}),
+named AS (SELECT r, string_agg(id, ',' ORDER BY p, q) AS sequence, string_agg(code, '' ORDER BY p, q) AS codes, count(*) AS n FROM found JOIN ids USING (code) GROUP BY r),
+matched AS (SELECT r, unnest(regexp_extract_all(codes, {quoted('(' + '|'.join(chosen) + ')')}, 1)) AS run FROM named),
+judged AS (SELECT r, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM matched JOIN rules USING (run) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(sequence, '') AS sequence, coalesce(rules, '') AS rules, coalesce(licenses, '') AS licenses FROM cut LEFT JOIN named USING (r) LEFT JOIN judged USING (r)
 """
