@@ -18,15 +18,25 @@ def tokenizer_path(name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's, the one in ``spark.checkpoint.dir``, or (only when both are unset, as in tests) a new temporary one."""
+    """The shared folder for checkpoints: the session's, the one in ``spark.checkpoint.dir``, or (both unset, and Spark runs in this process alone, as in tests) a new temporary one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"folioscope-{uuid.uuid4().hex}")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            found = os.path.join(tempfile.gettempdir(), f"folioscope-{uuid.uuid4().hex}")
         sc.setCheckpointDir(found)
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, without its lineage. A lost executor costs no recomputation from the start."""
     ensure_checkpoint_dir(df.sparkSession)

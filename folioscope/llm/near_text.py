@@ -1,4 +1,4 @@
-"""Near-copies by Jaccard similarity of word shingles: an exact set join with prefix, size and position filters."""
+"""Links between texts by Jaccard similarity of word shingles: an exact set join with prefix, size and position filters."""
 
 from __future__ import annotations
 
@@ -10,96 +10,184 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut, tidied
 from folioscope.llm.graph import components
-from folioscope.llm.simhash import SEED, shingles
+from folioscope.llm.simhash import SEED, digests, folded, links
 
 WIDTH = 5
-#: Texts looked at to learn which shingles are frequent. That only orders shingles: any order gives the same pairs.
-SAMPLE = 10000
+#: Holders from which a shingle counts as common. That only orders shingles: any order gives the same pairs.
+HOT = 64
+#: Looks at the corpus for common shingles; each may find some that the one before moved up.
+ROUNDS = 3
+#: Bits of the table of common shingles, two for each; its size is fixed.
+BITS = 27
 #: Sets up to which their names are broadcast to fetch members; more are joined by a shuffle.
 FEW = 1 << 20
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct XXH64 hashes of a text's shingles, ascending."""
-    return np.unique(np.frombuffer(b"".join(xxhash.xxh64_digest(x, SEED) for x in shingles(text, width)), ">u8").astype(np.uint64)).view(np.int64)
+def shingle_set(octets: np.ndarray) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    return np.unique(octets.reshape(-1).view(">u8").astype(np.uint64))
 
 
-def _sets(docs: DataFrame, width: int, common: tuple | None = None) -> DataFrame:
-    """(doc_id, sig, n, hashes) of every row: hash, size and members of its shingle set, the shingles most frequent in ``common`` (names, counts) last."""
+def shingled(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, h, fp, sig, n, hashes) of every row: text hash, SimHash, and hash, size and members of its shingle set."""
 
     def over(batches):
         for batch in batches:
-            sigs, sizes, hashes = [], [], []
-            for x in batch.column(1):
-                own = shingle_set(x.as_py(), width)
-                sigs.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
+            fps, sigs, sizes, hashes = [], [], [], []
+            for x in batch.column(2):
+                octets = digests(x.as_py(), width)
+                own = shingle_set(octets)
+                fps.append(folded(octets))
+                sigs.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
-                if common is not None and len(common.value[0]):
-                    names, counts = common.value
-                    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-                    own = own[np.argsort(np.where(names[at] == own, counts[at], 0), kind="stable")]
-                hashes.append(own)
-            lists = pa.array(hashes, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "sig", "n", "hashes"])
+                hashes.append(own.view(np.int64))
+            long = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
+            columns = [batch.column(0), batch.column(1), long(fps), long(sigs), pa.array(sizes, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "sig", "n", "hashes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidied(over), "doc_id long, sig long, n int, hashes array<long>")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("h"), text.alias("text"))
+    return rows.mapInArrow(tidied(over), "doc_id long, h binary, fp long, sig long, n int, hashes array<long>")
 
 
-def _common(docs: DataFrame, width: int):
-    """Shingles of three or more texts of a bounded sample, with their counts, as a broadcast variable."""
-    span = 1 << 30
-    part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < F.lit(int(span * min(1.0, SAMPLE / max(docs.count(), 1)))))
-    found = _sets(part, width).select(F.explode("hashes").alias("x")).groupBy("x").agg(F.count("*").alias("k")).where("k > 2").toArrow()
-    names, counts = found["x"].to_numpy(), found["k"].to_numpy()
-    order = np.argsort(names)
-    return docs.sparkSession.sparkContext.broadcast((names[order], counts[order]))
+def row_hash():
+    """What tells different texts of one id apart; a null text has its own."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit(""))))
+
+
+def _posted(sets: DataFrame, common) -> DataFrame:
+    """(x, sig, n, pos, late): the first n - ceil(0.8 n) + 1 shingles of each set, common ones last (``late``); sets that a task meets again are left out."""
+
+    def over(batches):
+        met: set[int] = set()
+        for batch in batches:
+            xs, row, pos, late = [], [], [], []
+            lists, sigs = batch.column(2), batch.column(0).to_pylist()
+            members, at = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
+            for k, sig in enumerate(sigs):
+                if sig in met or at[k] == at[k + 1]:
+                    continue
+                met.add(sig)
+                own = members[at[k] : at[k + 1]]
+                flags = np.zeros(len(own), np.bool_) if common is None else flagged(common.value, own)
+                order = np.argsort(flags, kind="stable")[: len(own) - (4 * len(own) + 4) // 5 + 1]
+                xs.append(own[order])
+                late.append(flags[order])
+                pos.append(np.arange(len(order)))
+                row.append(np.full(len(order), k))
+            whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+            which = pa.array(whole(row, np.int64))
+            columns = [pa.array(whole(xs, np.int64)), batch.column(0).take(which), batch.column(1).take(which), pa.array(whole(pos, np.int32)), pa.array(whole(late, np.bool_))]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "sig", "n", "pos", "late"])
+
+    return sets.select("sig", "n", "hashes").mapInArrow(tidied(over), "x long, sig long, n int, pos int, late boolean")
+
+
+def flagged(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have both their bits set: all that were put in, and few others."""
+    x = hashes.view(np.uint64)
+    bit = lambda at: (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+    return (bit(x >> np.uint64(64 - BITS)) & bit(x & np.uint64((1 << BITS) - 1))).astype(np.bool_)
+
+
+def _common(sets: DataFrame):
+    """A bit table of the shingles that over HOT sets have among their first ones, as a broadcast variable; None without any.
+
+    Sums and bits are combined before the shuffle, and 2 ** BITS bits at most reach the driver.
+    """
+    spark, table, held = sets.sparkSession, np.zeros(1 << (BITS - 6), np.uint64), None
+    for _ in range(ROUNDS):
+        often = _posted(sets, held).where("not late").groupBy("x").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
+        bits = often.select(F.explode(F.expr(f"array(shiftrightunsigned(x, {64 - BITS}), x & {(1 << BITS) - 1}L)")).alias("at"))
+        words = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toArrow()
+        if not words.num_rows:
+            break
+        table[words["word"].to_numpy()] |= words["bits"].to_numpy().view(np.uint64)
+        held = spark.sparkContext.broadcast(table.copy())
+    return held
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of ``pairs`` whose whole shingle sets have a Jaccard similarity of 0.8 or more."""
-    pairs = cut(pairs.distinct())
+    pairs = cut(pairs.where("a <> b").distinct())
     asked = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
     few = asked.count() <= FEW
-    sets = sets.join(F.broadcast(asked) if few else asked, "sig", "left_semi").groupBy("sig").agg(F.first("hashes").alias("hashes"))
+    sets = sets.select("sig", "hashes").join(F.broadcast(asked) if few else asked, "sig", "left_semi").groupBy("sig").agg(F.first("hashes").alias("hashes"))
     a, b = sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(a, "a").join(b, "b").withColumn("k", F.size(F.array_intersect("x", "y")))
     return cut(both.where("9 * k >= 4 * (size(x) + size(y))").select("a", "b"))
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of different sets of Jaccard similarity 0.8 or more that join all sets such pairs join.
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _near_fingerprints(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets whose SimHashes pigeonring links, or which have one SimHash; one set stands for all of a SimHash."""
+    own = cut(sets.where("n > 0").groupBy("fp", "sig").agg(F.first("n").alias("n")))
+    first = cut(own.groupBy("fp").agg(F.min("sig").alias("hub")))
+    a, b = first.select(F.col("fp").alias("a"), F.col("hub").alias("x")), first.select(F.col("fp").alias("b"), F.col("hub").alias("y"))
+    linked = links(first.select("fp")).join(a, "a").join(b, "b").select(*_ordered("x", "y"))
+    return linked.union(own.join(first, "fp").select(*_ordered("sig", "hub")))
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(sig, component): the sets of ``shingled`` that chains of pairs of similarity 0.8 or more join; sets alike no other have no row.
 
-    Two such sets share a shingle among the first n - ceil(0.8 n) + 1 of the larger one and the first n - ceil(8/9 n) + 1 of the
-    smaller one, whatever the common order, and at the first one they share the rest of both is long enough. First each set
-    meets, for each such shingle, one holder of it, chosen by a hash that differs by shingle; then every pair that shares a
-    shingle and isn't in one component yet is compared. So no pair is lost, and a large group of copies isn't squared.
+    Candidates come first from SimHashes linked by pigeonring. What their budget of bits loses is found by an exact join: two
+    such sets share a shingle among the first n - ceil(0.8 n) + 1 of the larger one and the first n - ceil(8/9 n) + 1 of the
+    smaller one, whatever the common order, and at the first one they share the rest of both is long enough. There each set
+    first meets, for each such shingle, one holder of it, chosen by a hash that differs by shingle; then every pair that shares
+    a shingle and isn't in one component yet is compared. Every candidate is checked on its whole sets. So no pair is lost, and
+    a large group of copies isn't squared.
     """
-    prefix = F.slice("hashes", F.lit(1), F.expr("n - ceil(4 * n / 5) + 1").cast("int"))
-    posted = sets.where("n > 0").select("sig", "n", F.posexplode(prefix).alias("pos", "x")).groupBy("x", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    posted = _posted(sets, _common(sets)).select("x", "sig", "n", "pos").repartition("x")
+    posted = posted.groupBy("x", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     held = posted.groupBy("x").agg(F.count("*").alias("k"), F.min_by(F.struct("sig", "n", "pos"), F.xxhash64("sig", "x")).alias("hub")).where("k > 1")
     posted = cut(posted.join(held, "x").select("x", "sig", "n", "pos", "hub"))
-    stars = posted.alias("p").where(F.expr("p.sig <> p.hub.sig and 9 * least(p.n - p.pos, p.hub.n - p.hub.pos) >= 4 * (p.n + p.hub.n)"))
-    first = _alike(stars.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")), sets)
-    named = components(first).select(F.col("node").alias("sig"), "component")
-    own = cut(posted.join(named, "sig", "left").select("x", "sig", "n", "pos", F.coalesce("component", "sig").alias("c")))
+    stars = posted.where(F.expr("sig <> hub.sig and 9 * least(n - pos, hub.n - hub.pos) >= 4 * (n + hub.n)"))
+    first = components(_alike(stars.select(*_ordered("sig", "hub.sig")).union(_near_fingerprints(sets)), sets)).select(F.col("node").alias("sig"), "component")
+    own = cut(posted.join(first, "sig", "left").select("x", "sig", "n", "pos", F.coalesce("component", "sig").alias("c")))
     # Shingles whose holders are all in one component have no pair left.
     open_ = own.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("x")
-    own = own.join(open_, "x", "left_semi")
+    own = cut(own.join(open_, "x", "left_semi"))
     p, q = own.alias("p"), own.where("pos < n - ceil(8 * n / 9) + 1").alias("q")
     pair = "p.c <> q.c and (q.n, q.sig) < (p.n, p.sig) and 9 * least(p.n - p.pos, q.n - q.pos) >= 4 * (p.n + q.n)"
-    rest = p.join(q, F.expr(f"p.x = q.x and {pair}")).select(F.least("p.sig", "q.sig").alias("a"), F.greatest("p.sig", "q.sig").alias("b"))
-    return first.union(_alike(rest, sets))
+    rest = _alike(p.join(q, F.expr(f"p.x = q.x and {pair}")).select(*_ordered("p.sig", "q.sig")), sets)
+    # The components that the rest joins: named by what they were called before.
+    name = first.withColumnRenamed("component", "c")
+    ends = rest.join(name.withColumnRenamed("sig", "a").withColumnRenamed("c", "ca"), "a", "left").join(name.withColumnRenamed("sig", "b").withColumnRenamed("c", "cb"), "b", "left")
+    ends = cut(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), "component")
+    every = name.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
+    return every.join(joined, "c", "left").select("sig", F.coalesce("component", "c").alias("component"))
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, sig, component_id) for every row of ``docs`` (doc_id, text): rows that chains of pairs of similarity 0.8 or more join have one component.
+    """(doc_id, h, component, first_id, first_h) for every row of ``docs`` (doc_id, text): rows that chains of pairs of similarity 0.8 or more join have one component.
 
     Similarity is the Jaccard similarity of the sets of ``width``-word shingles (see ``simhash.shingles``). Equal sets are
-    alike; wordless and null texts have the empty set. ``component_id`` is the smallest doc_id of the component.
+    alike; wordless, empty and null texts have the empty set. ``h`` tells different texts of one id apart. ``first_id`` and
+    ``first_h`` name the component's first text: the smallest doc_id, nulls last, then the smallest ``h``. Repeated rows and
+    null ids have a row each; an empty table gives an empty result; other columns are ignored.
     """
-    sets = cut(_sets(docs, width, _common(docs, width)))
-    named = components(links(sets)).select(F.col("node").alias("sig"), "component")
-    rows = cut(sets.select("doc_id", "sig").join(named, "sig", "left").select("doc_id", "sig", F.coalesce("component", "sig").alias("c")))
-    least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "c").select("doc_id", "sig", "component_id")
+    sets = cut(shingled(docs, width))
+    rows = cut(sets.join(classes(sets), "sig", "left").select("doc_id", "h", F.coalesce("component", "sig").alias("component")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    firsts = cut(rows.groupBy("component").agg(F.min(order).alias("f")).select("component", F.col("f.doc_id").alias("first_id"), F.col("f.h").alias("first_h")))
+    return rows.join(firsts, "component").select("doc_id", "h", "component", "first_id", "first_h")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) without near copies: one row of each component of ``near_copies`` stays, its first; all columns are kept."""
+    found = near_copies(docs, width)
+    keep = found["doc_id"].eqNullSafe(found["first_id"]) & (found["h"] == found["first_h"])
+    fate = found.groupBy("doc_id", "h").agg(F.max(keep).alias("__fs_keep"), F.count("*").alias("__fs_n"))
+    fate = cut(fate.where("not __fs_keep or __fs_n > 1").select(F.col("doc_id").alias("__fs_id"), F.col("h").alias("__fs_h"), "__fs_keep"))
+    rows = docs.withColumn("__fs_own", row_hash())
+    here = rows["doc_id"].cast("long").eqNullSafe(fate["__fs_id"]) & (rows["__fs_own"] == fate["__fs_h"])
+    once = rows.join(fate, here, "left_anti").select(*docs.columns)
+    # Of a kept row that stands there more than once, one: combined before the shuffle.
+    again = rows.join(fate.where("__fs_keep"), here, "left_semi")
+    again = again.groupBy("doc_id", "__fs_own").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return once.unionByName(again)

@@ -31,16 +31,24 @@ def shingles(text: str | None, width: int = 3) -> Iterator[bytes]:
     return map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash: a bit is 1 if it is set in over half of the shingles' XXH64. Null and wordless texts: 0."""
-    digests = b"".join(map(xxhash.xxh64_digest, shingles(text, width), repeat(SEED)))
-    octets = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+def digests(text: str | None, width: int = 3) -> np.ndarray:
+    """The eight octets of each shingle's XXH64, a row each."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(text, width), repeat(SEED))), np.uint8).reshape(-1, 8)
+
+
+def folded(octets: np.ndarray) -> int:
+    """The bits that are set in over half of the rows of ``digests``; 0 without rows."""
     if not len(octets):
         return 0
     ones = sum(np.unpackbits(octets[k : k + CHUNK], axis=1).sum(axis=0, dtype=np.int64) for k in range(0, len(octets), CHUNK))
     return int.from_bytes(np.packbits(ones * 2 > len(octets)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash: a bit is 1 if it is set in over half of the shingles' XXH64. Null and wordless texts: 0."""
+    return folded(digests(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row of ``docs``: whole texts, one Arrow batch at a time."""
 
