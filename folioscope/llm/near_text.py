@@ -13,9 +13,10 @@ from folioscope.llm.graph import components
 from folioscope.llm.simhash import SEED, digests, folded, links
 
 WIDTH = 5
-#: Holders from which a shingle counts as common. That only orders shingles: any order gives the same pairs.
-HOT = 64
-#: Looks at the corpus for common shingles; each may find some that the one before moved up.
+#: Holders in a sample of one text in RATE from which a shingle counts as common. That only orders shingles: any order gives the same pairs.
+HOT = 3
+RATE = 16
+#: Looks at the sample for common shingles; each may find some that the one before moved up.
 ROUNDS = 3
 #: Bits of the table of common shingles, two for each; its size is fixed.
 BITS = 27
@@ -28,26 +29,9 @@ def shingle_set(octets: np.ndarray) -> np.ndarray:
     return np.unique(octets.reshape(-1).view(">u8").astype(np.uint64))
 
 
-def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h, fp, sig, n, hashes) of every row: text hash, SimHash, and hash, size and members of its shingle set."""
-
-    def over(batches):
-        for batch in batches:
-            fps, sigs, sizes, hashes = [], [], [], []
-            for x in batch.column(2):
-                octets = digests(x.as_py(), width)
-                own = shingle_set(octets)
-                fps.append(folded(octets))
-                sigs.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                sizes.append(len(own))
-                hashes.append(own.view(np.int64))
-            long = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-            columns = [batch.column(0), batch.column(1), long(fps), long(sigs), pa.array(sizes, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "sig", "n", "hashes"])
-
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("h"), text.alias("text"))
-    return rows.mapInArrow(tidied(over), "doc_id long, h binary, fp long, sig long, n int, hashes array<long>")
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text), with a hash of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("h"), F.col("text").cast("string").alias("text"))
 
 
 def row_hash():
@@ -55,32 +39,38 @@ def row_hash():
     return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit(""))))
 
 
-def _posted(sets: DataFrame, common) -> DataFrame:
-    """(x, sig, n, pos, late): the first n - ceil(0.8 n) + 1 shingles of each set, common ones last (``late``); sets that a task meets again are left out."""
+def _long(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def name_of(own: np.ndarray) -> int:
+    """Hash of a whole set."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
+def shingled(rows: DataFrame, width: int, common=None) -> DataFrame:
+    """(doc_id, h, fp, sig, n, first, late) of every row: SimHash, hash and size of the shingle set, and its first n - ceil(0.8 n) + 1 shingles, of which the last ``late`` are common.
+
+    The members themselves aren't kept: ``_alike`` reads them again where they are asked for.
+    """
 
     def over(batches):
-        met: set[int] = set()
         for batch in batches:
-            xs, row, pos, late = [], [], [], []
-            lists, sigs = batch.column(2), batch.column(0).to_pylist()
-            members, at = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
-            for k, sig in enumerate(sigs):
-                if sig in met or at[k] == at[k + 1]:
-                    continue
-                met.add(sig)
-                own = members[at[k] : at[k + 1]]
+            fps, sigs, sizes, firsts, late = [], [], [], [], []
+            for x in batch.column(2):
+                octets = digests(x.as_py(), width)
+                own = shingle_set(octets)
+                fps.append(folded(octets))
+                sigs.append(name_of(own))
+                sizes.append(len(own))
                 flags = np.zeros(len(own), np.bool_) if common is None else flagged(common.value, own)
                 order = np.argsort(flags, kind="stable")[: len(own) - (4 * len(own) + 4) // 5 + 1]
-                xs.append(own[order])
-                late.append(flags[order])
-                pos.append(np.arange(len(order)))
-                row.append(np.full(len(order), k))
-            whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-            which = pa.array(whole(row, np.int64))
-            columns = [pa.array(whole(xs, np.int64)), batch.column(0).take(which), batch.column(1).take(which), pa.array(whole(pos, np.int32)), pa.array(whole(late, np.bool_))]
-            yield pa.RecordBatch.from_arrays(columns, names=["x", "sig", "n", "pos", "late"])
+                firsts.append(own[order].view(np.int64))
+                late.append(int(flags[order].sum()))
+            columns = [batch.column(0), batch.column(1), _long(fps), _long(sigs), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(late, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "sig", "n", "first", "late"])
 
-    return sets.select("sig", "n", "hashes").mapInArrow(tidied(over), "x long, sig long, n int, pos int, late boolean")
+    return rows.mapInArrow(tidied(over), "doc_id long, h binary, fp long, sig long, n int, first array<long>, late int")
 
 
 def flagged(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -90,14 +80,16 @@ def flagged(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bit(x >> np.uint64(64 - BITS)) & bit(x & np.uint64((1 << BITS) - 1))).astype(np.bool_)
 
 
-def _common(sets: DataFrame):
-    """A bit table of the shingles that over HOT sets have among their first ones, as a broadcast variable; None without any.
+def common_shingles(rows: DataFrame, width: int):
+    """A bit table of the shingles that HOT or more texts of a sample have among their first ones, as a broadcast variable; None without any.
 
     Sums and bits are combined before the shuffle, and 2 ** BITS bits at most reach the driver.
     """
-    spark, table, held = sets.sparkSession, np.zeros(1 << (BITS - 6), np.uint64), None
+    spark, table, held = rows.sparkSession, np.zeros(1 << (BITS - 6), np.uint64), None
+    sample = rows.where(F.pmod(F.xxhash64("h"), F.lit(RATE)) == 0)
     for _ in range(ROUNDS):
-        often = _posted(sets, held).where("not late").groupBy("x").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
+        seen = shingled(sample, width, held).groupBy("sig").agg(F.first(F.expr("slice(first, 1, size(first) - late)")).alias("first"))
+        often = seen.select(F.explode("first").alias("x")).groupBy("x").agg(F.count("*").alias("k")).where(F.col("k") >= HOT)
         bits = often.select(F.explode(F.expr(f"array(shiftrightunsigned(x, {64 - BITS}), x & {(1 << BITS) - 1}L)")).alias("at"))
         words = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toArrow()
         if not words.num_rows:
@@ -107,13 +99,27 @@ def _common(sets: DataFrame):
     return held
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of ``pairs`` whose whole shingle sets have a Jaccard similarity of 0.8 or more."""
+def _members(rows: DataFrame, width: int) -> DataFrame:
+    """(sig, hashes): the whole shingle sets of ``rows`` (sig, text)."""
+
+    def over(batches):
+        for batch in batches:
+            hashes = [shingle_set(digests(x.as_py(), width)).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["sig", "hashes"])
+
+    return rows.select("sig", "text").mapInArrow(tidied(over), "sig long, hashes array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(a, b) of ``pairs`` whose whole shingle sets have a Jaccard similarity of 0.8 or more; the sets are made anew from a text of each."""
     pairs = cut(pairs.where("a <> b").distinct())
-    asked = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
+    asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    asked = cut(sets.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("h", "doc_id")).alias("r")).select("sig", F.col("r.h").alias("h")))
     few = asked.count() <= FEW
-    sets = sets.select("sig", "hashes").join(F.broadcast(asked) if few else asked, "sig", "left_semi").groupBy("sig").agg(F.first("hashes").alias("hashes"))
-    a, b = sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
+    texts = rows.select("h", "text").join(F.broadcast(asked) if few else asked, "h")
+    # Copies of a text that stands for a set give the set again: one is kept.
+    held = _members(texts, width).groupBy("sig").agg(F.first("hashes").alias("hashes"))
+    a, b = held.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), held.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(a, "a").join(b, "b").withColumn("k", F.size(F.array_intersect("x", "y")))
     return cut(both.where("9 * k >= 4 * (size(x) + size(y))").select("a", "b"))
 
@@ -131,7 +137,7 @@ def _near_fingerprints(sets: DataFrame) -> DataFrame:
     return linked.union(own.join(first, "fp").select(*_ordered("sig", "hub")))
 
 
-def classes(sets: DataFrame) -> DataFrame:
+def classes(sets: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(sig, component): the sets of ``shingled`` that chains of pairs of similarity 0.8 or more join; sets alike no other have no row.
 
     Candidates come first from SimHashes linked by pigeonring. What their budget of bits loses is found by an exact join: two
@@ -141,19 +147,20 @@ def classes(sets: DataFrame) -> DataFrame:
     a shingle and isn't in one component yet is compared. Every candidate is checked on its whole sets. So no pair is lost, and
     a large group of copies isn't squared.
     """
-    posted = _posted(sets, _common(sets)).select("x", "sig", "n", "pos").repartition("x")
-    posted = posted.groupBy("x", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    # One row of each set, then dealt once by shingle for all that follows.
+    one = sets.where("n > 0").groupBy("sig").agg(F.first(F.struct("n", "first")).alias("s"))
+    posted = one.select("sig", "s.n", F.posexplode("s.first").alias("pos", "x")).repartition("x")
     held = posted.groupBy("x").agg(F.count("*").alias("k"), F.min_by(F.struct("sig", "n", "pos"), F.xxhash64("sig", "x")).alias("hub")).where("k > 1")
     posted = cut(posted.join(held, "x").select("x", "sig", "n", "pos", "hub"))
     stars = posted.where(F.expr("sig <> hub.sig and 9 * least(n - pos, hub.n - hub.pos) >= 4 * (n + hub.n)"))
-    first = components(_alike(stars.select(*_ordered("sig", "hub.sig")).union(_near_fingerprints(sets)), sets)).select(F.col("node").alias("sig"), "component")
+    first = components(_alike(stars.select(*_ordered("sig", "hub.sig")).union(_near_fingerprints(sets)), sets, rows, width)).select(F.col("node").alias("sig"), "component")
     own = cut(posted.join(first, "sig", "left").select("x", "sig", "n", "pos", F.coalesce("component", "sig").alias("c")))
     # Shingles whose holders are all in one component have no pair left.
     open_ = own.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("x")
     own = cut(own.join(open_, "x", "left_semi"))
     p, q = own.alias("p"), own.where("pos < n - ceil(8 * n / 9) + 1").alias("q")
     pair = "p.c <> q.c and (q.n, q.sig) < (p.n, p.sig) and 9 * least(p.n - p.pos, q.n - q.pos) >= 4 * (p.n + q.n)"
-    rest = _alike(p.join(q, F.expr(f"p.x = q.x and {pair}")).select(*_ordered("p.sig", "q.sig")), sets)
+    rest = _alike(p.join(q, F.expr(f"p.x = q.x and {pair}")).select(*_ordered("p.sig", "q.sig")), sets, rows, width)
     # The components that the rest joins: named by what they were called before.
     name = first.withColumnRenamed("component", "c")
     ends = rest.join(name.withColumnRenamed("sig", "a").withColumnRenamed("c", "ca"), "a", "left").join(name.withColumnRenamed("sig", "b").withColumnRenamed("c", "cb"), "b", "left")
@@ -171,8 +178,9 @@ def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ``first_h`` name the component's first text: the smallest doc_id, nulls last, then the smallest ``h``. Repeated rows and
     null ids have a row each; an empty table gives an empty result; other columns are ignored.
     """
-    sets = cut(shingled(docs, width))
-    rows = cut(sets.join(classes(sets), "sig", "left").select("doc_id", "h", F.coalesce("component", "sig").alias("component")))
+    texts = _rows(docs)
+    sets = cut(shingled(texts, width, common_shingles(texts, width)))
+    rows = cut(sets.join(classes(sets, texts, width), "sig", "left").select("doc_id", "h", F.coalesce("component", "sig").alias("component")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     firsts = cut(rows.groupBy("component").agg(F.min(order).alias("f")).select("component", F.col("f.doc_id").alias("first_id"), F.col("f.h").alias("first_h")))
     return rows.join(firsts, "component").select("doc_id", "h", "component", "first_id", "first_h")

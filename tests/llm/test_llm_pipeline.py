@@ -87,9 +87,10 @@ def test_near_copies_by_rows(spark):
     assert sorted(map(tuple, left), key=str) == sorted([(2, "a b c d e f"), (5, "u v w x y z"), (None, "o p q r s"), (7, None)], key=str)
 
 
-@pytest.mark.parametrize("hot", [64, 2])
+@pytest.mark.parametrize("hot", [64, 1])
 def test_near_copies_of_similarity(spark, monkeypatch, hot):
     monkeypatch.setattr(near_text, "HOT", hot)
+    monkeypatch.setattr(near_text, "RATE", 1)
     r, word = random.Random(12), lambda: f"w{r.randrange(900)}"
     base = [[word() for _ in range(r.randrange(5, 400))] for _ in range(20)]
     passage = [word() for _ in range(60)]
@@ -109,17 +110,17 @@ def test_near_copies_of_similarity(spark, monkeypatch, hot):
     assert len(far) > 20 and kept == {i for i in group if group[i] == i}
 
 
-def test_common_shingles(spark):
-    """The table flags what it was given and little else."""
-    import numpy as np
+def test_common_shingles(spark, monkeypatch):
+    """The table flags the first shingles that texts share and little else."""
+    from folioscope.llm.simhash import digests
 
-    g = np.random.default_rng(4)
-    hot, other = (g.integers(0, 1 << 63, 200).astype(np.int64) * 2 + 1 for _ in range(2))
-    sets = spark.createDataFrame([(k, len(hot), sorted(hot.tolist())) for k in range(near_text.HOT + 1)], "sig long, n int, hashes array<long>")
-    table = near_text._common(sets).value
-    first = np.sort(hot)[:41]
-    assert near_text.flagged(table, first).all() and near_text.flagged(table, other).sum() == 0
-    assert near_text._common(sets.limit(near_text.HOT)) is None
+    monkeypatch.setattr(near_text, "RATE", 1)
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = near_text._rows(docs_of(spark, [f"{shared} own{k} x y z q r" for k in range(near_text.HOT)] + ["t u v w x y z"]))
+    table = near_text.common_shingles(rows, 5).value
+    every, other = near_text.shingle_set(digests(shared, 5)), near_text.shingle_set(digests("t u v w x y z a b c d e f", 5))
+    assert near_text.flagged(table, every).sum() > 20 and near_text.flagged(table, other).sum() == 0
+    assert near_text.common_shingles(rows.where("doc_id > 0"), 5) is None
 
 
 def test_empty_tables_end_to_end(spark, tmp_path):
