@@ -7,7 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import byte_view
+from folioscope.functions.text import byte_view, normalise
+
+
+#: Stands between the items of an array; a code point that is no character, so no text should hold it.
+JOINT = "\ufdd0"
+
+
+def joined(items: Column) -> Column:
+    """A string array's items, each normalised and in lower case, in one string with JOINT between them. Generated code, unlike a loop over the array."""
+    ends = F.regexp_replace(F.array_join(items, JOINT), rf"[\x00-\x20]*+{JOINT}[\x00-\x20]*+", JOINT)
+    return F.lower(normalise(ends))
 
 
 def clamp(coef: float) -> float:
@@ -45,12 +55,19 @@ class Rule:
                 return cls(octets[:k], n, int(n * (1 - coef)))
         return None  # the sum of all falls short of the coefficient by rounding
 
+    def _pattern(self, start: str, byte: str) -> str:
+        """Java's pattern of a word's begin: the needle's size from ``start`` on, the prefix there or behind a space, and more than ``tail`` bytes from that place."""
+        t, n = "".join(f"\\x{b:02x}" for b in self.prefix), len(self.prefix)
+        return f"(?s){start}(?={byte}{{{self.size}}})(?:{t}{byte}{{{max(0, self.tail + 1 - n)}}}|{byte}+ {t}{byte}{{{max(0, self.tail - n)}}})"
+
     def column(self, source: Column) -> Column:
-        """True where a word of ``source`` (normalised, lower case) begins with the prefix, far enough from the end. Null: false."""
-        s, t = byte_view(source), self.prefix.decode("iso-8859-1")
-        place = F.instr(F.substring(s, 2, 2**31 - 1), F.lit(" " + t))  # from 1: the byte place of the space, from 0
-        found = (F.startswith(s, F.lit(t)) & (F.length(s) > self.tail)) | ((place > 0) & (place < F.length(s) - self.tail))
-        return F.coalesce((F.length(s) >= self.size) & found, F.lit(False))
+        """True where a word of ``source`` (normalised, lower case) begins with the prefix, far enough from the end. Null: false. The source stands in it once."""
+        return F.coalesce(F.regexp_like(byte_view(source), F.lit(self._pattern("^", "."))), F.lit(False))
+
+    def any_of(self, sources: Column) -> Column:
+        """The same for a string array's items, joined by JOINT (normalised, lower case). Null and empty arrays: false."""
+        octets = F.replace(byte_view(sources), F.lit(JOINT.encode().decode("iso-8859-1")), F.lit("\xff"))  # a byte that UTF-8 never has
+        return F.coalesce(F.regexp_like(octets, F.lit(self._pattern("(?:^|\\xff)", "[^\\xff]"))), F.lit(False))
 
     def sql(self, source: str) -> str:
         """The same for DuckDB, where the prefix is whole characters."""

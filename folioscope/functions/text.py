@@ -21,7 +21,7 @@ def byte_view(text: Column) -> Column:
 
 def trim_controls(text: Column) -> Column:
     """Without characters 0 to 32 at both ends."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(text, F.lit("".join(map(chr, range(33)))))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -74,7 +74,7 @@ def unescape_python(text: str) -> str:
     def one(m: re.Match) -> str:
         if m[0] in _NAMED:
             return _NAMED[m[0]]
-        code = int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1])
+        code = int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1].lstrip("0")[:9] or "0")
         return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
     return re.sub(rf"{'|'.join(map(re.escape, _NAMED))}|{_NUMERIC.pattern}", one, text)
@@ -117,16 +117,45 @@ def full_name(last: Column, first: Column, middle: Column, nick: Column) -> Colu
     return F.concat_ws(" aka ", F.nullif(F.concat_ws(" ", some(last), some(first), some(middle)), F.lit("")), some(nick))
 
 
-_TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<[!?/A-Za-z][^>]*>", re.S)
+def markup_parts(markup: str):
+    """(start, end, kind) of the tags of a text, in order: ``comment``, ``cdata``, ``other`` (declarations and instructions) or ``tag``.
+
+    One pass, however the markup is broken: what never ends is text, and so is a ``<`` before anything but a name, ``/``, ``!`` or ``?``.
+    """
+    last, done = markup.rfind(">"), {x: markup.rfind(x) for x in ("-->", "]]>")}
+    at = 0
+    while (a := markup.find("<", at)) >= 0 and a <= last:
+        for begin, end, kind in (("<!--", "-->", "comment"), ("<![CDATA[", "]]>", "cdata")):
+            if markup.startswith(begin, a) and done[end] >= a + len(begin):
+                at = markup.find(end, a + len(begin)) + 3
+                yield a, at, kind
+                break
+        else:
+            c = markup[a + 1 : a + 2]
+            if c in ("!", "?", "/") or (c.isascii() and c.isalpha()):
+                at = markup.find(">", a) + 1
+                yield a, at, "other" if c in "!?" else "tag"
+            else:
+                at = a + 1
 
 
 def strip_tags_python(markup: str) -> str:
     """Text of every content and CDATA part, entities of content decoded. Broken markup keeps what is no tag."""
     out, at = [], 0
-    for m in _TOKEN.finditer(markup):
-        out += [html.unescape(markup[at : m.start()]), m[1] or ""]
-        at = m.end()
-    return "".join([*out, html.unescape(markup[at:])])
+    for start, end, kind in markup_parts(markup):
+        out += [decoded(markup[at:start]), markup[start + 9 : end - 3] if kind == "cdata" else ""]
+        at = end
+    return "".join([*out, decoded(markup[at:])])
+
+
+_LONG_NUMBER = re.compile(r"&#([0-9]{8,});?")
+
+
+def decoded(text: str) -> str:
+    """Entities decoded; a number of more digits than any code point has is none."""
+    if "&#" in text:
+        text = _LONG_NUMBER.sub(lambda m: f"&#{n};" if len(n := m[1].lstrip("0")) < 8 else "\ufffd", text)
+    return html.unescape(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -142,20 +171,24 @@ TAGS = {
 }
 
 
+_NAME = re.compile(r"</?([A-Za-z][\w:.-]*)")
+
+
 def replace_tags_python(markup: str, table: dict[str, tuple[str, str] | None] | None = None) -> str:
     """Tags of ``table`` become their replacements, or stay where it says None; other tags go, their content stays."""
     table = TAGS if table is None else table
-    tag = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([A-Za-z][\w:.-]*)([^>]*?)(/?)>", re.S)
-
-    def one(m: re.Match) -> str:
-        if not m[2] or m[2] not in table:
-            return ""
-        own = table[m[2]]
-        if own is None:
-            return m[0]
-        return own[1] if m[1] else own[0] + own[1] * bool(m[4])
-
-    return tag.sub(one, markup)
+    out, at = [], 0
+    for start, end, kind in markup_parts(markup):
+        m = _NAME.match(markup, start) if kind == "tag" else None
+        if kind == "tag" and not m:  # "</" before anything but a name is text
+            continue
+        out.append(markup[at:start])
+        at = end
+        if m and m[1] in table:
+            own = table[m[1]]
+            closing, empty = markup[start + 1] == "/", markup[end - 2] == "/"
+            out.append(markup[start:end] if own is None else own[1] if closing else own[0] + own[1] * empty)
+    return "".join([*out, markup[at:]])
 
 
 def replace_tags(markup: Column, table: dict[str, tuple[str, str] | None] | None = None) -> Column:

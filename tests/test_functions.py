@@ -43,3 +43,16 @@ def test_paths(spark):
     assert one(spark, lambda x: paths.relative_to(x, "/lib/x"), "/lib/a") == "../a"
     assert one(spark, lambda x: paths.absolute(x, "/mnt/"), "a/../b//c.txt") == "/mnt/b/c.txt"
     assert one(spark, lambda x: paths.absolute(x, "/mnt"), "a/b") == "/mnt/a/b"
+
+
+def test_markup_takes_time_in_proportion():
+    import time
+
+    for piece in ("<a ", "<!--", "<![CDATA[", "<", "</", "<!", "&#" + "9" * 5000 + ";", "<a>"):
+        x = piece * (400_000 // len(piece))
+        began = time.time()
+        text.strip_tags_python(x)
+        text.replace_tags_python(x)
+        assert time.time() - began < 3, piece
+    assert text.strip_tags_python("<!-- a < b") == "<!-- a < b" and text.replace_tags_python("1 </ 2> <b>x</b>") == "1 </ 2> <b>x</b>"
+    assert text.unescape_python("&#" + "9" * 5000 + ";&#00065;") == "&#" + "9" * 5000 + ";A"

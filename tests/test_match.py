@@ -72,3 +72,29 @@ def test_column_on_random_words(spark):
 def test_constants_of_long_needles():
     assert [len(Rule.of("x" * n, c).prefix) for n, c in ((4, 0.75), (10, 0.7), (99, 0.99), (100, 0.99))] == [3, 7, 99, 99]
     assert (clamp(1), clamp(-0.1), clamp(0)) == (0.99, 0.99, 0)
+
+
+def test_any_of_an_array(spark):
+    import random
+
+    from folioscope.functions.match import joined
+
+    r = random.Random(6)
+    made = [["".join(r.choice("ab é\t ") for _ in range(r.randrange(14))) for _ in range(r.randrange(4))] for _ in range(300)] + [None, [None, "ab"], [""]]
+    df = spark.createDataFrame([(x,) for x in made], "s array<string>").coalesce(1)
+    for _ in range(8):
+        needle, coef = normalise_needle("".join(r.choice("ab é") for _ in range(r.randrange(1, 6)))), r.random()
+        rule = Rule.of(needle, coef)
+        if rule:
+            got = [x[0] for x in df.select(rule.any_of(joined(F.col("s")))).collect()]
+            assert got == [any(by_loop(needle, normalise_needle(t), coef) for t in x or [] if t) for x in made]
+
+
+def test_search_stays_in_generated_code(spark):
+    from folioscope.operators.search import Title, search
+    from folioscope.schema import BOOKS
+
+    books = spark.createDataFrame([], BOOKS).repartition(2)
+    plan = search(books, [Title("small widg")])._jdf.queryExecution().executedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x]
+    assert len(filters) == 1 and filters[0].count("regexp_replace") <= 2
