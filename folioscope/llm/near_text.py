@@ -20,6 +20,8 @@ RATE = 16
 ROUNDS = 3
 #: Bits of the table of common shingles, two for each; its size is fixed.
 BITS = 27
+#: 64-bit segments of a set's odd sketch.
+SEGMENTS = 16
 #: Sets up to which their names are broadcast to fetch members; more are joined by a shuffle.
 FEW = 1 << 20
 
@@ -48,29 +50,37 @@ def name_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED)
 
 
+def odd_sketch(own: np.ndarray) -> np.ndarray:
+    """SEGMENTS 64-bit words; each member of a set turns one bit. Two sets' sketches differ in no more bits than members are in just one of them."""
+    at = (own >> np.uint64(20)) & np.uint64(64 * SEGMENTS - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * SEGMENTS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingled(rows: DataFrame, width: int, common=None) -> DataFrame:
-    """(doc_id, h, fp, sig, n, first, late) of every row: SimHash, hash and size of the shingle set, and its first n - ceil(0.8 n) + 1 shingles, of which the last ``late`` are common.
+    """(doc_id, h, fp, sig, n, odd, first, late) of every row: SimHash, hash, size and odd sketch of the shingle set, and its first n - ceil(0.8 n) + 1 shingles, of which the last ``late`` are common.
 
     The members themselves aren't kept: ``_alike`` reads them again where they are asked for.
     """
 
     def over(batches):
         for batch in batches:
-            fps, sigs, sizes, firsts, late = [], [], [], [], []
+            fps, sigs, sizes, odd, firsts, late = [], [], [], [], [], []
             for x in batch.column(2):
                 octets = digests(x.as_py(), width)
                 own = shingle_set(octets)
                 fps.append(folded(octets))
                 sigs.append(name_of(own))
                 sizes.append(len(own))
+                odd.append(odd_sketch(own))
                 flags = np.zeros(len(own), np.bool_) if common is None else flagged(common.value, own)
                 order = np.argsort(flags, kind="stable")[: len(own) - (4 * len(own) + 4) // 5 + 1]
                 firsts.append(own[order].view(np.int64))
                 late.append(int(flags[order].sum()))
-            columns = [batch.column(0), batch.column(1), _long(fps), _long(sigs), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(late, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "sig", "n", "first", "late"])
+            columns = [batch.column(0), batch.column(1), _long(fps), _long(sigs), pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(late, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "sig", "n", "odd", "first", "late"])
 
-    return rows.mapInArrow(tidied(over), "doc_id long, h binary, fp long, sig long, n int, first array<long>, late int")
+    return rows.mapInArrow(tidied(over), "doc_id long, h binary, fp long, sig long, n int, odd array<long>, first array<long>, late int")
 
 
 def flagged(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -111,10 +121,17 @@ def _members(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(a, b) of ``pairs`` whose whole shingle sets have a Jaccard similarity of 0.8 or more; the sets are made anew from a text of each."""
+    """(a, b) of ``pairs`` whose whole shingle sets have a Jaccard similarity of 0.8 or more.
+
+    At that similarity, (n + m) / 9 members at most are in just one of the sets, so odd sketches that differ in more bits tell a
+    pair apart. For the pairs that are left, the whole sets are made anew, from a text of each, and compared.
+    """
     pairs = cut(pairs.where("a <> b").distinct())
-    asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    asked = cut(sets.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("h", "doc_id")).alias("r")).select("sig", F.col("r.h").alias("h")))
+    own = cut(sets.join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("h", "n", "odd")).alias("r")).select("sig", "r.*"))
+    side = lambda x: own.select(F.col("sig").alias(x), F.struct("n", "odd").alias(f"of_{x}"))
+    bits = " + ".join(f"bit_count(of_a.odd[{k}] ^ of_b.odd[{k}])" for k in range(SEGMENTS))
+    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(f"9 * ({bits}) <= of_a.n + of_b.n").select("a", "b"))
+    asked = cut(own.select("sig", "h").join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig", "left_semi"))
     few = asked.count() <= FEW
     texts = rows.select("h", "text").join(F.broadcast(asked) if few else asked, "h")
     # Copies of a text that stands for a set give the set again: one is kept.
