@@ -85,6 +85,14 @@ def xml_unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(unescape_python, na_action="ignore")
 
 
+def replace_symbols(text: Column, table: list[tuple[str, str]]) -> Column:
+    """Each symbol of ``table`` (replacement, symbol) replaced, in the table's order. What a replacement makes isn't looked at again by the same entry; empty symbols are passed over."""
+    for replacement, symbol in table:
+        if symbol:
+            text = F.replace(text, F.lit(symbol), F.lit(replacement))
+    return text
+
+
 def quoted_value(text: Column, tag: str) -> Column:
     """What stands between the first pair of double quotes after ``tag``; empty where there is none."""
     return F.regexp_extract(text, re.escape(tag) + r'[^"]*"([^"]*)"', 1)

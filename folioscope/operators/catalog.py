@@ -60,6 +60,16 @@ def displayed(books: DataFrame) -> DataFrame:
     })
 
 
+def place_text(path_in_file: Column) -> Column:
+    """The place in a file as a path; empty for a book that is a file itself."""
+    return F.coalesce(F.array_join(path_in_file, "/"), F.lit(""))
+
+
+def hops_of(text: Column) -> Column:
+    """The places of an old store, hop by hop on lines of their own; null for none."""
+    return F.when(text != "", F.split(text, "\n"))
+
+
 def same_place(left: DataFrame, right: DataFrame) -> Column:
     """A record's key against a mark's: the file, and the place in it where the book has one. A book without a place meets every mark of its file."""
     return (left["file_path"] == right["file_path"]) & (left["path_in_file"].isNull() | left["path_in_file"].eqNullSafe(right["path_in_file"]))

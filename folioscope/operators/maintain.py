@@ -1,4 +1,4 @@
-"""Dedup, pruning, refresh, edits, bookmarks and notes. Each gives a new DataFrame; ``replace_table`` swaps it in."""
+"""Dedup, pruning, refresh, edits, bookmarks and notes. Each gives a new DataFrame; ``replace_table`` puts it in place."""
 
 from __future__ import annotations
 
@@ -125,18 +125,59 @@ def remove_notes(notes: DataFrame, books: DataFrame) -> DataFrame:
     return notes.join(books, same_place(books, notes), "left_anti")
 
 
-def replace_table(spark: SparkSession, df: DataFrame, path: str, max_records: int = 0) -> None:
-    """Writes beside a table and swaps by rename, so that a table may be computed from itself and a failed write leaves it whole."""
-    staged, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.option("maxRecordsPerFile", max_records).parquet(staged)
+def _fs(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that has it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder that holds a table's rows now; None where none has been written."""
+    at, fs = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return f"{path}/{bytes(stream.readAllBytes()).decode('utf-8')}"
+    finally:
+        stream.close()
+
+
+#: The file of a table's folder that names the version to be read.
+POINTER = "_current"
+
+
+def stage_table(spark: SparkSession, df: DataFrame, path: str, max_records: int = 0) -> str:
+    """Writes a new version beside those that are there; nobody reads it before ``switch_table`` names it."""
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", max_records).parquet(f"{path}/{version}")
+    return version
+
+
+def switch_table(spark: SparkSession, path: str, version: str) -> None:
+    """Names a staged version in the pointer, by one rename over the old pointer: a reader sees the old rows or the new ones.
+
+    The version before it stays for those who are reading it; older ones go.
+    """
+    before = current(spark, path)
+    at, fs = _fs(spark, f"{path}/{POINTER}.{uuid.uuid4().hex}")
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(version.encode("utf-8")))
+    finally:
+        out.close()
     jvm = spark.sparkContext._jvm
-    of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(of(path)) and not fs.rename(of(path), of(old)):
-        raise OSError(f"{path} can't be moved")
-    if not fs.rename(of(staged), of(path)):
-        if fs.exists(of(old)):
-            fs.rename(of(old), of(path))
-        raise OSError(f"{staged} can't be moved to {path}")
-    if fs.exists(of(old)):
-        fs.delete(of(old), True)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context.rename(at, _fs(spark, f"{path}/{POINTER}")[0], options)
+    kept = {version, (before or "").rsplit("/", 1)[-1]}
+    for found in fs.listStatus(_fs(spark, path)[0]):
+        name = found.getPath().getName()
+        if name.startswith("version-") and name not in kept:
+            fs.delete(found.getPath(), True)
+
+
+def replace_table(spark: SparkSession, df: DataFrame, path: str, max_records: int = 0) -> None:
+    """Replaces a table's rows as a whole; it may be computed from itself, and a failed write leaves it as it is."""
+    switch_table(spark, path, stage_table(spark, df, path, max_records))

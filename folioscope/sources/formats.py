@@ -285,6 +285,12 @@ PARSERS = {".fb2": fb2, ".epub": epub, ".odt": odt, ".pdf": pdf, ".djvu": djvu,
 NEVER_EMPTY = {".fb2", ".epub", ".odt", ".pdf", ".djvu"}
 
 
+def unread(stem: str, date: str) -> tuple[dict, dict]:
+    """(book, details) of a file that isn't opened."""
+    book, more = _new()
+    return book | {"titles": [stem], "dates": [date]}, more
+
+
 def parse(extension: str, content: bytes, stem: str, date: str) -> tuple[dict, dict] | None:
     """(book, details) of one file; None for an unknown format and for an empty file of a format that can't be. A file that can't be parsed is a book by its stem and date."""
     parser = PARSERS.get(extension)

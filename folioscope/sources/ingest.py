@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import re
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -16,8 +17,10 @@ from folioscope.functions.text import ddmmyyyy
 from folioscope.schema import BOOKS, DETAILS
 from folioscope.sources import archives, formats
 
-#: Bytes of a file up to which it is read whole; a larger one is an error, never left out in silence.
+#: Bytes of a file up to which it is read whole. A larger one isn't opened: it is one book, by its stem and date, without a hash.
 MAX_FILE_BYTES = 1 << 30
+#: Files up to which those to be read are named one by one; of more, their directories are scanned again.
+NAMED_FILES = 10_000
 
 
 def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
@@ -26,6 +29,14 @@ def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(spark.createDataFrame([], ddl).schema)
 
 
+def _scanned(found: DataFrame, root) -> DataFrame:
+    name = F.regexp_replace("path", "^file:/+", "/")
+    return found.select(name.alias("file_path"), root.alias("root_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
+
+
+EMPTY_CRAWL = "file_path string, root_path string, file_size long, modified timestamp, content binary"
+
+
 def crawl(spark: SparkSession, *paths: str) -> DataFrame:
     """(file_path, root_path, file_size, modified, content): supported files under every path, recursively, through Spark's file systems, so on any store.
 
@@ -38,29 +49,63 @@ def crawl(spark: SparkSession, *paths: str) -> DataFrame:
         if not at.getFileSystem(conf).exists(at):
             continue
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
-        name = F.regexp_replace("path", "^file:/+", "/")
-        own = found.select(name.alias("file_path"), F.lit(path.rstrip("/")).alias("root_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
+        own = _scanned(found, F.lit(path.rstrip("/")))
         out = own if out is None else out.unionByName(own)
     if out is None:
-        out = spark.createDataFrame([], "file_path string, root_path string, file_size long, modified timestamp, content binary")
+        out = spark.createDataFrame([], EMPTY_CRAWL)
     return out.where(supported(F.col("file_path")))
 
 
+def crawl_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The same for single files, each its own root. Signs that mean something in a pattern are taken as they are."""
+    if not files:
+        return spark.createDataFrame([], EMPTY_CRAWL)
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load([re.sub(r"([\\*?\[\]{}])", r"\\\1", x) for x in files])
+    return _scanned(found, F.regexp_replace("path", "^file:/+", "/"))
+
+
 def files_of(crawled: DataFrame, hashes: bool = True) -> DataFrame:
-    """(file_path, root_kind, root_path, link_path, file_hash, file_size); without ``hashes`` no content is read."""
+    """(file_path, root_kind, root_path, link_path, file_hash, file_size); without ``hashes`` no content is read. Files over MAX_FILE_BYTES have a null hash."""
 
     def over(batches):
         for batch in batches:
             hashed = [hashlib.blake2b(x.as_py() or b"", digest_size=32).digest() for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hashed, pa.binary())], names=["file_path", "root_path", "file_size", "file_hash"])
 
+    none = F.lit(None).cast("binary").alias("file_hash")
     if hashes:
-        rows = crawled.select("file_path", "root_path", "file_size", "content").mapInArrow(over, "file_path string, root_path string, file_size long, file_hash binary")
+        rows = _opened(crawled).select("file_path", "root_path", "file_size", "content").mapInArrow(over, "file_path string, root_path string, file_size long, file_hash binary")
+        rows = rows.unionByName(_closed(crawled).select("file_path", "root_path", "file_size", none))
     else:
-        rows = crawled.select("file_path", "root_path", "file_size", F.lit(None).cast("binary").alias("file_hash"))
+        rows = crawled.select("file_path", "root_path", "file_size", none)
     return rows.select("file_path", F.lit("dir").alias("root_kind"), "root_path", F.lit(None).cast("string").alias("link_path"), "file_hash", "file_size")
 
 
+def _opened(crawled: DataFrame) -> DataFrame:
+    return crawled.where(F.col("file_size") <= MAX_FILE_BYTES)  # pushed into the scan, which then never reads the others
+
+
+def _closed(crawled: DataFrame) -> DataFrame:
+    return crawled.where(F.col("file_size") > MAX_FILE_BYTES).drop("content")
+
+
+def rehash(known: DataFrame, since, *paths: str) -> DataFrame:
+    """``files_of`` for everything under ``paths``, with the hashes of ``known`` (files) for paths of the same size that haven't been modified after ``since`` (a timestamp): only the others are read."""
+    spark = known.sparkSession
+    every = crawl(spark, *paths).drop("content")
+    held = known.where("file_hash is not null").select("file_path", "file_size", "file_hash").dropDuplicates(["file_path"])
+    same = every.where(F.col("modified") <= F.lit(since)).join(held, ["file_path", "file_size"])
+    rest = every.join(same.select("file_path"), "file_path", "left_anti")
+    named = [r["file_path"] for r in rest.select("file_path").limit(NAMED_FILES + 1).collect()]
+    if len(named) > NAMED_FILES:
+        fresh = files_of(crawl(spark, *paths)).join(rest.select("file_path"), "file_path", "left_semi")
+    else:
+        hashed = files_of(crawl_files(spark, named)).select("file_path", "file_hash")
+        fresh = files_of(rest, hashes=False).drop("file_hash").join(hashed, "file_path", "left")
+    columns = ["file_path", "root_kind", "root_path", "link_path", "file_hash", "file_size"]
+    return files_of(same, hashes=False).drop("file_hash").join(same.select("file_path", "file_hash"), "file_path").select(*columns).unionByName(fresh.select(*columns))
+
+
 def _parsed(ext: str, content: bytes, path: str, date: str):
     """(hops or None, fbd path, book, details) of one file's books."""
     if ext in archives.ARCHIVES:
@@ -75,6 +120,7 @@ def parse(crawled: DataFrame, details: bool = False) -> DataFrame:
 
     Files are parsed where they are read, in Arrow batches; one file's bytes at a time are in a task's hands, and nothing is
     shuffled. A missing title becomes the file's stem, a missing date the file's (or the archive entry's) modification date.
+    A file over MAX_FILE_BYTES, which isn't opened, is one book of that title and date.
     """
     spark = crawled.sparkSession
     ddl = BOOKS + (", " + DETAILS if details else "")
@@ -90,9 +136,18 @@ def parse(crawled: DataFrame, details: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    too_large = F.raise_error(F.concat(F.lit(f"over {MAX_FILE_BYTES} bytes, can't be parsed: "), F.col("file_path"))).cast("binary")
-    content = F.when(F.col("file_size") <= MAX_FILE_BYTES, F.col("content")).otherwise(too_large).alias("content")
-    return crawled.select("file_path", extension(F.col("file_path")).alias("ext"), ddmmyyyy(F.col("modified")).alias("date"), content).mapInArrow(over, ddl)
+    def unread(batches):
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                path, _, date = (batch.column(i)[k].as_py() for i in range(3))
+                book, more = formats.unread(archives.stem_of(unquote(path)), date)
+                rows.append({"file_path": path, "path_in_file": None, "fbd_path": None} | book | (more if details else {}))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    columns = ["file_path", extension(F.col("file_path")).alias("ext"), ddmmyyyy(F.col("modified")).alias("date")]
+    rows = _opened(crawled).select(*columns, "content").mapInArrow(over, ddl)
+    return rows.unionByName(_closed(crawled).select(*columns).mapInArrow(unread, ddl))
 
 
 def create(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:

@@ -67,8 +67,8 @@ def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     )
 
 
-def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(entry, line): ended lines of every ``.inp`` list in the INPX files under ``path``; entry is the list's path without its extension."""
+def lines_in(files: DataFrame) -> DataFrame:
+    """(entry, line): ended lines of every ``.inp`` list in the INPX files whose bytes are in ``content``; entry is the list's path without its extension."""
 
     def over(batches):
         for batch in batches:
@@ -85,15 +85,20 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
                     pass
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lines, pa.string())], names=["entry", "line"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(over, "entry string, line string")
+    return files.select("content").mapInArrow(over, "entry string, line string")
 
 
 def load(spark: SparkSession, path: str, files: DataFrame, books_dir: str) -> DataFrame:
-    """Books of an INPX collection: each list joined with the file of the same relative path without extension (one, the smallest); lists without a file are passed over."""
+    """Books of an INPX collection: see ``matched``."""
+    return matched(lines_in(spark.read.format("binaryFile").load(path)), files, books_dir)
+
+
+def matched(lines: DataFrame, files: DataFrame, books_dir: str) -> DataFrame:
+    """Each list's records joined with the file of the same relative path without extension (one, the smallest); lists without a file are passed over."""
     base = books_dir.rstrip("/") + "/"
     ext = extension(F.col("file_path"))
     relative = F.expr("substring(file_path, %d)" % (len(base) + 1))
     keyed = files.where(F.startswith("file_path", F.lit(base))).select(F.substring(relative, F.lit(1), F.length(relative) - F.length(ext)).alias("entry"), "file_path")
     one = keyed.groupBy("entry").agg(F.min("file_path").alias("file_path"))
     null = F.lit(None).cast("string")
-    return parse_lines(lines_of(spark, path).join(one, "entry")).withColumn("fbd_path", null).select("file_path", "path_in_file", "fbd_path", "authors", "titles", "sequences", "genres", "dates")
+    return parse_lines(lines.join(one, "entry")).withColumn("fbd_path", null).select("file_path", "path_in_file", "fbd_path", "authors", "titles", "sequences", "genres", "dates")

@@ -1,7 +1,4 @@
-"""Old binary stores, little-endian, as Python data sources: ``spark.read.format("legacy_books" | "legacy_bookmarks" | "legacy_notes").load(path)``.
-
-They name a local path and are registered by ``register``. For other stores, ``books_of`` reads the bytes of a ``binaryFile`` scan.
-"""
+"""Old binary stores, little-endian: books, bookmarks and notes from the bytes of a ``binaryFile`` scan."""
 
 from __future__ import annotations
 
@@ -10,8 +7,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
+from folioscope.functions.paths import file_name
 from folioscope.schema import BOOKS, NOTES, author, sequence
 
 # Sizes of the numbers that say how long a field is.
@@ -102,74 +100,48 @@ def notes(data: bytes) -> Iterator[dict]:
         yield {"file_path": path, "path_in_file": hops.split("\n") if hops else None, "note_file": own, "note_text": None}
 
 
-def books_of(files: DataFrame) -> DataFrame:
-    """Books of old collections whose bytes are in ``content``; a broken one gives what comes before the break."""
+def _of(files: DataFrame, parser, ddl: str, strict: bool) -> DataFrame:
     from folioscope.sources.ingest import _arrow
 
-    schema = _arrow(files.sparkSession, BOOKS)
+    schema = _arrow(files.sparkSession, ddl)
 
     def over(batches):
         for batch in batches:
             for x in batch.column(0):
                 rows = []
                 try:
-                    for row in collection(x.as_py() or b"")[1]:
+                    for row in parser(x.as_py() or b""):
                         rows.append(row)
                 except Broken:
-                    pass
+                    if strict:
+                        raise
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("content").mapInArrow(over, BOOKS)
-
-
-def _values(row: dict, order: list[str]) -> tuple:
-    plain = lambda v: tuple(v.values()) if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else v
-    return tuple(plain(row[x]) for x in order)
-
-
-class _Source(DataSource):
-    ddl, order, parser = BOOKS, ["file_path", "path_in_file", "fbd_path", "authors", "titles", "sequences", "genres", "dates"], staticmethod(lambda data: collection(data)[1])
-
-    def schema(self) -> str:
-        return self.ddl
-
-    def reader(self, schema) -> DataSourceReader:
-        own = self
-
-        class Reader(DataSourceReader):
-            def partitions(self):
-                return [InputPartition(own.options["path"])]
-
-            def read(self, partition):
-                with open(partition.value, "rb") as f:
-                    data = f.read()
-                return iter([_values(x, own.order) for x in own.parser(data)])
+    return files.select("content").mapInArrow(over, ddl)
 
-        return Reader()
 
+def books_of(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Books of old collections whose bytes are in ``content``; a broken one gives what comes before the break, or (``strict``) an error."""
+    return _of(files, lambda data: collection(data)[1], BOOKS, strict)
 
-class LegacyBooks(_Source):
-    @classmethod
-    def name(cls) -> str:
-        return "legacy_books"
 
+def bookmarks_of(files: DataFrame, strict: bool = False) -> DataFrame:
+    return _of(files, bookmarks, BOOKS, strict)
 
-class LegacyBookmarks(_Source):
-    parser = staticmethod(bookmarks)
 
-    @classmethod
-    def name(cls) -> str:
-        return "legacy_bookmarks"
+def notes_of(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Old notes, without their texts, which are files of their own: see ``with_texts``."""
+    return _of(files, notes, NOTES, strict)
 
 
-class LegacyNotes(_Source):
-    ddl, order, parser = NOTES, ["file_path", "path_in_file", "note_file", "note_text"], staticmethod(notes)
+def with_texts(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """Notes with the texts of their files, found by name among ``files`` (file_path, content)."""
+    from folioscope.sources.charset import to_text
 
-    @classmethod
-    def name(cls) -> str:
-        return "legacy_notes"
+    texts = files.select(file_name(F.col("file_path")).alias("note_file"), to_text("content").alias("note_text")).groupBy("note_file").agg(F.min("note_text").alias("note_text"))
+    return listed.drop("note_text").join(texts, "note_file", "left").select("file_path", "path_in_file", "note_file", "note_text")
 
 
-def register(spark: SparkSession) -> None:
-    for source in (LegacyBooks, LegacyBookmarks, LegacyNotes):
-        spark.dataSource.register(source)
+def read(spark: SparkSession, kind: str, path: str, strict: bool = True) -> DataFrame:
+    """An old ``books``, ``bookmarks`` or ``notes`` store, read through Spark's file systems: on any store, by any executor."""
+    return {"books": books_of, "bookmarks": bookmarks_of, "notes": notes_of}[kind](spark.read.format("binaryFile").load(path), strict)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.operators.maintain import replace_table
+from folioscope.operators.maintain import current, stage_table, switch_table
 from folioscope.schema import BOOKS, COLLECTION, FILES, NOTES
 
 TABLES = {"info": COLLECTION, "files": FILES, "books": BOOKS, "bookmarks": BOOKS, "notes": NOTES}
@@ -13,20 +13,49 @@ MAX_RECORDS = 5_000_000
 
 
 def save(spark: SparkSession, root: str, **tables: DataFrame) -> None:
-    """Writes tables of a collection under ``root``; a table may be computed from the one it replaces."""
-    for name, df in tables.items():
-        if name not in TABLES:
-            raise ValueError(f"no such table: {name}")
-        replace_table(spark, df, f"{root}/{name}", MAX_RECORDS)
+    """Writes tables of a collection under ``root``; they may be computed from those they replace: all are written before the first is put in place."""
+    if unknown := set(tables) - set(TABLES):
+        raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
+    staged = {name: stage_table(spark, df, f"{root}/{name}", MAX_RECORDS) for name, df in tables.items()}
+    for name, version in staged.items():
+        switch_table(spark, f"{root}/{name}", version)
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of a collection; an empty one where it hasn't been written."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.read.parquet(f"{root}/{name}")
-    return spark.createDataFrame([], TABLES[name])
+    at = current(spark, f"{root}/{name}")
+    return spark.read.parquet(at) if at else spark.createDataFrame([], TABLES[name])
+
+
+def refresh(spark: SparkSession, root: str, *paths: str, fast: bool = False) -> None:
+    """Brings a collection up to its directories' files. Edits of books in unchanged files stay.
+
+    A native one is compared by sizes (``fast``) or hashes; only added and changed files are parsed. One of another type (INPX, an
+    old store) is built anew from its books directory, as a native one. ``paths``: the directories of a native collection that
+    has no file yet; else its files say which.
+    """
+    from folioscope.operators import maintain
+    from folioscope.operators.catalog import require_info
+    from folioscope.sources import ingest
+
+    info = require_info(load(spark, root, "info"))
+    if info["type"] != "native":
+        files, found = ingest.create(spark, info["books_dir"])
+        save(spark, root, info=spark.createDataFrame([("native", info["books_dir"], None)], COLLECTION), files=files, books=found)
+        return
+    old = load(spark, root, "files")
+    roots = list(paths) or [r["root_path"] for r in old.select("root_path").distinct().collect()]
+    crawled = ingest.crawl(spark, *roots)
+    now = ingest.files_of(crawled, hashes=not fast)
+    changes = maintain.classify_refresh(old, now, fast=fast)
+    fresh = maintain.to_parse(changes, crawled)
+    if fast:  # hashes only of what is read anyway
+        now = old.join(changes.where("change = 'same'").select("file_path"), "file_path", "left_semi").unionByName(ingest.files_of(fresh))
+    books_now = maintain.refresh(load(spark, root, "books"), changes, ingest.parse(fresh))
+    kept = maintain.dedup_by_hash(now)
+    books_now = books_now.join(kept.select("file_path"), "file_path", "left_semi").select(*[f.name for f in spark.createDataFrame([], BOOKS).schema])
+    _, kept = maintain.prune_empty(kept.select("root_path"), kept, books_now)
+    save(spark, root, files=kept, books=books_now)
 
 
 def save_inpx(spark: SparkSession, root: str, inpx_path: str, books_dir: str) -> None:

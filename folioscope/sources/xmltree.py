@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from folioscope.functions.text import unescape_python
+from folioscope.functions.text import ENTITIES, unescape_python
 
 _TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?.*?\?>|<![^>]*>|<(?P<end>/?)(?P<name>[A-Za-z_][\w:.-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>", re.S)
 _ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
@@ -76,15 +76,28 @@ def parse(text: str, strict: bool = True) -> Node:
     return root
 
 
+def _escaped(text: str) -> str:
+    for char, entity in ENTITIES:
+        text = text.replace(char, entity)
+    return text
+
+
 def write(node: Node) -> str:
-    """A tree as XML, with the five entities."""
-    if not node.name:
-        out = node.text
-        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;")):
-            out = out.replace(char, entity)
-        return out
-    inner = "".join(map(write, node.children))
-    if node.name == "#document":
-        return inner
-    attributes = "".join(f' {k}="{write(Node(text=v))}"' for k, v in node.attributes.items())
-    return f"<{node.name}{attributes}>{inner}</{node.name}>" if inner else f"<{node.name}{attributes}/>"
+    """A tree as XML, with the five entities; however deep it is."""
+    out: list[str] = []
+    todo: list[Node | str] = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif not x.name:
+            out.append(_escaped(x.text))
+        elif x.name == "#document":
+            todo += reversed(x.children)
+        else:
+            attributes = "".join(f' {k}="{_escaped(v)}"' for k, v in x.attributes.items())
+            held = any(y.name or y.text for y in x.children)
+            out.append(f"<{x.name}{attributes}>" if held else f"<{x.name}{attributes}/>")
+            if held:
+                todo += [f"</{x.name}>", *reversed(x.children)]
+    return "".join(out)

@@ -184,8 +184,7 @@ def test_legacy(spark, tmp_path):
     entry = framed(2, b"d/a.zip", b"hash") + framed(8, book, plain)
     data = framed(2, b"/lib/") + framed(8, entry)
     (tmp_path / "old").write_bytes(data)
-    legacy.register(spark)
-    rows = spark.read.format("legacy_books").load(str(tmp_path / "old")).collect()
+    rows = legacy.read(spark, "books", str(tmp_path / "old")).collect()
     assert rows[0]["file_path"] == "/lib/d/a.zip" and rows[0]["path_in_file"] == ["in.zip", "x.fb2"]
     assert [a["full"] for a in rows[0]["authors"]] == ["A", "B"] and rows[0]["titles"] == ["One, Two, Three", "Two, Three"]
     assert [a["full"] for a in rows[1]["authors"]] == ["Solo"] and rows[1]["sequences"][0]["full"] == "Row"
@@ -194,10 +193,17 @@ def test_legacy(spark, tmp_path):
     with pytest.raises(legacy.Broken):
         list(legacy.collection(data[:-3])[1])
     (tmp_path / "marks").write_bytes(framed(8, framed(2, b"/a", b"", b"A, B", b"T", b"S", b"g", b"d")))
-    marks = spark.read.format("legacy_bookmarks").load(str(tmp_path / "marks")).collect()
+    marks = legacy.read(spark, "bookmarks", str(tmp_path / "marks")).collect()
     assert [a["full"] for a in marks[0]["authors"]] == ["A", "B"] and marks[0]["path_in_file"] is None
     (tmp_path / "notes").write_bytes(framed(4, b"x", b"/a", b"in", b"n.txt"))
-    assert spark.read.format("legacy_notes").load(str(tmp_path / "notes")).collect()[0]["note_file"] == "n.txt"
+    listed = legacy.read(spark, "notes", str(tmp_path / "notes"))
+    assert listed.collect()[0]["note_file"] == "n.txt"
+    texts = spark.createDataFrame([("/notes/n.txt", "Gut é".encode())], "file_path string, content binary")
+    assert legacy.with_texts(listed, texts).collect()[0]["note_text"] == "Gut é"
+    (tmp_path / "cut").write_bytes(data[:-3])
+    with pytest.raises(Exception, match="more than there are"):
+        legacy.read(spark, "books", str(tmp_path / "cut")).collect()
+    assert legacy.read(spark, "books", str(tmp_path / "cut"), strict=False).count() == 0
 
 
 def test_genre_files(spark, tmp_path):
@@ -255,11 +261,69 @@ def test_control(spark, tmp_path):
     assert spark.sql("SELECT count(*) AS n FROM v_books").first()["n"] == 0
 
 
-def test_a_file_over_the_limit_is_an_error(spark, tmp_path, monkeypatch):
-    from folioscope.sources import ingest
-
+def test_a_file_over_the_limit_keeps_its_row(spark, tmp_path, monkeypatch):
     (tmp_path / "a.txt").write_text("some words of a book")
-    assert ingest.create(spark, str(tmp_path))[1].count() == 1
-    monkeypatch.setattr(ingest, "MAX_FILE_BYTES", 10)
-    with pytest.raises(Exception, match="a.txt"):
-        ingest.create(spark, str(tmp_path))[1].collect()
+    (tmp_path / "small.txt").write_text("few")
+    with open(tmp_path / "large.zip", "wb") as f:
+        f.truncate(ingest.MAX_FILE_BYTES + (100 << 20))  # a hole: it takes no room
+    files, books = ingest.create(spark, str(tmp_path))
+    rows = {r["titles"][0]: r for r in books.collect()}
+    assert set(rows) == {"a", "large", "small"} and rows["large"]["path_in_file"] is None and len(rows["large"]["dates"]) == 1
+    hashes = {r["file_path"].rsplit("/", 1)[1]: r["file_hash"] for r in files.collect()}
+    assert hashes["large.zip"] is None and hashes["a.txt"] is not None
+
+
+def test_rehash_reads_only_what_changed(spark, tmp_path, monkeypatch):
+    import datetime
+    import os
+
+    for name in ("a.txt", "b [1].txt", "c.txt"):
+        (tmp_path / name).write_text(f"text of {name}")
+        os.utime(tmp_path / name, (1_000_000_000, 1_000_000_000))
+    known = ingest.files_of(ingest.crawl(spark, str(tmp_path))).withColumn("file_hash", F.lit(b"kept"))
+    known = spark.createDataFrame(known.where("file_path not like '%c.txt'").collect(), known.schema)
+    (tmp_path / "b [1].txt").write_text("text of b {1}.txt")  # as long, but later
+    since = datetime.datetime(2002, 1, 1)
+    for most in (10, 0):
+        monkeypatch.setattr(ingest, "NAMED_FILES", most)
+        got = {r["file_path"].rsplit("/", 1)[1]: r for r in ingest.rehash(known, since, str(tmp_path)).collect()}
+        true = {r["file_path"].rsplit("/", 1)[1]: r for r in ingest.files_of(ingest.crawl(spark, str(tmp_path))).collect()}
+        assert bytes(got["a.txt"]["file_hash"]) == b"kept" and set(got) == set(true)
+        assert all(got[x] == true[x] for x in ("b [1].txt", "c.txt"))
+
+
+def test_refresh_of_collections(spark, tmp_path):
+    from folioscope.operators import maintain
+    from folioscope.schema import COLLECTION
+    from folioscope.sources import store
+
+    root, lib = str(tmp_path / "store"), tmp_path / "lib"
+    lib.mkdir()
+    (lib / "a.fb2").write_bytes(fb2("First"))
+    (lib / "b.txt").write_text("b")
+    files, books = ingest.create(spark, str(lib))
+    store.save(spark, root, info=spark.createDataFrame([("native", str(lib), None)], COLLECTION), files=files, books=books)
+    store.save(spark, root, books=maintain.edit_book(store.books(spark, root), str(lib / "a.fb2"), None, {"titles": F.array(F.lit("Edited"))}))
+    titles = lambda: sorted(r["titles"][0] for r in store.books(spark, root).collect())
+    for fast in (False, True):
+        (lib / f"new{fast}.txt").write_text(f"new {fast}")
+        store.refresh(spark, root, fast=fast)
+        assert "Edited" in titles() and f"new{fast}" in titles()
+    (lib / "b.txt").unlink()
+    (lib / "a.fb2").write_bytes(fb2("Another title"))
+    (lib / "copy.fb2").write_bytes(fb2("Another title"))
+    store.refresh(spark, root)
+    assert titles() == ["Another title", "newFalse", "newTrue"]
+    assert store.load(spark, root, "files").where("file_hash is null").count() == 0
+    # Another type becomes a native collection, built anew.
+    (tmp_path / "x.inpx").write_bytes(zipped({"list.inp": ""}))
+    other = str(tmp_path / "other")
+    store.save_inpx(spark, other, str(tmp_path / "x.inpx"), str(lib))
+    assert store.books(spark, other).count() == 0
+    store.refresh(spark, other)
+    assert store.load(spark, other, "info").first()["type"] == "native" and store.books(spark, other).count() == 3
+
+
+def test_deep_xml():
+    root = xmltree.parse("<a>" * 20_000 + "x" + "</a>" * 20_000)
+    assert xmltree.write(root) == "<a>" * 20_000 + "x" + "</a>" * 20_000

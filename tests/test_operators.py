@@ -129,3 +129,33 @@ def test_store_swaps_whole_tables(spark, books, tmp_path):
     store.save(spark, root, books=store.load(spark, root, "books").where("file_path <> '/c.txt'"))
     assert store.books(spark, root).count() == 3
     assert [p.name for p in (tmp_path / "collection").iterdir()] == ["books"]
+    reading = store.books(spark, root)
+    store.save(spark, root, books=reading.where("file_path = '/a.fb2'"), notes=reading.select("file_path", "path_in_file", F.lit("n").alias("note_file"), F.lit("t").alias("note_text")))
+    assert reading.count() == 3 and store.books(spark, root).count() == 1 and store.load(spark, root, "notes").count() == 3
+    versions = [p.name for p in (tmp_path / "collection" / "books").iterdir() if p.name.startswith("version-")]
+    assert len(versions) == 2  # the one that is read, and the one before it
+    with pytest.raises(ValueError, match="no such table"):
+        store.save(spark, root, other=reading)
+
+
+def test_places(spark):
+    import random
+
+    from folioscope.operators.search import placed, text_order
+
+    r = random.Random(2)
+    rows = [(k, r.choice(["a", "B", "c", "D", "É"]) * r.randrange(1, 3)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(7)
+    for down in (False, True):
+        got = {x["id"]: x["place"] for x in placed(df, text_order("t", inverted=down), F.col("id")).collect()}
+        want = sorted(rows, key=lambda x: x[0])
+        want.sort(key=lambda x: x[1].lower().encode(), reverse=down)
+        assert got == {k: i + 1 for i, (k, _) in enumerate(want)}
+    assert placed(df.where("false"), F.col("id")).count() == 0
+    german = [x["t"] for x in df.select("t").distinct().orderBy(text_order("t", locale="de")).collect()]
+    assert [x[0] for x in german] == ["a", "a", "B", "B", "c", "c", "D", "D", "É", "É"]
+
+
+def test_place_texts(spark):
+    df = spark.createDataFrame([(["a.zip", "b.fb2"], "x\ny"), (None, "")], "p array<string>, t string")
+    assert [tuple(r) for r in df.select(catalog.place_text(F.col("p")), catalog.hops_of(F.col("t"))).collect()] == [("a.zip/b.fb2", ["x", "y"]), ("", None)]
