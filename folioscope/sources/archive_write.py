@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.paths import extension
-from folioscope.sources.archives import ARCHIVES, Entry, entries, extension_of
+from folioscope.sources.archives import ARCHIVES, entries, extension_of
 
 
 def pack(kind: str, files: dict[str, bytes]) -> bytes:
@@ -38,6 +38,8 @@ def without(kind: str, content: bytes, hops: list[str]) -> bytes | None:
     """An archive without the entry at ``hops`` and its ``.fbd`` beside it, at any depth; None if nothing is left. An error if the entry isn't there."""
     name, *deeper = hops
     held = {x.path: x.content for x in entries(kind, content)}
+    if None in held.values():
+        raise NotImplementedError("entries of a method that can't be read would be lost")
     if name not in held:
         raise FileNotFoundError(name)
     if deeper:
@@ -50,17 +52,44 @@ def without(kind: str, content: bytes, hops: list[str]) -> bytes | None:
     return pack(kind if kind in (".zip", ".tar", ".tar.gz") else ".zip", held) if held else None
 
 
-def listing(crawled: DataFrame) -> DataFrame:
-    """(file_path, entry, size, date): entries of the archives among crawled files, without those of archives inside them."""
+def _listed(content: bytes, ext: str) -> Iterator[tuple[str, int | None, str]]:
+    """Name, size and date of an archive's entries; of a zip from its central directory, so that nothing is inflated."""
+    if ext in (".zip", ".jar"):
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                yield from ((x.filename, x.file_size, "{2:02d}.{1:02d}.{0:04d}".format(*x.date_time)) for x in z.infolist() if not x.is_dir() and x.file_size)
+            return
+        except zipfile.BadZipFile:
+            return
+    yield from ((x.path, None if x.content is None else len(x.content), x.date) for x in entries(ext, content))
+
+
+def extract(kind: str, content: bytes, folder: str) -> list[str]:
+    """Writes an archive's entries below a local folder, and gives their paths. An entry that would lie outside it is an error."""
+    import os
 
-    def rows(content: bytes, ext: str) -> Iterator[Entry]:
-        yield from entries(ext, content)
+    root, made = os.path.realpath(folder), []
+    for x in entries(kind, content):
+        if x.content is None:
+            raise NotImplementedError(f"{x.path}: its method can't be read")
+        path = os.path.realpath(os.path.join(root, x.path))
+        if not path.startswith(root + os.sep):
+            raise ValueError(f"{x.path} lies outside")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(x.content)
+        made.append(path)
+    return made
+
+
+def listing(crawled: DataFrame) -> DataFrame:
+    """(file_path, entry, size, date): entries of the archives among crawled files, without those of archives inside them. An entry known by name only has a null size."""
 
     def over(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 path, ext, content = (batch.column(i)[k].as_py() for i in range(3))
-                found = [(x.path, len(x.content), x.date) for x in rows(content or b"", ext)]
+                found = list(_listed(content or b"", ext))
                 names, sizes, dates = zip(*found, strict=True) if found else ([], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(dates, pa.string())], names=["file_path", "entry", "size", "date"])
 

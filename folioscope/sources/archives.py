@@ -1,7 +1,4 @@
-"""Entries of archives, read with the standard library: zip, tar (plain, gz, bz2, xz), cpio and ISO 9660, nested to any depth.
-
-7z and rar need readers that the standard library lacks: such a file gives no entry.
-"""
+"""Entries of archives: zip, tar (plain, gz, bz2, xz), cpio, ISO 9660, 7z and rar, nested to any depth."""
 
 from __future__ import annotations
 
@@ -10,21 +7,22 @@ import gzip
 import io
 import lzma
 import posixpath
+import struct
 import tarfile
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from folioscope.sources import formats
+from folioscope.sources import formats, packed
 from folioscope.sources.formats import PARSERS
 
-ARCHIVES = (".zip", ".tar", ".tar.gz", ".tar.bz2", ".tar.xz", ".jar", ".cpio", ".iso")
+ARCHIVES = (".zip", ".tar", ".tar.gz", ".tar.bz2", ".tar.xz", ".jar", ".cpio", ".iso", ".7z", ".rar")
 
 
 @dataclass
 class Entry:
     path: str
-    content: bytes
+    content: bytes | None  # None: known by name only, as its method can't be read
     date: str
 
 
@@ -126,6 +124,9 @@ def entries(extension: str, content: bytes) -> Iterator[Entry]:
             yield from (x for x in _cpio(content) if x.content)
         elif extension == ".iso":
             yield from (x for x in _iso(content) if x.content)
+        elif extension in (".7z", ".rar"):
+            for path, data, day in (packed.seven_zip if extension == ".7z" else packed.rar)(content):
+                yield Entry(path, data, _date(*day))
         else:
             plain = {".tar.gz": gzip.decompress, ".tar.bz2": bz2.decompress, ".tar.xz": lzma.decompress, ".tar": bytes}.get(extension)
             if plain is None:
@@ -134,7 +135,7 @@ def entries(extension: str, content: bytes) -> Iterator[Entry]:
                 for x in t:
                     if x.isfile() and x.size:
                         yield Entry(x.name, t.extractfile(x).read(), _epoch(x.mtime))
-    except (OSError, EOFError, ValueError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, RuntimeError, NotImplementedError):
+    except (OSError, EOFError, ValueError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, struct.error, RuntimeError, NotImplementedError, IndexError, OverflowError):
         return
 
 
@@ -142,7 +143,7 @@ def books(extension: str, content: bytes, hops: list[str] | None = None) -> Iter
     """(hops, fbd path, book, details) of the books in an archive, those in archives inside it too.
 
     A ``.fbd`` entry describes the entry beside it with the same stem: it replaces that one's own book, or makes one of a file
-    of unknown format. One without such an entry is passed over.
+    of unknown format. One without such an entry is passed over. An entry known by name only is a book by its stem and date.
     """
     hops = hops or []
     every = list(entries(extension, content))
@@ -154,14 +155,20 @@ def books(extension: str, content: bytes, hops: list[str] | None = None) -> Iter
             continue
         key = x.path[: len(x.path) - len(ext)] if ext else x.path
         side = sidecars.get(key)
+        if x.content is None:
+            if ext in PARSERS and side is None:
+                yield [*hops, x.path], None, *formats.unread(stem_of(x.path), x.date)
+                continue
+            if side is None or side.content is None:
+                continue
         if ext in ARCHIVES and side is None:
             yield from books(ext, x.content, [*hops, x.path])
             continue
         if side is not None and key not in used:
             used.add(key)
-            made = formats.parse(".fb2", side.content, stem_of(x.path), x.date)
+            made = formats.parse(".fb2", side.content, stem_of(x.path), x.date) if side.content is not None else None
             if made:
                 yield [*hops, x.path], side.path, *made
                 continue
-        if ext in PARSERS and (made := formats.parse(ext, x.content, stem_of(x.path), x.date)):
+        if ext in PARSERS and x.content is not None and (made := formats.parse(ext, x.content, stem_of(x.path), x.date)):
             yield [*hops, x.path], None, *made

@@ -327,3 +327,95 @@ def test_refresh_of_collections(spark, tmp_path):
 def test_deep_xml():
     root = xmltree.parse("<a>" * 20_000 + "x" + "</a>" * 20_000)
     assert xmltree.write(root) == "<a>" * 20_000 + "x" + "</a>" * 20_000
+
+
+def seven_zip(entries, coder="lzma2", encoded=True):
+    """A 7z file written by the format's description: one solid folder of all entries."""
+    import lzma
+
+    def number(n):
+        return bytes([n]) if n < 0x80 else bytes([0xC0 | n >> 16, n & 255, n >> 8 & 255]) if n < 1 << 21 else b"\xf0" + struct.pack("<I", n)
+
+    def pack(data, kind):
+        filters = {"lzma": {"id": lzma.FILTER_LZMA1, "dict_size": 1 << 16, "lc": 3, "lp": 0, "pb": 2}, "lzma2": {"id": lzma.FILTER_LZMA2, "dict_size": 1 << 16}}
+        if kind == "copy":
+            return data, b"\x01\x00"
+        if kind == "deflate":
+            z = zlib.compressobj(9, zlib.DEFLATED, -15)
+            return z.compress(data) + z.flush(), b"\x03\x04\x01\x08"
+        if kind == "ppmd":
+            return data, b"\x23\x03\x04\x01" + b"\x05" + b"\x06\0\0\1\0"
+        out = lzma.compress(data, lzma.FORMAT_RAW, filters=[filters[kind]])
+        return out, b"\x23\x03\x01\x01\x05\x5d" + struct.pack("<I", 1 << 16) if kind == "lzma" else b"\x21\x21\x01\x08"
+
+    def streams(at, size, unpacked, method, counts=b""):
+        return b"\x06" + number(at) + number(1) + b"\x09" + number(size) + b"\0" + b"\x07\x0b\x01\0\x01" + method + b"\x0c" + number(unpacked) + b"\0" + counts + b"\0"
+
+    full = {k: v for k, v in entries.items() if v}
+    plain = b"".join(full.values())
+    body, method = pack(plain, coder)
+    sizes = b"".join(number(len(x)) for x in list(full.values())[:-1])
+    counts = b"\x08\x0d" + number(len(full)) + b"\x09" + sizes + b"\x0a\x01" + b"\0" * 4 * len(full) + b"\0"
+    names = b"\0" + "".join(f"{k}\0" for k in entries).encode("utf-16-le")
+    empty = sum((not v) << (7 - k) for k, v in enumerate(entries.values())) if len(entries) <= 8 else 0
+    times = b"\x01\0" + struct.pack("<Q", 126256896000000000) * len(entries)  # 3 February 2001
+    prop = lambda kind, data: bytes([kind]) + number(len(data)) + data
+    head = b"\x01\x04" + streams(0, len(body), len(plain), method, counts) + b"\x05" + number(len(entries)) + prop(0x0E, bytes([empty])) + prop(0x11, names) + prop(0x14, times) + b"\0\0"
+    if encoded:
+        small, method = pack(head, "lzma")
+        body, head = body + small, b"\x17" + streams(len(body), len(small), len(head), method)
+    return b"7z\xbc\xaf\x27\x1c\0\x04" + b"\0" * 4 + struct.pack("<QQ", len(body), len(head)) + b"\0" * 4 + body + head
+
+
+def rar4(entries):
+    out = b"Rar!\x1a\x07\0" + struct.pack("<HBHH", 0, 0x73, 0, 13) + b"\0" * 6
+    for name, (data, method, flags) in entries.items():
+        own = struct.pack("<IIBIIBBHI", len(data), len(data) or 0, 3, 0, (21 << 25) | (2 << 21) | (3 << 16), 29, method, len(name), 0) + name.encode()
+        out += struct.pack("<HBHH", 0, 0x74, 0x8000 | flags, 7 + len(own)) + own + data
+    return out + struct.pack("<HBHH", 0, 0x7B, 0, 7)
+
+
+def rar5(entries):
+    def block(kind, rest, data=b""):
+        head = bytes([kind, 2]) + bytes([len(data) & 127 | 128, len(data) >> 7]) + rest if data else bytes([kind, 0]) + rest
+        return b"\0" * 4 + bytes([len(head)]) + head + data
+
+    out = b"Rar!\x1a\x07\x01\0" + block(1, b"\0")
+    for name, (data, method) in entries.items():
+        size = bytes([len(data) & 127 | 128, len(data) >> 7])
+        out += block(2, b"\x02" + size + b"\0" + struct.pack("<I", 981158400) + bytes([method << 7 & 127 | 128, method]) + b"\0" + bytes([len(name.encode())]) + name.encode(), data)
+    return out + block(5, b"\0")
+
+
+@pytest.mark.parametrize("coder", ["copy", "lzma", "lzma2", "deflate"])
+@pytest.mark.parametrize("encoded", [False, True])
+def test_seven_zip(coder, encoded):
+    entries = {"dir/a.fb2": fb2("In Seven") * 1, "é.txt": "text é".encode() * 300, "empty.txt": b"", "in.zip": zipped({"d.fb2": fb2("Deep")})}
+    data = seven_zip(entries, coder, encoded)
+    assert [(x.path, x.content, x.date) for x in archives.entries(".7z", data)] == [(k, v, "03.02.2001") for k, v in entries.items() if v]
+    assert [(h, b["titles"]) for h, _, b, _ in archives.books(".7z", data)] == [(["dir/a.fb2"], ["In Seven"]), (["é.txt"], ["é"]), (["in.zip", "d.fb2"], ["Deep"])]
+    for n in range(0, len(data), 37):  # broken anywhere: fewer entries, no crash
+        list(archives.entries(".7z", data[:n]))
+
+
+def test_archives_of_unknown_methods(tmp_path):
+    from folioscope.sources.archive_write import extract, without
+
+    sealed = seven_zip({"a.fb2": b"x" * 50, "b.bin": b"y" * 9}, "ppmd")
+    assert [(x.path, x.content) for x in archives.entries(".7z", sealed)] == [("a.fb2", None), ("b.bin", None)]
+    assert [(h, b["titles"], b["dates"]) for h, _, b, _ in archives.books(".7z", sealed)] == [(["a.fb2"], ["a"], ["03.02.2001"])]
+    stored = {"a.fb2": fb2("Stored"), "d\\b.txt": b"t"}
+    old = rar4({k: (v, 0x30, 0) for k, v in stored.items()} | {"c.fb2": (b"zzz", 0x33, 0), "dir": (b"", 0x30, 0xE0)})
+    assert [(x.path, x.content, x.date) for x in archives.entries(".rar", old)] == [("a.fb2", fb2("Stored"), "03.02.2001"), ("d/b.txt", b"t", "03.02.2001"), ("c.fb2", None, "03.02.2001")]
+    new = rar5({"a.fb2": (fb2("Fifth"), 0), "é.txt": (b"packed", 3)})
+    assert [(x.path, x.content, x.date) for x in archives.entries(".rar", new)] == [("a.fb2", fb2("Fifth"), "03.02.2001"), ("é.txt", None, "03.02.2001")]
+    assert [b["titles"] for _, _, b, _ in archives.books(".rar", new)] == [["Fifth"], ["é"]]
+    with pytest.raises(NotImplementedError):
+        without(".rar", new, ["a.fb2"])
+    for data in (old, new):
+        for n in range(0, len(data), 11):
+            list(archives.entries(".rar", data[:n]))
+    made = extract(".zip", zipped({"x/a.txt": b"1", "b.txt": b"2"}), str(tmp_path / "out"))
+    assert sorted(open(p, "rb").read() for p in made) == [b"1", b"2"]
+    with pytest.raises(ValueError, match="outside"):
+        extract(".zip", zipped({"../a.txt": b"1"}), str(tmp_path / "out"))
