@@ -128,6 +128,27 @@ def test_charsets():
     assert charset.decode(b"\xef\xbb\xbfa") == "a" and charset.decode(b"<?xml encoding='nonsense'?>a").endswith("a")
 
 
+RUSSIAN = "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Всё смешалось в доме Облонских."
+WIDE = {
+    "shift_jis": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。", "euc_jp": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+    "gb18030": "学而时习之，不亦说乎？有朋自远方来，不亦乐乎？我们今天在这里学习中国的历史和文化。", "big5": "學而時習之，不亦說乎？有朋自遠方來，不亦樂乎？我們今天在這裡學習中國的歷史和文化。",
+    "euc_kr": "나는 오늘 학교에 갔다. 친구들과 함께 점심을 먹고 도서관에서 책을 읽었다.",
+}
+
+
+def test_charsets_of_one_and_two_bytes():
+    for name in charset.CYRILLIC:
+        for text in (RUSSIAN, RUSSIAN[:30], RUSSIAN.upper() + " " + RUSSIAN):
+            assert charset.detect(text.encode(name, "ignore")) == name, (name, text)
+            assert charset.decode(text.encode(name, "ignore")) == text.encode(name, "ignore").decode(name)
+    for name, text in WIDE.items():
+        assert charset.detect(text.encode(name)) == name, name
+        assert charset.decode(text.encode(name)) == text
+    western = "Là où j'étais, le café coûtait très cher ; naïve façade, Straße über Öl."
+    assert charset.detect(western.encode("latin-1")) == "latin-1" and charset.detect((western + " “quoted” – 5 €").encode("cp1252")) == "cp1252"
+    assert charset.detect(b"\x81\x8d\xff") == "latin-1"
+
+
 def test_xml():
     text = "<a x='1&amp;2'><b>t&lt;</b><c/><![CDATA[<raw>]]></a>"
     root = xmltree.parse(text)
