@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import hashing, paths, text
 from folioscope.functions.match import Rule, normalise_needle, prefix_match
 from folioscope.operators import catalog, maintain, relocate
-from folioscope.operators.search import Author, Genre, Sequence, Title, filter_contains, search
+from folioscope.operators.search import Author, Genre, Sequence, Title, filter_contains, first_match, placed, search, text_order
 from folioscope.plans.tables import FILES_SQL, books, files, people, table
 from folioscope.sources import inpx
 from folioscope.streaming.refresh import activity
@@ -208,20 +208,42 @@ def display_genres(spark, sf_dir):
     return rows.select("id", F.array_join("genres", ", ").alias("genre_text"))
 
 
-@query("SELECT o_orderpriority AS status, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY lower(o_orderstatus) DESC, o_orderkey) AS place FROM orders")
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY lower(p_type) DESC, p_partkey) AS place FROM part")
 def sort_rank_title_inverted(spark, sf_dir):
-    """The inverted order of the views, as a rank within each group of records, so that no task sorts everything."""
-    from pyspark.sql import Window
+    """The views' order, in which ascending shows the last first, as places."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type")
+    return placed(rows, text_order("p_type", inverted=True), F.col("id")).select("id", "place")
 
-    w = Window.partitionBy("o_orderpriority").orderBy(F.lower("o_orderstatus").desc(), "o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("status"), F.col("o_orderkey").alias("id"), F.row_number().over(w).cast("long").alias("place"))
 
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY lower(p_type), p_partkey) AS place FROM part")
+def sort_rank_title_reversed(spark, sf_dir):
+    """The other direction of that order."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type")
+    return placed(rows, text_order("p_type", descending=True, inverted=True), F.col("id")).select("id", "place")
 
-@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%d.%m.%Y') AS date_text FROM orders ORDER BY date_text, id LIMIT 100")
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY lower(file_path) DESC) AS place FROM {FILES_SQL}")
+def sort_files_inverted(spark, sf_dir):
+    return placed(files(spark, sf_dir).select("doc_id", "file_path"), text_order("file_path", inverted=True)).select("doc_id", "place")
+
+
+@query(f"SELECT author, row_number() OVER (ORDER BY lower(author) DESC) AS place FROM (SELECT min({_author_norm('c_name')}) AS author FROM customer GROUP BY lower({_author_norm('c_name')}))")
+def sort_authors_inverted(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.expr("array(struct(c_name as full, cast(null as string) as last, cast(null as string) as first, cast(null as string) as middle, cast(null as string) as nick))").alias("authors"))
+    return placed(catalog.list_authors(rows), text_order("author", inverted=True))
+
+
+@query("SELECT p_partkey AS id, p_name AS title FROM part WHERE p_size > 40 ORDER BY p_name, p_partkey LIMIT 1")
+def first_match_by_title(spark, sf_dir):
+    """The feature is a single row: the first that meets a condition."""
+    return first_match(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), "p_size"), F.col("p_size") > 40, "title", "id").select("id", "title")
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%d.%m.%Y') AS date_text, row_number() OVER (ORDER BY strftime(o_orderdate, '%d.%m.%Y'), o_orderkey) AS place FROM orders")
 def sort_date_text(spark, sf_dir):
-    """The first hundred by date as text, ``dd.mm.yyyy``: days before months before years."""
+    """The order by date as text, ``dd.mm.yyyy``: days before months before years."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.ddmmyyyy(F.col("o_orderdate")).alias("date_text"))
-    return rows.orderBy("date_text", "id").limit(100)
+    return placed(rows, text_order("date_text"), F.col("id"))
 
 
 @query("SELECT doc_id, file_path FROM " + FILES_SQL + " WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -388,6 +410,31 @@ def supported_filter(spark, sf_dir):
     return _named(spark, sf_dir).where(paths.supported(F.col("path"))).select("id")
 
 
+@query("SELECT p_partkey AS id, concat('/lib/', p_brand, '/x.fb2') AS normal, concat('../', p_brand, '/x.fb2') AS beside FROM part")
+def paths_lexical(spark, sf_dir):
+    """Paths without detours, and relative to a folder beside them."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("/lib/./a/..//"), "p_brand", F.lit("/x.fb2")).alias("path"))
+    normal = paths.lexically_normal(F.col("path"))
+    return rows.select("id", normal.alias("normal"), paths.relative_to(normal, "/lib/other").alias("beside"))
+
+
+@query("""
+SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '' ELSE concat(p_brand, '/') END AS authors, CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 2 = 0 THEN p_type ELSE concat(p_type, '#', p_size) END AS series,
+  p_name AS titles FROM part
+""")
+def clean_fields(spark, sf_dir):
+    """What the editor leaves of a book's fields: authors with a name's part, series with a name, titles with text."""
+    null = "cast(null as string)"
+    p = table(spark, sf_dir, "part").withColumn("last", F.when(F.col("p_size") % 3 > 0, F.col("p_brand")).otherwise("")).withColumn("name", F.when(F.col("p_size") % 4 > 0, F.col("p_type")))
+    authors = F.expr(f"array(struct('x' as full, last, '' as first, {null} as middle, 'n' as nick), struct('whole' as full, '' as last, '' as first, '' as middle, '' as nick))")
+    series = F.expr(f"array(struct({null} as full, name, if(p_size % 2 = 0, '', cast(p_size as string)) as number))")
+    a, s = maintain.clean_authors(authors), maintain.clean_sequences(series)
+    return p.select(
+        F.col("p_partkey").alias("id"), F.array_join(F.transform(a, lambda x: F.concat(F.coalesce(x["last"], F.lit("?")), F.lit("/"), F.coalesce(x["first"], x["nick"], F.lit("")))), ",").alias("authors"),
+        F.array_join(F.transform(s, lambda x: F.concat_ws("#", x["name"], x["number"])), ",").alias("series"), F.array_join(maintain.clean_strings(F.array(F.lit(""), "p_name", F.lit(None))), ",").alias("titles"),
+    )
+
+
 # Catalogue records -----------------------------------------------------------------------------------------------------
 
 
@@ -451,10 +498,28 @@ def xml_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(escaped).alias("digest"), F.length(escaped).cast("long").alias("n"))
 
 
-@query("SELECT page_id, md5(html) AS digest FROM pages")
+_PAGE = "concat('&amp;lt; &apos;', html)"
+_UNESCAPED = "replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&apos;', ''''), '&gt;', '>'), '&lt;', '<'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, md5({_UNESCAPED.format(_PAGE)}) AS digest FROM pages")
 def xml_entities(spark, sf_dir):
-    """What is escaped and read again is what it was."""
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.xml_unescape(text.xml_escape(F.col("html")))).alias("digest"))
+    """The pages' own entities."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.xml_unescape(F.concat(F.lit("&amp;lt; &apos;"), "html"))).alias("digest"))
+
+
+@query("SELECT p_partkey AS id, concat(p_name, '<&#0;', p_brand) AS plain FROM part")
+def xml_numeric_entities(spark, sf_dir):
+    """Decimal and hexadecimal numbers, named entities, and a number that is no character."""
+    first, brand = F.ascii("p_name").cast("string"), F.lower(F.hex(F.ascii("p_brand")))
+    raw = F.concat(F.lit("&#"), first, F.lit(";"), F.expr("substring(p_name, 2)"), F.lit("&lt;&#0;&#x"), brand, F.lit(";"), F.expr("substring(p_brand, 2)"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.xml_unescape_all(raw).alias("plain"))
+
+
+@query("SELECT conv_id, turn, md5(replace(replace(text, 'e', '3'), '33', '..')) AS digest FROM conversations")
+def symbol_replacement(spark, sf_dir):
+    """A table of symbols, in its order: the second entry sees what the first has made."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.replace_symbols(F.col("text"), [("3", "e"), ("x", ""), ("..", "33")])).alias("digest"))
 
 
 @query("SELECT page_id, regexp_extract(html, 'lang[^\"]*\"([^\"]*)\"', 1) AS lang FROM pages")
@@ -462,14 +527,20 @@ def quoted_value_after_tag(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.quoted_value(F.col("html"), "lang").alias("lang"))
 
 
-@query()
+@query("SELECT conv_id, turn, md5(concat(text, '<raw> & ', text, ' 1 < 2 ')) AS digest FROM conversations")
 def strip_tags(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.strip_tags("html").alias("plain"))
+    """Texts put into markup, and taken out again: entities, character data, comments, attributes, a sign that is no tag."""
+    own = text.xml_escape(F.col("text"))
+    raw = F.concat(F.lit("<?xml v?><p a='1'>"), own, F.lit("</p><!-- <b>no</b> --><![CDATA[<raw> & ]]><x:y/>"), own, F.lit(" 1 < 2 "))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.strip_tags(raw)).alias("digest"))
 
 
-@query()
+@query("SELECT conv_id, turn, md5(concat('<b>', replace(text, '<', '&lt;'), '</b><br><br><a href=\"x\">', turn, '</a>kept<br>')) AS digest FROM conversations")
 def replace_tags(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.replace_tags(F.col("html")).alias("markup"))
+    """The default table: replaced tags, tags that stay, tags that go."""
+    own, turn = F.replace("text", F.lit("<"), F.lit("&lt;")), F.col("turn").cast("string")
+    raw = F.concat(F.lit("<strong>"), own, F.lit('</strong></p><a href="x">'), turn, F.lit("</a><section id='1'>kept</section><!-- gone --><empty-line/>"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.replace_tags(raw)).alias("digest"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
