@@ -11,7 +11,8 @@ PLUGINS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 def run_stoppable(spark: SparkSession, tag: str, query: Callable[[], list]) -> list:
     """What ``query`` gives, or an empty list if ``stop`` is called with its tag meanwhile from another thread."""
-    spark.addTag(tag)
+    context = spark.sparkContext
+    context.addJobTag(tag)
     try:
         return query()
     except Exception as e:
@@ -19,11 +20,11 @@ def run_stoppable(spark: SparkSession, tag: str, query: Callable[[], list]) -> l
             return []
         raise
     finally:
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def stop(spark: SparkSession, tag: str) -> None:
-    spark.interruptTag(tag)
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def plugin(name: str) -> Callable:

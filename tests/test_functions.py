@@ -56,3 +56,20 @@ def test_markup_takes_time_in_proportion():
         assert time.time() - began < 3, piece
     assert text.strip_tags_python("<!-- a < b") == "<!-- a < b" and text.replace_tags_python("1 </ 2> <b>x</b>") == "1 </ 2> <b>x</b>"
     assert text.unescape_python("&#" + "9" * 5000 + ";&#00065;") == "&#" + "9" * 5000 + ";A"
+
+
+def test_hashes_of_known_values(spark):
+    import hashlib
+
+    from folioscope.functions import hashing
+
+    assert one(spark, lambda x: F.lower(F.hex(hashing.blake2b_256(F.encode(x, "UTF-8")))), "abc") == "bddd813c634239723171ef3fee98579b94964e3bb1cb3e427262c8c068d52319"
+    assert one(spark, lambda x: F.lower(F.hex(hashing.blake2b_256(F.encode(x, "UTF-8")))), "") == "0e5751c026e543b2e8ab2eb06099daa1d1e5df47778f7787faab45cdf12fe3a8"
+    assert one(spark, hashing.crc32, "123456789") == 0xCBF43926 and one(spark, hashing.crc32, "") == 0 and one(spark, hashing.crc32, None) is None
+    assert one(spark, hashing.sha256_hex, "é") == hashlib.sha256("é".encode()).hexdigest()
+    assert one(spark, lambda x: F.hex(hashing.blake2b_256(F.encode(x, "UTF-8"))), None) is None
+
+
+def test_symbols(spark):
+    assert one(spark, lambda x: text.replace_symbols(x, [(" ", "&nbsp;"), ("-", "—"), ("z", "")]), "a&nbsp;b—c") == "a b-c"
+    assert one(spark, lambda x: text.replace_symbols(x, []), "a") == "a"

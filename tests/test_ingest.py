@@ -270,6 +270,22 @@ def test_control(spark, tmp_path):
     from folioscope.sources import store
 
     assert control.run_stoppable(spark, "t", lambda: spark.range(3).collect()) != []
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        control.run_stoppable(spark, "t", lambda: spark.range(3).select(F.lit(1) / (F.col("id") - 1)).collect())
+
+    def stopped():
+        import threading
+        import time
+
+        timer = threading.Timer(3, control.stop, (spark, "slow"))
+        timer.start()
+        began = time.time()
+        endless = spark.range(0, 1 << 36, 1, 4).select(F.max(F.xxhash64("id")))
+        out = control.run_stoppable(spark, "slow", lambda: endless.collect())
+        timer.join()
+        return out, time.time() - began
+
+    assert stopped()[0] == [] and control.run_stoppable(spark, "slow", lambda: spark.range(2).collect()) != []
 
     @control.plugin("evens")
     def evens(df):
