@@ -19,6 +19,10 @@ BITS = 64
 SEGMENTS = 8
 MAX_BITS = 3
 CHUNK = 1 << 16
+#: Values of one join key from which the key is split.
+CROWD = 64
+#: Bits of a key: its place in the ring and 32 bits of a fingerprint.
+KEY_BITS = 37
 
 
 def shingles(text: str | None, width: int = 3) -> Iterator[bytes]:
@@ -88,7 +92,8 @@ def links(fps: DataFrame) -> DataFrame:
     cumulative differences within its share of the 3 bits: none in the first two segments, one in the first five, two in the
     first seven. So the first two segments agree, and of the next three at least two do: 32 agreeing bits, in 24 possible
     places, are the join key. The chains are checked before the full distance, and a pair counts only at its first viable
-    segment. ``fps`` must hold each value once, so exact copies never meet here; no cap on partners.
+    segment. Crowded keys are split (see ``_split``). ``fps`` must hold each value once, so exact copies never meet here; no
+    cap on partners.
     """
     segment = [f"(shiftrightunsigned(fp, {8 * i}) & 255L)" for i in range(SEGMENTS)]
     keys = []
@@ -99,16 +104,39 @@ def links(fps: DataFrame) -> DataFrame:
             packed = " | ".join(f"shiftleft({s}, {8 * k})" for k, s in enumerate(used))
             keys.append(f"shiftleft({3 * i + left_out}L, 32) | {packed}")
     dealt = fps.select("fp", F.explode(F.expr(f"array({', '.join(keys)})")).alias("place"))
+    dealt = _split(dealt)
     a, b = dealt.select(F.col("fp").alias("a"), "place"), dealt.select(F.col("fp").alias("b"), "place")
-    start, out = "int(shiftrightunsigned(place, 32) div 3)", "int(shiftrightunsigned(place, 32) % 3)"
     # A segment left out that agrees does so in all three places: the first of them counts.
-    own = " and ".join(f"({out} <> {k} or {k} = 0 or (shiftrightunsigned({_turned('(a ^ b)', start)}, {16 + 8 * k}) & 255L) <> 0)" for k in range(3))
-    before = " and ".join(f"({start} <= {i} or not ({_viable('(a ^ b)', str(i))}))" for i in range(SEGMENTS - 1))
-    pair = f"a < b and bit_count(a ^ b) <= {MAX_BITS} and {_viable('(a ^ b)', start)} and {own} and {before}"
+    own = " and ".join(f"({OUT} <> {k} or {k} = 0 or (shiftrightunsigned({_turned('(a ^ b)', START)}, {16 + 8 * k}) & 255L) <> 0)" for k in range(3))
+    before = " and ".join(f"({START} <= {i} or not ({_viable('(a ^ b)', str(i))}))" for i in range(SEGMENTS - 1))
+    first = " and ".join(f"(place >> {KEY_BITS} & 7L) <= {j + 1} or {_rest('(a ^ b)', j)} <> 0" for j in range(3)).replace(" and ", ") and (")
+    pair = f"a < b and bit_count(a ^ b) <= {MAX_BITS} and {_viable('(a ^ b)', START)} and {own} and {before} and ({first})"
     joined = a.join(b, "place").where(F.expr(pair))
     return joined.select("a", "b")
 
 
+#: SQL: of a key ``place``, the segment at which its chain starts, and which of the three after the first two is left out.
+START = f"int(shiftrightunsigned(place & {(1 << KEY_BITS) - 1}L, 32) div 3)"
+OUT = f"(shiftrightunsigned(place & {(1 << KEY_BITS) - 1}L, 32) % 3)"
+
+
+def _rest(x: str, j: int) -> str:
+    """SQL: the j-th of the four segments of ``x`` that are no part of the key ``place``: the one left out, and the last three of the ring."""
+    shift = f"int(16 + 8 * {OUT})" if j == 0 else str(8 * (j + 4))
+    return f"(shiftrightunsigned({_turned(x, START)}, {shift}) & 255L)"
+
+
+def _split(dealt: DataFrame) -> DataFrame:
+    """``dealt`` (fp, place) with keys of more than CROWD values split: of the four segments outside the key a linked pair differs in three at most, so it agrees in one.
+
+    A value of a crowded key is dealt four times, by the key and one such segment each; a pair counts at the first that agrees.
+    """
+    crowded = cut(dealt.groupBy("place").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("place"))
+    finer = [f"place | shiftleft({j + 1}L, {KEY_BITS}) | shiftleft({_rest('fp', j)}, {KEY_BITS + 3})" for j in range(4)]
+    split = dealt.join(crowded, "place", "left_semi").select("fp", F.explode(F.expr(f"array({', '.join(finer)})")).alias("place"))
+    return dealt.join(crowded, "place", "left_anti").select("fp", "place").union(split)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links) for every row of ``docs`` (doc_id, text).
 

@@ -419,7 +419,9 @@ def test_simhash_against_all_pairs(spark):
     assert {i: r["component_id"] for i, r in got.items()} == slow_components(ids, linked)
 
 
-def test_pigeonring_loses_no_pair(spark):
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_pigeonring_loses_no_pair(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     r = random.Random(9)
     base = [r.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
     values = set(base)
