@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 
 from folioscope.functions.text import ENTITIES, unescape_python
 
-_TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?.*?\?>|<![^>]*>|<(?P<end>/?)(?P<name>[A-Za-z_][\w:.-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z_][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+# What stands between these is no element.
+_SPANS = [("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>"), ("<!", ">")]
 _ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 
 
@@ -44,31 +46,49 @@ class Node:
         return "".join(self.contents())
 
 
+def _tokens(text: str):
+    """(start, end, character data or None, match of a tag or None) of what isn't text, in one pass: a mark whose end is nowhere ahead is passed over for good."""
+    at, last = 0, {end: text.rfind(end) for _, end in _SPANS}
+    while (a := text.find("<", at)) >= 0:
+        for begin, end in _SPANS:
+            if text.startswith(begin, a) and last[end] >= a + len(begin):
+                at = text.find(end, a + len(begin)) + len(end)
+                yield a, at, text[a + len(begin) : at - len(end)] if end == "]]>" else None, None
+                break
+        else:
+            m = _TAG.match(text, a) if last[">"] > a else None
+            at = m.end() if m else a + 1
+            if m:
+                yield a, at, None, m
+
+
 def parse(text: str, strict: bool = True) -> Node:
     """Tree of a document. An end without a beginning is passed over if not ``strict``; an element that never ends, too."""
     root = Node("#document")
     open_, at = [root], 0
-    for m in _TOKEN.finditer(text):
-        if (between := text[at : m.start()]).strip():
+    for start, stop, cdata, m in _tokens(text):
+        if (between := text[at:start]).strip():
             if strict and "<" in between:
-                raise XmlError(f"stray < before place {m.start()}")
+                raise XmlError(f"stray < before place {start}")
             open_[-1].children.append(Node(text=unescape_python(between)))
-        at = m.end()
-        if m["cdata"] is not None:
-            open_[-1].children.append(Node(text=m["cdata"]))
-        elif m["name"] and not m["end"]:
-            node = Node(m["name"], attributes={k: unescape_python(a or b) for k, a, b in _ATTRIBUTE.findall(m["rest"])})
+        at = stop
+        if cdata is not None:
+            open_[-1].children.append(Node(text=cdata))
+        if m is None:
+            continue
+        ends, name, rest, empty = m.groups()
+        if not ends:
+            node = Node(name, attributes={k: unescape_python(a or b) for k, a, b in _ATTRIBUTE.findall(rest)})
             open_[-1].children.append(node)
-            if not m["empty"]:
+            if not empty:
                 open_.append(node)
-        elif m["name"]:
-            if open_[-1].name == m["name"]:
-                open_.pop()
-            elif strict:
-                raise XmlError(f"{m['name']} ends where {open_[-1].name} is open")
-            elif any(x.name == m["name"] for x in open_[1:]):
-                while open_.pop().name != m["name"]:
-                    pass
+        elif open_[-1].name == name:
+            open_.pop()
+        elif strict:
+            raise XmlError(f"{name} ends where {open_[-1].name} is open")
+        elif any(x.name == name for x in open_[1:]):
+            while open_.pop().name != name:
+                pass
     if text[at:].strip():
         open_[-1].children.append(Node(text=unescape_python(text[at:])))
     if strict and (len(open_) > 1 or not any(x.name for x in root.children)):

@@ -361,6 +361,15 @@ def test_refresh_of_collections(spark, tmp_path):
     assert store.load(spark, other, "info").first()["type"] == "native" and store.books(spark, other).count() == 3
 
 
+@pytest.mark.parametrize("piece", ["<!--", "<![CDATA[", "<?", "<!", "<a ", "<a '", "<a \"", "<", "</a>", "<a x='>' "])
+def test_xml_takes_time_in_proportion(piece):
+    import time
+
+    began = time.time()
+    xmltree.parse(piece * (400_000 // len(piece)), strict=False)
+    assert time.time() - began < 5
+
+
 def test_deep_xml():
     root = xmltree.parse("<a>" * 20_000 + "x" + "</a>" * 20_000)
     assert xmltree.write(root) == "<a>" * 20_000 + "x" + "</a>" * 20_000
