@@ -27,6 +27,17 @@ def stop(spark: SparkSession, tag: str) -> None:
     spark.sparkContext.cancelJobsWithTag(tag)
 
 
+def progress(spark: SparkSession) -> dict[int, float]:
+    """Share of tasks done, by active job."""
+    tracker, out = spark.sparkContext.statusTracker(), {}
+    for job in tracker.getActiveJobsIds():
+        info = tracker.getJobInfo(job)
+        stages = [x for x in map(tracker.getStageInfo, info.stageIds if info else []) if x]
+        if total := sum(x.numTasks for x in stages):
+            out[job] = sum(x.numCompletedTasks for x in stages) / total
+    return out
+
+
 def plugin(name: str) -> Callable:
     """Registers an operator, a function from DataFrame to DataFrame, by name; ``apply`` runs it. A name can't be taken twice."""
 

@@ -125,7 +125,7 @@ def remove_notes(notes: DataFrame, books: DataFrame) -> DataFrame:
     return notes.join(books, same_place(books, notes), "left_anti")
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """Hadoop's path and the file system that has it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -133,7 +133,7 @@ def _fs(spark: SparkSession, path: str):
 
 def current(spark: SparkSession, path: str) -> str | None:
     """The folder that holds a table's rows now; None where none has been written."""
-    at, fs = _fs(spark, f"{path}/{POINTER}")
+    at, fs = file_system(spark, f"{path}/{POINTER}")
     if not fs.exists(at):
         return None
     stream = fs.open(at)
@@ -147,6 +147,16 @@ def current(spark: SparkSession, path: str) -> str | None:
 POINTER = "_current"
 
 
+def rename_over(spark: SparkSession, old, new) -> None:
+    """Renames a file over another one, in one step where the file system can."""
+    sc = spark.sparkContext
+    options = sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    conf = sc._jsc.hadoopConfiguration()
+    uri = old.getFileSystem(conf).makeQualified(old).toUri()
+    sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, conf).rename(old, new, options)
+
+
 def stage_table(spark: SparkSession, df: DataFrame, path: str, max_records: int = 0) -> str:
     """Writes a new version beside those that are there; nobody reads it before ``switch_table`` names it."""
     version = f"version-{uuid.uuid4().hex}"
@@ -160,19 +170,15 @@ def switch_table(spark: SparkSession, path: str, version: str) -> None:
     The version before it stays for those who are reading it; older ones go.
     """
     before = current(spark, path)
-    at, fs = _fs(spark, f"{path}/{POINTER}.{uuid.uuid4().hex}")
+    at, fs = file_system(spark, f"{path}/{POINTER}.{uuid.uuid4().hex}")
     out = fs.create(at, True)
     try:
         out.write(bytearray(version.encode("utf-8")))
     finally:
         out.close()
-    jvm = spark.sparkContext._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    context.rename(at, _fs(spark, f"{path}/{POINTER}")[0], options)
+    rename_over(spark, at, file_system(spark, f"{path}/{POINTER}")[0])
     kept = {version, (before or "").rsplit("/", 1)[-1]}
-    for found in fs.listStatus(_fs(spark, path)[0]):
+    for found in fs.listStatus(file_system(spark, path)[0]):
         name = found.getPath().getName()
         if name.startswith("version-") and name not in kept:
             fs.delete(found.getPath(), True)

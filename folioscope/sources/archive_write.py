@@ -5,11 +5,12 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.paths import extension
@@ -52,6 +53,32 @@ def without(kind: str, content: bytes, hops: list[str]) -> bytes | None:
     return pack(kind if kind in (".zip", ".tar", ".tar.gz") else ".zip", held) if held else None
 
 
+def remove_book(spark: SparkSession, file_path: str, hops: list[str] | None = None) -> bool:
+    """Takes a book out of its file on disk, and says whether the file is still there; a refresh of the collection follows.
+
+    A plain file or a rar goes whole; of another archive the entry and its description go, by writing the archive anew beside
+    the old one and renaming it over. One file is held on the driver.
+    """
+    from folioscope.operators.maintain import file_system, rename_over
+    from folioscope.sources.ingest import crawl_files
+
+    at, fs = file_system(spark, file_path)
+    kind, left = extension_of(file_path), None
+    if hops and kind != ".rar":
+        left = without(kind, bytes(crawl_files(spark, [file_path]).first()["content"]), hops)
+    if left is None:
+        fs.delete(at, False)
+        return False
+    staged, _ = file_system(spark, f"{file_path}.{uuid.uuid4().hex}.new")
+    out = fs.create(staged, True)
+    try:
+        out.write(bytearray(left))
+    finally:
+        out.close()
+    rename_over(spark, staged, at)
+    return True
+
+
 def _listed(content: bytes, ext: str) -> Iterator[tuple[str, int | None, str]]:
     """Name, size and date of an archive's entries; of a zip from its central directory, so that nothing is inflated."""
     if ext in (".zip", ".jar"):

@@ -285,6 +285,7 @@ def test_control(spark, tmp_path):
         timer.join()
         return out, time.time() - began
 
+    assert control.progress(spark) == {}
     assert stopped()[0] == [] and control.run_stoppable(spark, "slow", lambda: spark.range(2).collect()) != []
 
     @control.plugin("evens")
@@ -370,6 +371,27 @@ def test_xml_takes_time_in_proportion(piece):
     assert time.time() - began < 5
 
 
+def test_books_leave_their_files(spark, tmp_path):
+    from folioscope.schema import COLLECTION
+    from folioscope.sources import store
+    from folioscope.sources.archive_write import remove_book
+
+    root, lib = str(tmp_path / "store"), tmp_path / "lib"
+    lib.mkdir()
+    (lib / "a.zip").write_bytes(zipped({"x.fb2": fb2("X"), "x.fbd": fb2("X"), "in.zip": zipped({"y.fb2": fb2("Y"), "z.fb2": fb2("Z")})}))
+    (lib / "b.txt").write_text("b")
+    (lib / "c.rar").write_bytes(rar5({"q.fb2": (fb2("Q"), 0)}))
+    store.save(spark, root, info=spark.createDataFrame([("native", str(lib), None)], COLLECTION))
+    store.refresh(spark, root, str(lib))
+    titles = lambda: sorted(r["titles"][0] for r in store.books(spark, root).collect())
+    assert titles() == ["Q", "X", "Y", "Z", "b"]
+    assert remove_book(spark, str(lib / "a.zip"), ["in.zip", "y.fb2"]) and remove_book(spark, str(lib / "a.zip"), ["x.fb2"])
+    assert not remove_book(spark, str(lib / "c.rar"), ["q.fb2"]) and not remove_book(spark, str(lib / "b.txt"))
+    store.refresh(spark, root)
+    assert titles() == ["Z"] and sorted(p.name for p in lib.iterdir() if not p.name.startswith(".")) == ["a.zip"]
+    assert not remove_book(spark, str(lib / "a.zip"), ["in.zip", "z.fb2"])
+
+
 def test_deep_xml():
     root = xmltree.parse("<a>" * 20_000 + "x" + "</a>" * 20_000)
     assert xmltree.write(root) == "<a>" * 20_000 + "x" + "</a>" * 20_000
