@@ -37,30 +37,45 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a small table that one task reads.
+ROWS_A_TASK = 1 << 15
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, without its lineage. A lost executor costs no recomputation from the start."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """The same for rows of a few numbers, read again by a task for each ROWS_A_TASK of them: what is small after a wide shuffle goes on in few tasks and files."""
+    held = cut(df)
+    return held.coalesce(max(1, -(-held.count() // ROWS_A_TASK)))
+
+
+def hand_back() -> None:
+    """Freed memory goes back to the machine: this process lives on beside others."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def tidied(over):
     """A function for ``mapInArrow`` that hands freed memory back when its task ends: workers live on beside those of later stages."""
 
     def run(batches):
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
         try:
             yield from over(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            hand_back()
 
     return run
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import hash_below, tidied
+from folioscope.llm.common import hand_back, hash_below, tidied
 
 WORD = re.compile(r"\w+")
 HASHES = 1 << 18
@@ -85,21 +85,11 @@ def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, lift:
         at = [x[x >= 0] for x in (kept[r] for r in rows)]
         return np.concatenate(at) if at else np.empty(0, np.int64), np.repeat(np.arange(len(rows)), list(map(len, at)))
 
-    (fp, rp), (fu, ru) = table(pos), table(unl)
+    held = (*table(pos), n_pos), (*table(unl), n_unl)
     w, b = np.zeros(len(ids)), -1.0
     m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     for step in range(1, steps + 1):
-        zp = b + np.bincount(rp, w[fp], n_pos)
-        zu = b + np.bincount(ru, w[fu], n_unl)
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        dp, du = sp * (1 - sp), su * (1 - su)
-        # l(z) = 1 - s, l(-z) = s
-        negative = su.mean() - prior * sp.mean()
-        grad = lambda gp, gu: np.append(np.bincount(fp, gp[rp], len(ids)) + np.bincount(fu, gu[ru], len(ids)), gp.sum() + gu.sum())
-        if negative >= 0:
-            g = grad(-2 * prior * dp / n_pos, du / n_unl)
-        else:
-            g = -grad(-prior * dp / n_pos, du / n_unl)
+        g = direction(w, b, *held, prior)[1]
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -107,6 +97,24 @@ def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, lift:
     return Classifier(ids, w, float(b))
 
 
+def direction(w: np.ndarray, b: float, pos, unl, prior: float) -> tuple[float, np.ndarray]:
+    """The risk's second part E_unl[l(-z)] - prior * E_pos[l(-z)], and what to step against: the gradient of the whole risk, or, while that part is negative, the part's own turned round.
+
+    ``pos`` and ``unl``: features and rows of the presences, and the number of rows. l(z) = 1 - s(z) and l(-z) = s(z), with the sigmoid s.
+    """
+    (fp, rp, n_pos), (fu, ru, n_unl) = pos, unl
+    sp, su = (1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[f], n), -30, 30))) for f, r, n in (pos, unl))
+    dp, du = sp * (1 - sp), su * (1 - su)
+    rest = su.mean() - prior * sp.mean()
+
+    def gradient(gp: np.ndarray, gu: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(fp, gp[rp], len(w)) + np.bincount(fu, gu[ru], len(w)), gp.sum() + gu.sum())
+
+    if rest >= 0:
+        return rest, gradient(-2 * prior * dp / n_pos, du / n_unl)
+    return rest, -gradient(-prior * dp / n_pos, du / n_unl)
+
+
 def _gathered(rows: DataFrame) -> list[np.ndarray]:
     """Feature ids of a bounded sample's texts, in order of doc_id; four bytes each on their way and on the driver."""
 
@@ -124,21 +132,27 @@ def _gathered(rows: DataFrame) -> list[np.ndarray]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 7000) -> Classifier:
-    """A classifier from ``labels`` (doc_id, toxic) with toxic = 1 as confirmed examples and texts of ``docs`` as unlabelled ones.
+    """A classifier from ``labels`` (doc_id, toxic) with toxic = 1 as confirmed examples, and texts of any label, which isn't looked at, as unlabelled ones.
 
-    Both samples are bounded by the parameters (about; they are chosen by a hash of doc_id), as the driver holds their
-    features. The class prior is the share of toxic rows among the labelled ones. Rows of null ids or labels teach nothing.
+    Both samples are of labelled documents and bounded by the parameters (about; they are chosen by a hash of doc_id, and a
+    repeated id gives one text, its first by order), as the driver holds their features. The class prior is the share of toxic
+    rows among the labelled ones, of which the unlabelled sample is drawn. Rows of null ids, labels or texts teach nothing.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n_pos, n_known = known.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.count("*")).first()
-    n_docs = docs.count()
-    if not n_pos or not n_docs:
+    if not n_pos:
         return train_nnpu([], [], 0.0)
-    chosen = known.where("toxic = 1").where(hash_below("doc_id", max_positive / n_pos)).select("doc_id")
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pos = _gathered(texts.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"))), "doc_id", "left_semi"))  # bounded by max_positive
-    unl = _gathered(texts.where(hash_below("doc_id", max_unlabelled / n_docs)))
-    return train_nnpu(pos, unl, float(n_pos) / float(n_known))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def sample(ids: DataFrame, rate: float) -> list[np.ndarray]:
+        chosen = ids.where(hash_below("doc_id", rate)).select("doc_id")
+        return _gathered(texts.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))  # bounded by the rate
+
+    pos = sample(known.where("toxic = 1"), max_positive / n_pos)
+    model = train_nnpu(pos, sample(known, max_unlabelled / n_known), float(n_pos) / float(n_known))
+    del pos
+    hand_back()
+    return model
 
 
 def scorer(model: Classifier):
