@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, cut_small
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,8 +17,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     checkpoint folder. Nulls, loops and repeated edges change nothing. An empty edge table gives an empty result.
     """
     both = edges.where("a is not null and b is not null and a <> b")
-    both = cut(both.select(F.col("a").alias("u"), F.col("b").alias("v")).union(both.select(F.col("b"), F.col("a"))))
-    parents = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("parent")))
+    both = cut_small(both.select(F.col("a").alias("u"), F.col("b").alias("v")).union(both.select(F.col("b"), F.col("a"))))
+    tasks = both.rdd.getNumPartitions()
+    few = lambda df: cut(df.coalesce(tasks))  # noqa: E731  nodes are no more than ends
+    parents = few(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("parent")))
     for _ in range(max_rounds):
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         grand = parents.join(up, "parent").select("node", "parent", "grand")
@@ -30,7 +32,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .groupBy("node")
             .agg(F.min("parent").alias("parent"))
         )
-        after = cut(moves)
+        after = few(moves)
         changed = after.join(parents.withColumnRenamed("parent", "was"), "node").where("parent <> was").limit(1).count()
         parents = after
         if not changed:
