@@ -206,29 +206,44 @@ def _dealt(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) in ranges of ids, a task each, in descending order, with the first row of the next range at the end (``extra``).
 
     One shuffle of the texts. Bounds come from quantiles of the ids, and from each range's largest id: as many values as there are tasks.
+    An id that is several quantiles at once, and null ids, have several ranges, by a hash of the text.
     """
     spark = docs.sparkSession
     n = parallelism(spark)
     ids = docs.select("doc_id").where("doc_id is not null")
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], max(1e-5, 0.1 / n))))
-    spot = F.coalesce(_place(F.col("doc_id"), list(map(int, bounds))).cast("int"), F.lit(0))  # null ids come last, so in the lowest range
-    tops = sorted((r["spot"], r["top"]) for r in docs.groupBy(spot.alias("spot")).agg(F.max("doc_id").alias("top")).collect())
+    found = list(map(int, ids.approxQuantile("doc_id", [i / n for i in range(1, n)], max(1e-5, 0.1 / n))))
+    bounds = sorted(set(found))
+    n_rows, n_nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    # Ranges by number, from the last to be read: those of null ids, then for each place its ids and, above them, its bound's shares.
+    nulls = -(-n_nulls * n // max(1, n_rows))
+    shares = [found.count(b) if found.count(b) > 1 else 0 for b in bounds] + [0]
+    start = [nulls + sum(shares[:k]) + k for k in range(len(shares))]
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("place") + 1)
+    bucket = lambda m: F.pmod(F.xxhash64("text"), F.greatest(m, F.lit(1)))
+    share = F.when(F.col("doc_id") == of([*bounds, None] if bounds else [0]), of(shares)).otherwise(0)
+    split = F.col("doc_id").isNull() | (share > 0)
+    spot = F.when(F.col("doc_id").isNull(), nulls - 1 - bucket(F.lit(nulls))).when(share > 0, of(start) + share - bucket(share)).otherwise(of(start))
+    rows = docs.withColumn("place", F.coalesce(_place(F.col("doc_id"), bounds).cast("int"), F.lit(0)))
+    rows = rows.select("doc_id", "text", spot.cast("int").alias("spot"), F.coalesce(split, F.lit(False)).alias("split"))
+    tops = sorted((r["spot"], r["split"], r["top"]) for r in rows.groupBy("spot", "split").agg(F.max("doc_id").alias("top")).collect())
     if not tops:
         return docs.select("doc_id", "text", F.lit(0).alias("spot"), F.lit(False).alias("extra"))
-    # The range above gets the row too; the largest id goes to the lowest range, as the last document's next is the first.
-    above = {spot: tops[(i + 1) % len(tops)][0] for i, (spot, _) in enumerate(tops)}
-    first = F.broadcast(spark.createDataFrame([(top, above[s]) for s, top in tops if top is not None], "top long, above int"))
-    rows = docs.select("doc_id", "text", spot.alias("spot"), F.lit(False).alias("extra"))
+    # The range above gets the row too; the first of all goes to the lowest range, as the last document's next is the first.
+    above = {spot: tops[(i + 1) % len(tops)][0] for i, (spot, _, _) in enumerate(tops)}
+    first = F.broadcast(spark.createDataFrame([(top, above[s]) for s, shared, top in tops if not shared], "top long, above int"))
+    next_of = F.broadcast(spark.createDataFrame([(s, above[s]) for s, shared, _ in tops if shared], "spot int, above int"))
     ends = docs.join(first, F.col("doc_id") == F.col("top")).select("doc_id", "text", F.col("above").alias("spot"), F.lit(True).alias("extra"))
-    return rows.unionByName(ends)
+    least = rows.where("split").groupBy("spot").agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    more = least.join(next_of, "spot").select("doc_id", "text", F.col("above").alias("spot"), F.lit(True).alias("extra"))
+    return rows.select("doc_id", "text", "spot", F.lit(False).alias("extra")).unionByName(ends).unionByName(more)
 
 
 def with_edits(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of ``docs`` (doc_id, text).
 
     The edited text replaces the last floor(n_chars / 2) code points by the first as many (or all) of the next document's, in
-    descending order of doc_id; the last one's next is the first. Repeated ids are ordered by text; null ids come last. A null
-    text is empty. A table of one row is its own next. Other columns are ignored; an empty table gives an empty result.
+    descending order of doc_id; the last one's next is the first. Rows of one id are ordered by text, or, where they fill whole
+    ranges, by a hash of it first; null ids come last. A null text is empty. A table of one row is its own next. Other columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = parallelism(docs.sparkSession)

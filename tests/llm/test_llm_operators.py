@@ -508,6 +508,37 @@ def test_weighted_sampling_of_few_rows(spark):
     assert sorted(r["near_next"] for r in nulls) == [0.0, 0.0, 1.0]
 
 
+@pytest.mark.parametrize("tasks", [4, 13])
+def test_weighted_sampling_of_repeated_and_null_ids(spark, tasks):
+    """A third of the rows has one id, a third none: every row's next is another one's, in one ring through all, ids descending, nulls last."""
+    r = random.Random(3)
+    ids = [None] * 80 + [500] * 80 + list(range(450, 530)) + [7, 7, 7]
+    rows = [(i, f"{k:04d} " + " ".join(r.choice("abcdefgh") * 3 for _ in range(12))) for k, i in enumerate(ids)]
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        dealt = weighted_sampling._dealt(spark.createDataFrame(rows, "doc_id long, text string"))
+        sizes = [x["count"] for x in dealt.groupBy("spot").count().collect()]
+        got = weighted_sampling.with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows) and max(sizes) < len(rows) / 2
+    own = {}
+    for k, (_, text) in enumerate(rows):
+        for j, (_, other) in enumerate(rows):
+            half = len(text) // 2
+            own[hashlib.sha256((text[: len(text) - half] + other[:half]).encode()).hexdigest()] = (k, j)
+    after = dict(own[x["edited_sha256"]] for x in got)
+    assert len(after) == len(set(after.values())) == len(rows)
+    at = next(k for k, (i, _) in enumerate(rows) if i == 529)
+    ring = []
+    for _ in rows:
+        ring.append(rows[at][0])
+        at = after[at]
+    assert ring == sorted(ids, key=lambda i: -1000 if i is None else i, reverse=True) and rows[at][0] == 529
+
+
 def test_places_among_bounds(spark):
     bounds = sorted(random.Random(1).sample(range(1000), 37))
     for some in (bounds, bounds[:1], bounds[:2], []):
