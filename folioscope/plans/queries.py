@@ -131,12 +131,23 @@ def search_author_parts(spark, sf_dir):
 
 @query(f"SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE {_rule('supplier#00000001', 0.99, 's_name')}")
 def search_nested_any_author(spark, sf_dir):
-    """Files of many books: an order's suppliers are the authors of its one record."""
-    l, s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    """Files of many books, each by one author: a file is found if any of its books is, so books are tested before they are brought together."""
     null = F.lit(None).cast("string")
     author = F.struct(F.col("s_name").alias("full"), null.alias("last"), null.alias("first"), null.alias("middle"), null.alias("nick"))
-    nested = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_orderkey").cast("string").alias("file_path")).agg(F.collect_set(author).alias("authors"))
-    return search(nested, [Author(last="Supplier#00000001")], 0.99).select(F.col("file_path").cast("long").alias("id"))
+    authors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_path"), F.array(author).alias("authors"))
+    hits = search(authors, [Author(last="Supplier#00000001")], 0.99).select(F.col("file_path").cast("long").alias("l_suppkey"))
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(hits, "l_suppkey", "left_semi")
+    return found.select(F.col("l_orderkey").alias("id")).distinct()
+
+
+@query("SELECT l_orderkey AS id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey HAVING bool_or(s_suppkey % 7 = 3) AND bool_or(s_suppkey % 5 = 1)")
+def search_nested_two_authors(spark, sf_dir):
+    """Records of many authors: each request must be met by one of them."""
+    l, null = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), F.lit(None).cast("string")
+    last, first = F.concat(F.lit("seven"), (F.col("l_suppkey") % 7).cast("string")), F.concat(F.lit("five"), (F.col("l_suppkey") % 5).cast("string"))
+    author = F.struct(null.alias("full"), last.alias("last"), first.alias("first"), null.alias("middle"), null.alias("nick"))
+    nested = l.groupBy(F.col("l_orderkey").cast("string").alias("file_path")).agg(F.collect_set(author).alias("authors"))
+    return search(nested, [Author(last="seven3"), Author(first="five1")], 0.99).select(F.col("file_path").cast("long").alias("id"))
 
 
 # Results ---------------------------------------------------------------------------------------------------------------
