@@ -24,7 +24,7 @@ BITS = 25
 SEGMENTS = 16
 #: Holders of a shingle up to which its pairs are few; those of more holders carry their sketches into the join.
 SOME = 8
-#: Sets up to which their names are broadcast to fetch members; more are joined by a shuffle.
+#: Rows of a few numbers up to which they are broadcast: about 50 MB. More are joined by a shuffle.
 FEW = 1 << 20
 
 
@@ -244,6 +244,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     keep = found["doc_id"].eqNullSafe(found["first_id"]) & (found["h"] == found["first_h"])
     fate = found.groupBy("doc_id", "h").agg(F.max(keep).alias("__fs_keep"), F.count("*").alias("__fs_n"))
     fate = cut_small(fate.where("not __fs_keep or __fs_n > 1").select(F.col("doc_id").alias("__fs_id"), F.col("h").alias("__fs_h"), "__fs_keep"))
+    # Few enough to be broadcast, fates spare the texts a shuffle; else both sides are dealt by key.
+    fate = F.broadcast(fate) if fate.count() <= FEW else fate
     rows = docs.withColumn("__fs_own", row_hash())
     here = rows["doc_id"].cast("long").eqNullSafe(fate["__fs_id"]) & (rows["__fs_own"] == fate["__fs_h"])
     once = rows.join(fate, here, "left_anti").select(*docs.columns)

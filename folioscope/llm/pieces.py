@@ -254,7 +254,8 @@ def _library(path: str):
 class Cache:
     """Encoded chunks of one worker: (ids joined by commas, their number, surface). New chunks of a batch are merged by the agenda and checked against the library."""
 
-    def __init__(self, path: str, check: bool):
+    def __init__(self, path: str, check: bool, most: int = CACHE_CHUNKS):
+        self.most = most
         self.model, self.check = model(path), _library(path) if check else None
         self.names = list(map(str, range(len(self.model.pieces))))
         self.known: dict[str, tuple] = {}
@@ -262,7 +263,7 @@ class Cache:
         self.differ: set[str] = set()
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
             self.differ &= self.older.keys()
         known, older, parts = self.known, self.older, self.model.parts
@@ -294,7 +295,7 @@ class Cache:
                     self.differ.add(x)
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True, keep_text: bool = False, window_chars: int = 1 << 21) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True, keep_text: bool = False, window_chars: int = 1 << 21, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, matches_library) for every row of ``docs`` (doc_id, text).
 
     ``keep_text`` adds ``ids`` (array of int) and ``decoded``. Ids are those of the library for the vocabulary file at
@@ -302,7 +303,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True,
     if no piece holds a mark elsewhere than in front), and each distinct chunk of a worker runs through the agenda once.
     ``check``: the library encodes the new chunks of each Arrow batch too, and ``matches_library`` is false for a text with a
     chunk that differs; with ``check`` off it is null. Null and empty texts: no ids, empty decoded text. Whole texts of any
-    length; repeated rows and null ids stay; other columns are ignored. Memory holds one window of texts and a bounded cache.
+    length; repeated rows and null ids stay; other columns are ignored. Memory holds one window of texts and
+    up to twice ``cache_chunks`` chunks.
     """
     path = path or tokenizer_path("piece_bpe_32k.model")
 
@@ -321,7 +323,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True,
             yield ids, sum([x[1] for x in found]), surface.decode("utf-8", EACH_BYTE), ok
 
     def over(batches):
-        cache = Cache(path, check)
+        cache = Cache(path, check, cache_chunks)
         for batch in batches:
             rows, window, size = [], [], 0
             for x in batch.column(1):

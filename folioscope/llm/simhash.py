@@ -21,6 +21,8 @@ MAX_BITS = 3
 CHUNK = 1 << 16
 #: Values of one join key from which the key is split.
 CROWD = 64
+#: Crowded keys up to which they are broadcast (8 MB); more are joined by a shuffle.
+FEW = 1 << 20
 #: Bits of a key: its place in the ring and 32 bits of a fingerprint.
 KEY_BITS = 37
 
@@ -132,6 +134,10 @@ def _split(dealt: DataFrame) -> DataFrame:
     A value of a crowded key is dealt four times, by the key and one such segment each; a pair counts at the first that agrees.
     """
     crowded = cut(dealt.groupBy("place").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("place"))
+    n = crowded.count()
+    if not n:
+        return dealt
+    crowded = F.broadcast(crowded) if n <= FEW else crowded
     finer = [f"place | shiftleft({j + 1}L, {KEY_BITS}) | shiftleft({_rest('fp', j)}, {KEY_BITS + 3})" for j in range(4)]
     split = dealt.join(crowded, "place", "left_semi").select("fp", F.explode(F.expr(f"array({', '.join(finer)})")).alias("place"))
     return dealt.join(crowded, "place", "left_anti").select("fp", "place").union(split)

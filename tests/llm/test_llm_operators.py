@@ -441,9 +441,10 @@ def test_simhash_against_all_pairs(spark):
     assert {i: r["component_id"] for i, r in got.items()} == slow_components(ids, linked)
 
 
-@pytest.mark.parametrize("crowd", [64, 1])
-def test_pigeonring_loses_no_pair(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, few", [(64, 1 << 20), (1, 1 << 20), (1, 0)])
+def test_pigeonring_loses_no_pair(spark, monkeypatch, crowd, few):
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "FEW", few)
     r = random.Random(9)
     base = [r.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
     values = set(base)

@@ -80,7 +80,9 @@ def test_stages_on_odd_rows(spark, name):
         assert sorted((r["doc_id"] for r in rows)) == [0, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]
 
 
-def test_near_copies_by_rows(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_near_copies_by_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(near_text, "FEW", few)
     rows = [(2, "a b c d e f"), (5, "a b c d e f"), (5, "u v w x y z"), (5, "u v w x y z"), (None, "u v w x y z"), (None, "o p q r s"), (None, "o p q r s"), (7, None), (8, " "), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = STAGE["simhash near-dedup"](spark, docs, DATA).collect()
