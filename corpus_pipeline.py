@@ -51,7 +51,7 @@ def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of ids and digests of ids and decoded text of every row; a null text counts as empty, repeated rows and null ids stay."""
-    return pieces.encode_decode(docs, window_chars=1 << 19)  # small windows, as executors have grown in the stages before
+    return pieces.encode_decode(docs, window_chars=1 << 19, cache_chunks=60_000)  # little memory, as executors have grown in the stages before
 
 
 STAGES = [("toxicity", toxic_out), ("line dedup", lines_deduplicated), ("simhash near-dedup", one_of_each), ("decontamination", leaks_out), ("sentencepiece", encoded)]
