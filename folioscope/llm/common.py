@@ -68,6 +68,12 @@ def hand_back() -> None:
         pass
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Has the driver drop what nothing refers to any more, so that Spark's cleaner removes its shuffle files and checkpoints now, not when the heap happens to fill."""
+    hand_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidied(over):
     """A function for ``mapInArrow`` that hands freed memory back when its task ends: workers live on beside those of later stages."""
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut_small, hand_back, tidied
+from folioscope.llm.common import clean_up, cut_small, hand_back, tidied
 from folioscope.llm.graph import components
 from folioscope.llm.simhash import SEED, digests, folded, links
 
@@ -197,8 +197,11 @@ def classes(sets: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     posted = posted.groupBy("x", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     held = posted.groupBy("x").agg(F.count("*").alias("k"), F.min_by(F.struct("sig", "n", "pos"), F.xxhash64("sig", "x")).alias("hub")).where("k > 1")
     posted = cut_small(posted.join(held, "x").select("x", "sig", "n", "pos", "k", "hub"))
+    del held
+    clean_up(rows.sparkSession)
     stars = posted.where(F.expr("sig <> hub.sig and 9 * least(n - pos, hub.n - hub.pos) >= 4 * (n + hub.n)"))
     first = components(_alike(stars.select(*_ordered("sig", "hub.sig")).union(_near_fingerprints(sets)), sets, rows, width)).select(F.col("node").alias("sig"), "component")
+    clean_up(rows.sparkSession)
     own = cut_small(posted.join(first, "sig", "left").select("x", "sig", "n", "pos", "k", F.coalesce("component", "sig").alias("c")))
     # Shingles whose holders are all in one component have no pair left.
     open_ = own.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("x")
@@ -213,6 +216,8 @@ def classes(sets: DataFrame, rows: DataFrame, width: int) -> DataFrame:
         return p.join(q, F.expr(f"p.x = q.x and {pair}")).select(*_ordered("p.sig", "q.sig"))
 
     rest = _alike(pairs(own.where(F.col("k") <= SOME), "true").union(pairs(many, _near("p", "q"))), sets, rows, width)
+    del stars, posted, own, many, sketches, open_
+    clean_up(rows.sparkSession)
     # The components that the rest joins: named by what they were called before.
     name = first.withColumnRenamed("component", "c")
     ends = rest.join(name.withColumnRenamed("sig", "a").withColumnRenamed("c", "ca"), "a", "left").join(name.withColumnRenamed("sig", "b").withColumnRenamed("c", "cb"), "b", "left")
