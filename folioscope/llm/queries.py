@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, language, licenses, line_dedup, pieces, simhash, token_counts, toxicity, warc, weighted_sampling
+from folioscope.llm import decontaminate, language, licenses, line_dedup, pieces, simhash, spelling, token_counts, toxicity, warc, weighted_sampling
 from folioscope.llm.common import crc_mod, read
 
 
@@ -67,8 +67,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the more frequent word that each is a spelling of, and where its chain of forms ends."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_license_scan, op3_language_id, op4_warc_derivatives, op5_simhash, op6_weighted_sampling, op7_sentencepiece, op8_toxicity, op9_token_counts, op10_line_dedup)
+    own = (op1_decontamination, op2_license_scan, op3_language_id, op4_warc_derivatives, op5_simhash, op6_weighted_sampling, op7_sentencepiece, op8_toxicity, op9_token_counts, op10_line_dedup, op13_spelling_variants)
     return {f.__name__: f for f in own}
 
 
