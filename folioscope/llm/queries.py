@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, language, licenses, line_dedup, pieces, simhash, spelling, token_counts, toxicity, warc, weighted_sampling
+from folioscope.llm import collocations, decontaminate, language, licenses, line_dedup, main_text, pieces, simhash, spelling, token_counts, toxicity, warc, weighted_sampling
 from folioscope.llm.common import crc_mod, read
 
 
@@ -67,15 +67,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = read(spark, sf_dir, "pages")
+    return main_text.extract(pages, main_text.learn(pages))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language, by how much more often their words stand together than apart."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, the more frequent word that each is a spelling of, and where its chain of forms ends."""
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_license_scan, op3_language_id, op4_warc_derivatives, op5_simhash, op6_weighted_sampling, op7_sentencepiece, op8_toxicity, op9_token_counts, op10_line_dedup, op13_spelling_variants)
+    own = (op1_decontamination, op2_license_scan, op3_language_id, op4_warc_derivatives, op5_simhash, op6_weighted_sampling, op7_sentencepiece, op8_toxicity, op9_token_counts, op10_line_dedup, op11_main_text, op12_collocations, op13_spelling_variants)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.sql(), "op10_line_dedup": line_dedup.sql()}
+    return {"op2_license_scan": licenses.sql(), "op10_line_dedup": line_dedup.sql(), "op12_collocations": collocations.sql()}
