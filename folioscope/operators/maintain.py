@@ -157,9 +157,14 @@ def rename_over(spark: SparkSession, old, new) -> None:
     sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, conf).rename(old, new, options)
 
 
+def version_name() -> str:
+    """The name of a new version's folder, which ``switch_table`` can put in place."""
+    return f"version-{uuid.uuid4().hex}"
+
+
 def stage_table(spark: SparkSession, df: DataFrame, path: str, max_records: int = 0) -> str:
     """Writes a new version beside those that are there; nobody reads it before ``switch_table`` names it."""
-    version = f"version-{uuid.uuid4().hex}"
+    version = version_name()
     df.write.option("maxRecordsPerFile", max_records).parquet(f"{path}/{version}")
     return version
 

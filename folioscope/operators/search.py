@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioscope.functions.match import Rule, joined, normalise_needle
 from folioscope.functions.text import compare_key, full_name, normalise, normalise_author
+from folioscope.operators.shared import held
 
 
 @dataclass(frozen=True)
@@ -120,13 +120,10 @@ def order_by_text(rows: DataFrame, column: str, *ties: str, descending: bool = F
 def placed(rows: DataFrame, *order: Column) -> DataFrame:
     """``rows`` with their ``place`` (from 1) in an order. Sorted by ranges, counted by range, so that no task has all rows; the driver gets one number a range.
 
-    The sorted rows are cut by a checkpoint, as both looks at them must see the same ranges; without a checkpoint folder they are counted in one task.
+    The sorted rows are cut by a checkpoint in the shared folder, as both looks at them must see the same ranges.
     """
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    held = rows.orderBy(*order).withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}).checkpoint()
-    sizes = {r["__range"]: r["count"] for r in held.groupBy("__range").count().collect()}
+    ranged = held(rows.orderBy(*order).withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
     before, total = [], 0
     for k in range(max(sizes, default=-1) + 1):
         before.append(total)
@@ -134,7 +131,7 @@ def placed(rows: DataFrame, *order: Column) -> DataFrame:
     if not before:
         return rows.withColumn("place", F.lit(1).cast("long"))
     start = F.element_at(F.array(*map(F.lit, before)), F.col("__range") + 1)
-    return held.withColumn("place", (start + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("__range", "__at")
+    return ranged.withColumn("place", (start + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("__range", "__at")
 
 
 def text_order(column: str, descending: bool = False, inverted: bool = False, locale: str | None = None) -> Column:

@@ -588,7 +588,7 @@ def activity_windows(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from folioscope.plans import ingest_queries  # noqa: F401  its queries register themselves
+    from folioscope.plans import index_queries, ingest_queries  # noqa: F401  their queries register themselves
 
     return dict(QUERIES)
 

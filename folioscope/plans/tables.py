@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.hashing import sha256_hex
+from folioscope.operators.shared import shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for files that a query writes and reads again: in the folder for checkpoints, or (none set, and Spark runs in this process alone) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/folioscope-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/folioscope-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
