@@ -85,18 +85,22 @@ def clean_strings(values: Column) -> Column:
     return F.filter(values, lambda x: x.isNotNull() & (x != ""))
 
 
-def remove_book(books: DataFrame, file_path: str, path_in_file: list[str] | None = None) -> DataFrame:
-    """Books without a removed one. A plain file or a rar goes with all its books; so do all books of a rar at any depth of the place; else the one entry goes."""
+def meant(file_path: str, path_in_file: list[str] | None = None) -> Column:
+    """Whether a row is of a removed book. A plain file or a rar goes with all its books; so do all books of a rar at any depth of the place; else the one entry goes."""
     own = F.col("file_path") == file_path
-    whole = path_in_file is None or file_path.lower().endswith(".rar")
-    if not whole:
+    if path_in_file is not None and not file_path.lower().endswith(".rar"):
         rar = next((i for i, hop in enumerate(path_in_file) if hop.lower().endswith(".rar")), None)
         place = F.col("path_in_file")
         if rar is not None:
             own = own & (F.slice(place, 1, rar + 1) == F.array(*map(F.lit, path_in_file[: rar + 1])))
         else:
             own = own & place.eqNullSafe(F.array(*map(F.lit, path_in_file)))
-    return books.where(~F.coalesce(own, F.lit(False)))
+    return F.coalesce(own, F.lit(False))
+
+
+def remove_book(books: DataFrame, file_path: str, path_in_file: list[str] | None = None) -> DataFrame:
+    """Books without a removed one, see ``meant``."""
+    return books.where(~meant(file_path, path_in_file))
 
 
 def _marks(left: DataFrame, right: DataFrame) -> Column:

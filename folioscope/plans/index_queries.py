@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import word_index
 from folioscope.plans.queries import _norm, query
 from folioscope.plans.tables import books, people, scratch, table
+from folioscope.sources import changelog
 
 # Search by an index ----------------------------------------------------------------------------------------------------
 
@@ -60,3 +61,54 @@ def search_batch_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     authors = _requests(spark, keys, request=request, kind=F.lit("author"), first=digits, middle=F.lit("BU"), coef=F.lit(0.99))
     titles = _requests(spark, keys, request=request, kind=F.lit("title"), text=F.concat(F.lit("customer#"), digits), coef=F.lit(0.5))
     return word_index.search_batch(spark, path, authors.union(titles)).select("request", F.col("id"))
+
+
+# Change logs -----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT p_partkey AS id, CASE WHEN p_partkey = 17 AND p_size % 10 NOT IN (3, 4) THEN 'A New Title' WHEN p_size % 10 = 3 AND p_partkey % 2 = 0 THEN concat(upper(p_name), ' twice')
+  WHEN p_size % 10 = 3 THEN upper(p_name) WHEN p_size % 10 = 4 THEN 'again' ELSE p_name END AS title
+FROM part WHERE p_size % 10 <> 4 OR p_size % 20 = 4
+""")
+def change_log_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits, removals and returns of books as numbered changes beside the stored table, before and after the log is put into it."""
+    path, own = f"{scratch(spark)}/books", books(spark, sf_dir)
+    changelog.create(spark, path, own)
+    number = F.element_at(F.col("sequences"), 1)["number"].cast("int")
+    upper = lambda rows: rows.withColumn("titles", F.transform("titles", lambda t: F.upper(t)))
+    changelog.edit_book(spark, path, "/lib/part/17.fb2", None, {"titles": F.array(F.lit("A New Title"))})
+    changelog.change(spark, path, upper, keys=own.where(number % 10 == 3))
+    changelog.change(spark, path, lambda rows: rows.where("false"), keys=own.where(number % 10 == 4))
+    changelog.compact(spark, path)
+    back = own.where(number % 20 == 4).withColumn("titles", F.array(F.lit("again")))
+    changelog.change(spark, path, lambda rows: rows.unionByName(back), keys=back)
+    twice = lambda rows: rows.withColumn("titles", F.transform("titles", lambda t: F.concat(t, F.lit(" twice"))))
+    changelog.change(spark, path, twice, keys=own.where((number % 10 == 3) & (F.col("id") % 2 == 0)))
+    return changelog.read(spark, path).select("id", F.col("titles")[0].alias("title"))
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS file_path, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS note_text FROM labels WHERE quality = 1 AND doc_id % 3 <> 1 AND toxic = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'new' FROM labels WHERE quality = 0 AND doc_id % 3 = 0 AND toxic = 0
+""")
+def change_log_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that come, change and go as changes; then those of some books are removed."""
+    place = F.expr("cast(null as array<string>)").alias("path_in_file")
+    labels, path = table(spark, sf_dir, "labels"), f"{scratch(spark)}/notes"
+    key = F.col("doc_id").cast("string").alias("file_path")
+    changelog.create(spark, path, labels.where("quality = 1").select(key, place, F.lit("old").alias("note_text")))
+    changelog.upsert_notes(spark, path, labels.where("doc_id % 3 < 2").select(key, place, F.when(F.col("doc_id") % 3 == 0, "new").otherwise("").alias("note_text")))
+    changelog.remove_notes(spark, path, labels.where("toxic = 1").select(key, place))
+    return changelog.read(spark, path).select("file_path", "note_text")
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS file_path, event_type AS place FROM events WHERE (event_id % 3 = 0 OR event_type IN ('click', 'error')) AND user_id % 10 <> 4")
+def change_log_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks: those that aren't there come, then all of some files go."""
+    events, path = table(spark, sf_dir, "events"), f"{scratch(spark)}/bookmarks"
+    marks = lambda test: events.where(test).select(F.col("user_id").cast("string").alias("file_path"), F.array("event_type").alias("path_in_file")).distinct()
+    changelog.create(spark, path, marks("event_id % 3 = 0"))
+    changelog.add_bookmarks(spark, path, marks("event_type in ('click', 'error')"))
+    changelog.remove_bookmarks(spark, path, marks("user_id % 10 = 4").select("file_path", F.expr("cast(null as array<string>)").alias("path_in_file")).distinct())
+    return changelog.read(spark, path).select("file_path", F.col("path_in_file")[0].alias("place"))
