@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import string
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,99 +21,114 @@ LONGEST = 3
 LEAST = 10
 TOP = 2000
 INSIDE = 50
-PIECE_END = "[.,;:!?\x0a-\x0d]"
-BLANK = "[ \t]+"
 #: Words of a shard: what one automaton is made from and read against.
 SHARD_WORDS = 1 << 20
+#: Bytes of a text that are cut into words at a time.
+WINDOW = 1 << 22
 #: Cells of the sketch: one for this many bytes of text, between these powers of two. The most, a byte each, is what a task holds.
 CELL_BYTES, FEWEST, MOST = 8, 1 << 16, 1 << 27
 BLOCK = 1 << 16
-#: Between the words of a phrase, and beside them; no word holds it. Pieces stand apart by END, which no word holds either.
-GUARD, END = " ", "\n"
+#: Between the words of a phrase, and beside them; no word holds it. END stands among the words where a piece ends, and is no word.
+GUARD, END = b" ", b"\n"
 SALTS = 64
 
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-_PIECES, _BLANKS = re.compile(PIECE_END), re.compile(BLANK)
+_PIECE_END = b".,;:!?\n\x0b\x0c\r"
+_TABLE = bytes.maketrans(string.ascii_uppercase.encode() + b"\t" + _PIECE_END, string.ascii_lowercase.encode() + GUARD + END * len(_PIECE_END))
+_CUT = re.compile(rb"[ \t.,;:!?\n-\r]")
 
 
-def pieces(text: str | None, most: int = SHARD_WORDS) -> Iterator[tuple[list[str], int]]:
-    """(words, sign) of a text's pieces, A-Z lowered. A piece of more than ``most`` words comes in parts that share LONGEST - 1 words, which then come once more with sign -1, so that sums over parts are those of the whole."""
-    text = (text or "").translate(_LOWER)
-    at = 0
-    while at <= len(text):
-        found = _PIECES.search(text, at)
-        end = found.start() if found else len(text)
-        words = [w for w in _BLANKS.split(text[at:end]) if w] if end > at else []
-        at = end + 1
-        for a in range(0, max(1, len(words) - LONGEST + 1), most):
-            part = words[a : a + most + LONGEST - 1]
-            if part:
-                yield part, 1
-            if a + most + LONGEST - 1 < len(words):
-                yield part[1 - LONGEST :], -1
+class Words(dict):
+    """Numbers of the words of a shard, as they are met; 0 is no word, 1 the end of a piece."""
+
+    def __init__(self):
+        super().__init__({b"": 0, END: 1})
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def of(self, octets: bytes) -> np.ndarray:
+        """The words of a text, A-Z lowered, with the ends of its pieces."""
+        found = octets.translate(_TABLE).replace(END, GUARD + END + GUARD).split(GUARD)
+        numbers = np.fromiter(map(self.__getitem__, found), np.int32, len(found))
+        return numbers[numbers > 0]
 
 
 class Shard:
-    """Pieces of one language, as words, their hashes, and the hashes of all n-grams up to LONGEST words."""
-
-    def __init__(self, lang: str):
-        self.lang, self.pieces, self.signs, self.size = lang, [], [], 0
-
-    def add(self, words: list[str], sign: int) -> None:
-        self.pieces.append(words)
-        self.signs.append(sign)
-        self.size += len(words)
-
-    def grams(self, known: dict[str, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(n, places, hashes) of the n-grams of every length; a place is that of the first word among all words of the shard. ``known``: hashes of words met before."""
-        words = [w for piece in self.pieces for w in piece]
-        fresh = set(words).difference(known)
-        known.update(zip(fresh, (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in fresh), strict=True))
-        own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        sizes = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words to the piece's end, this one too
-        mixed = np.uint64(xxhash.xxh64_intdigest(self.lang.encode("utf-8", "surrogatepass"), 5))
-        mixed = np.full(len(words), mixed, np.uint64)
-        for n in range(1, LONGEST + 1):
-            places = np.flatnonzero(left >= n)
-            mixed = _mix(mixed[: len(places)] if n == 1 else before[np.searchsorted(held, places)], own[places + n - 1])
-            held, before = places, mixed
-            yield n, places, mixed
+    """Texts of one language as numbered words, in parts that an end of a piece follows, each with a sign."""
+
+    def __init__(self, lang: str | None):
+        self.lang, self.words, self.size = lang, Words(), 0
+        self.parts: dict[int, list[np.ndarray]] = {1: [], -1: []}
 
-    def counts(self, cells: np.ndarray, known: dict[str, int]) -> Counter:
-        """Occurrences of the shard's n-grams whose cell of the sketch, an upper bound of their number, reached the least: they make an automaton, which reads the shard.
+    def add(self, numbers: np.ndarray, sign: int = 1) -> None:
+        self.parts[sign] += [numbers, np.ones(1, np.int32)]
+        self.size += len(numbers)
 
-        One place of each hash names its phrase. Were two phrases of one hash, the automaton would find fewer places than
-        there are; then all places name theirs.
+    def line(self, sign: int) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.int32), *self.parts[sign]])
+
+    def grams(self, line: np.ndarray, n_cells: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, places, hashes, cells) of the n-grams of every length in a line of words; none spans the end of a piece."""
+        of = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))[line]
+        mixed = _mix(np.uint64(xxhash.xxh64_intdigest((self.lang or "").encode("utf-8", "surrogatepass"), 5)), of)
+        inside = word = line > 1
+        for n in range(1, LONGEST + 1):
+            if n > 1:
+                mixed, inside = _mix(mixed[:-1], of[n - 1 :]), inside[:-1] & word[n - 1 :]
+            places = np.flatnonzero(inside)
+            hashes = mixed[places]
+            yield n, places, hashes, (hashes & np.uint64(n_cells - 1)).astype(np.uint32)
+            if len(mixed) < 2:
+                return
+
+    def counts(self, bits: np.ndarray) -> tuple[list[bytes], list[int], list[int]]:
+        """(phrases, sizes, occurrences) of the shard's n-grams whose cell of the sketch, an upper bound of their number, reached the least.
+
+        Words are counted by their numbers. The phrases of more words make an automaton, which reads the shard. One place of each
+        hash names its phrase: were two phrases of one hash, the automaton would find fewer places than there are, and then all
+        places name theirs.
         """
-        words = [w for piece in self.pieces for w in piece]
-        last = np.uint64(len(cells) * 8 - 1)
-        first, every = [], []
-        for n, places, hashes in self.grams(known):
-            cell = hashes & last
-            may = (cells[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            every.append((n, places[may]))
-            first.append((n, places[may][np.unique(hashes[may], return_index=True)[1]]))
-        total, n_seen = self._read(words, first)
-        return total if n_seen == sum(len(places) for _, places in every) else self._read(words, every)[0]
-
-    def _read(self, words: list[str], named: list[tuple[int, np.ndarray]]) -> tuple[Counter, int]:
-        """Counts of the phrases at the given places, and how many places the automaton met them at."""
-        phrases = list(dict.fromkeys(GUARD.join(words[p : p + n]) for n, places in named for p in places.tolist()))
-        if not phrases:
-            return Counter(), 0
-        found = ahocorasick.Automaton()
-        for k, x in enumerate(phrases):
-            found.add_word(f"{GUARD}{x}{GUARD}", k)
-        found.make_automaton()
-        total, n_seen = np.zeros(len(phrases), np.int64), 0
-        for sign in (1, -1):
-            text = END.join(f"{GUARD}{GUARD.join(x)}{GUARD}" for x, s in zip(self.pieces, self.signs, strict=True) if s == sign)
-            if text:
-                seen = np.fromiter((k for _, k in found.iter(text)), np.int64)
-                total += sign * np.bincount(seen, minlength=len(phrases))
-                n_seen += len(seen)
-        return Counter(dict(zip(phrases, total.tolist(), strict=True))), n_seen
+        lines = {sign: self.line(sign) for sign in self.parts}
+        names = list(self.words)
+        first, every, n_places = [], [], 0
+        words = np.zeros(len(names), bool)
+        for n, places, hashes, cells in self.grams(lines[1], len(bits) * 8):
+            may = (bits[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8)) & 1 == 1
+            places = places[may]
+            if n == 1:
+                words[lines[1][places]] = True
+                continue
+            n_places += len(places)
+            every.append((n, places))
+            first.append((n, places[np.unique(hashes[may], return_index=True)[1]]))
+        phrases, sizes, found, n_seen = self._read(lines, names, first)
+        if n_seen != n_places:
+            phrases, sizes, found, _ = self._read(lines, names, every)
+        total = sum(sign * np.bincount(line, minlength=len(names)) for sign, line in lines.items())
+        own = np.flatnonzero(words)
+        return [names[k] for k in own.tolist()] + phrases, [1] * len(own) + sizes, total[own].tolist() + found
+
+    def _read(self, lines: dict[int, np.ndarray], names: list[bytes], named: list[tuple[int, np.ndarray]]) -> tuple[list[bytes], list[int], list[int], int]:
+        """The phrases at the given places, their sizes and occurrences, and at how many places of the first line the automaton met them."""
+        at: dict[bytes, int] = {}
+        for n, places in named:
+            rows = zip(*(lines[1][places + k].tolist() for k in range(n)), strict=True)
+            at |= dict.fromkeys((GUARD.join([names[k] for k in row]) for row in rows), n)
+        if not at:
+            return [], [], [], 0
+        automaton = ahocorasick.Automaton()
+        for k, x in enumerate(at):
+            automaton.add_word((GUARD + x + GUARD).decode("latin-1"), k)
+        automaton.make_automaton()
+        total, n_seen = np.zeros(len(at), np.int64), 0
+        for sign, line in lines.items():
+            if len(line):
+                text = GUARD + GUARD.join(map(names.__getitem__, line.tolist())) + GUARD
+                seen = np.fromiter((k for _, k in automaton.iter(text.decode("latin-1"))), np.int64)
+                total += sign * np.bincount(seen, minlength=len(at))
+                n_seen = max(n_seen, len(seen))
+        return list(at), list(at.values()), total.tolist(), n_seen
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,44 +139,78 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def _windows(octets: memoryview, most: int) -> Iterator[bytes]:
+    """A text cut before a blank or a sign after about so many bytes, so that no word is cut."""
+    at = 0
+    while at < len(octets):
+        found = _CUT.search(octets, at + most)
+        end = found.start() if found else len(octets)
+        yield bytes(octets[at:end])
+        at = end
+
+
+def added(shard: Shard, octets: memoryview, most: int, window: int = WINDOW) -> Iterator[Shard]:
+    """Puts a text into a shard, and yields the shard when it is full; the text goes on in a new one.
+
+    The two share LONGEST - 1 words, which come once more with sign -1, so that the sum over shards is that of the whole text.
+    """
+    rest = np.empty(0, np.int32)
+    for part in _windows(octets, window):
+        rest = np.concatenate((rest, shard.words.of(part)))
+        while len(rest) + shard.size >= most + LONGEST:
+            cut = max(0, most - shard.size)
+            shared = rest[cut : cut + LONGEST - 1]
+            shard.add(rest[: cut + LONGEST - 1])
+            shard.add(shared, -1)
+            names, rest = list(shard.words), rest[cut:]
+            yield shard
+            shard = Shard(shard.lang)
+            used = np.unique(rest)
+            place = np.zeros(len(names), np.int32)
+            place[used] = [shard.words[names[k]] for k in used.tolist()]
+            rest = place[rest]
+    shard.add(rest)
+    yield shard
+
+
 def _shards(batches, most: int) -> Iterator[Shard]:
-    """The texts of a task in shards of one language, about ``most`` words each; all languages of a task together hold no more before the largest goes."""
-    open_: dict[str, Shard] = {}
+    """The texts of a task in shards of one language; all languages of a task together hold about ``most`` words before the largest shard goes."""
+    shards: dict[str, Shard] = {}
     total = 0
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            if not text.is_valid:
+                continue
             lang = lang.as_py()
-            for words, sign in pieces(text.as_py(), most):
-                shard = open_.get(lang)
-                if shard is None:
-                    shard = open_[lang] = Shard(lang)
-                shard.add(words, sign)
-                total += len(words)
-                if total >= most:
-                    largest = max(open_.values(), key=lambda s: s.size)
-                    total -= largest.size
-                    yield open_.pop(largest.lang)
-    yield from open_.values()
+            own = shards.pop(lang, None) or Shard(lang)
+            total -= own.size
+            *full, last = added(own, memoryview(text.as_buffer()), most)
+            yield from full
+            shards[lang] = last
+            total += last.size
+            if total >= most:
+                largest = max(shards.values(), key=lambda s: s.size)
+                total -= largest.size
+                yield shards.pop(largest.lang)
+    yield from shards.values()
 
 
 def sketch(docs: DataFrame, n_cells: int, least: int, most: int) -> np.ndarray:
     """One bit a cell: whether the n-grams that fall into it are ``least`` or more together. A task counts in one byte a cell, up to ``least``; the tasks' cells are added by block, as they come, and only the bits reach the driver."""
 
     def over(batches):
-        cells, known = np.zeros(n_cells, np.uint8), {}
+        cells = np.zeros(n_cells, np.uint8)
         for shard in _shards(batches, most):
-            for _, _, hashes in shard.grams(known):
-                at, n = np.unique((hashes & np.uint64(n_cells - 1)).astype(np.uint32), return_counts=True)
+            for _, _, _, found in shard.grams(shard.line(1), n_cells):
+                at, n = np.unique(found, return_counts=True)
                 cells[at] = np.minimum(least, cells[at] + np.minimum(n, least)).astype(np.uint8)
-            if len(known) > most:
-                known = {}
         for a in range(0, n_cells, BLOCK):
             block = cells[a : a + BLOCK]
             at = np.flatnonzero(block)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([block[at].tobytes()])], names=["block", "at", "n"])
 
-    def added(batches):
+    def merged(batches):
         blocks: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, at, n in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -175,7 +223,7 @@ def sketch(docs: DataFrame, n_cells: int, least: int, most: int) -> np.ndarray:
     spark = docs.sparkSession
     parts = docs.mapInArrow(tidied(over), "block int, at binary, n binary").repartition(min(parallelism(spark), max(1, n_cells // BLOCK)), "block")
     out = np.zeros(n_cells // 8, np.uint8)
-    for r in parts.mapInArrow(tidied(added), "block int, bits binary").toLocalIterator():
+    for r in parts.mapInArrow(tidied(merged), "block int, bits binary").toLocalIterator():
         out[r["block"] * BLOCK // 8 :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -199,16 +247,12 @@ def frequencies(docs: DataFrame, least: int = LEAST, n_cells: int | None = None,
     bits = spark.sparkContext.broadcast(sketch(texts, n_cells or cells_for(texts), least, most))  # MOST / 8 bytes at most, 16 MB
 
     def over(batches):
-        known: dict[str, int] = {}
         for shard in _shards(batches, most):
-            counts = shard.counts(bits.value, known)
-            words = sum(s * len(x) for x, s in zip(shard.pieces, shard.signs, strict=True))
-            phrases = ["", *counts]
-            sizes = [0, *(x.count(GUARD) + 1 for x in counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(phrases)), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array([words, *counts.values()], pa.int64())], names=["lang", "phrase", "size", "f"])
-            if len(known) > most:
-                known = {}
-            del shard, counts
+            phrases, sizes, found = shard.counts(bits.value)
+            words = sum(sign * int((shard.line(sign) > 1).sum()) for sign in shard.parts)
+            names = pa.array([b"", *phrases], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(names), pa.string()), names, pa.array([0, *sizes], pa.int32()), pa.array([words, *found], pa.int64())], names=["lang", "phrase", "size", "f"])
+            del shard, phrases, sizes, found, names
             hand_back()
 
     found = texts.mapInArrow(tidied(over), "lang string, phrase string, size int, f long")
@@ -230,8 +274,9 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top:
     columns are ignored; an empty table gives none.
     """
     f = cut(frequencies(docs, least, n_cells, most))
-    words = F.split("phrase", GUARD)
-    part = lambda a, n: F.array_join(F.slice(words, a, n), GUARD)
+    blank = GUARD.decode()
+    words = F.split("phrase", blank)
+    part = lambda a, n: F.array_join(F.slice(words, a, n), blank)
     phrases = f.where("size > 1")
     cuts = phrases.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"), "size")
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
@@ -241,7 +286,7 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top:
 
     longer = phrases.where("size > 2").select("lang", "f", "size", "phrase", F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("n"))
     longer = longer.select("lang", "f", "phrase", "n", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1)).alias("at"))
-    over = longer.select("lang", F.array_join(F.slice(words, F.col("at"), F.col("n")), GUARD).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("most"))
+    over = longer.select("lang", F.array_join(F.slice(words, F.col("at"), F.col("n")), blank).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("most"))
     kept = lowest.join(over, ["lang", "phrase"], "left").where("most is null or 100 * most < %d * a" % inside)
 
     order = [F.col("cut.score").desc(), F.col("a").desc(), F.col("phrase").asc()]

@@ -119,16 +119,21 @@ def grams_of(texts, longest=3):
 
 
 def test_collocations_count_any_shards():
+    """Texts cut anywhere into windows and shards give the counts of the whole."""
     r = random.Random(1)
-    words = ["a", "b", "the", "x\x00y", "Ü", " ", "\t", ".", "\n", "b."]
-    for _ in range(200):
-        texts = ["".join(r.choice(words) + r.choice([" ", "", "  "]) for _ in range(r.randrange(60))) for _ in range(5)] + [None, ""]
-        most, total = r.choice([1, 2, 3, 7, 1000]), Counter()
-        shard = collocations.Shard("en")
+    words = ["a", "b", "the", "x\x00y", "Ü", "日本", " ", "\t", ".", "\n", "b."]
+    for _ in range(300):
+        texts = ["".join(r.choice(words) + r.choice([" ", "", "  "]) for _ in range(r.randrange(60))) for _ in range(5)] + [""]
+        most, window, total = r.choice([1, 2, 3, 7, 1000]), r.choice([1, 5, 40]), Counter()
+        shard, shards = collocations.Shard("en"), []
         for t in texts:
-            for own, sign in collocations.pieces(t, most):
-                shard.add(own, sign)
-        total.update(shard.counts(np.full(8192, 255, np.uint8), {}))
+            *full, shard = collocations.added(shard, memoryview(t.encode()), most, window)
+            shards += full
+        for x in [*shards, shard]:
+            phrases, sizes, found = x.counts(np.full(8192, 255, np.uint8))
+            assert sizes == [p.count(b" ") + 1 for p in phrases]
+            for p, n in zip(phrases, found, strict=True):
+                total[p.decode()] += n
         assert {k: v for k, v in total.items() if v} == dict(grams_of(texts))
 
 
