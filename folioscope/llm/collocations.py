@@ -102,15 +102,15 @@ class Shard:
             n_places += len(places)
             every.append((n, places))
             first.append((n, places[np.unique(hashes[may], return_index=True)[1]]))
-        phrases, sizes, found, n_seen = self._read(lines, names, first)
+        phrases, sizes, found, n_seen = self._read(lines, names, first, every)
         if n_seen != n_places:
-            phrases, sizes, found, _ = self._read(lines, names, every)
+            phrases, sizes, found, _ = self._read(lines, names, every, every)
         total = sum(sign * np.bincount(line, minlength=len(names)) for sign, line in lines.items())
         own = np.flatnonzero(words)
         return [names[k] for k in own.tolist()] + phrases, [1] * len(own) + sizes, total[own].tolist() + found
 
-    def _read(self, lines: dict[int, np.ndarray], names: list[bytes], named: list[tuple[int, np.ndarray]]) -> tuple[list[bytes], list[int], list[int], int]:
-        """The phrases at the given places, their sizes and occurrences, and at how many places of the first line the automaton met them."""
+    def _read(self, lines: dict[int, np.ndarray], names: list[bytes], named: list[tuple[int, np.ndarray]], near: list[tuple[int, np.ndarray]]) -> tuple[list[bytes], list[int], list[int], int]:
+        """The phrases at the given places, their sizes and occurrences, and at how many places of the first line the automaton met them. Of that line it reads the words that ``near``, the places of all candidates, has."""
         at: dict[bytes, int] = {}
         for n, places in named:
             rows = zip(*(lines[1][places + k].tolist() for k in range(n)), strict=True)
@@ -121,6 +121,13 @@ class Shard:
         for k, x in enumerate(at):
             automaton.add_word((GUARD + x + GUARD).decode("latin-1"), k)
         automaton.make_automaton()
+        needed = np.zeros(len(lines[1]), bool)
+        for n, places in near:
+            for k in range(n):
+                needed[places + k] = True
+        near_only = np.where(needed, lines[1], 1)
+        near_only = near_only[needed | np.r_[True, needed[:-1]]]  # one END for words that no candidate has
+        lines = {1: near_only, -1: lines[-1]}
         total, n_seen = np.zeros(len(at), np.int64), 0
         for sign, line in lines.items():
             if len(line):
