@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import io
+import lzma
 import tarfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,22 +37,62 @@ def pack(kind: str, files: dict[str, bytes]) -> bytes:
     return gzip.compress(out.getvalue(), mtime=0) if kind == ".tar.gz" else out.getvalue()
 
 
+#: How the kinds that can be written anew are packed.
+PACKERS = {".tar": bytes, ".tar.gz": lambda x: gzip.compress(x, mtime=0), ".tar.bz2": bz2.compress, ".tar.xz": lzma.compress}
+UNPACKERS = {".tar": bytes, ".tar.gz": gzip.decompress, ".tar.bz2": bz2.decompress, ".tar.xz": lzma.decompress}
+
+
+def _rewritten(kind: str, content: bytes, change: Callable[[str, bytes | None], bytes | None]) -> bytes | None:
+    """An archive whose members are what ``change`` makes of their names and bytes (None for what is no file): None leaves one out, the same bytes keep it.
+
+    Members that stay keep their order, names, times and rights, empty ones and those of equal names too. None if no file is left.
+    """
+    out, files = io.BytesIO(), 0
+    if kind in (".zip", ".jar"):
+        with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w") as new:
+            new.comment = old.comment
+            for x in old.infolist():
+                data = old.read(x)
+                if x.is_dir():
+                    new.writestr(x, data)
+                elif (made := change(x.filename, data)) is not None:
+                    new.writestr(x, made, x.compress_type)
+                    files += 1
+        return out.getvalue() if files else None
+    if kind not in PACKERS:
+        raise NotImplementedError(f"archives of kind {kind} can't be written")
+    with tarfile.open(fileobj=io.BytesIO(UNPACKERS[kind](content))) as old, tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as new:
+        for x in old:
+            if not x.isfile():
+                new.addfile(x)
+            elif (made := change(x.name, old.extractfile(x).read())) is not None:
+                x.size = len(made)
+                new.addfile(x, io.BytesIO(made))
+                files += 1
+    return PACKERS[kind](out.getvalue()) if files else None
+
+
 def without(kind: str, content: bytes, hops: list[str]) -> bytes | None:
-    """An archive without the entry at ``hops`` and its ``.fbd`` beside it, at any depth; None if nothing is left. An error if the entry isn't there."""
+    """An archive without the entry at ``hops`` and its ``.fbd`` beside it, at any depth; all else in it stays as it is. None if no file is left.
+
+    A rar on the way goes whole, as its books do. An error if the entry isn't there, or an archive on the way is of a kind that
+    can't be written: nothing is ever written as another kind than its name says.
+    """
     name, *deeper = hops
-    held = {x.path: x.content for x in entries(kind, content)}
-    if None in held.values():
-        raise NotImplementedError("entries of a method that can't be read would be lost")
-    if name not in held:
+    ext, found = extension_of(name), []
+    side = (name[: len(name) - len(ext)] if ext else name) + ".fbd"
+    whole = not deeper or ext == ".rar"
+
+    def change(own: str, data: bytes) -> bytes | None:
+        if own == name and (whole or not found):
+            found.append(own)
+            return None if whole else without(ext, data, deeper)
+        return None if whole and own == side else data
+
+    out = _rewritten(kind, content, change)
+    if not found:
         raise FileNotFoundError(name)
-    if deeper:
-        inner = without(extension_of(name), held[name], deeper)
-        held = {k: inner if k == name else v for k, v in held.items() if k != name or inner is not None}
-    else:
-        ext = extension_of(name)
-        side = (name[: len(name) - len(ext)] if ext else name) + ".fbd"
-        held = {k: v for k, v in held.items() if k not in (name, side)}
-    return pack(kind if kind in (".zip", ".tar", ".tar.gz") else ".zip", held) if held else None
+    return out
 
 
 def remove_book(spark: SparkSession, file_path: str, hops: list[str] | None = None) -> bool:

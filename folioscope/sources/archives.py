@@ -145,8 +145,12 @@ def books(extension: str, content: bytes, hops: list[str] | None = None) -> Iter
     A ``.fbd`` entry describes the entry beside it with the same stem: it replaces that one's own book, or makes one of a file
     of unknown format. One without such an entry is passed over. An entry known by name only is a book by its stem and date.
     """
+    yield from books_of(list(entries(extension, content)), hops)
+
+
+def books_of(every: list[Entry], hops: list[str] | None = None) -> Iterator[tuple[list[str], str | None, dict, dict]]:
+    """The same for entries that are read already."""
     hops = hops or []
-    every = list(entries(extension, content))
     sidecars = {x.path[: -len(".fbd")]: x for x in every if x.path.lower().endswith(".fbd")}
     used: set[str] = set()
     for x in every:

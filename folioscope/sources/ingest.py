@@ -16,8 +16,10 @@ from folioscope.functions.paths import extension, supported
 from folioscope.functions.text import ddmmyyyy
 from folioscope.schema import BOOKS, DETAILS
 from folioscope.sources import archives, formats
+from folioscope.sources.members import TARS, ZIPS, members
 
-#: Bytes of a file up to which it is read whole. A larger one isn't opened: it is one book, by its stem and date, without a hash.
+#: Bytes of a file up to which it is read whole. A larger zip or tar is read member by member, and so are its books; any other
+#: larger file isn't opened: it is one book, by its stem and date. Neither has a hash.
 MAX_FILE_BYTES = 1 << 30
 #: Files up to which those to be read are named one by one; of more, their directories are scanned again.
 NAMED_FILES = 10_000
@@ -120,7 +122,8 @@ def parse(crawled: DataFrame, details: bool = False) -> DataFrame:
 
     Files are parsed where they are read, in Arrow batches; one file's bytes at a time are in a task's hands, and nothing is
     shuffled. A missing title becomes the file's stem, a missing date the file's (or the archive entry's) modification date.
-    A file over MAX_FILE_BYTES, which isn't opened, is one book of that title and date.
+    A zip or tar over MAX_FILE_BYTES is read by its members (see ``members``), a member being held at a time; another file of that
+    size is one book of that title and date.
     """
     spark = crawled.sparkSession
     ddl = BOOKS + (", " + DETAILS if details else "")
@@ -147,7 +150,35 @@ def parse(crawled: DataFrame, details: bool = False) -> DataFrame:
 
     columns = ["file_path", extension(F.col("file_path")).alias("ext"), ddmmyyyy(F.col("modified")).alias("date")]
     rows = _opened(crawled).select(*columns, "content").mapInArrow(over, ddl)
-    return rows.unionByName(_closed(crawled).select(*columns).mapInArrow(unread, ddl))
+    large = _closed(crawled)
+    packed = extension(F.col("file_path")).isin(*ZIPS, *TARS)
+    paths = [r["file_path"] for r in large.where(packed).select("file_path").collect()]
+    closed = large.where(~packed)
+    if paths:
+        every = members(spark, paths, most=MAX_FILE_BYTES)
+        rows = rows.unionByName(_large(spark, every, paths, ddl, details))
+        closed = closed.unionByName(large.join(every.where("entry is null").select("file_path"), "file_path", "left_semi").select(*large.columns))
+    return rows.unionByName(closed.select(*columns).mapInArrow(unread, ddl))
+
+
+def _large(spark: SparkSession, every: DataFrame, paths: list[str], ddl: str, details: bool) -> DataFrame:
+    """Books of large archives. Each member is a row of its own; a member that describes another one comes to it by a join of their stems."""
+    schema = _arrow(spark, ddl)
+
+    def over(batches):
+        for batch in batches:
+            for path, entry, date, content, side, described in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = [archives.Entry(entry, content, date)] + ([archives.Entry(side, described, date)] if side else [])
+                rows = [{"file_path": path, "path_in_file": hops, "fbd_path": fbd} | book | (more if details else {}) for hops, fbd, book, more in archives.books_of(held)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    every = every.where("entry is not null")
+    stem = F.when(F.lower("entry").endswith(".fbd"), F.expr("left(entry, length(entry) - 4)"))
+    sides = members(spark, paths, suffixes=(".fbd",), most=MAX_FILE_BYTES).where("entry is not null").select("file_path", stem.alias("stem"), F.col("entry").alias("side"), F.col("content").alias("described"))
+    ext = extension(F.col("entry"))
+    own = every.where(ext != ".fbd").withColumn("stem", F.substring(F.col("entry"), F.lit(1), F.length("entry") - F.length(ext)))
+    return own.join(sides, ["file_path", "stem"], "left").select("file_path", "entry", "date", "content", "side", "described").mapInArrow(over, ddl)
 
 
 def create(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.paths import extension
 from folioscope.sources import charset
+from folioscope.sources.members import members
 
 FIELD = "\x04"
+#: Lines that a task hands on at a time.
+LINES = 1 << 14
 # Places of a record's fields.
 AUTHORS, GENRES, TITLE, SERIES, NUMBER, STEM, EXTENSION, DATE = 0, 1, 2, 3, 4, 5, 9, 10
 
@@ -88,9 +91,24 @@ def lines_in(files: DataFrame) -> DataFrame:
     return files.select("content").mapInArrow(over, "entry string, line string")
 
 
+def lists_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same for INPX files by their paths: every list is a task of its own, which reads only the list's range of the file."""
+
+    def over(batches):
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = charset.decode(content or b"").split("\r\n")[:-1]
+                for a in range(0, len(own), LINES):
+                    part = own[a : a + LINES]
+                    yield pa.RecordBatch.from_arrays([pa.array([name[:-4]] * len(part), pa.string()), pa.array(part, pa.string())], names=["entry", "line"])
+
+    return members(spark, paths, suffixes=(".inp",), single=True, most=1 << 31).where("entry is not null").select("entry", "content").mapInArrow(over, "entry string, line string")
+
+
 def load(spark: SparkSession, path: str, files: DataFrame, books_dir: str) -> DataFrame:
-    """Books of an INPX collection: see ``matched``."""
-    return matched(lines_in(spark.read.format("binaryFile").load(path)), files, books_dir)
+    """Books of an INPX collection (a file, a folder or a pattern of them): see ``matched``."""
+    found = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    return matched(lists_of(spark, found), files, books_dir)
 
 
 def matched(lines: DataFrame, files: DataFrame, books_dir: str) -> DataFrame:
