@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import word_index
+from folioscope.operators import maintain, tree, word_index
 from folioscope.plans.queries import _norm, query
-from folioscope.plans.tables import books, people, scratch, table
-from folioscope.sources import changelog
+from folioscope.plans.tables import FILES_SQL, books, files, people, scratch, table
+from folioscope.sources import bucketed, changelog, links
+from folioscope.streaming import changes
 
 # Search by an index ----------------------------------------------------------------------------------------------------
 
@@ -112,3 +115,100 @@ def change_log_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     changelog.add_bookmarks(spark, path, marks("event_type in ('click', 'error')"))
     changelog.remove_bookmarks(spark, path, marks("user_id % 10 = 4").select("file_path", F.expr("cast(null as array<string>)").alias("path_in_file")).distinct())
     return changelog.read(spark, path).select("file_path", F.col("path_in_file")[0].alias("place"))
+
+
+# Trees and crawls ------------------------------------------------------------------------------------------------------
+
+_PARENT = "CASE WHEN p_partkey % 97 > 0 THEN p_partkey - 1 WHEN p_partkey // 97 % 5 = 3 THEN p_partkey + 10 WHEN p_partkey // 97 % 5 = 4 THEN -1 END"
+
+
+@query(
+    tree.flatten_sql(
+        f"(SELECT CAST(p_partkey AS VARCHAR) AS id, CAST({_PARENT} AS VARCHAR) AS parent, CASE WHEN p_partkey % 97 = 0 THEN 'dir' WHEN p_size % 7 = 0 THEN 'symlink' ELSE 'dir' END AS kind, p_brand AS name FROM part "
+        "UNION ALL SELECT concat('f', p_partkey), CAST(p_partkey AS VARCHAR), 'file', p_name FROM part)"
+    )
+)
+def tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of up to 97 directories and links with a file in each; some end in a cycle, some at a directory that isn't there."""
+    p = table(spark, sf_dir, "part")
+    parent = F.expr(_PARENT.replace("//", "div")).cast("string")
+    kind = F.when(F.col("p_partkey") % 97 == 0, "dir").when(F.col("p_size") % 7 == 0, "symlink").otherwise("dir")
+    own = F.col("p_partkey").cast("string")
+    folders = p.select(own.alias("id"), parent.alias("parent"), kind.alias("kind"), F.col("p_brand").alias("name"))
+    files = p.select(F.concat(F.lit("f"), own).alias("id"), own.alias("parent"), F.lit("file").alias("kind"), F.col("p_name").alias("name"))
+    return tree.flatten(folders.union(files))
+
+
+@query("""
+SELECT concat('d', s, '/', doc_id, '.txt') AS file, CASE WHEN k = 1 THEN concat('d', s, '/', doc_id, '.link.txt') END AS link, 'dir' AS root_kind
+FROM (SELECT doc_id, doc_id % 7 AS s, unnest(CASE WHEN doc_id % 10 = 0 THEN [0, 1] ELSE [0] END) AS k FROM documents)
+""")
+def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of files with links to files, a link in each folder back to the first one, and a broken one: every file by itself and by its links, each folder once."""
+    root = scratch(spark).removeprefix("file:")
+    root = "/" + root.lstrip("/")
+
+    def over(batches):
+        import os
+
+        for batch in batches:
+            for doc_id in batch.column(0).to_pylist():
+                folder = f"{root}/d{doc_id % 7}"
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/{doc_id}.txt", "w") as f:
+                    f.write("x")
+                for name, target in [("back", root), ("broken.txt", f"{root}/none.txt")] + ([(f"{doc_id}.link.txt", f"{folder}/{doc_id}.txt")] if doc_id % 10 == 0 else []):
+                    if not os.path.lexists(f"{folder}/{name}"):
+                        try:
+                            os.symlink(target, f"{folder}/{name}")
+                        except FileExistsError:  # another task was first
+                            pass
+            yield batch
+
+    table(spark, sf_dir, "documents").select("doc_id").mapInArrow(over, "doc_id long").count()
+    rows = links.crawl_links(spark, root)
+    inner = lambda c: F.regexp_extract(c, r"(d\d/[^/]*)$", 1)
+    return rows.select(inner("file_path").alias("file"), F.when(F.col("link_path").isNotNull(), inner("link_path")).alias("link"), "root_kind")
+
+
+# Streams and buckets ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT file_path, CASE WHEN doc_id % 5 = 0 THEN 'vanished' WHEN doc_id % 7 = 0 THEN 'added' ELSE 'changed' END AS change
+FROM {FILES_SQL} WHERE CASE WHEN doc_id % 5 = 0 THEN doc_id % 7 <> 0 WHEN doc_id % 7 = 0 THEN true ELSE doc_id % 3 = 0 END
+""")
+def refresh_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two looks at a directory as a stream, the second after a restart from the checkpoint: what the second one found changed."""
+    base, own = scratch(spark), files(spark, sf_dir)
+    old = own.where("doc_id % 7 <> 0")
+    now = own.where("doc_id % 5 <> 0").withColumn("file_hash", F.when((F.col("doc_id") % 3 == 0) & (F.col("doc_id") % 7 != 0), "other").otherwise(F.col("file_hash")))
+    for k, look in enumerate((old, now)):
+        changes.add_scan(look.withColumn("file_hash", F.encode("file_hash", "UTF-8")), f"{base}/scans", datetime(2024, 1, 1 + k, tzinfo=timezone.utc))
+        changes.record(changes.changes(changes.scans(spark, f"{base}/scans")), f"{base}/changes/look={k}", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("file_path string, change string, look int").parquet(f"{base}/changes").where("look = 1").select("file_path", "change")
+
+
+@query(f"""
+SELECT coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.file_path IS NULL THEN 'added' WHEN b.file_path IS NULL THEN 'vanished' WHEN b.doc_id % 3 = 0 THEN 'changed' ELSE 'same' END AS change
+FROM (SELECT * FROM {FILES_SQL} WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT * FROM {FILES_SQL} WHERE doc_id % 5 <> 0) b ON a.file_path = b.file_path
+""")
+def refresh_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refresh of tables that were dealt out by path when they were written: their join moves nothing."""
+    base, own = scratch(spark), files(spark, sf_dir)
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bucketed.save(spark, own.where("doc_id % 7 <> 0"), f"{base}/old", buckets)
+    bucketed.save(spark, own.where("doc_id % 5 <> 0").withColumn("file_hash", F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.col("file_hash"))), f"{base}/now", buckets)
+    return maintain.classify_refresh(bucketed.load(spark, f"{base}/old"), bucketed.load(spark, f"{base}/now"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT doc_id FROM labels WHERE toxic = 0) AND p_size % 2 = 0")
+def notes_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books with a note, from tables dealt out by path; notes of other places in a file don't count."""
+    base = scratch(spark)
+    place = F.array(F.when(F.col("p_size") % 2 == 0, "a").otherwise("b"))
+    shelf = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("file_path"), place.alias("path_in_file"))
+    notes = table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").cast("string").alias("file_path"), F.array(F.lit("a")).alias("path_in_file"), F.lit("n").alias("note_text"))
+    bucketed.save(spark, shelf, f"{base}/books", 8)
+    bucketed.save(spark, notes, f"{base}/notes", 8)
+    return bucketed.with_notes(bucketed.load(spark, f"{base}/books"), bucketed.load(spark, f"{base}/notes")).select("id")
