@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -21,8 +22,8 @@ LONGEST = 3
 LEAST = 10
 TOP = 2000
 INSIDE = 50
-#: Words of a shard: what one automaton is made from and read against.
-SHARD_WORDS = 1 << 20
+#: Words of a shard: what one automaton is made from and read against; and how many times that the open shards of all languages hold.
+SHARD_WORDS, HELD = 3 << 19, 4
 #: Bytes of a text that are cut into words at a time.
 WINDOW = 1 << 22
 #: Cells of the sketch: one for this many bytes of text, between these powers of two. The most, a byte each, is what a task holds.
@@ -34,6 +35,8 @@ SALTS = 64
 
 _PIECE_END = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(string.ascii_uppercase.encode() + b"\t" + _PIECE_END, string.ascii_lowercase.encode() + GUARD + END * len(_PIECE_END))
+_JOINED = {n: f" {' '.join(['%s'] * n)} " for n in range(2, LONGEST + 1)}
+_VALUE = itemgetter(1)
 _CUT = re.compile(rb"[ \t.,;:!?\n-\r]")
 
 
@@ -82,15 +85,15 @@ class Shard:
             if len(mixed) < 2:
                 return
 
-    def counts(self, bits: np.ndarray) -> tuple[list[bytes], list[int], list[int]]:
-        """(phrases, sizes, occurrences) of the shard's n-grams whose cell of the sketch, an upper bound of their number, reached the least.
+    def counts(self, bits: np.ndarray) -> tuple[list[str], list[int], list[int]]:
+        """(phrases by their bytes, sizes, occurrences) of the shard's n-grams whose cell of the sketch, an upper bound of their number, reached the least.
 
         Words are counted by their numbers. The phrases of more words make an automaton, which reads the shard. One place of each
         hash names its phrase: were two phrases of one hash, the automaton would find fewer places than there are, and then all
         places name theirs.
         """
         lines = {sign: self.line(sign) for sign in self.parts}
-        names = list(self.words)
+        names = [x.decode("latin-1") for x in self.words]
         first, every, n_places = [], [], 0
         words = np.zeros(len(names), bool)
         for n, places, hashes, cells in self.grams(lines[1], len(bits) * 8):
@@ -109,17 +112,19 @@ class Shard:
         own = np.flatnonzero(words)
         return [names[k] for k in own.tolist()] + phrases, [1] * len(own) + sizes, total[own].tolist() + found
 
-    def _read(self, lines: dict[int, np.ndarray], names: list[bytes], named: list[tuple[int, np.ndarray]], near: list[tuple[int, np.ndarray]]) -> tuple[list[bytes], list[int], list[int], int]:
+    def _read(self, lines: dict[int, np.ndarray], names: list[str], named: list[tuple[int, np.ndarray]], near: list[tuple[int, np.ndarray]]) -> tuple[list[str], list[int], list[int], int]:
         """The phrases at the given places, their sizes and occurrences, and at how many places of the first line the automaton met them. Of that line it reads the words that ``near``, the places of all candidates, has."""
-        at: dict[bytes, int] = {}
+        phrases: list[str] = []
         for n, places in named:
-            rows = zip(*(lines[1][places + k].tolist() for k in range(n)), strict=True)
-            at |= dict.fromkeys((GUARD.join([names[k] for k in row]) for row in rows), n)
-        if not at:
+            columns = ([names[k] for k in lines[1][places + i].tolist()] for i in range(n))
+            phrases += map(_JOINED[n].__mod__, zip(*columns, strict=True))
+        phrases = sorted(phrases if named is not near else set(phrases))  # in order, a tree grows where it was touched last
+        sizes = [x.count(" ") - 1 for x in phrases]
+        if not phrases:
             return [], [], [], 0
-        automaton = ahocorasick.Automaton()
-        for k, x in enumerate(at):
-            automaton.add_word((GUARD + x + GUARD).decode("latin-1"), k)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, x in enumerate(phrases):
+            automaton.add_word(x, k)
         automaton.make_automaton()
         needed = np.zeros(len(lines[1]), bool)
         for n, places in near:
@@ -127,15 +132,25 @@ class Shard:
                 needed[places + k] = True
         near_only = np.where(needed, lines[1], 1)
         near_only = near_only[needed | np.r_[True, needed[:-1]]]  # one END for words that no candidate has
-        lines = {1: near_only, -1: lines[-1]}
-        total, n_seen = np.zeros(len(at), np.int64), 0
-        for sign, line in lines.items():
-            if len(line):
-                text = GUARD + GUARD.join(map(names.__getitem__, line.tolist())) + GUARD
-                seen = np.fromiter((k for _, k in automaton.iter(text.decode("latin-1"))), np.int64)
-                total += sign * np.bincount(seen, minlength=len(at))
-                n_seen = max(n_seen, len(seen))
-        return list(at), list(at.values()), total.tolist(), n_seen
+        total, n_seen = np.zeros(len(phrases), np.int64), 0
+        for sign, line in ((1, near_only), (-1, lines[-1])):
+            seen_here = 0
+            for part in _parts(line):
+                seen = np.fromiter(map(_VALUE, automaton.iter(f" {' '.join([names[k] for k in part.tolist()])} ")), np.int64)
+                total += sign * np.bincount(seen, minlength=len(phrases))
+                seen_here += len(seen)
+            n_seen = max(n_seen, seen_here)
+        return [x[1:-1] for x in phrases], sizes, total.tolist(), n_seen
+
+
+def _parts(line: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """A line of words cut at ends of pieces into parts of about ``most`` words."""
+    ends, at = np.flatnonzero(line == 1), 0
+    while at < len(line):
+        k = np.searchsorted(ends, at + most)
+        end = int(ends[k]) + 1 if k < len(ends) else len(line)
+        yield line[at:end]
+        at = end
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,7 +196,7 @@ def added(shard: Shard, octets: memoryview, most: int, window: int = WINDOW) ->
 
 
 def _shards(batches, most: int) -> Iterator[Shard]:
-    """The texts of a task in shards of one language; all languages of a task together hold about ``most`` words before the largest shard goes."""
+    """The texts of a task in shards of one language; all languages of a task together hold up to HELD times ``most`` words before the largest shard goes."""
     shards: dict[str, Shard] = {}
     total = 0
     for batch in batches:
@@ -195,7 +210,7 @@ def _shards(batches, most: int) -> Iterator[Shard]:
             yield from full
             shards[lang] = last
             total += last.size
-            if total >= most:
+            if total >= HELD * most:
                 largest = max(shards.values(), key=lambda s: s.size)
                 total -= largest.size
                 yield shards.pop(largest.lang)
@@ -257,7 +272,7 @@ def frequencies(docs: DataFrame, least: int = LEAST, n_cells: int | None = None,
         for shard in _shards(batches, most):
             phrases, sizes, found = shard.counts(bits.value)
             words = sum(sign * int((shard.line(sign) > 1).sum()) for sign in shard.parts)
-            names = pa.array([b"", *phrases], pa.binary()).cast(pa.string())
+            names = pa.array("\n".join(["", *phrases]).encode("latin-1").split(b"\n"), pa.binary()).cast(pa.string())  # no word holds a line's end
             yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(names), pa.string()), names, pa.array([0, *sizes], pa.int32()), pa.array([words, *found], pa.int64())], names=["lang", "phrase", "size", "f"])
             del shard, phrases, sizes, found, names
             hand_back()
