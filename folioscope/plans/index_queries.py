@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import maintain, tree, word_index
-from folioscope.plans.queries import _norm, query
+from folioscope.functions import hashing
+from folioscope.operators import control, maintain, table_function, tree, views, word_index
+from folioscope.operators.search import Title, placed, search, text_order
+from folioscope.plans.queries import _norm, _rule, query
 from folioscope.plans.tables import FILES_SQL, books, files, people, scratch, table
-from folioscope.sources import bucketed, changelog, links
+from folioscope.sources import bucketed, changelog, ingest, inpx, links, store
+from folioscope.sources.archive_write import pack
 from folioscope.streaming import changes
 
 # Search by an index ----------------------------------------------------------------------------------------------------
@@ -212,3 +216,145 @@ def notes_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucketed.save(spark, shelf, f"{base}/books", 8)
     bucketed.save(spark, notes, f"{base}/notes", 8)
     return bucketed.with_notes(bucketed.load(spark, f"{base}/books"), bucketed.load(spark, f"{base}/notes")).select("id")
+
+
+# Views -----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (SELECT o_orderkey AS id, o_orderpriority AS priority, row_number() OVER (ORDER BY lower(o_orderpriority) DESC, o_orderkey) AS place FROM orders) WHERE place BETWEEN 4001 AND 7500 OR place <= 10")
+def view_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a stored order of all orders by a column of few values: each reads the parts that hold it."""
+    path = f"{scratch(spark)}/view"
+    views.build(spark, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority")), path, F.lower("priority").desc(), F.col("id"), part_rows=2000)
+    return views.page(spark, path, 1, 10).unionByName(views.page(spark, path, 4001, 3500))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(substring(text, 1, 300)), 'the r') UNION ALL SELECT doc_id FROM documents WHERE contains(lower(substring(text, 1, 300)), 'éon')")
+def view_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter by a part of a text over a stored view: bitmaps of three letters say which parts of it are read."""
+    path = f"{scratch(spark)}/view"
+    views.build(spark, table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("head")), path, F.col("doc_id"), texts=("head",), part_rows=500)
+    return views.containing(spark, path, "head", "The R").select("doc_id").unionAll(views.containing(spark, path, "head", "ÉON").select("doc_id"))
+
+
+# What a collection is told, and tells -----------------------------------------------------------------------------------
+
+
+def _written(rows: DataFrame, root: str, make) -> None:
+    """Writes a file for each row below a mounted folder: (relative path, bytes) by ``make`` of the row's values."""
+
+    def over(batches):
+        import os
+
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name, data = make(*values)
+                os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+                with open(f"{root}/{name}", "wb") as f:
+                    f.write(data)
+            yield batch.select([0])
+
+    rows.mapInArrow(over, rows.select(rows.columns[0]).schema).count()
+
+
+def _mounted(spark: SparkSession) -> str:
+    return "/" + scratch(spark).removeprefix("file:").lstrip("/")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE 'read' END AS origin FROM documents")
+def hash_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes known by path are kept for files that haven't been modified; the others are read. The known ones are marked, so the result says which was which."""
+    root = _mounted(spark)
+    _written(table(spark, sf_dir, "documents").select("doc_id"), root, lambda i: (f"{i}.txt", f"text {i}".encode()))
+    crawled = ingest.crawl(spark, root)
+    number = F.regexp_extract("file_path", r"(\d+)\.txt$", 1).cast("long")
+    known = ingest.files_of(crawled, hashes=False).where(number % 2 == 0).withColumn("file_hash", F.encode(F.lit("known"), "UTF-8"))
+    rows = ingest.rehash(known, datetime(2100, 1, 1), root)
+    fresh = hashing.blake2b_256(F.encode(F.concat(F.lit("text "), number.cast("string")), "UTF-8"))
+    return rows.select(number.alias("doc_id"), F.when(F.col("file_hash") == F.encode(F.lit("known"), "UTF-8"), "kept").when(F.col("file_hash") == fresh, "read").otherwise("wrong").alias("origin"))
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """An INPX file with a list for each of five archives of part books, and the folder of the archives."""
+    root = _mounted(spark)
+    shelves = table(spark, sf_dir, "part").select((F.col("p_partkey") % 5).cast("string").alias("shelf"), F.concat(F.col("p_partkey").cast("string"), F.lit("|"), F.col("p_name")).alias("book")).groupBy("shelf").agg(F.sort_array(F.collect_list("book")).alias("books"))
+
+    def archive(shelf: str, own: list[str]) -> tuple[str, bytes]:
+        return f"books/shelf{shelf}.zip", pack(".zip", {f"{x.split('|')[0]}.txt": b"text" for x in own})
+
+    def lists(own: list) -> tuple[str, bytes]:
+        line = lambda x: inpx.FIELD.join(["Pen,Ann,:", "sf:", x.split("|")[1], "", "", x.split("|")[0], "", "", "", "txt", "", ""])
+        return "list.inpx", pack(".zip", {f"shelf{x['shelf']}.inp": "".join(f"{line(b)}\r\n" for b in x["books"]).encode() for x in own})
+
+    _written(shelves, root, archive)
+    _written(shelves.agg(F.collect_list(F.struct("shelf", "books")).alias("own")), root, lists)
+    return f"{root}/list.inpx", f"{root}/books"
+
+
+@query("SELECT p_partkey AS id, p_name AS title FROM part")
+def inpx_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection that stores only where its catalogue and its books are; every list of the catalogue is a task."""
+    lists, folder = _catalogue(spark, sf_dir)
+    root = f"{scratch(spark)}/store"
+    store.save_inpx(spark, root, lists, folder)
+    return store.books(spark, root).select(F.regexp_extract(F.col("path_in_file")[0], r"^(\d+)", 1).cast("long").alias("id"), F.col("titles")[0].alias("title"))
+
+
+@query("SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS title, 'native' AS type FROM part")
+def inpx_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refresh of such a collection builds it anew from its files, as a native one: titles come from the files now."""
+    lists, folder = _catalogue(spark, sf_dir)
+    root = f"{scratch(spark)}/store"
+    store.save_inpx(spark, root, lists, folder)
+    store.refresh(spark, root)
+    kind = store.load(spark, root, "info").first()["type"]
+    return store.books(spark, root).select(F.regexp_extract(F.col("path_in_file")[0], r"^(\d+)", 1).cast("long").alias("id"), F.col("titles")[0].alias("title"), F.lit(kind).alias("type"))
+
+
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS place FROM part")
+def sort_title_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles in the order of a locale's collation; for plain letters it is that of the bytes."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("title"))
+    return placed(rows, text_order("title", locale="UNICODE"), F.col("id")).select("id", "place")
+
+
+@query("SELECT p_partkey AS id, p_name AS title FROM part WHERE " + _rule("small widg", 0.75, "p_name"))
+def search_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search from SQL, as a function of any table."""
+    table_function.register(spark)
+    books(spark, sf_dir).createOrReplaceTempView("fs_part_books")
+    return spark.sql("SELECT id, titles[0] AS title FROM search_books(TABLE(fs_part_books), 'titles', 'small widg', 0.75)")
+
+
+@query("SELECT count(*) AS processed, count(*) AS total, CAST(1 AS DOUBLE) AS ratio FROM documents")
+def progress_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio of an operation at its end: rows that went through a place of its plan, of all there are."""
+    rows = files(spark, sf_dir)
+    total = rows.count()
+    hashed, seen = control.counted(rows, "hashing")
+    hashed.write.parquet(f"{scratch(spark)}/files")
+    done = seen.get["processed"]
+    return spark.createDataFrame([(done, total, done / total if total else 1.0)], "processed long, total long, ratio double")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE false")
+def search_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that is stopped from elsewhere gives nothing."""
+    import threading
+
+    rows = search(books(spark, sf_dir), [Title("ring")], 0.5).join(table(spark, sf_dir, "lineitem").select("l_orderkey"), F.expr("substring(file_path, 11, 1) = substring(cast(l_orderkey as string), 1, 1)"))
+    tag = f"folioscope-{uuid.uuid4().hex}"
+    over = threading.Event()
+
+    def stop() -> None:
+        while not over.wait(0.05):
+            control.stop(spark, tag)
+
+    other = threading.Thread(target=stop, daemon=True)
+    other.start()
+    try:
+        found = control.run_stoppable(spark, tag, lambda: rows.select(F.sha2("file_path", 512).alias("h")).distinct().sort("h").collect())
+    finally:
+        over.set()
+        other.join()
+    return spark.createDataFrame([(0,) for _ in found], "id long")
