@@ -123,6 +123,13 @@ NAMES = [
     ("PostgreSQL", ["PostgreSQL License"]),
     ("CC0-1.0", ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"]),
 ]
+# Titles of whole licence texts.
+TITLES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"), ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("Apache-2.0", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/"),
+    ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("LGPL-2.1-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
 # Terms of the Creative Commons licences, short and in words; versions.
 TERMS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
@@ -139,6 +146,16 @@ TAG = r"(spdx-license-identifier):[ \t]*"
 HINT = r"licen[cs]|permi[st]|redistribut|warrant|unencumbered|misrepresented|software|endorse|copyright|liab|dedicat|procurement|profits|this notice|of the mpl|(?:licensed|released|distributed|available|provided|published)[^a-z0-9.]+under|spdx"
 
 
+#: Of a normalised sentence: who must not be named in endorsements, where the text is to be found, what may be chosen; and what stands in their place.
+GAPS = [
+    (r"^neither the names? of .+ nor the names? of ", "neither the name of the copyright holder nor the names of "),
+    (r" (?:please )?see (?:the )?(?:accompanying |included |attached )?(?:license|licence|copying)(?:\.[a-z]+)?(?: file)?(?: for .*| in .*)?$", ""),
+    (r"^under (?:either|any) (?:one )?of (?:the )?(.*?)(?: at your (?:own )?(?:option|choice))?$", r"choose \1"),
+]
+#: How sentences that name several licences begin, and what stands between the names.
+EITHER, IDENTIFIER, BETWEEN = "choose ", "spdx license identifier ", r" (?:or|and|with) (?:the )?"
+
+
 def _sentences(text: str) -> list[str]:
     """Normalised sentences of a text, in order: what ``scan`` does with its columns."""
     text = re.sub(TAG, r"\1 ", re.sub(SHORTENED, r"\1\2\3", re.sub(COMMENT, r"\1", text.lower())))
@@ -146,13 +163,26 @@ def _sentences(text: str) -> list[str]:
 
 
 def _normal(sentence: str) -> str:
-    return re.sub(STATEMENT, "under ", re.sub(LOOSE_DOTS, r"\1", re.sub(OTHERS, " ", sentence)).strip(" "))
+    x = re.sub(STATEMENT, "under ", re.sub(LOOSE_DOTS, r"\1", re.sub(OTHERS, " ", sentence)).strip(" "))
+    for pattern, instead in GAPS:
+        x = re.sub(pattern, instead, x)
+    return x
 
 
 def normalise(sentence: Column) -> Column:
-    """Of a lower-case sentence: runs of anything but ASCII letters, digits and dots become one blank; dots at a word's end go; statements begin with "under"."""
+    """Of a lower-case sentence: runs of anything but ASCII letters, digits and dots become one blank; dots at a word's end go; statements begin with "under"; see GAPS."""
     x = F.trim(F.regexp_replace(F.regexp_replace(sentence, OTHERS, " "), LOOSE_DOTS, "$1"))
-    return F.regexp_replace(x, STATEMENT, "under ")
+    x = F.regexp_replace(x, STATEMENT, "under ")
+    for pattern, instead in GAPS:
+        x = F.regexp_replace(x, pattern, instead.replace("\\1", "$1"))
+    return x
+
+
+def named(sentence: Column) -> Column:
+    """A sentence that names several licences, of a choice or an SPDX expression, as one for each; others as they are. What stands in an expression behind WITH is no known sentence."""
+    later = F.replace(sentence, F.lit(" or later"), F.lit(" or-later"))  # names no other licence
+    each = lambda begin, instead: F.transform(F.split(F.substring(later, F.lit(len(begin) + 1), F.length(later)), BETWEEN), lambda x: F.concat(F.lit(instead), F.replace(x, F.lit(" or-later"), F.lit(" or later"))))
+    return F.when(F.startswith(sentence, F.lit(EITHER)), each(EITHER, "under ")).when(F.startswith(sentence, F.lit(IDENTIFIER)), each(IDENTIFIER, IDENTIFIER)).otherwise(F.array(sentence))
 
 
 @lru_cache(maxsize=1)
@@ -172,6 +202,8 @@ def standard() -> tuple[dict[str, str], list[tuple[str, str, tuple[str, ...]]]]:
         # The first sentence alone still names the licence.
         first = re.split(ENDS, text)[0]
         add(f"{licence.lower()}-first", licence, first)
+    for k, (licence, title) in enumerate(TITLES):
+        add(f"{licence.lower()}-text-{k + 1}", licence, title)
     spdx = [x for x, _ in NAMES] + [f"{x.removesuffix('only')}or-later" for x, _ in NAMES if x.endswith("-only")] + ["0BSD", "MIT-0", "GPL-2.0", "GPL-2.0+", "GPL-3.0", "GPL-3.0+", "LGPL-2.1", "LGPL-2.1+", "LGPL-3.0", "LGPL-3.0+", "AGPL-3.0", "AGPL-3.0+"]
     cc = [(f"CC-{short}-{v}", [f"CC {short} {v}", f"CC {short}", f"Creative Commons {words} {v} International License", f"Creative Commons {words} {v} International", f"Creative Commons {words} {v} License", f"Creative Commons {words} {v}", f"a Creative Commons {words} {v} International License"]) for short, words in TERMS.items() for v in VERSIONS[::-1]]
     for licence, names in [*NAMES, *cc]:
@@ -204,7 +236,8 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
     """(doc_id, n_sentences, sequence, rules, licenses) for every row of ``docs`` (doc_id, text).
 
     Marks of comments are left out, a text is cut at ends of sentences, blank lines and list marks (a wrapped line goes on),
-    and each sentence is normalised and looked up among the known ones; where it isn't known, each of its lines is.
+    and each sentence is normalised and looked up among the known ones; where it isn't known, each of its lines is. A sentence
+    that offers several licences, or an SPDX expression, is looked up by the names in it.
     ``n_sentences`` counts known ones, ``sequence`` holds their identifiers in order, joined by commas. Rules match from left to
     right where their identifiers follow one another in that sequence (unknown sentences between them don't matter), the
     longest rule first; what one has matched is not matched again. ``rules`` and ``licenses`` are the distinct names, sorted,
@@ -213,12 +246,18 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
     """
     known, codes, chosen, code = _tables(sentences, rules)
     listed = lambda xs: F.array(*map(F.lit, xs))
-    number = lambda s: F.array_position(listed(known), normalise(s)).cast("int")
+    number = lambda x: F.array_position(listed(known), x).cast("int")
+    numbers = lambda s: F.transform(named(s), number)
+    some = lambda ks: F.filter(ks, lambda k: k > 0)
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     cut = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, COMMENT, "$1"), SHORTENED, "$1$2$3"), TAG, "$1 "), ENDS)
-    of = lambda s: F.when(number(s) > 0, F.array(number(s))).when(s.contains("\n"), F.filter(F.transform(F.split(s, "\n"), number), lambda k: k > 0)).otherwise(F.array().cast("array<int>"))
+    # Each sentence is normalised once, then looked up; only where not all that it names is known are its lines.
+    whole = F.transform(cut, lambda s: F.struct(s.alias("raw"), normalise(s).alias("x")))
+    looked = F.transform(whole, lambda s: F.struct(s["raw"].alias("raw"), numbers(s["x"]).alias("found")))
+    lines = lambda s: F.flatten(F.transform(F.transform(F.split(s, "\n"), normalise), numbers))
+    of = lambda s: some(F.when(F.forall(s["found"], lambda k: k > 0) | ~s["raw"].contains("\n"), s["found"]).otherwise(lines(s["raw"])))
     hinted = text.rlike(HINT) if sentences is None else F.lit(True)
-    found = F.when(hinted, F.flatten(F.transform(cut, of))).otherwise(F.array().cast("array<int>"))
+    found = F.when(hinted, F.flatten(F.transform(looked, of))).otherwise(F.array().cast("array<int>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(found, lambda k: F.element_at(listed(codes), k)).alias("codes"))
     names = listed(list(code))
     rows = rows.select("doc_id", F.size("codes").cast("long").alias("n_sentences"), F.array_join(F.transform("codes", lambda c: F.element_at(names, F.substring(c, 2, 5).cast("int") + 1)), ",").alias("sequence"), F.array_join("codes", "").alias("codes"))
@@ -233,17 +272,31 @@ def sql(table: str = "documents", sentences: dict[str, str] | None = None, rules
     known, codes, chosen, code = _tables(sentences, rules)
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     array = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]"
-    clean = lambda t: f"regexp_replace(trim(regexp_replace(regexp_replace({t}, {quoted(OTHERS)}, ' ', 'g'), {quoted(LOOSE_DOTS)}, '\\1', 'g')), {quoted(STATEMENT)}, 'under ')"
+    basic = lambda t: f"regexp_replace(trim(regexp_replace(regexp_replace({t}, {quoted(OTHERS)}, ' ', 'g'), {quoted(LOOSE_DOTS)}, '\\1', 'g')), {quoted(STATEMENT)}, 'under ')"
+
+    def clean(t: str) -> str:
+        t = basic(t)
+        for pattern, instead in GAPS:
+            t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(instead)})"
+        return t
+
+    part = lambda x, begin, instead: f"list_transform(string_split_regex(substring(replace({x}, ' or later', ' or-later'), {len(begin) + 1}), {quoted(BETWEEN)}), lambda y: concat({quoted(instead)}, replace(y, ' or-later', ' or later')))"
+    each = lambda x: f"CASE WHEN starts_with({x}, {quoted(EITHER)}) THEN {part(x, EITHER, 'under ')} WHEN starts_with({x}, {quoted(IDENTIFIER)}) THEN {part(x, IDENTIFIER, IDENTIFIER)} ELSE [{x}] END"
     return f"""
 WITH known AS (SELECT unnest({array(known)}) AS sentence, unnest({array(codes)}) AS code),
 ids AS (SELECT unnest({array(code.values())}) AS code, unnest({array(code)}) AS id),
 rules AS (SELECT unnest({array(chosen)}) AS run, unnest({array([x[0] for x in chosen.values()])}) AS rule, unnest({array([x[1] for x in chosen.values()])}) AS license),
 cut AS (SELECT doc_id, row_number() OVER () AS r, string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), {quoted(COMMENT)}, '\\1', 'g'), {quoted(SHORTENED)}, '\\1\\2\\3', 'g'), {quoted(TAG)}, '\\1 ', 'g'), {quoted(ENDS)}) AS ts FROM {table}),
 each AS (SELECT r, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM cut),
-whole AS (SELECT r, p, t, code FROM each LEFT JOIN known ON sentence = {clean("t")}),
-lines AS (SELECT r, p, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS q FROM whole WHERE code IS NULL AND contains(t, chr(10))),
-found AS (SELECT r, p, 0 AS q, code FROM whole WHERE code IS NOT NULL UNION ALL SELECT r, p, q, known.code FROM lines JOIN known ON sentence = {clean("x")}),
-named AS (SELECT r, string_agg(id, ',' ORDER BY p, q) AS sequence, string_agg(code, '' ORDER BY p, q) AS codes, count(*) AS n FROM found JOIN ids USING (code) GROUP BY r),
+normal AS (SELECT r, p, t, {clean("t")} AS x FROM each),
+parts AS (SELECT r, p, unnest({each("x")}) AS x, generate_subscripts({each("x")}, 1) AS q FROM normal),
+looked AS (SELECT r, p, q, code, count(*) OVER (PARTITION BY r, p) = count(code) OVER (PARTITION BY r, p) AS every FROM parts LEFT JOIN known ON sentence = x),
+whole AS (SELECT r, p, 0 AS l, q, code FROM looked JOIN normal USING (r, p) WHERE code IS NOT NULL AND (every OR NOT contains(t, chr(10)))),
+lines AS (SELECT r, p, unnest(string_split(t, chr(10))) AS t, generate_subscripts(string_split(t, chr(10)), 1) AS l FROM normal WHERE contains(t, chr(10)) AND EXISTS (SELECT 1 FROM looked WHERE looked.r = normal.r AND looked.p = normal.p AND NOT every)),
+clean AS (SELECT r, p, l, {clean("t")} AS x FROM lines),
+items AS (SELECT r, p, l, unnest({each("x")}) AS x, generate_subscripts({each("x")}, 1) AS q FROM clean),
+found AS (SELECT * FROM whole UNION ALL SELECT r, p, l, q, code FROM items JOIN known ON sentence = x),
+named AS (SELECT r, string_agg(id, ',' ORDER BY p, l, q) AS sequence, string_agg(code, '' ORDER BY p, l, q) AS codes, count(*) AS n FROM found JOIN ids USING (code) GROUP BY r),
 matched AS (SELECT r, unnest(regexp_extract_all(codes, {quoted('(' + '|'.join(chosen) + ')')}, 1)) AS run FROM named),
 judged AS (SELECT r, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM matched JOIN rules USING (run) GROUP BY r)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(sequence, '') AS sequence, coalesce(rules, '') AS rules, coalesce(licenses, '') AS licenses FROM cut LEFT JOIN named USING (r) LEFT JOIN judged USING (r)
