@@ -1,6 +1,7 @@
 """Pages and filters of stored views against whole orders and scans."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def test_every_page_is_that_of_the_whole_order(spark, tmp_path):
         key = lambda r: ((r[1] or "").lower(), r[1] is None, r[0], r[2])
         assert [key(r) for r in got] == [key(r) for r in want[first - 1 : first - 1 + n]]
     plan = views.page(spark, path, 77, 10)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [part" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", plan)
     views.build(spark, rows.where("false"), path, F.col("id"), texts=("title",))
     assert views.count(spark, path) == 0 and views.page(spark, path, 1, 5).count() == 0 and views.containing(spark, path, "title", "widget").count() == 0
 
@@ -43,6 +44,6 @@ def test_filters_read_only_parts_that_match(spark, tmp_path):
     assert views.containing(spark, path, "kind", "A").count() == rows.where("kind = 'a'").count()
     many = len(spark.read.parquet(f"{views.current(spark, path)}/sizes").collect())
     plan = views.containing(spark, path, "title", "日本語")._jdf.queryExecution().executedPlan().toString()
-    assert many > 10 and "PartitionFilters: [part" in plan
+    assert many > 10 and re.search(r"PartitionFilters: \[[^\]]*part#", plan)
     read = views.containing(spark, path, "title", "日本語").select(F.input_file_name().alias("f")).distinct().count()
     assert read < many
