@@ -13,7 +13,7 @@ from folioscope.operators import control, maintain, table_function, tree, views,
 from folioscope.operators.search import Title, placed, search, text_order
 from folioscope.plans.queries import _norm, _rule, query
 from folioscope.plans.tables import FILES_SQL, books, files, people, scratch, table
-from folioscope.sources import bucketed, changelog, ingest, inpx, links, store
+from folioscope.sources import bucketed, changelog, ingest, inpx, links, seen, store
 from folioscope.sources.archive_write import pack
 from folioscope.streaming import changes
 
@@ -358,3 +358,11 @@ def search_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         over.set()
         other.join()
     return spark.createDataFrame([(0,) for _ in found], "id long")
+
+
+@query(f"SELECT min(file_path) AS file_path FROM {FILES_SQL} WHERE doc_id % 3 <> 0 AND file_hash NOT IN (SELECT file_hash FROM {FILES_SQL} WHERE doc_id % 3 = 0) GROUP BY file_hash")
+def additions_by_stored_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a collection takes: bit tables rule out most that are new, so few are looked for among the stored hashes."""
+    path, own = f"{scratch(spark)}/hashes", files(spark, sf_dir).withColumn("file_hash", F.unhex("file_hash"))
+    seen.build(spark, own.where("doc_id % 3 = 0"), path)
+    return seen.additions(spark, own.where("doc_id % 3 <> 0").select("file_path", "file_hash"), path).select("file_path")
