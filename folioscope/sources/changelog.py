@@ -64,13 +64,25 @@ def state(spark: SparkSession, path: str) -> State:
     base = current(spark, path)
     if base is None:
         raise ValueError(f"no table at {path}")
-    held = _text(spark, f"{base}/_number")
+    held = _number(spark, base)
     entries = []
     for n in _numbers(spark, path):
-        if n > int(held):
+        if n > held:
             folder, rows = _text(spark, f"{path}/{LOG}/{n:020d}").split()
             entries.append(Entry(n, f"{path}/{folder}", int(rows)))
-    return State(base, int(held), tuple(entries))
+    return State(base, held, tuple(entries))
+
+
+def _number(spark: SparkSession, base: str) -> int:
+    """The number of the last change that a base has in it; 0 where none was written, as no change can be before it."""
+    at, fs = file_system(spark, f"{base}/_number")
+    return int(_text(spark, f"{base}/_number")) if fs.exists(at) else 0
+
+
+def number_base(spark: SparkSession, path: str, version: str) -> None:
+    """Marks a staged version of a table as one that has all changes so far in it: who rewrites a table as a whole says so before the version is put in place."""
+    numbers = _numbers(spark, path)
+    _write_text(spark, f"{path}/{version}/_number", str(numbers[-1] if numbers else 0))
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -106,8 +118,9 @@ def _put_base(spark: SparkSession, path: str, df: DataFrame, number: int) -> Non
 
 def create(spark: SparkSession, path: str, df: DataFrame) -> None:
     """Writes a table anew, with an empty log. Changes that were there before it don't count any more."""
-    numbers = _numbers(spark, path)
-    _put_base(spark, path, df, numbers[-1] if numbers else 0)
+    version = stage_table(spark, df, path)
+    number_base(spark, path, version)
+    switch_table(spark, path, version)
 
 
 def _same(a: DataFrame, b: DataFrame, key: tuple[str, ...]) -> Column:

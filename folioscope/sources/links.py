@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from folioscope.functions.paths import supported
 from folioscope.operators.shared import held
 
+#: Bytes of a file that are hashed at a time.
+PIECE = 1 << 22
 #: Directories that a task lists.
 DIRS_A_TASK = 64
 FOUND = "root_path string, root_kind string, path string, link_path string, kind string, real string, file_size long, modified double"
@@ -89,8 +92,63 @@ def crawl_links(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.distinct()
 
 
-def files_of(crawled: DataFrame) -> DataFrame:
-    """A collection's ``files`` (see ``schema.FILES``) of such a crawl, without hashes: a file that several links name is one row, with the first link, or none where it is met by itself."""
+def with_content(crawled: DataFrame, most: int | None = None) -> DataFrame:
+    """(file_path, root_path, file_size, modified, content) for ``ingest.parse``: each file of a crawl once, read by the task that has it. Files of more than ``most`` bytes (``ingest.MAX_FILE_BYTES``) and those that can't be read have null content."""
+    from folioscope.sources import ingest
+
+    limit = ingest.MAX_FILE_BYTES if most is None else most
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                content = None
+                try:
+                    if batch.column(2)[k].as_py() <= limit:
+                        with open(batch.column(0)[k].as_py(), "rb") as f:
+                            content = f.read()
+                except OSError:
+                    pass
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns), pa.array([content], pa.binary())], names=[*batch.schema.names, "content"])
+
+    one = crawled.groupBy("file_path").agg(F.min("root_path").alias("root_path"), F.max("file_size").alias("file_size"), F.max("modified").alias("modified"))
+    return one.mapInArrow(over, "file_path string, root_path string, file_size long, modified timestamp, content binary")
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of files of any size, a piece at a time."""
+    for batch in batches:
+        out = []
+        for path in batch.column(0).to_pylist():
+            try:
+                h = hashlib.blake2b(digest_size=32)
+                with open(path, "rb") as f:
+                    while piece := f.read(PIECE):
+                        h.update(piece)
+                out.append(h.digest())
+            except OSError:
+                out.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["file_path", "file_hash"])
+
+
+def create(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """(files, books) of a new collection on a mounted file system, as ``ingest.create`` makes them, with kinds of roots and links told apart and hashes of files of any size."""
+    from folioscope.operators.maintain import dedup_by_hash
+    from folioscope.schema import BOOKS
+    from folioscope.sources import ingest
+
+    crawled = held(crawl_links(spark, *paths))
+    files = dedup_by_hash(files_of(crawled, hashes=True))
+    columns = [f.name for f in spark.createDataFrame([], BOOKS).schema]
+    books = ingest.parse(with_content(crawled)).join(files.select("file_path"), "file_path", "left_semi").select(*columns)
+    return files.join(books.select("file_path"), "file_path", "left_semi"), books
+
+
+def files_of(crawled: DataFrame, hashes: bool = False) -> DataFrame:
+    """A collection's ``files`` (see ``schema.FILES``) of such a crawl: a file that several links name is one row, with the first link, or none where it is met by itself."""
     first = F.min(F.struct(F.col("link_path").isNotNull().alias("linked"), "root_path", "root_kind", "link_path", "file_size")).alias("x")
     rows = crawled.groupBy("file_path").agg(first)
-    return rows.select("file_path", "x.root_kind", "x.root_path", "x.link_path", F.lit(None).cast("binary").alias("file_hash"), "x.file_size")
+    if not hashes:
+        return rows.select("file_path", "x.root_kind", "x.root_path", "x.link_path", F.lit(None).cast("binary").alias("file_hash"), "x.file_size")
+    rows = held(rows)
+    own = rows.select("file_path").mapInArrow(_hashed, "file_path string, file_hash binary")
+    return rows.join(own, "file_path").select("file_path", "x.root_kind", "x.root_path", "x.link_path", "file_hash", "x.file_size")

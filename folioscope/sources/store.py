@@ -1,30 +1,63 @@
-"""The catalogue's own store: a folder of Parquet tables, each replaced as a whole."""
+"""The catalogue's own store: a folder of Parquet tables, replaced as a whole or changed row by row through a log beside them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.operators import word_index
 from folioscope.operators.maintain import current, stage_table, switch_table
 from folioscope.schema import BOOKS, COLLECTION, FILES, NOTES
+from folioscope.sources import changelog
 
 TABLES = {"info": COLLECTION, "files": FILES, "books": BOOKS, "bookmarks": BOOKS, "notes": NOTES}
+#: What tells the records of a table apart.
+KEYS = {"info": ("type",), "files": ("file_path",), "books": changelog.KEY, "bookmarks": changelog.KEY, "notes": changelog.KEY}
 #: Rows of one file of a table, so that no file grows without bound.
 MAX_RECORDS = 5_000_000
 
 
 def save(spark: SparkSession, root: str, **tables: DataFrame) -> None:
-    """Writes tables of a collection under ``root``; they may be computed from those they replace: all are written before the first is put in place."""
+    """Writes tables of a collection under ``root``; they may be computed from those they replace: all are written before the first is put in place.
+
+    Changes of a table that were logged before are part of what it was; the new one stands for itself.
+    """
     if unknown := set(tables) - set(TABLES):
         raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
     staged = {name: stage_table(spark, df, f"{root}/{name}", MAX_RECORDS) for name, df in tables.items()}
     for name, version in staged.items():
+        changelog.number_base(spark, f"{root}/{name}", version)
         switch_table(spark, f"{root}/{name}", version)
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of a collection; an empty one where it hasn't been written."""
+    """A table of a collection, with its logged changes; an empty one where it hasn't been written."""
     at = current(spark, f"{root}/{name}")
-    return spark.read.parquet(at) if at else spark.createDataFrame([], TABLES[name])
+    return changelog.read(spark, f"{root}/{name}", KEYS[name]) if at else spark.createDataFrame([], TABLES[name])
+
+
+def table(spark: SparkSession, root: str, name: str) -> str:
+    """The folder of a table, for the functions of ``changelog``; one that hasn't been written is made first."""
+    path = f"{root}/{name}"
+    if current(spark, path) is None:
+        changelog.create(spark, path, spark.createDataFrame([], TABLES[name]))
+    return path
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Puts the logged changes of all tables into them."""
+    for name in TABLES:
+        if current(spark, f"{root}/{name}") is not None:
+            changelog.compact(spark, f"{root}/{name}", KEYS[name])
+
+
+def build_index(spark: SparkSession, root: str) -> None:
+    """Writes the index of the collection's books for ``search_many``; it is as new as the books were then."""
+    word_index.build(spark, books(spark, root), f"{root}/words")
+
+
+def search_many(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
+    """See ``word_index.search_batch``."""
+    return word_index.search_batch(spark, f"{root}/words", requests)
 
 
 def refresh(spark: SparkSession, root: str, *paths: str, fast: bool = False) -> None:

@@ -158,3 +158,45 @@ def test_joins_of_dealt_tables_move_nothing(spark, tmp_path):
             bucketed.load(spark, str(tmp_path / "none"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+# The store -------------------------------------------------------------------------------------------------------------
+
+
+def test_store_with_links_changes_and_index(spark, tmp_path):
+    from test_ingest import fb2, zipped
+
+    from folioscope.operators import word_index
+    from folioscope.operators.search import Title, search
+    from folioscope.schema import COLLECTION
+    from folioscope.sources import ingest, store
+
+    lib, root = tmp_path / "lib", str(tmp_path / "store")
+    (lib / "sub").mkdir(parents=True)
+    (tmp_path / "away").mkdir()
+    for name, data in {"lib/a.fb2": fb2("Alpha Tale"), "lib/sub/copy.fb2": fb2("Alpha Tale"), "away/b.fb2": fb2("Beta Tale"), "lib/c.zip": zipped({"d.fb2": fb2("Delta Song")})}.items():
+        (tmp_path / name).write_bytes(data)
+    (lib / "b.fb2").symlink_to(tmp_path / "away" / "b.fb2")
+    (lib / "sub" / "up").symlink_to(lib)
+    files, books = links.create(spark, str(lib))
+    rows = {os.path.basename(r["file_path"]): r for r in files.collect()}
+    assert set(rows) == {"a.fb2", "b.fb2", "c.zip"} and rows["b.fb2"]["link_path"] == str(lib / "b.fb2") and rows["a.fb2"]["link_path"] is None
+    plain = {os.path.basename(r["file_path"]): bytes(r["file_hash"]) for r in ingest.files_of(ingest.crawl(spark, str(lib))).collect()}
+    assert bytes(rows["a.fb2"]["file_hash"]) == plain["a.fb2"]
+    store.save(spark, root, info=spark.createDataFrame([("native", str(lib), None)], COLLECTION), files=files, books=books)
+    titles = lambda: sorted(r["titles"][0] for r in store.books(spark, root).collect())
+    assert titles() == ["Alpha Tale", "Beta Tale", "Delta Song"]
+    changelog.edit_book(spark, store.table(spark, root, "books"), str(lib / "c.zip"), ["d.fb2"], {"titles": F.array(F.lit("Delta Tune"))})
+    assert titles() == ["Alpha Tale", "Beta Tale", "Delta Tune"]
+    notes = store.table(spark, root, "notes")
+    place = "file_path string, path_in_file array<string>, note_file string, note_text string"
+    changelog.upsert_notes(spark, notes, spark.createDataFrame([(str(lib / "a.fb2"), None, None, "good")], place))
+    assert [r["note_text"] for r in store.load(spark, root, "notes").collect()] == ["good"]
+    store.build_index(spark, root)
+    asked = spark.createDataFrame([*word_index.request_rows("1", [Title("tal")]), *word_index.request_rows("2", [Title("tune")])], word_index.REQUESTS)
+    assert sorted((r["request"], r["titles"][0]) for r in store.search_many(spark, root, asked).collect()) == [("1", "Alpha Tale"), ("1", "Beta Tale"), ("2", "Delta Tune")]
+    store.compact(spark, root)
+    assert titles() == ["Alpha Tale", "Beta Tale", "Delta Tune"] and not changelog.state(spark, f"{root}/books").entries
+    changelog.remove_book(spark, store.table(spark, root, "books"), str(lib / "a.fb2"))
+    store.save(spark, root, books=search(store.books(spark, root), [Title("tune")]).select(*store.books(spark, root).columns))  # a rewrite stands for itself
+    assert titles() == ["Delta Tune"] and store.load(spark, root, "bookmarks").count() == 0
