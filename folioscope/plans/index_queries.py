@@ -39,19 +39,18 @@ def _requests(spark: SparkSession, rows: DataFrame, **fields) -> DataFrame:
     return rows.select(*[fields.get(k, F.lit("")).cast(v).alias(k) for k, v in names.items()])
 
 
-_FIRST = "SELECT DISTINCT lower(split_part(text, ' ', 1)) AS needle FROM conversations WHERE regexp_full_match(lower(split_part(text, ' ', 1)), '[a-z]{2,}')"
+_WORDS = "SELECT DISTINCT needle FROM (SELECT unnest(string_split(lower(text), ' ')) AS needle FROM benchmark) WHERE regexp_full_match(needle, '[a-z]{6,}')"
 
 
-@query(f"SELECT r.needle AS request, d.doc_id FROM {_needles(f'({_FIRST})', 0.75)} r JOIN (SELECT doc_id, lower({_norm('substring(text, 1, 200)')}) AS title FROM documents) d ON {_fits('d.title')}")
+@query(f"SELECT r.needle AS request, d.doc_id FROM {_needles(f'({_WORDS})', 0.75)} r JOIN (SELECT doc_id, lower({_norm('substring(text, 1, 200)')}) AS title FROM documents) d ON {_fits('d.title')}")
 def search_batch_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first word of every talk, looked for in the titles of all documents (the first 200 characters of their texts) by an index of their words."""
+    """Every longer word of the benchmark, looked for in the titles of all documents (the first 200 characters of their texts) by an index of their words."""
     null = F.expr("cast(array() as array<string>)")
     own = books(spark, sf_dir)
     titles = table(spark, sf_dir, "documents").select("doc_id", F.array(F.substring("text", 1, 200)).alias("titles"), null.alias("genres"), F.expr("array()").cast(own.schema["authors"].dataType).alias("authors"), F.expr("array()").cast(own.schema["sequences"].dataType).alias("sequences"))
     path = f"{scratch(spark)}/words"
-    word_index.build(spark, titles, path, part_rows=1 << 16)
-    first = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
-    words = table(spark, sf_dir, "conversations").select(first.alias("needle")).where(F.regexp_like("needle", F.lit("^[a-z]{2,}$"))).distinct()
+    word_index.build(spark, titles, path)
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("needle")).where(F.regexp_like("needle", F.lit("^[a-z]{6,}$"))).distinct()
     asked = _requests(spark, words, request=F.col("needle"), kind=F.lit("title"), text=F.col("needle"), coef=F.lit(0.75))
     return word_index.search_batch(spark, path, asked).select("request", "doc_id")
 
