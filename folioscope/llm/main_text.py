@@ -597,7 +597,7 @@ def marked(html: str) -> tuple[Page, dict[int, bool]]:
 def train(sample: list[str], n_made: int = 700, seed: int = 5) -> Trees:
     """Trees from sampled pages whose own markup tells the main text, and from made pages round the sample's texts, where it is known however they are marked up."""
     known = [(p, own) for p in map(parse, sample) if (own := said(p))]
-    texts = [x for p, own in known for k, x in p.texts.items() if own[k] and len(x) > 80][:3000]
+    texts = [x.replace(MARK, "") for p, own in known for k, x in p.texts.items() if own[k] and len(x) > 80][:3000]
     made = Made(seed, texts)
     return boost(*_examples([*known[: n_made // 2], *(marked(made.page()) for _ in range(n_made))]), NUMBERS)
 
