@@ -775,4 +775,4 @@ def test_patience():
 
 def test_names_of_queries():
     names = set(queries.queries())
-    assert len(names) == 10 and {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert len(names) == 13 and {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
