@@ -110,6 +110,33 @@ def test_stream_of_changes_is_the_refresh_of_each_step(spark, tmp_path, fast):
         before = now
 
 
+def test_looks_that_come_in_pieces(spark, tmp_path):
+    """A look whose rows come in several batches, two looks at once, and one that comes again."""
+    folder, check = str(tmp_path / "scans"), str(tmp_path / "check")
+    schema = "file_path string, file_size long, file_hash binary"
+    look = lambda k, names: changes.add_scan(spark.createDataFrame([(x, 1, b"h") for x in names], schema).coalesce(1), str(tmp_path / f"look{k}"), datetime(2024, 5, k, tzinfo=timezone.utc), shares=2)
+    for k, names in ((1, "abcdef"), (2, "bcdefg"), (3, "xyz"), (4, "")):
+        look(k, names)
+    os.makedirs(folder)
+
+    def pieces(k):
+        rows = spark.read.parquet(str(tmp_path / f"look{k}")).orderBy(F.col("n").isNull(), "file_path").collect()
+        return [spark.createDataFrame(rows[a : a + 3], changes.SCAN) for a in range(0, len(rows), 3)]
+
+    def run(step, *frames):
+        for df in frames:
+            df.coalesce(1).write.mode("append").parquet(folder)
+        changes.record(changes.changes(changes.scans(spark, folder)), f"{tmp_path}/out/step={step}", check).awaitTermination()
+        return sorted((x["change"], x["file_path"]) for x in spark.read.schema(changes.CHANGE).parquet(f"{tmp_path}/out/step={step}").collect())
+
+    first = pieces(1)
+    got = [run(k, df) for k, df in enumerate(first)]
+    assert sorted(x for g in got for x in g) == [("added", x) for x in "abcdef"] and got[0] == []
+    assert run(10, *pieces(2), *pieces(3)) == sorted([("vanished", "a"), ("added", "g"), *(("vanished", x) for x in "bcdefg"), *(("added", x) for x in "xyz")])
+    assert run(11, *pieces(2)) == []
+    assert run(12, *pieces(4)) == [("vanished", x) for x in "xyz"]
+
+
 def test_books_follow_a_stream(spark, tmp_path):
     folder, books = str(tmp_path / "scans"), str(tmp_path / "books")
     schema = "file_path string, path_in_file array<string>, title string"
