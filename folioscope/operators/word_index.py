@@ -163,12 +163,27 @@ def _parts(index: str, asked: DataFrame) -> list[int]:
     return [r["part"] for r in fences.join(ranges, meets, "left_semi").select("part").collect()]
 
 
+def _leading(begins: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Of each request the terms by which its books are found: those of the test with the fewest words to meet, of each of its ways the term with the fewest.
+
+    A book that meets all tests meets one of them, so none is lost; a term that most books meet beside a rare one brings no pairs of its own.
+    """
+    words = begins.join(keyed.select("field", "level", "head").distinct(), ["field", "level", "head"], "left_semi").groupBy("field", "level", "head").agg(F.count("*").alias("cost"))
+    costs = keyed.join(words, ["field", "level", "head"], "left").withColumn("cost", F.coalesce("cost", F.lit(0)))
+    by_way = costs.groupBy("request", "test", "way").agg(F.min(F.struct("cost", "term")).alias("best"))
+    by_test = by_way.groupBy("request", "test").agg(F.sum("best.cost").alias("cost"), F.collect_list(F.struct("way", F.col("best.term").alias("term"))).alias("ways"))
+    first = by_test.groupBy("request").agg(F.min(F.struct("cost", "test", "ways")).alias("x"))
+    named = first.select("request", F.col("x.test").alias("test"), F.explode("x.ways").alias("w")).select("request", "test", "w.way", "w.term")
+    return keyed.join(named, ["request", "test", "way", "term"], "left_semi")
+
+
 def search_batch(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
     """(request, and the columns of a book) for every request of a table (see REQUESTS; a row a test) and every book that meets all its tests: what ``search`` gives for each alone.
 
     Only the parts of the index are read in which a word can stand that a request begins with, and of the books only the parts
     that hold hits. Requests and words meet by their beginnings of equal length, the longest of LEVELS that the request has, so
-    the join has keys; hits are counted by item, then by test. Repeated rows of a request count once; null requests and kinds
+    the join has keys; only each request's rarest test is met in this way, and of the books found so its other terms are looked for by
+    book. Hits are counted by item, then by test. Repeated rows of a request count once; null requests and kinds
     that are unknown are ignored; a request without a test, and one with a needle that matches nothing, give no book.
     """
     index = current(spark, path)
@@ -186,7 +201,10 @@ def search_batch(spark: SparkSession, path: str, requests: DataFrame) -> DataFra
     begins = begins.withColumn("head", F.expr("substring(key, 1, level)")).withColumnsRenamed({"size": "text_size", "number": "own_number"})
     keyed = asked.where("level > 0").withColumn("head", F.expr("substring(prefix, 1, level)")).withColumn("start", F.substring("prefix", 1, KEY_BYTES))
     fits = F.startswith("key", "start") & (F.col("text_size") >= F.col("size")) & (F.col("far") > F.col("tail")) & (F.col("number").isNull() | (F.col("number") == F.col("own_number")))
-    hits = begins.join(keyed, ["field", "level", "head"]).where(fits & (~F.col("whole") | (F.col("text_size") == F.col("size"))))
+    fits = fits & (~F.col("whole") | (F.col("text_size") == F.col("size")))
+    few = held(begins.join(_leading(begins, keyed), ["field", "level", "head"]).where(fits).select("request", "book").distinct())
+    own = words.withColumnsRenamed({"size": "text_size", "number": "own_number"})
+    hits = few.join(keyed, "request").join(own, ["book", "field"]).where(fits)
     if longest > KEY_BYTES:
         texts = _texts(_books(spark, index, hits)).select("book", "field", "item", F.encode("text", "UTF-8").alias("octets"))
         some = hits.where(F.octet_length("prefix") > KEY_BYTES).join(texts, ["book", "field", "item"]).where(F.expr("substring(octets, at + 1, octet_length(prefix)) = prefix")).drop("octets")

@@ -79,3 +79,16 @@ def test_long_needles_are_compared_whole(spark, tmp_path):
             asked = spark.createDataFrame(word_index.request_rows("1", [Title(needle)], coef), word_index.REQUESTS)
             got = {r["file_path"] for r in word_index.search_batch(spark, path, asked).collect()}
             assert got == {r["file_path"] for r in search(books, [Title(needle)], coef).collect()}
+
+
+def test_a_rare_test_leads(spark, tmp_path, monkeypatch):
+    """Of a request's tests the rarest finds the books; one that all books meet brings no pair of its own."""
+    rows = [(f"/{k}", [(None, "Same", f"n{k:04d}", None, None)], ["Same title"], None, None, "") for k in range(300)]
+    books, path, counts = spark.createDataFrame(rows, BOOK), str(tmp_path / "index"), []
+    word_index.build(spark, books, path)
+    kept = word_index.held
+    monkeypatch.setattr(word_index, "held", lambda df: (lambda out: (counts.append((tuple(out.columns), out.count())), out)[1])(kept(df)))
+    table = [row for k in range(0, 300, 3) for row in word_index.request_rows(str(k), [Title("same"), Author(last="same", first=f"n{k:04d}")], 0.99)]
+    got = sorted((r["request"], r["file_path"]) for r in word_index.search_batch(spark, path, spark.createDataFrame(table, word_index.REQUESTS)).collect())
+    assert got == sorted((str(k), f"/{k}") for k in range(0, 300, 3))
+    assert [n for names, n in counts if names == ("request", "book")] == [100, 100]  # the books found by the leading test, and those that meet all
