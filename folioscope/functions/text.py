@@ -66,6 +66,7 @@ def xml_unescape(text: Column) -> Column:
 
 _NUMERIC = re.compile(r"&#([xX][0-9a-fA-F]+|[0-9]+);")
 _NAMED = {entity: char for char, entity in ENTITIES}
+_ANY = re.compile(rf"{'|'.join(map(re.escape, _NAMED))}|{_NUMERIC.pattern}")
 
 
 def unescape_python(text: str) -> str:
@@ -77,7 +78,7 @@ def unescape_python(text: str) -> str:
         code = int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1].lstrip("0")[:9] or "0")
         return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
-    return re.sub(rf"{'|'.join(map(re.escape, _NAMED))}|{_NUMERIC.pattern}", one, text)
+    return _ANY.sub(one, text) if "&" in text else text
 
 
 @F.pandas_udf(T.StringType())

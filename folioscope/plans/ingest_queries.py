@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import xml_escape
 from folioscope.operators import catalog
 from folioscope.plans.queries import query
-from folioscope.plans.tables import FILES_SQL, files, scratch, table
+from folioscope.plans.tables import FILES_SQL, dealt, files, scratch, table
 from folioscope.sources import archives, genres, ingest, inpx, legacy, store
 from folioscope.sources.archive_write import listing, pack, without
 from folioscope.sources.charset import to_text
@@ -23,7 +23,7 @@ CRAWLED = "file_path string, root_path string, file_size long, modified timestam
 def _files(spark: SparkSession, sf_dir: str, ext: str, content) -> DataFrame:
     """Crawled files, one a part, with content from a column of bytes."""
     path = F.concat(F.lit("/lib/"), F.col("p_partkey").cast("string"), F.lit(ext))
-    rows = table(spark, sf_dir, "part").select(path.alias("file_path"), F.lit("/lib").alias("root_path"), F.lit("2001-02-03 00:00:00").cast("timestamp").alias("modified"), content.alias("content"))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey").select(path.alias("file_path"), F.lit("/lib").alias("root_path"), F.lit("2001-02-03 00:00:00").cast("timestamp").alias("modified"), content.alias("content"))
     return rows.select("file_path", "root_path", F.octet_length("content").cast("long").alias("file_size"), "modified", "content")
 
 
@@ -38,6 +38,13 @@ def _made(df: DataFrame, make: Callable[[str, bytes], bytes]) -> DataFrame:
     return df.select("file_path", "root_path", "file_size", "modified", "content").mapInArrow(over, CRAWLED)
 
 
+def _parse(made: DataFrame, details: bool = False) -> DataFrame:
+    """Books of files that Python makes. The files are written first: the parse asks for large ones by their sizes, and else each would be made three times."""
+    path = f"{scratch(made.sparkSession)}/made"
+    made.write.parquet(path)
+    return ingest.parse(made.sparkSession.read.schema(CRAWLED).parquet(path), details=details)
+
+
 def _fb2_bytes():
     e = lambda c: xml_escape(F.col(c).cast("string"))
     lit = F.lit
@@ -71,7 +78,7 @@ def ingest_fb2(spark, sf_dir):
 def ingest_nested_archives(spark, sf_dir):
     """Books in a zip, and in an archive inside it."""
     files = _made(_files(spark, sf_dir, ".zip", _fb2_bytes()), lambda _, data: pack(".zip", {"a.fb2": data, "in.tar.gz": pack(".tar.gz", {"b.fb2": data, "empty.txt": b""})}))
-    return ingest.parse(files).select(_id(), F.array_join("path_in_file", "/").alias("place"), F.col("titles")[0].alias("title"))
+    return _parse(files).select(_id(), F.array_join("path_in_file", "/").alias("place"), F.col("titles")[0].alias("title"))
 
 
 @query("SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS title, '03.02.2001' AS date FROM part")
@@ -127,7 +134,7 @@ def _epub(x: dict[str, str]) -> bytes:
 @query("SELECT p_partkey AS id, p_name AS title, p_brand AS author, concat('Tr ', p_brand) AS translator, p_type AS genre, CAST(p_size AS VARCHAR) AS date, 'en' AS lang, md5(p_name) AS cover FROM part")
 def ingest_epub(spark, sf_dir):
     """Electronic books: roles of people by refining elements, and the cover named in the list of contents."""
-    rows = ingest.parse(_fields(spark, sf_dir, ".epub", _epub), details=True)
+    rows = _parse(_fields(spark, sf_dir, ".epub", _epub), details=True)
     return rows.select(
         _id(), F.col("titles")[0].alias("title"), F.array_join(F.transform("authors", lambda a: a["full"]), ",").alias("author"), F.col("translator")[0]["full"].alias("translator"),
         F.col("genres")[0].alias("genre"), F.col("dates")[0].alias("date"), F.col("language")[0].alias("lang"), F.md5(F.col("cover.data")).alias("cover"),
@@ -138,7 +145,7 @@ def ingest_epub(spark, sf_dir):
 def ingest_odt(spark, sf_dir):
     """Office documents: people without roles, the program, the picture beside the text."""
     made = _fields(spark, sf_dir, ".odt", lambda x: pack(".zip", {"meta.xml": f'<o>{_dublin_core(x).replace("dc:contributor", "dc:creator")}<meta:generator>Pen 1</meta:generator></o>'.encode(), "Thumbnails/thumbnail.png": x["brand"].encode()}))
-    rows = ingest.parse(made, details=True)
+    rows = _parse(made, details=True)
     return rows.select(_id(), F.col("titles")[0].alias("title"), F.array_join(F.transform("authors", lambda a: a["full"]), ",").alias("author"), F.col("ebook_program_used")[0].alias("program"), F.md5(F.col("cover.data")).alias("cover"))
 
 
@@ -155,7 +162,7 @@ def ingest_pdf(spark, sf_dir):
         info = b"<</Title " + title + b"/Author (" + x["brand"].encode() + b")/Keywords (" + x["kind"].encode() + b")/CreationDate (D:20010203101112Z)>>"
         return b"%PDF-1.5\n1 0 obj" + info + b"endobj" if int(x["key"]) % 3 else b"%PDF-1.5\n2 0 obj<</Type/ObjStm/N 1/First 4>>stream\n" + zlib.compress(b"1 0 " + info) + b"\nendstream"
 
-    rows = ingest.parse(_fields(spark, sf_dir, ".pdf", make), details=True)
+    rows = _parse(_fields(spark, sf_dir, ".pdf", make), details=True)
     return rows.select(_id(), F.col("titles")[0].alias("title"), F.col("authors")[0]["full"].alias("author"), F.col("dates")[0].alias("date"), F.col("keywords")[0].alias("keywords"))
 
 
@@ -168,7 +175,7 @@ def ingest_djvu(spark, sf_dir):
         notes = "(metadata " + " ".join(f'({case(k)} "{x[v]}")' for k, v in (("title", "name"), ("author", "brand"), ("series", "kind"), ("year", "size"))) + ")"
         return b"AT&TFORM" + struct.pack(">I", len(notes) + 12) + b"DJVUANTa" + struct.pack(">I", len(notes)) + notes.encode()
 
-    rows = ingest.parse(_fields(spark, sf_dir, ".djvu", make))
+    rows = _parse(_fields(spark, sf_dir, ".djvu", make))
     return rows.select(_id(), F.col("titles")[0].alias("title"), F.col("authors")[0]["full"].alias("author"), F.col("sequences")[0]["full"].alias("series"), F.col("dates")[0].alias("date"))
 
 
@@ -180,7 +187,7 @@ def ingest_broken_xml(spark, sf_dir):
         body, end = {0: ("<p>ok</p>", ""), 1: ("<p>no end", ""), 2: ("</q><b>", ""), 3: ("<p>no end", "</nothing>")}[int(x["key"]) % 4]
         return f'<FictionBook><description><title-info><book-title>{x["name"]}</book-title>{end}</title-info></description><body>{body}</body></FictionBook>'.encode()
 
-    return ingest.parse(_fields(spark, sf_dir, ".fb2", make)).select(_id(), F.col("titles")[0].alias("title"))
+    return _parse(_fields(spark, sf_dir, ".fb2", make)).select(_id(), F.col("titles")[0].alias("title"))
 
 
 @query("SELECT p_partkey AS id, p_name AS annotation, 'fr' AS lang, p_brand AS isbn, concat(p_type, ': ', p_size) AS custom, concat('Orig ', p_name) AS source_title, md5(concat(p_name, chr(10), p_brand)) AS cover FROM part")
@@ -193,7 +200,7 @@ def ingest_fb2_details(spark, sf_dir):
             f'<publish-info><isbn>{x["brand"]}</isbn></publish-info><custom-info info-type="{x["kind"]}">{x["size"]}</custom-info></description><body><p>{x["name"]}</p><p>{x["brand"]}</p></body></FictionBook>'
         ).encode()
 
-    rows = ingest.parse(_fields(spark, sf_dir, ".fb2", make), details=True)
+    rows = _parse(_fields(spark, sf_dir, ".fb2", make), details=True)
     first = {"annotation": "annotation", "language": "lang", "paper_book_isbn": "isbn", "custom_info": "custom", "source_book_title": "source_title"}
     return rows.select(_id(), *[F.col(k)[0].alias(v) for k, v in first.items()], F.md5(F.col("cover.data")).alias("cover"))
 
@@ -214,7 +221,7 @@ UNION ALL SELECT p_partkey, 'b.bin', 'b.fbd', p_type FROM part UNION ALL SELECT
 """)
 def ingest_described_files(spark, sf_dir):
     """Descriptions beside files in archives: they replace a book's own data, and make books of files of unknown format."""
-    rows = ingest.parse(_fields(spark, sf_dir, ".zip", _shelf))
+    rows = _parse(_fields(spark, sf_dir, ".zip", _shelf))
     return rows.select(_id(), catalog.place_text(F.col("path_in_file")).alias("place"), F.col("fbd_path").alias("described"), F.col("titles")[0].alias("title"))
 
 
@@ -240,7 +247,7 @@ def remove_book_from_archive(spark, sf_dir):
         even = int(archives.stem_of(path)) % 2 == 0
         return without(".zip", data, ["a.pdf"] if even else ["in.tar", "deep.txt"])
 
-    rows = ingest.parse(_made(_fields(spark, sf_dir, ".zip", _shelf), less))
+    rows = _parse(_made(_fields(spark, sf_dir, ".zip", _shelf), less))
     return rows.select(_id(), catalog.place_text(F.col("path_in_file")).alias("place")).groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("place")), ",").alias("places"))
 
 

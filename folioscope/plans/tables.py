@@ -16,6 +16,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/folioscope-{uuid.uuid4().hex}"
 
 
+#: Rows of a table that a task makes files of.
+FILES_A_TASK = 1 << 12
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` in as many tasks as their number asks for, by their keys: a table of a few dense row groups, whose rows become files, is read by a few tasks only."""
+    return rows.repartition(max(1, -(-rows.count() // FILES_A_TASK)), *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

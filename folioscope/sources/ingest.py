@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import posixpath
 import re
+from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ from folioscope.sources.members import TARS, ZIPS, members
 MAX_FILE_BYTES = 1 << 30
 #: Files up to which those to be read are named one by one; of more, their directories are scanned again.
 NAMED_FILES = 10_000
+#: Books, and bytes of their covers, that a task hands on at a time.
+BATCH_ROWS, BATCH_BYTES = 1 << 10, 1 << 23
 
 
 def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
@@ -108,20 +111,45 @@ def rehash(known: DataFrame, since, *paths: str) -> DataFrame:
     return files_of(same, hashes=False).drop("file_hash").join(same.select("file_path", "file_hash"), "file_path").select(*columns).unionByName(fresh.select(*columns))
 
 
-def _parsed(ext: str, content: bytes, path: str, date: str):
+def _parsed(ext: str, content: bytes, path: str, date: str, details: bool):
     """(hops or None, fbd path, book, details) of one file's books."""
     if ext in archives.ARCHIVES:
-        for hops, side, book, more in archives.books(ext, content):
+        for hops, side, book, more in archives.books(ext, content, details=details):
             yield hops, side, book, more
-    elif made := formats.parse(ext, content, archives.stem_of(path), date):
+    elif made := formats.parse(ext, content, archives.stem_of(path), date, details):
         yield None, None, *made
 
 
+def _handed_on(found: Iterator[tuple], schema: pa.Schema, details: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of (file path, hops, fbd path, book, details), as many together as BATCH_ROWS and BATCH_BYTES of covers allow: a batch for each file costs more than its parsing."""
+    rows, size = [], 0
+    for path, hops, side, book, more in found:
+        rows.append({"file_path": path, "path_in_file": hops, "fbd_path": side, **book, **(more if details else {})})
+        size += len(more["cover"]["data"] or b"") if details and more["cover"] else 0
+        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield _rows(rows, schema)
+            rows, size = [], 0
+    if rows:
+        yield _rows(rows, schema)
+
+
+def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """As ``RecordBatch.from_pylist``; a column of empty lists alone, as most details are, isn't made value by value."""
+    columns = []
+    for f in schema:
+        own = [r[f.name] for r in rows]
+        if pa.types.is_list(f.type) and not any(own) and None not in own:
+            columns.append(pa.ListArray.from_arrays(pa.array([0] * (len(own) + 1), pa.int32()), pa.array([], f.type.value_type), type=f.type))
+        else:
+            columns.append(pa.array(own, f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def parse(crawled: DataFrame, details: bool = False) -> DataFrame:
     """Books of crawled files, a row each (see ``schema.BOOKS``), with ``schema.DETAILS`` beside them if asked for.
 
-    Files are parsed where they are read, in Arrow batches; one file's bytes at a time are in a task's hands, and nothing is
-    shuffled. A missing title becomes the file's stem, a missing date the file's (or the archive entry's) modification date.
+    Files are parsed where they are read, in Arrow batches, and their books handed on some together; nothing is shuffled. A
+    missing title becomes the file's stem, a missing date the file's (or the archive entry's) modification date.
     A zip or tar over MAX_FILE_BYTES is read by its members (see ``members``), a member being held at a time; another file of that
     size is one book of that title and date.
     """
@@ -130,14 +158,14 @@ def parse(crawled: DataFrame, details: bool = False) -> DataFrame:
     schema = _arrow(spark, ddl)
 
     def over(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                path, ext, date, content = (batch.column(i)[k].as_py() for i in range(4))
-                rows = []
-                for hops, side, book, more in _parsed(ext, content or b"", unquote(path), date):
-                    rows.append({"file_path": path, "path_in_file": hops, "fbd_path": side} | book | (more if details else {}))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        def found():
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    path, ext, date, content = (batch.column(i)[k].as_py() for i in range(4))
+                    for hops, side, book, more in _parsed(ext, content or b"", unquote(path), date, details):
+                        yield path, hops, side, book, more
+
+        return _handed_on(found(), schema, details)
 
     def unread(batches):
         for batch in batches:
@@ -166,12 +194,14 @@ def _large(spark: SparkSession, every: DataFrame, paths: list[str], ddl: str, de
     schema = _arrow(spark, ddl)
 
     def over(batches):
-        for batch in batches:
-            for path, entry, date, content, side, described in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = [archives.Entry(entry, content, date)] + ([archives.Entry(side, described, date)] if side else [])
-                rows = [{"file_path": path, "path_in_file": hops, "fbd_path": fbd} | book | (more if details else {}) for hops, fbd, book, more in archives.books_of(held)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        def found():
+            for batch in batches:
+                for path, entry, date, content, side, described in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held = [archives.Entry(entry, content, date)] + ([archives.Entry(side, described, date)] if side else [])
+                    for hops, fbd, book, more in archives.books_of(held, details=details):
+                        yield path, hops, fbd, book, more
+
+        return _handed_on(found(), schema, details)
 
     every = every.where("entry is not null")
     stem = F.when(F.lower("entry").endswith(".fbd"), F.expr("left(entry, length(entry) - 4)"))

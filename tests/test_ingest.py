@@ -7,11 +7,13 @@ import tarfile
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.schema import GENRES
+from folioscope.schema import BOOKS, DETAILS, GENRES
 from folioscope.sources import archives, charset, formats, genres, ingest, inpx, legacy, xmltree
+from folioscope.sources.archive_write import pack
 
 FB2 = """<?xml version="1.0" encoding="{enc}"?><FictionBook xmlns:l="x"><description><title-info><genre>sf</genre>
 <author><first-name>Ann</first-name><last-name> Pen </last-name></author><author/><book-title>{title}</book-title>
@@ -487,3 +489,39 @@ def test_archives_of_unknown_methods(tmp_path):
     assert sorted(open(p, "rb").read() for p in made) == [b"1", b"2"]
     with pytest.raises(ValueError, match="outside"):
         extract(".zip", zipped({"../a.txt": b"1"}), str(tmp_path / "out"))
+
+
+def test_books_are_handed_on_together(spark, monkeypatch):
+    """Many files' books make one batch, up to so many rows or bytes of covers; a column of empty lists alone, and one of lists and nulls, keep their values."""
+    schema = ingest._arrow(spark, f"{BOOKS}, {DETAILS}")
+    book = lambda k: formats.parse(".txt", b"text %d" % k, f"t{k}", "01.01.2001")
+    rows = [(f"/{k}", ["x"] if k % 2 else None, None, *book(k)) for k in range(2500)]
+    batches = list(ingest._handed_on(iter(rows), schema, True))
+    assert [b.num_rows for b in batches] == [1024, 1024, 452]
+    want = [{"file_path": p, "path_in_file": h, "fbd_path": s} | b | m for p, h, s, b, m in rows]
+    assert pa.Table.from_batches(batches).equals(pa.Table.from_pylist(want, schema=schema))
+    monkeypatch.setattr(ingest, "BATCH_BYTES", 10)
+    assert [b.num_rows for b in ingest._handed_on(iter(rows[:5]), schema, True)] == [2, 2, 1]
+
+
+def test_rows_that_become_files_are_dealt_out(spark, monkeypatch):
+    from folioscope.plans import ingest_queries, tables
+
+    monkeypatch.setattr(tables, "FILES_A_TASK", 50)
+    made = ingest_queries._files(spark, "/root/testdata/sf0.001", ".txt", F.encode("p_name", "UTF-8"))
+    assert made.rdd.getNumPartitions() == 4 and made.count() == 200
+
+
+def test_members_of_a_held_zip():
+    """Read at one go where the entry is as its header says; else as the library reads it, with its errors."""
+    data = pack(".zip", {"é.txt": b"a" * 1000, "b.txt": b"b"})
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        assert [archives.member(z, data, x) for x in z.infolist()] == [b"a" * 1000, b"b"]
+        monkey = z.read
+        z.read = None  # isn't needed
+        assert archives.member(z, data, z.infolist()[0]) == b"a" * 1000
+        z.read = monkey
+    at = data.index(b"b.txt") + 5
+    broken = data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]
+    with zipfile.ZipFile(io.BytesIO(broken)) as z, pytest.raises((zipfile.BadZipFile, zlib.error)):
+        archives.member(z, broken, z.infolist()[1])
