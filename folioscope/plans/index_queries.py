@@ -265,7 +265,7 @@ def hash_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes known by path are kept for files that haven't been modified; the others are read. The known ones are marked, so the result says which was which."""
     root = _mounted(spark)
     _written(table(spark, sf_dir, "documents").select("doc_id"), root, lambda i: (f"{i}.txt", f"text {i}".encode()))
-    crawled = ingest.crawl(spark, root)
+    crawled = ingest.listed(spark, root)
     number = F.regexp_extract("file_path", r"(\d+)\.txt$", 1).cast("long")
     known = ingest.files_of(crawled, hashes=False).where(number % 2 == 0).withColumn("file_hash", F.encode(F.lit("known"), "UTF-8"))
     rows = ingest.rehash(known, datetime(2100, 1, 1), root)

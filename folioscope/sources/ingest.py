@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import posixpath
 import re
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from folioscope.functions.paths import extension, supported
 from folioscope.functions.text import ddmmyyyy
+from folioscope.operators.shared import held
 from folioscope.schema import BOOKS, DETAILS
 from folioscope.sources import archives, formats
 from folioscope.sources.members import TARS, ZIPS, members
@@ -24,6 +26,8 @@ from folioscope.sources.members import TARS, ZIPS, members
 MAX_FILE_BYTES = 1 << 30
 #: Files up to which those to be read are named one by one; of more, their directories are scanned again.
 NAMED_FILES = 10_000
+#: Bytes of a file that are hashed at a time.
+PIECE = 1 << 22
 #: Books, and bytes of their covers, that a task hands on at a time.
 BATCH_ROWS, BATCH_BYTES = 1 << 10, 1 << 23
 
@@ -69,6 +73,97 @@ def crawl_files(spark: SparkSession, files: list[str]) -> DataFrame:
     return _scanned(found, F.regexp_replace("path", "^file:/+", "/"))
 
 
+#: Directories that a task lists, rows that it hands on at a time, and files that it hashes.
+DIRS_A_TASK, LISTED_ROWS, HASHED_A_TASK = 64, 1 << 13, 1 << 12
+_LISTED = "path string, is_dir boolean, file_size long, millis long"
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands in the directories of (path): (see _LISTED); one that can't be read has nothing, however many entries it has they are handed on as they come."""
+    types = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _LISTED.split(", ")])
+    rows: list[tuple] = []
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            try:
+                with os.scandir(path) as found:
+                    for x in found:
+                        if _hidden(x.name):
+                            continue
+                        try:
+                            s = x.stat()
+                        except OSError:
+                            continue
+                        rows.append((x.path.encode("utf-8", "replace").decode(), x.is_dir(), s.st_size, s.st_mtime_ns // 1_000_000))
+                        if len(rows) >= LISTED_ROWS:
+                            yield batch_of(rows)
+                            rows = []
+            except OSError:
+                continue
+    if rows:
+        yield batch_of(rows)
+
+
+def _mounted(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
+def listed(spark: SparkSession, *paths: str) -> DataFrame:
+    """``crawl`` without content. Of a mounted file system directories are listed by tasks, level by level, and what is found stands in the shared folder: the driver holds no list of files, as it does for other stores."""
+    out = None
+    for path in dict.fromkeys(paths):
+        if not _mounted(spark, path):
+            own = crawl(spark, path).drop("content")
+        else:
+            at = re.sub("^file:/+", "/", path).rstrip("/") or "/"
+            levels = []
+            if os.path.isfile(at):
+                s = os.stat(at)
+                levels.append(spark.createDataFrame([(at, False, s.st_size, s.st_mtime_ns // 1_000_000)], _LISTED))
+            dirs = spark.createDataFrame([(at,)] if os.path.isdir(at) else [], "path string")
+            while n := dirs.count():
+                level = held(dirs.repartition(-(-n // DIRS_A_TASK), "path").mapInArrow(_entries, _LISTED))
+                levels.append(level.where("not is_dir"))
+                dirs = level.where("is_dir").select("path")
+            rows = levels[0] if levels else spark.createDataFrame([], _LISTED)
+            for x in levels[1:]:
+                rows = rows.unionByName(x)
+            own = rows.select(F.col("path").alias("file_path"), F.lit(path.rstrip("/")).alias("root_path"), "file_size", F.timestamp_millis("millis").alias("modified"))
+            own = own.where(supported(F.col("file_path")))
+        out = own if out is None else out.unionByName(own)
+    return spark.createDataFrame([], EMPTY_CRAWL).drop("content") if out is None else out
+
+
+def _hashed_by_path(rows: DataFrame) -> DataFrame:
+    """``files_of`` for files of a mounted file system, each read by a task; one that isn't there any more is passed over."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k, (path, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                try:
+                    h = hashlib.blake2b(digest_size=32)
+                    if size <= MAX_FILE_BYTES:
+                        with open(path, "rb") as f:
+                            while piece := f.read(PIECE):
+                                h.update(piece)
+                    found.append((k, h.digest() if size <= MAX_FILE_BYTES else None))
+                except OSError:
+                    continue
+            own = batch.take(pa.array([k for k, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([x for _, x in found], pa.binary())], names=["file_path", "root_path", "file_size", "file_hash"])
+
+    tasks = max(1, -(-rows.count() // HASHED_A_TASK))
+    read = rows.select("file_path", "root_path", "file_size").repartition(tasks, "file_path").mapInArrow(over, "file_path string, root_path string, file_size long, file_hash binary")
+    return read.select("file_path", F.lit("dir").alias("root_kind"), "root_path", F.lit(None).cast("string").alias("link_path"), "file_hash", "file_size")
+
+
 def files_of(crawled: DataFrame, hashes: bool = True) -> DataFrame:
     """(file_path, root_kind, root_path, link_path, file_hash, file_size); without ``hashes`` no content is read. Files over MAX_FILE_BYTES have a null hash."""
 
@@ -97,18 +192,21 @@ def _closed(crawled: DataFrame) -> DataFrame:
 def rehash(known: DataFrame, since, *paths: str) -> DataFrame:
     """``files_of`` for everything under ``paths``, with the hashes of ``known`` (files) for paths of the same size that haven't been modified after ``since`` (a timestamp): only the others are read."""
     spark = known.sparkSession
-    every = crawl(spark, *paths).drop("content")
-    held = known.where("file_hash is not null").select("file_path", "file_size", "file_hash").dropDuplicates(["file_path"])
-    same = every.where(F.col("modified") <= F.lit(since)).join(held, ["file_path", "file_size"])
+    every = held(listed(spark, *paths))
+    hashed = known.where("file_hash is not null").select("file_path", "file_size", "file_hash").dropDuplicates(["file_path"])
+    same = every.where(F.col("modified") <= F.lit(since)).join(hashed, ["file_path", "file_size"])
     rest = every.join(same.select("file_path"), "file_path", "left_anti")
+    columns = ["file_path", "root_kind", "root_path", "link_path", "file_hash", "file_size"]
+    kept = files_of(same, hashes=False).drop("file_hash").join(same.select("file_path", "file_hash"), "file_path").select(*columns)
+    if all(_mounted(spark, x) for x in paths):
+        return kept.unionByName(_hashed_by_path(rest).select(*columns))
     named = [r["file_path"] for r in rest.select("file_path").limit(NAMED_FILES + 1).collect()]
     if len(named) > NAMED_FILES:
         fresh = files_of(crawl(spark, *paths)).join(rest.select("file_path"), "file_path", "left_semi")
     else:
         hashed = files_of(crawl_files(spark, named)).select("file_path", "file_hash")
         fresh = files_of(rest, hashes=False).drop("file_hash").join(hashed, "file_path", "left")
-    columns = ["file_path", "root_kind", "root_path", "link_path", "file_hash", "file_size"]
-    return files_of(same, hashes=False).drop("file_hash").join(same.select("file_path", "file_hash"), "file_path").select(*columns).unionByName(fresh.select(*columns))
+    return kept.unionByName(fresh.select(*columns))
 
 
 def _parsed(ext: str, content: bytes, path: str, date: str, details: bool):

@@ -227,3 +227,23 @@ def test_store_with_links_changes_and_index(spark, tmp_path):
     changelog.remove_book(spark, store.table(spark, root, "books"), str(lib / "a.fb2"))
     store.save(spark, root, books=search(store.books(spark, root), [Title("tune")]).select(*store.books(spark, root).columns))  # a rewrite stands for itself
     assert titles() == ["Delta Tune"] and store.load(spark, root, "bookmarks").count() == 0
+
+
+def test_listing_by_tasks_is_the_crawl(spark, tmp_path, monkeypatch):
+    """Directories that tasks list hold what Spark's own reader finds; a rehash of a mounted folder lists nothing on the driver."""
+    from datetime import datetime
+
+    from folioscope.sources import ingest
+
+    for name in ("a.txt", "x/b.txt", "x/y=1/ü c.md", "_no/d.txt", ".no/e.txt", "x/_f.txt", "x/g.bin", "x/h%20.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    root = str(tmp_path)
+    columns = ("file_path", "root_path", "file_size", "modified")
+    got = sorted(map(tuple, ingest.listed(spark, root, f"{root}/a.txt", f"{root}/missing").select(*columns).collect()))
+    assert got == sorted(map(tuple, ingest.crawl(spark, root, f"{root}/a.txt", f"{root}/missing").select(*columns).collect())) and len(got) == 5
+    want = {tuple(r) for r in ingest.files_of(ingest.crawl(spark, root)).collect()}
+    monkeypatch.setattr(ingest, "crawl", None)
+    known = spark.createDataFrame([(f"{root}/a.txt", 5, b"known")], "file_path string, file_size long, file_hash binary")
+    out = {tuple(r) for r in ingest.rehash(known, datetime(2100, 1, 1), root).collect()}
+    assert {r[0] for r in out} == {r[0] for r in want} and out - want == {(f"{root}/a.txt", "dir", root, None, b"known", 5)}
