@@ -273,21 +273,27 @@ def hash_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number.alias("doc_id"), F.when(F.col("file_hash") == F.encode(F.lit("known"), "UTF-8"), "kept").when(F.col("file_hash") == fresh, "read").otherwise("wrong").alias("origin"))
 
 
+#: Keys of the parts that five archives and a catalogue file share: there are more of them in a larger table, none is larger.
+SHELVED = 100_000
+
+
 def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """An INPX file with a list for each of five archives of part books, and the folder of the archives."""
+    """A folder of INPX files with a list for each of five archives of part books, and the folder of the archives."""
     root = _mounted(spark)
-    shelves = table(spark, sf_dir, "part").select((F.col("p_partkey") % 5).cast("string").alias("shelf"), F.concat(F.col("p_partkey").cast("string"), F.lit("|"), F.col("p_name")).alias("book")).groupBy("shelf").agg(F.sort_array(F.collect_list("book")).alias("books"))
+    block, key = F.floor(F.col("p_partkey") / SHELVED).cast("string"), F.col("p_partkey").cast("string")
+    shelf = F.concat(block, F.lit("-"), (F.col("p_partkey") % 5).cast("string"))
+    shelves = table(spark, sf_dir, "part").select(shelf.alias("shelf"), F.concat(key, F.lit("|"), F.col("p_name")).alias("book")).groupBy("shelf").agg(F.sort_array(F.collect_list("book")).alias("books"))
 
     def archive(shelf: str, own: list[str]) -> tuple[str, bytes]:
         return f"books/shelf{shelf}.zip", pack(".zip", {f"{x.split('|')[0]}.txt": b"text" for x in own})
 
-    def lists(own: list) -> tuple[str, bytes]:
+    def lists(block: str, own: list) -> tuple[str, bytes]:
         line = lambda x: inpx.FIELD.join(["Pen,Ann,:", "sf:", x.split("|")[1], "", "", x.split("|")[0], "", "", "", "txt", "", ""])
-        return "list.inpx", pack(".zip", {f"shelf{x['shelf']}.inp": "".join(f"{line(b)}\r\n" for b in x["books"]).encode() for x in own})
+        return f"lists/list{block}.inpx", pack(".zip", {f"shelf{x['shelf']}.inp": "".join(f"{line(b)}\r\n" for b in x["books"]).encode() for x in own})
 
     _written(shelves, root, archive)
-    _written(shelves.agg(F.collect_list(F.struct("shelf", "books")).alias("own")), root, lists)
-    return f"{root}/list.inpx", f"{root}/books"
+    _written(shelves.groupBy(F.substring_index("shelf", "-", 1).alias("block")).agg(F.collect_list(F.struct("shelf", "books")).alias("own")), root, lists)
+    return f"{root}/lists", f"{root}/books"
 
 
 @query("SELECT p_partkey AS id, p_name AS title FROM part")

@@ -525,3 +525,15 @@ def test_members_of_a_held_zip():
     broken = data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]
     with zipfile.ZipFile(io.BytesIO(broken)) as z, pytest.raises((zipfile.BadZipFile, zlib.error)):
         archives.member(z, broken, z.infolist()[1])
+
+
+def test_archives_of_a_catalogue_are_bounded(spark, monkeypatch):
+    """More books make more archives and catalogue files, not larger ones."""
+    import __spark_entry__
+    from folioscope.plans import index_queries
+
+    monkeypatch.setattr(index_queries, "SHELVED", 50)
+    lists, folder = index_queries._catalogue(spark, "/root/testdata/sf0.001")
+    sizes = [len(zipfile.ZipFile(io.BytesIO(bytes(r["content"]))).namelist()) for r in ingest.crawl(spark, folder).collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 10 and spark.read.format("binaryFile").load(lists).count() >= 4
+    assert __spark_entry__.queries()["inpx_collection"](spark, "/root/testdata/sf0.001").count() == 200
