@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from itertools import pairwise
 from operator import itemgetter
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,128 +27,261 @@ TOP = 2000
 INSIDE = 50
 #: Words of a shard: what one automaton is made from and read against; and how many times that the open shards of all languages hold.
 SHARD_WORDS, HELD = 3 << 19, 4
-#: Bytes of a text that are cut into words at a time.
-WINDOW = 1 << 22
-#: Cells of the sketch: one for this many bytes of text, between these powers of two. The most, a byte each, is what a task holds.
-CELL_BYTES, FEWEST, MOST = 8, 1 << 16, 1 << 27
-BLOCK = 1 << 16
+#: Bytes of text that are cut into words at a time; texts of all languages that wait for it together hold up to HELD times as many.
+WINDOW = 1 << 20
+#: Cells of the sketch: one for this many bytes of text, a power of two, at least these. No task holds them all: of its n-grams'
+#: cells a task sorts so many together and hands on those that it met, by block; the task that adds a block up holds a byte for each of its cells.
+CELL_BYTES, FEWEST = 8, 1 << 16
+SORTED, BLOCK, CELLS_A_TASK = 1 << 24, 1 << 16, 1 << 26
+#: Bits of the table that says which cells reached the least: as many as cells, up to this; of more cells some share a bit.
+BITS = 1 << 28
+#: Patterns of an automaton.
+PATTERNS = 1 << 19
+#: Bytes of a batch that a task hands on.
+BATCH_BYTES = 1 << 22
 #: Between the words of a phrase, and beside them; no word holds it. END stands among the words where a piece ends, and is no word.
 GUARD, END = b" ", b"\n"
 SALTS = 64
 
 _PIECE_END = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(string.ascii_uppercase.encode() + b"\t" + _PIECE_END, string.ascii_lowercase.encode() + GUARD + END * len(_PIECE_END))
-_JOINED = {n: f" {' '.join(['%s'] * n)} " for n in range(2, LONGEST + 1)}
 _VALUE = itemgetter(1)
+_LETTERS = np.array([xxhash.xxh64_intdigest(bytes([k])) for k in range(256)], np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 _CUT = re.compile(rb"[ \t.,;:!?\n-\r]")
 
 
-class Words(dict):
-    """Numbers of the words of a shard, as they are met; 0 is no word, 1 the end of a piece."""
+def _cut_up(octets: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with A-Z lowered, starts and ends of the words, whether a piece ends before each word) of a text."""
+    data = np.frombuffer(octets.translate(_TABLE), np.uint8)
+    over = data == END[0]
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = ~(over | (data == GUARD[0]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    before = np.cumsum(over, dtype=np.int32)[starts] if len(starts) else np.empty(0, np.int32)
+    return data, starts, ends, np.diff(before, prepend=0) > 0
 
-    def __init__(self):
-        super().__init__({b"": 0, END: 1})
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _lined(words: np.ndarray, after_end: np.ndarray) -> np.ndarray:
+    """The words with 0 where a piece ends before one."""
+    line = np.zeros(len(words) + int(after_end.sum()), words.dtype)
+    line[np.arange(len(words)) + np.cumsum(after_end)] = words
+    return line
 
-    def of(self, octets: bytes) -> np.ndarray:
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: a polynomial of its bytes. It is never 0."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    n = len(data)
+    with np.errstate(over="ignore"):
+        powers = np.full(n, _STEP, np.uint64)
+        powers[0] = 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_LETTERS[data] * np.cumprod(powers), out=sums[1:])
+        powers[1:] = _BACK
+        return _mix(np.uint64(7), (sums[ends] - sums[starts]) * np.cumprod(powers)[starts]) | np.uint64(1)
+
+
+class Line(NamedTuple):
+    """Words in a row: their hashes, 0 where a piece ends; their lengths; their bytes."""
+
+    hashes: np.ndarray
+    lengths: np.ndarray
+    letters: np.ndarray
+
+    def at(self, a: int, b: int | None = None) -> Line:
+        lengths = self.lengths[a:b]
+        start = int(self.lengths[:a].sum())
+        return Line(self.hashes[a:b], lengths, self.letters[start : start + int(lengths.sum())])
+
+    @staticmethod
+    def of(octets: bytes) -> Line:
         """The words of a text, A-Z lowered, with the ends of its pieces."""
-        found = octets.translate(_TABLE).replace(END, GUARD + END + GUARD).split(GUARD)
-        numbers = np.fromiter(map(self.__getitem__, found), np.int32, len(found))
-        return numbers[numbers > 0]
+        data, starts, ends, after_end = _cut_up(octets)
+        last = END in data[ends[-1] if len(ends) else 0 :].tobytes()
+        lined = Line(_lined(_hashes(data, starts, ends), after_end), _lined((ends - starts).astype(np.int32), after_end), data[(data != GUARD[0]) & (data != END[0])])
+        return Line.joined([lined, PIECE_END]) if last else lined
+
+    @staticmethod
+    def joined(lines: list[Line]) -> Line:
+        return Line(*map(np.concatenate, zip(*lines, strict=True)))
+
+
+NOTHING = Line(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.uint8))
+PIECE_END = Line(np.zeros(1, np.uint64), np.zeros(1, np.int32), np.empty(0, np.uint8))
+
+
+def _groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each different hash, which of them stands at each place). The hashes are sorted with their places in their low bits; if that parts or brings together what it shouldn't, by themselves."""
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    packed = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    in_order = hashes[order]
+    new = np.r_[True, in_order[1:] != in_order[:-1]]
+    if not np.array_equal(new[1:], (packed[1:] | low) != (packed[:-1] | low)):
+        order = np.argsort(hashes)
+        in_order = hashes[order]
+        new = np.r_[True, in_order[1:] != in_order[:-1]]
+    which = np.empty(len(hashes), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _numbered(line: Line, step: int = 1 << 18) -> tuple[np.ndarray, pa.Array]:
+    """(the number of each word, the words by their numbers): 0 is the end of a piece, then the more frequent come first. Words are told apart by their hashes, and where these are equal their bytes are compared."""
+    first, which = _groups(line.hashes)
+    n = np.bincount(which)
+    starts = np.zeros(len(line.lengths) + 1, np.int32)
+    np.cumsum(line.lengths, out=starts[1:])
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(line.lengths), [None, pa.py_buffer(starts), pa.py_buffer(line.letters)])
+    same = first[which]
+    equal = np.array_equal(line.lengths[same], line.lengths)
+    for k in range(0, len(same) if equal else 0, step):
+        lengths = line.lengths[k : k + step]
+        back = np.repeat(starts[k : k + step][: len(lengths)] - starts[same[k : k + step]], lengths)
+        here = np.arange(starts[k], starts[k] + len(back), dtype=np.int32)
+        equal = equal and np.array_equal(line.letters[here], line.letters[here - back])
+    if not equal:
+        known: dict[bytes, int] = {}
+        which = np.fromiter((known.setdefault(x, len(known)) for x in words.to_pylist()), np.int64, len(line.lengths))
+        _, first, n = np.unique(which, return_index=True, return_counts=True)
+    n[line.lengths[first] == 0] = len(line.lengths) + 1
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    return place[which], words.take(pa.array(first[order]))
+
+
+def _seed(lang: str | None) -> np.ndarray:
+    return np.uint64(xxhash.xxh64_intdigest((lang or "").encode("utf-8", "surrogatepass"), 5))
+
+
+def _grams(lang: str | None, of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, places, hashes) of the n-grams of every length in a line of hashes of words; none spans the end of a piece."""
+    mixed = _mix(_seed(lang), of)
+    inside = word = of != 0
+    for n in range(1, LONGEST + 1):
+        if n > 1:
+            mixed, inside = _mix(mixed[:-1], of[n - 1 :]), inside[:-1] & word[n - 1 :]
+        places = np.flatnonzero(inside)
+        yield n, places, mixed[places]
+        if len(mixed) < 2:
+            return
+
+
+def _spelled(words: np.ndarray) -> tuple[str, np.ndarray]:
+    """Rows of numbers of words as text, and where each row begins: a guard before each word, and its digits; a word 0 at the end of a row is none."""
+    out = np.empty((*words.shape, 4), np.uint32)
+    out[..., 0], out[..., 1], out[..., 2], out[..., 3] = GUARD[0], 64 + (words >> 12), 64 + ((words >> 6) & 63), 64 + (words & 63)
+    kept = np.ones(out.shape, bool)
+    kept[..., 1], kept[..., 2] = words >> 12 != 0, words >> 6 != 0
+    if words.shape[1] > 1:
+        kept &= (words != 0)[..., None]
+    begins = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(kept.reshape(len(words), -1).sum(axis=1), out=begins[1:])
+    return out[kept].tobytes().decode("utf-32-le"), begins
 
 
 class Shard:
-    """Texts of one language as numbered words, in parts that an end of a piece follows, each with a sign."""
+    """Texts of one language as lines of words, in parts that an end of a piece follows, each with a sign."""
 
     def __init__(self, lang: str | None):
-        self.lang, self.words, self.size = lang, Words(), 0
-        self.parts: dict[int, list[np.ndarray]] = {1: [], -1: []}
-
-    def add(self, numbers: np.ndarray, sign: int = 1) -> None:
-        self.parts[sign] += [numbers, np.ones(1, np.int32)]
-        self.size += len(numbers)
-
-    def line(self, sign: int) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.int32), *self.parts[sign]])
-
-    def grams(self, line: np.ndarray, n_cells: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(n, places, hashes, cells) of the n-grams of every length in a line of words; none spans the end of a piece."""
-        of = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))[line]
-        mixed = _mix(np.uint64(xxhash.xxh64_intdigest((self.lang or "").encode("utf-8", "surrogatepass"), 5)), of)
-        inside = word = line > 1
-        for n in range(1, LONGEST + 1):
-            if n > 1:
-                mixed, inside = _mix(mixed[:-1], of[n - 1 :]), inside[:-1] & word[n - 1 :]
-            places = np.flatnonzero(inside)
-            hashes = mixed[places]
-            yield n, places, hashes, (hashes & np.uint64(n_cells - 1)).astype(np.uint32)
-            if len(mixed) < 2:
-                return
+        self.lang, self.size = lang, 0
+        self.parts: dict[int, list[Line]] = {1: [], -1: []}
+
+    def add(self, line: Line, sign: int = 1) -> None:
+        self.parts[sign] += [line, PIECE_END]
+        self.size += len(line.hashes)
+
+    def n_words(self) -> int:
+        return sum(sign * int((x.hashes != 0).sum()) for sign, parts in self.parts.items() for x in parts)
 
     def counts(self, bits: np.ndarray) -> tuple[list[str], list[int], list[int]]:
-        """(phrases by their bytes, sizes, occurrences) of the shard's n-grams whose cell of the sketch, an upper bound of their number, reached the least.
+        """(phrases by their bytes, sizes, occurrences) of ``counted``."""
+        phrases, sizes, found = self.counted(bits)
+        return [x.decode("latin-1") for x in phrases.to_pylist()], sizes.tolist(), found.tolist()
+
+    def counted(self, bits: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(phrases, sizes, occurrences) of the shard's n-grams that the sketch lets through: those whose cell, an upper bound of their number, reached the least, as the cells of all n-grams within them did.
 
-        Words are counted by their numbers. The phrases of more words make an automaton, which reads the shard. One place of each
-        hash names its phrase: were two phrases of one hash, the automaton would find fewer places than there are, and then all
+        Words are counted by their numbers. The phrases of more words make automata, which read the shard. One place of each
+        hash names its phrase: were two phrases of one hash, the automata would find fewer places than there are, and then all
         places name theirs.
         """
-        lines = {sign: self.line(sign) for sign in self.parts}
-        names = [x.decode("latin-1") for x in self.words]
-        first, every, n_places = [], [], 0
-        words = np.zeros(len(names), bool)
-        for n, places, hashes, cells in self.grams(lines[1], len(bits) * 8):
-            may = (bits[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8)) & 1 == 1
-            places = places[may]
+        whole = Line.joined([NOTHING, *self.parts[1], *self.parts[-1]])
+        size = sum(len(x.hashes) for x in self.parts[1])
+        if not size:
+            return pa.array([], pa.binary()), np.empty(0, np.int32), np.empty(0, np.int64)
+        numbers, names = _numbered(whole)
+        line, less = numbers[:size], numbers[size:]
+        words, passed = np.zeros(len(names), bool), np.zeros(size, bool)
+        candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, places, hashes in _grams(self.lang, whole.hashes[:size]):
+            cells = hashes & np.uint64(len(bits) * 8 - 1)
+            may = (bits[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
             if n == 1:
-                words[lines[1][places]] = True
-                continue
-            n_places += len(places)
-            every.append((n, places))
-            first.append((n, places[np.unique(hashes[may], return_index=True)[1]]))
-        phrases, sizes, found, n_seen = self._read(lines, names, first, every)
-        if n_seen != n_places:
-            phrases, sizes, found, _ = self._read(lines, names, every, every)
-        total = sum(sign * np.bincount(line, minlength=len(names)) for sign, line in lines.items())
+                words[line[places[may]]] = True
+            else:
+                may &= passed[places] & passed[places + 1]
+                candidates.append((np.full(may.sum(), n, np.int32), places[may], hashes[may]))
+            passed = np.zeros(size, bool)
+            passed[places[may]] = True
+        del whole
+        total = np.bincount(line, minlength=len(names)) - np.bincount(less, minlength=len(names))
         own = np.flatnonzero(words)
-        return [names[k] for k in own.tolist()] + phrases, [1] * len(own) + sizes, total[own].tolist() + found
-
-    def _read(self, lines: dict[int, np.ndarray], names: list[str], named: list[tuple[int, np.ndarray]], near: list[tuple[int, np.ndarray]]) -> tuple[list[str], list[int], list[int], int]:
-        """The phrases at the given places, their sizes and occurrences, and at how many places of the first line the automaton met them. Of that line it reads the words that ``near``, the places of all candidates, has."""
-        phrases: list[str] = []
-        for n, places in named:
-            columns = ([names[k] for k in lines[1][places + i].tolist()] for i in range(n))
-            phrases += map(_JOINED[n].__mod__, zip(*columns, strict=True))
-        phrases = sorted(phrases if named is not near else set(phrases))  # in order, a tree grows where it was touched last
-        sizes = [x.count(" ") - 1 for x in phrases]
-        if not phrases:
-            return [], [], [], 0
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, x in enumerate(phrases):
-            automaton.add_word(x, k)
-        automaton.make_automaton()
-        needed = np.zeros(len(lines[1]), bool)
-        for n, places in near:
-            for k in range(n):
-                needed[places + k] = True
-        near_only = np.where(needed, lines[1], 1)
-        near_only = near_only[needed | np.r_[True, needed[:-1]]]  # one END for words that no candidate has
-        total, n_seen = np.zeros(len(phrases), np.int64), 0
-        for sign, line in ((1, near_only), (-1, lines[-1])):
-            seen_here = 0
-            for part in _parts(line):
-                seen = np.fromiter(map(_VALUE, automaton.iter(f" {' '.join([names[k] for k in part.tolist()])} ")), np.int64)
-                total += sign * np.bincount(seen, minlength=len(phrases))
-                seen_here += len(seen)
-            n_seen = max(n_seen, seen_here)
-        return [x[1:-1] for x in phrases], sizes, total.tolist(), n_seen
+        phrases, sizes, found = [names.take(pa.array(own))], [np.ones(len(own), np.int32)], [total[own]]
+        if sum(len(x[0]) for x in candidates):
+            n, places, hashes = map(np.concatenate, zip(*candidates, strict=True))
+            of = np.stack([np.where(k < n, line[np.minimum(places + k, size - 1)], 0) for k in range(LONGEST)], axis=1)
+            first, which = _groups(hashes)
+            named, n_found, n_seen = self._read(line, less, of[first], places, which)
+            if n_seen != len(places):
+                different, which = np.unique(of, axis=0, return_inverse=True)
+                named, n_found, _ = self._read(line, less, different, places, which.reshape(-1))
+            for k in range(2, LONGEST + 1):
+                own = np.flatnonzero((named != 0).sum(axis=1) == k)
+                phrases.append(pc.binary_join_element_wise(*(names.take(pa.array(named[own, i])) for i in range(k)), GUARD))
+                sizes.append(np.full(len(own), k, np.int32))
+                found.append(n_found[own])
+        return pa.concat_arrays(phrases), np.concatenate(sizes), np.concatenate(found)
+
+    def _read(self, line: np.ndarray, less: np.ndarray, phrases: np.ndarray, places: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The phrases, a row of words each, in order; their occurrences in ``line`` without those in ``less``; and at how many places of ``line`` the automata met them. ``which`` of them stands at each of ``places``: an automaton reads the words of ``line`` that its own phrases have there."""
+        order = np.lexsort(phrases.T[::-1])  # in order, a tree grows where it was touched last
+        phrases = phrases[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        rank = rank[which]
+        total, n_seen, guard = np.zeros(len(phrases), np.int64), 0, GUARD.decode()
+        for a in range(0, len(phrases), PATTERNS):
+            some = phrases[a : a + PATTERNS]
+            letters, begins = _spelled(some)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for k, (x, y) in enumerate(pairwise(begins.tolist())):
+                automaton.add_word(letters[x:y] + guard, k)
+            automaton.make_automaton()
+            needed = np.zeros(len(line), bool)
+            mine = (rank >= a) & (rank < a + PATTERNS)
+            here, own = places[mine], rank[mine] - a
+            for k in range(LONGEST):
+                needed[here[some[own, k] != 0] + k] = True
+            near_only = np.where(needed, line, 0)
+            near_only = near_only[needed | np.r_[True, needed[:-1]]]  # one END for words that no candidate has
+            for sign, read in ((1, near_only), (-1, less)):
+                for part in _parts(read):
+                    seen = np.fromiter(map(_VALUE, automaton.iter(_spelled(part[:, None])[0] + guard)), np.int64)
+                    total[a : a + PATTERNS] += sign * np.bincount(seen, minlength=len(some))
+                    n_seen += len(seen) if sign > 0 else 0
+        return phrases, total, n_seen
 
 
 def _parts(line: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
     """A line of words cut at ends of pieces into parts of about ``most`` words."""
-    ends, at = np.flatnonzero(line == 1), 0
+    ends, at = np.flatnonzero(line == 0), 0
     while at < len(line):
         k = np.searchsorted(ends, at + most)
         end = int(ends[k]) + 1 if k < len(ends) else len(line)
@@ -176,104 +312,167 @@ def added(shard: Shard, octets: memoryview, most: int, window: int = WINDOW) ->
 
     The two share LONGEST - 1 words, which come once more with sign -1, so that the sum over shards is that of the whole text.
     """
-    rest = np.empty(0, np.int32)
+    rest = NOTHING
     for part in _windows(octets, window):
-        rest = np.concatenate((rest, shard.words.of(part)))
-        while len(rest) + shard.size >= most + LONGEST:
+        rest = Line.joined([rest, Line.of(part)])
+        while len(rest.hashes) + shard.size >= most + LONGEST:
             cut = max(0, most - shard.size)
-            shared = rest[cut : cut + LONGEST - 1]
-            shard.add(rest[: cut + LONGEST - 1])
-            shard.add(shared, -1)
-            names, rest = list(shard.words), rest[cut:]
+            shard.add(rest.at(0, cut + LONGEST - 1))
+            shard.add(rest.at(cut, cut + LONGEST - 1), -1)
+            rest = rest.at(cut)
             yield shard
             shard = Shard(shard.lang)
-            used = np.unique(rest)
-            place = np.zeros(len(names), np.int32)
-            place[used] = [shard.words[names[k]] for k in used.tolist()]
-            rest = place[rest]
     shard.add(rest)
     yield shard
 
 
-def _shards(batches, most: int) -> Iterator[Shard]:
-    """The texts of a task in shards of one language; all languages of a task together hold up to HELD times ``most`` words before the largest shard goes."""
-    shards: dict[str, Shard] = {}
+def _texts(batches, window: int = WINDOW) -> Iterator[tuple[str, memoryview]]:
+    """The texts of a task, those of one language together, with ends of pieces between, in about ``window`` bytes or more."""
+    waiting: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
     total = 0
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
             if not text.is_valid:
                 continue
-            lang = lang.as_py()
-            own = shards.pop(lang, None) or Shard(lang)
-            total -= own.size
-            *full, last = added(own, memoryview(text.as_buffer()), most)
-            yield from full
-            shards[lang] = last
-            total += last.size
-            if total >= HELD * most:
-                largest = max(shards.values(), key=lambda s: s.size)
-                total -= largest.size
-                yield shards.pop(largest.lang)
+            lang, octets = lang.as_py(), memoryview(text.as_buffer())
+            if len(octets) >= window:
+                yield lang, octets
+                continue
+            waiting.setdefault(lang, []).append(bytes(octets))
+            sizes[lang] = sizes.get(lang, 0) + len(octets) + 1
+            total += len(octets) + 1
+            if sizes[lang] >= window or total >= HELD * window:
+                if sizes[lang] < window:
+                    lang = max(sizes, key=sizes.get)
+                total -= sizes.pop(lang)
+                yield lang, memoryview(END.join(waiting.pop(lang)))
+    for lang, own in waiting.items():
+        yield lang, memoryview(END.join(own))
+
+
+def _shards(batches, most: int) -> Iterator[Shard]:
+    """The texts of a task in shards of one language; all languages of a task together hold up to HELD times ``most`` words before the largest shard goes."""
+    shards: dict[str, Shard] = {}
+    total = 0
+    for lang, octets in _texts(batches):
+        own = shards.pop(lang, None) or Shard(lang)
+        total -= own.size
+        *full, last = added(own, octets, most)
+        yield from full
+        shards[lang] = last
+        total += last.size
+        if total >= HELD * most:
+            largest = max(shards.values(), key=lambda s: s.size)
+            total -= largest.size
+            yield shards.pop(largest.lang)
     yield from shards.values()
 
 
-def sketch(docs: DataFrame, n_cells: int, least: int, most: int) -> np.ndarray:
-    """One bit a cell: whether the n-grams that fall into it are ``least`` or more together. A task counts in one byte a cell, up to ``least``; the tasks' cells are added by block, as they come, and only the bits reach the driver."""
+def _hashed(batches) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of a task's texts. Where a long text is cut, those of the last words may come twice: what is counted is a bound."""
+    for lang, octets in _texts(batches):
+        rest = np.empty(0, np.uint64)
+        for part in _windows(octets, WINDOW):
+            data, starts, ends, after_end = _cut_up(part)
+            line = np.concatenate((rest, _lined(_hashes(data, starts, ends), after_end)))
+            rest = line[1 - LONGEST :]
+            for _, _, hashes in _grams(lang, line):
+                yield hashes
+
+
+def _met(cells: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """(block, at, n): the cells that stand here, by block, and how often, up to ``least``."""
+    cells.sort()
+    first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    n = np.minimum(np.diff(np.r_[first, len(cells)]), least).astype(np.uint8)
+    cells = cells[first]
+    blocks = (cells >> cells.dtype.type(BLOCK.bit_length() - 1)).astype(np.int64)
+    at = (cells & cells.dtype.type(BLOCK - 1)).astype(np.uint16)
+    edges = np.append(np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]), len(blocks))
+    step = max(1, BATCH_BYTES * (len(edges) - 1) // (3 * len(cells)))
+    for k in range(0, len(edges) - 1, step):
+        some = edges[k : k + step + 1]
+        a, b = some[0], some[-1]
+        binary = lambda values: pa.BinaryArray.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(((some - a) * values.itemsize).astype(np.int32)), pa.py_buffer(values[a:b].copy())])  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(blocks[some[:-1]]), binary(at), binary(n)], names=["block", "at", "n"])
+
+
+def sketch(docs: DataFrame, n_cells: int, least: int) -> np.ndarray:
+    """One bit a cell, or for as many cells as share it: whether the n-grams that fall into one are ``least`` or more together.
+
+    A task sorts the cells of some n-grams and hands on those that it met; the tasks' counts are added by block, up to ``least``, in
+    tasks that hold no more than their own blocks. Only the bits reach the driver, up to BITS of them.
+    """
+    n_folds = max(1, min(n_cells, BITS) // BLOCK)
+    kind = np.uint32 if n_cells <= 1 << 32 else np.uint64
 
     def over(batches):
-        cells = np.zeros(n_cells, np.uint8)
-        for shard in _shards(batches, most):
-            for _, _, _, found in shard.grams(shard.line(1), n_cells):
-                at, n = np.unique(found, return_counts=True)
-                cells[at] = np.minimum(least, cells[at] + np.minimum(n, least)).astype(np.uint8)
-        for a in range(0, n_cells, BLOCK):
-            block = cells[a : a + BLOCK]
-            at = np.flatnonzero(block)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([block[at].tobytes()])], names=["block", "at", "n"])
+        waiting, size = [], 0
+        for hashes in _hashed(batches):
+            waiting.append((hashes & np.uint64(n_cells - 1)).astype(kind))
+            size += len(hashes)
+            if size >= SORTED:
+                cells, waiting, size = np.concatenate(waiting), [], 0
+                yield from _met(cells, least)
+                del cells
+        if size:
+            yield from _met(np.concatenate(waiting), least)
 
     def merged(batches):
         blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, at, n in zip(*(batch.column(i) for i in range(3)), strict=True):
-                own = blocks.setdefault(block.as_py(), np.zeros(min(BLOCK, n_cells), np.uint8))
+            for block, at, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own = blocks.get(block)
+                if own is None:
+                    own = blocks[block] = np.zeros(min(BLOCK, n_cells), np.uint8)
                 at = np.frombuffer(at.as_buffer(), np.uint16)
                 own[at] = np.minimum(least, own[at] + np.frombuffer(n.as_buffer(), np.uint8))
-        for block, own in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(own >= least, bitorder="little").tobytes()])], names=["block", "bits"])
+        folds: dict[int, np.ndarray] = {}
+        for block in list(blocks):
+            reached = blocks.pop(block) >= least
+            if reached.any():
+                folds[block % n_folds] = reached | folds.get(block % n_folds, False)
+        for fold, reached in folds.items():
+            yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int64()), pa.array([np.packbits(reached, bitorder="little").tobytes()], pa.binary())], names=["fold", "bits"])
 
     spark = docs.sparkSession
-    parts = docs.mapInArrow(tidied(over), "block int, at binary, n binary").repartition(min(parallelism(spark), max(1, n_cells // BLOCK)), "block")
-    out = np.zeros(n_cells // 8, np.uint8)
-    for r in parts.mapInArrow(tidied(merged), "block int, bits binary").toLocalIterator():
-        out[r["block"] * BLOCK // 8 :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    parts = docs.mapInArrow(tidied(over), "block long, at binary, n binary")
+    parts = parts.repartition(min(max(parallelism(spark), n_cells // CELLS_A_TASK), n_folds), F.col("block") % n_folds)
+    out = np.zeros(min(n_cells, BITS) // 8, np.uint8)
+    for fold, bits in zip(*(c.to_pylist() for c in parts.mapInArrow(tidied(merged), "fold long, bits binary").toArrow().columns), strict=True):
+        out[fold * BLOCK // 8 :][: len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
 
+def cells_of(size: int) -> int:
+    """Cells for so many bytes of text: a power of two, in proportion."""
+    return max(FEWEST, 1 << (size // CELL_BYTES).bit_length())
+
+
 def cells_for(docs: DataFrame) -> int:
-    """Cells for a corpus: a power of two in proportion to its bytes, up to MOST. Beyond that bounds are looser and more phrases are counted that aren't frequent; results stay the same."""
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return min(MOST, max(FEWEST, 1 << (size // CELL_BYTES).bit_length()))
+    """Cells for a corpus."""
+    return cells_of(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
 
 
 def frequencies(docs: DataFrame, least: int = LEAST, n_cells: int | None = None, most: int = SHARD_WORDS) -> DataFrame:
     """(lang, phrase, size, f): every phrase of one to LONGEST words that occurs ``least`` times or more, overlaps counted, and, as the empty phrase of size 0, all words.
 
     Two passes over the texts: the sketch, then the automata of each shard, made of the shard's own n-grams which the sketch
-    lets through. Their counts are summed by phrase, combined before the shuffle. Memory is bounded by the shard and the sketch.
+    lets through. Their counts are summed by phrase, combined before the shuffle. Memory is bounded by the shard, the blocks of the sketch that a task adds up, and its bits.
     """
     if not 0 < least <= 100:
         raise ValueError("least must be from 1 to 100: the sketch counts up to it in one byte")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
-    bits = spark.sparkContext.broadcast(sketch(texts, n_cells or cells_for(texts), least, most))  # MOST / 8 bytes at most, 16 MB
+    bits = spark.sparkContext.broadcast(sketch(texts, n_cells or cells_for(texts), least))  # BITS / 8 bytes at most, 32 MB
 
     def over(batches):
         for shard in _shards(batches, most):
-            phrases, sizes, found = shard.counts(bits.value)
-            words = sum(sign * int((shard.line(sign) > 1).sum()) for sign in shard.parts)
-            names = pa.array("\n".join(["", *phrases]).encode("latin-1").split(b"\n"), pa.binary()).cast(pa.string())  # no word holds a line's end
-            yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(names), pa.string()), names, pa.array([0, *sizes], pa.int32()), pa.array([words, *found], pa.int64())], names=["lang", "phrase", "size", "f"])
+            phrases, sizes, found = shard.counted(bits.value)
+            words = shard.n_words()
+            names = pa.concat_arrays([pa.array([b""], pa.binary()), phrases]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard.lang, pa.string()), len(names)), names, pa.array(np.r_[np.int32(0), sizes]), pa.array(np.r_[np.int64(words), found])], names=["lang", "phrase", "size", "f"])
             del shard, phrases, sizes, found, names
             hand_back()
 

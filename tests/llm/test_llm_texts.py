@@ -148,6 +148,34 @@ def test_collocations_of_any_sketch_and_shard(spark, n_cells):
     assert {(r["lang"], r["phrase"]): r["f"] for r in rows} == want and len(rows) == len(want)
 
 
+def test_collocations_sketch_grows_with_the_text(spark, monkeypatch):
+    """A cell for some bytes of text at any size; where cells share a bit, and where a shard's phrases make several automata, results stay the same."""
+    assert all(size / 8 <= collocations.cells_of(size) <= size for size in (10**6, 10**9, 10**10, 10**12))
+    docs = read(spark, DATA, "documents").limit(20)
+    want = {tuple(r) for r in collocations.frequencies(docs, least=3).collect()}
+    monkeypatch.setattr(collocations, "PATTERNS", 50)
+    monkeypatch.setattr(collocations, "BITS", 1 << 17)
+    assert {tuple(r) for r in collocations.frequencies(docs, least=3, n_cells=1 << 34).collect()} == want and want
+
+
+def test_collocations_pass_with_all_that_is_in_them():
+    """A phrase whose own cell is full isn't counted if a word of it can't be frequent."""
+    *_, shard = collocations.added(collocations.Shard("en"), memoryview(b"red tea red tea cup"), 100)
+    _, places, hashes = next(iter(collocations._grams("en", shard.parts[1][0].hashes)))
+    full = np.full(8192, 255, np.uint8)
+    assert "red tea cup" in shard.counts(full)[0]
+    cell = int(hashes[4]) % (8192 * 8)
+    full[cell // 8] &= 255 - (1 << cell % 8)
+    assert set(shard.counts(full)[0]) == {"red", "tea", "red tea", "tea red", "red tea red", "tea red tea"}
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(collocations, "_hashes", lambda data, starts, ends: np.full(len(starts), 5, np.uint64))
+    *_, shard = collocations.added(collocations.Shard("en"), memoryview(b"ab cd ab, cd"), 100)
+    phrases, _, found = shard.counts(np.full(8192, 255, np.uint8))
+    assert dict(zip(phrases, found, strict=True)) == {"ab": 2, "cd": 2, "ab cd": 1, "cd ab": 1, "ab cd ab": 1}
+
+
 def test_collocations_against_sql(spark, duck):
     got = queries.op12_collocations(spark, DATA)
     said = duck.execute(collocations.sql())
