@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.schema import BOOKS, DETAILS, GENRES
+from folioscope.schema import BOOKS, DETAILS, EMPTY_DETAILS, GENRES
 from folioscope.sources import archives, charset, formats, genres, ingest, inpx, legacy, xmltree
 from folioscope.sources.archive_write import pack
 
@@ -527,6 +527,38 @@ def test_members_of_a_held_zip():
         archives.member(z, broken, z.infolist()[1])
 
 
+def test_books_of_held_zips(monkeypatch):
+    made = pack(".zip", {"meta.xml": b"<o><dc:title>T</dc:title></o>", "Thumbnails/thumbnail.png": b"PNG"})
+    monkeypatch.setattr(zipfile.ZipFile, "read", None)  # isn't needed
+    book, more = formats.odt(made)
+    assert book["titles"] == ["T"] and more["cover"]["data"] == b"PNG"
+    assert formats.epub(epub())[0]["titles"] == ["E Book"]
+
+
+def test_searches_walk_a_tree_once():
+    class Children(list):
+        walks = 0
+
+        def __getitem__(self, at):
+            Children.walks += 1
+            return super().__getitem__(at)
+
+    root = xmltree.parse('<a><b k="1">x<c/></b><c k="1"/><b/></a>')
+    root.children = Children(root.children)
+    assert [len(root.search(x)) for x in ("a", "b", "c", "d")] == [1, 2, 2, 0] and Children.walks == 1
+    assert [x.name for x in root.search("c", "k")] == [x.name for x in root.search("c", "k", "1")] == ["c"] and root.search("c", "k", "2") == []
+    root.search("b").clear()
+    assert len(root.search("b")) == 2 and [x.name for x in root.search(where=lambda n: n.attributes)] == ["b", "c"]
+
+
+def test_a_book_without_details_has_no_lists_of_its_own():
+    """40 empty lists a book cost as much as a small file's parsing; no parser adds to them."""
+    assert formats._new()[1]["keywords"] is EMPTY_DETAILS["keywords"]
+    for ext, data in ((".fb2", fb2()), (".epub", epub()), (".odt", zipped({"meta.xml": "<o/>"})), (".pdf", b"%PDF-1.4 <</Title (own)/Keywords (a)>>"), (".txt", b"x"), (".md", b"x")):
+        formats.parse(ext, data, "s", "d")
+    assert all(not v for v in EMPTY_DETAILS.values())
+
+
 def test_archives_of_a_catalogue_are_bounded(spark, monkeypatch):
     """More books make more archives and catalogue files, not larger ones."""
     import __spark_entry__
