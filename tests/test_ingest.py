@@ -1,6 +1,7 @@
 """Books made here, in every format, through the whole way from files to tables."""
 
 import base64
+import gzip
 import io
 import struct
 import tarfile
@@ -527,6 +528,16 @@ def test_members_of_a_held_zip():
         archives.member(z, broken, z.infolist()[1])
 
 
+def test_members_of_a_held_tar(monkeypatch):
+    """Taken out of the bytes that are held; one that breaks off, and a packed one without a name for it, are left to the library."""
+    data = pack(".tar", {"a.txt": b"a" * 1000, "b.txt": b"b" * 1000})
+    of = lambda x: [(e.path, e.content) for e in archives.entries(".tar", x)]
+    every = [("a.txt", b"a" * 1000), ("b.txt", b"b" * 1000)]
+    assert of(gzip.compress(data)) == every and of(data[: data.index(b"b" * 1000) + 10]) == every[:1]
+    monkeypatch.setattr(tarfile.TarFile, "extractfile", None)  # isn't needed
+    assert of(data) == every
+
+
 def test_books_of_held_zips(monkeypatch):
     made = pack(".zip", {"meta.xml": b"<o><dc:title>T</dc:title></o>", "Thumbnails/thumbnail.png": b"PNG"})
     monkeypatch.setattr(zipfile.ZipFile, "read", None)  # isn't needed
