@@ -563,7 +563,7 @@ def test_searches_walk_a_tree_once():
 
 
 def test_a_book_without_details_has_no_lists_of_its_own():
-    """40 empty lists a book cost as much as a small file's parsing; no parser adds to them."""
+    """Empty lists for each detail of a book cost as much as a small file's parsing; no parser adds to them."""
     assert formats._new()[1]["keywords"] is EMPTY_DETAILS["keywords"]
     for ext, data in ((".fb2", fb2()), (".epub", epub()), (".odt", zipped({"meta.xml": "<o/>"})), (".pdf", b"%PDF-1.4 <</Title (own)/Keywords (a)>>"), (".txt", b"x"), (".md", b"x")):
         formats.parse(ext, data, "s", "d")
